@@ -14,17 +14,20 @@ from pyspark.errors import AnalysisException
 
 from docmatch.functions.ids import uuid5
 from docmatch.operators.models import EmbedFn, embed
-from docmatch.operators.validate import split_ingestable, vector_rejects
 
-ORD_TYPE = "struct<doc:string,pos:array<int>>"
 LOG_PARTITIONS = ["project_id", "op", "side"]
-PAYLOAD = ["uid", "sid", "orig_sid", "group_uid", "text", "extra"]
 
-LOG_SCHEMA = T._parse_datatype_string(
-    f"seq bigint, ord {ORD_TYPE}, point_id string, uid string, sid string, orig_sid string, "
-    "group_uid string, text string, vector array<float>, extra map<string,string>, "
-    "project_id string, op string, side string"
-)
+ORD = T.StructType([T.StructField("doc", T.StringType()), T.StructField("pos", T.ArrayType(T.IntegerType()))])
+
+LOG_SCHEMA = T.StructType([
+    T.StructField("seq", T.LongType()),
+    T.StructField("ord", ORD),
+    T.StructField("point_id", T.StringType()),
+    *[T.StructField(c, T.StringType()) for c in ("uid", "sid", "orig_sid", "group_uid", "text")],
+    T.StructField("vector", T.ArrayType(T.FloatType())),
+    T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
+    *[T.StructField(c, T.StringType()) for c in LOG_PARTITIONS],
+])
 
 
 def with_defaults(rows: DataFrame, mode: str | None = None) -> DataFrame:
@@ -56,7 +59,7 @@ def prepare_points(rows: DataFrame, mode: str | None = None) -> DataFrame:
     pos = F.col("pos") if "pos" in rows.columns else F.array().cast("array<int>")
     if "chunk_no" in rows.columns:
         pos = F.array_append(pos, F.col("chunk_no"))
-    return rows.withColumn("ord", F.struct(doc.alias("doc"), pos.alias("pos")).cast(ORD_TYPE))
+    return rows.withColumn("ord", F.struct(doc.alias("doc"), pos.alias("pos")).cast(ORD))
 
 
 def upserts(points: DataFrame, seq: int | Column) -> DataFrame:
@@ -143,16 +146,24 @@ def counts(points: DataFrame) -> DataFrame:
     )
 
 
-def ingest(rows: DataFrame, path: str, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool = False) -> DataFrame:
-    """Embed text rows and append them; returns the rejected rows with their reason.
+def ingest(rows: DataFrame, path: str, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool = False) -> None:
+    """Embed text rows and append them in one pass.
 
-    Rows with a vector of the wrong size never enter the log.
+    Rows without a uid or text, or with a vector of the wrong size, go to the log as ``reject`` rows:
+    they are kept for inspection and never searched.
     """
-    good, bad = split_ingestable(rows)
-    embedded = embed(prepare_points(good), fn, dedupe=dedupe)
-    size_ok = F.coalesce(F.size("vector"), F.lit(0)) == dim
-    append_log(upserts(embedded.where(size_ok), seq), path)
-    return bad
+    points = embed(prepare_points(rows), fn, dedupe=dedupe)
+    good = F.col("uid").isNotNull() & F.col("text").isNotNull() & (F.coalesce(F.size("vector"), F.lit(0)) == dim)
+    log = points.withColumns({"seq": F.lit(seq).cast("long"), "op": F.when(good, "upsert").otherwise("reject")})
+    append_log(log.select(*LOG_SCHEMA.names), path)
+
+
+def rejects(log: DataFrame) -> DataFrame:
+    """Rejected rows with their reason."""
+    reason = F.when(F.col("uid").isNull(), "missing_uid").when(F.col("text").isNull(), "missing_text")
+    size = F.coalesce(F.size("vector"), F.lit(0))
+    reason = F.coalesce(reason, F.when(size <= 0, "empty_vector"), F.lit("wrong_size"))
+    return log.where(F.col("op") == "reject").withColumn("reason", reason)
 
 
 def compact(spark: SparkSession, path: str, new_path: str) -> None:

@@ -68,15 +68,21 @@ def attach_scores(
     """``similarity_score`` of each prediction from its query's hits, 0 where none matches.
 
     Looks up ``ref_uid`` and then ``input_uid``, since in reverse the hits are input rows;
-    ``as_coded`` looks up ``ref_uid`` only. A query's hits are at most k rows, so they travel as one
-    small map per query and the predictions join once.
+    ``as_coded`` looks up ``ref_uid`` only. Of several hits with one uid the last counts. A query has
+    at most k hits, so they travel as one short list per query and the predictions join once.
     """
-    scores = hits.groupBy(*keys).agg(F.map_from_entries(
-        F.collect_list(F.struct("uid", "score"))).alias("_scores"))
-    joined = predictions.join(scores, keys, "left")
-    found = [F.col("_scores")[F.col("ref_uid")]]
+    scores = hits.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "uid", "score"))).alias("_scores")
+    )
+
+    def score_of(uid: str) -> Column:
+        same = F.filter("_scores", lambda s: s["uid"] == F.col(uid))
+        return F.try_element_at(same, F.lit(-1))["score"]
+
+    found = [score_of("ref_uid")]
     if not as_coded:
-        found.append(F.col("_scores")[F.col("input_uid")])
+        found.append(score_of("input_uid"))
+    joined = predictions.join(scores, keys, "left")
     return joined.withColumn("similarity_score", F.coalesce(*found, F.lit(0.0))).drop("_scores")
 
 
