@@ -55,7 +55,6 @@ def _by_grams(texts: DataFrame, blacklist: DataFrame, text: str, key: str) -> Da
         "_gram", F.substring("entry", 1, GRAM)
     )
     # Entries shorter than a gram are their own key, so texts are also cut at those lengths.
-    lengths = F.sequence(F.lit(0), F.lit(GRAM))
     used = entries.agg(F.collect_set(F.length("_gram"))).scalar()
     size = F.length(text)
 
@@ -63,9 +62,9 @@ def _by_grams(texts: DataFrame, blacklist: DataFrame, text: str, key: str) -> Da
         at = F.when(n == 0, F.array(F.lit(1))).when(n <= size, F.sequence(F.lit(1), size - n + 1))
         return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.substring(F.col(text), i, n))
 
-    wanted = F.filter(lengths, lambda n: F.array_contains(used, n))
-    grams = F.array_distinct(F.flatten(F.transform(wanted, cuts)))
-    pairs = texts.select(key, F.explode(grams).alias("_gram")).join(
+    grams = F.array_distinct(F.flatten(F.transform("_used", cuts)))
+    cut = texts.select(key, text, used.alias("_used"))
+    pairs = cut.select(key, F.explode(grams).alias("_gram")).join(
         entries, "_gram").select(key, "entry")
     return texts.join(pairs, key).where(F.col(text).contains(F.col("entry")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -61,6 +62,7 @@ def match(
     dedupe: bool = False,
     as_coded: bool = False,
     max_parallel_calls: int | None = None,
+    sleep: Callable[[int], None] = models.wait,
     collection_path: str | None = None,
     seq: int = 0,
 ) -> MatchResult:
@@ -96,10 +98,10 @@ def match(
         described, QUERY, ["root_uid", "cof_threshold", "llm_name"], header_fn=header_fn, counter=counter
     )
     asked = prompts.where(F.col("status") == "ok").drop("header")
-    answers = stage(
-        models.generate(asked, generators, default=default_model, max_parallel_calls=max_parallel_calls).drop("prompt"),
-        "answers",
+    answered = models.generate(
+        asked, generators, default=default_model, max_parallel_calls=max_parallel_calls, sleep=sleep
     )
+    answers = stage(answered.drop("prompt"), "answers")
 
     head = [*QUERY, "root_uid", "model_used", "used_k", "cof_threshold"]
     parsed = predictions.parse_output(answers.select(*head, "raw_output"))
