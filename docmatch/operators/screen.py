@@ -1,7 +1,7 @@
 """Blacklist screening: which entries occur in which texts, as plain case-sensitive substrings.
 
 ``automaton``  the list fits a bound: one pass per text with an Aho-Corasick automaton per task
-``grams``      any list: texts meet entries by equal first characters, then the match is verified
+``grams``      any list: texts meet entries by equal hashed grams, then the match is verified
 """
 
 from __future__ import annotations
@@ -9,13 +9,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmatch.sources.staging import stage
+
 MAX_AUTOMATON_ENTRIES = 50_000
 MAX_AUTOMATON_CHARS = 5_000_000
-GRAM = 12
+GRAM = 16
+WINDOW = 16
+KEYED_BYTES = GRAM + WINDOW - 1
+MAX_SHARED_KEYS = 4_000_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _bounded_entries(blacklist: DataFrame) -> list[str] | None:
@@ -50,23 +58,70 @@ def _by_automaton(texts: DataFrame, entries: list[str], text: str) -> DataFrame:
     return marked.withColumn("entry", F.explode("entry"))
 
 
+def _window_minima(text: bytes) -> np.ndarray:
+    """Distinct minima of gram hashes over every window of ``WINDOW`` grams (winnowing).
+
+    Wherever a string of ``KEYED_BYTES`` or more occurs, its windows occur with it, so each of its
+    minima is among those of the surrounding text.
+    """
+    raw = np.frombuffer(text, dtype=np.uint8)
+    if len(raw) < KEYED_BYTES:
+        return np.empty(0, dtype=np.int64)
+    h = np.zeros(len(raw) - GRAM + 1, dtype=np.uint64)
+    for i in range(GRAM):
+        h = h * _FACTOR + raw[i:i + len(h)]
+    h ^= h >> np.uint64(31)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    span = 1
+    while span < WINDOW:
+        h = np.minimum(h[:-span], h[span:])
+        span *= 2
+    return np.unique(h).view(np.int64)
+
+
+def _minima_column(text: str, wanted: np.ndarray | None = None, spark=None) -> Column:
+    """``array<bigint>`` of window minima, only those in the sorted ``wanted`` if given."""
+    shared = spark.sparkContext.broadcast(wanted) if wanted is not None else None
+
+    @F.arrow_udf("array<bigint>")
+    def minima(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [_window_minima(t.encode("utf-8")) if t else np.empty(0, np.int64) for t in batch.to_pylist()]
+            if shared is not None:
+                rows = [r[np.isin(r, shared.value, assume_unique=True)] for r in rows]
+            yield pa.array(rows, pa.list_(pa.int64()))
+
+    return minima.asNondeterministic()(text)
+
+
 def _by_grams(texts: DataFrame, blacklist: DataFrame, text: str, key: str) -> DataFrame:
-    entries = blacklist.select("entry").where(F.col("entry").isNotNull()).distinct().withColumn(
-        "_gram", F.substring("entry", 1, GRAM)
-    )
-    # Entries shorter than a gram are their own key, so texts are also cut at those lengths.
-    used = entries.agg(F.collect_set(F.length("_gram"))).scalar()
-    size = F.length(text)
-
-    def cuts(n):
-        at = F.when(n == 0, F.array(F.lit(1))).when(n <= size, F.sequence(F.lit(1), size - n + 1))
-        return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.substring(F.col(text), i, n))
-
-    grams = F.array_distinct(F.flatten(F.transform("_used", cuts)))
-    cut = texts.select(key, text, used.alias("_used"))
-    pairs = cut.select(key, F.explode(grams).alias("_gram")).join(
-        entries, "_gram").select(key, "entry")
-    return texts.join(pairs, key).where(F.col(text).contains(F.col("entry")))
+    spark = texts.sparkSession
+    entries = blacklist.select("entry").where(F.col("entry").isNotNull()).distinct()
+    size = F.octet_length("entry")
+
+    # Each long entry is found by its rarest minimum, so entries with a common part do not share a key.
+    minima = entries.where(size >= KEYED_BYTES).select("entry", F.explode(_minima_column("entry")).alias("_gram"))
+    shared_by = minima.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = minima.join(shared_by, "_gram").groupBy("entry").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    keyed = stage(keyed, "blacklist-keys")
+
+    grams = keyed.select("_gram").distinct()
+    wanted = None
+    if grams.count() <= MAX_SHARED_KEYS:
+        wanted = np.sort(grams.toPandas()["_gram"].to_numpy(dtype=np.int64))
+    at = texts.select(key, F.explode(_minima_column(text, wanted, spark)).alias("_gram"))
+    pairs = at.join(keyed, "_gram").select(key, "entry")
+    found = texts.join(pairs, key).where(F.col(text).contains(F.col("entry")))
+
+    # Short entries have no full window; they go through automata of bounded size, one pass each.
+    short = entries.where(size < KEYED_BYTES)
+    slices = -(-short.count() // MAX_AUTOMATON_ENTRIES)
+    for n in range(slices):
+        part = short.where(F.pmod(F.xxhash64("entry"), F.lit(slices)) == n)
+        rows = [r["entry"] for r in part.toLocalIterator()]
+        found = found.unionByName(_by_automaton(texts, rows, text))
+    return found
 
 
 def hits(

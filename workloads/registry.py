@@ -10,6 +10,9 @@ from docmatch import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Tables whose rows carry texts or vectors, so that work per row is large.
+SPREAD = ("documents", "conversations", "embeddings")
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,4 +31,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A file with fewer splits than there are cores is dealt out to all of them; at
+    scale there are more splits than cores and nothing moves.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
