@@ -37,7 +37,8 @@ STRATEGIES = ("auto", "points", "queries", "grid", "lsh")
 def payload_filter(points: DataFrame, filters: dict[str, object]) -> Column:
     """Conjunction of equalities over columns, or over ``extra`` for other keys.
 
-    A key that a point does not have never matches.
+    A key that a point does not have gives NULL or false and never matches. Plain comparisons let the
+    scan prune folders and row groups.
     """
     condition = F.lit(True)
     for key, value in filters.items():
@@ -47,7 +48,7 @@ def payload_filter(points: DataFrame, filters: dict[str, object]) -> Column:
             test = F.col("extra")[key] == F.lit(str(value))
         else:
             test = F.lit(False)
-        condition = condition & F.coalesce(test, F.lit(False))
+        condition = condition & test
     return condition
 
 

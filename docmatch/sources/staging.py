@@ -16,14 +16,14 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 def stage_root(spark: SparkSession) -> str:
     """Shared folder named by the session; a local session without one gets a new folder."""
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="docmatch-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="docmatch-"))
+    return context.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
