@@ -11,25 +11,23 @@ TokenCounter = Callable[[Column], Column]
 FENCE = "```"
 
 
+_BLANK = r"[\s\x1c-\x1f]+"
+
+
 def strip(text: Column) -> Column:
     """Remove all Unicode white space at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{_BLANK}|{_BLANK}\z", "")
 
 
 def strip_fence(text: Column) -> Column:
     """Take a code fence off a model answer.
 
-    An opening fence goes together with the rest of its line; a closing fence goes together with
-    everything behind it. An opening fence without a line break leaves nothing.
+    An opening fence goes together with the rest of its line; a closing fence goes from the end. An
+    opening fence without a line break leaves nothing. Each step reads the one before it once, so the
+    plan holds every pattern once.
     """
-    body = strip(text)
-    line_end = F.instr(body, "\n")
-    opened = F.when(line_end == 0, F.lit("")).otherwise(
-        strip(F.substring(body, line_end + 1, F.length(body)))
-    )
-    body = F.when(body.startswith(FENCE), opened).otherwise(body)
-    before_last = strip(F.substring(body, F.lit(1), F.length(body) - len(FENCE)))
-    return F.when(body.endswith(FENCE), before_last).otherwise(body)
+    opened = F.regexp_replace(strip(text), rf"^{FENCE}[^\n]*(?:\n|\z)", "")
+    return strip(F.regexp_replace(strip(opened), rf"{FENCE}\z", ""))
 
 
 def chunks(text: Column, size: int | Column) -> Column:

@@ -84,7 +84,14 @@ def updates(rows: DataFrame, fn: EmbedFn, seq: int | Column) -> DataFrame:
     return upserts(embed(points, fn), seq)
 
 
-def append_log(log_rows: DataFrame, path: str) -> None:
+def append_log(log_rows: DataFrame, path: str, few_files: bool = False) -> None:
+    """Append log rows in place, each task writing its own share without a shuffle.
+
+    With ``few_files`` rows are rebalanced by folder first: for inputs whose projects are mixed, where
+    every task would otherwise write a file into every folder. A large project still splits by size.
+    """
+    if few_files:
+        log_rows = log_rows.hint("rebalance", *LOG_PARTITIONS)
     log_rows.write.mode("append").partitionBy(*LOG_PARTITIONS).parquet(path)
 
 
@@ -146,16 +153,18 @@ def counts(points: DataFrame) -> DataFrame:
     )
 
 
-def ingest(rows: DataFrame, path: str, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool = False) -> None:
+def ingest(
+    rows: DataFrame, path: str, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool = False, few_files: bool = False
+) -> None:
     """Embed text rows and append them in one pass.
 
     Rows without a uid or text, or with a vector of the wrong size, go to the log as ``reject`` rows:
-    they are kept for inspection and never searched.
+    they are kept for inspection and never searched. See ``append_log`` for ``few_files``.
     """
     points = embed(prepare_points(rows), fn, dedupe=dedupe)
     good = F.col("uid").isNotNull() & F.col("text").isNotNull() & (F.coalesce(F.size("vector"), F.lit(0)) == dim)
     log = points.withColumns({"seq": F.lit(seq).cast("long"), "op": F.when(good, "upsert").otherwise("reject")})
-    append_log(log.select(*LOG_SCHEMA.names), path)
+    append_log(log.select(*LOG_SCHEMA.names), path, few_files)
 
 
 def rejects(log: DataFrame) -> DataFrame:

@@ -54,52 +54,60 @@ def rank_candidates(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.withColumn("cand_no", F.row_number().over(w))
 
 
+def with_header(
+    queries: DataFrame, *, leg: str = "leg", query_text: str = "query_text",
+    header_fn: HeaderFn = header, counter: TokenCounter = count_chars,
+) -> DataFrame:
+    """Add ``header`` and its token count, line break included, to one row per query."""
+    headed = queries.withColumn("header", header_fn(F.col(leg), F.col(query_text)))
+    return headed.withColumn("header_tokens", counter(F.col("header")) + counter(F.lit("\n")))
+
+
 def budget(
-    candidates: DataFrame, keys: list[str], *, header: str = "header", line: str = "line",
-    max_tokens: str | Column = "max_prompt_tokens", counter: TokenCounter = count_chars,
+    candidates: DataFrame, keys: list[str], *, line: str = "line", max_tokens: str = "max_prompt_tokens",
+    counter: TokenCounter = count_chars,
 ) -> DataFrame:
-    """Running token use and whether each candidate still fits.
+    """Running token use and whether each candidate still fits, given ``header_tokens``.
 
     Lines cost at least one token, so the lines that fit by running sum are the longest prefix.
     """
-    limit = F.col(max_tokens) if isinstance(max_tokens, str) else max_tokens
     w = Window.partitionBy(*keys).orderBy("cand_no").rowsBetween(Window.unboundedPreceding, 0)
-    head = counter(F.col(header)) + counter(F.lit("\n"))
-    return candidates.withColumns({
-        "header_tokens": head,
-        "used_tokens": head + F.sum(counter(F.col(line))).over(w),
-    }).withColumn("fits", (F.col("header_tokens") < limit) & (F.col("used_tokens") <= limit))
+    used = F.col("header_tokens") + F.sum(counter(F.col(line))).over(w)
+    fits = (F.col("header_tokens") < F.col(max_tokens)) & (F.col("used_tokens") <= F.col(max_tokens))
+    return candidates.withColumn("used_tokens", used).withColumn("fits", fits)
 
 
-def assemble(budgeted: DataFrame, keys: list[str], keep: list[str], *, max_tokens: str = "max_prompt_tokens") -> DataFrame:
-    """One row per query: ``prompt, used_k, prompt_tokens, status``; ``prompt`` is NULL unless ok.
+def assemble(budgeted: DataFrame, queries: DataFrame, keys: list[str], *, max_tokens: str = "max_prompt_tokens") -> DataFrame:
+    """``queries`` that have candidates, with ``prompt, used_k, prompt_tokens, status``.
 
-    ``keep`` names columns that are the same for all candidates of a query.
+    ``prompt`` is NULL unless the status is ok.
     """
     kept = F.sort_array(F.collect_list(F.when(F.col("fits"), F.struct("cand_no", "line"))))
-    one = budgeted.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in dict.fromkeys([*keep, "header", "header_tokens", max_tokens])],
-        kept.alias("_lines"),
-        F.max(F.when(F.col("fits"), F.col("used_tokens"))).alias("prompt_tokens"),
+    lists = budgeted.groupBy(*keys).agg(
+        kept.alias("_lines"), F.max(F.when(F.col("fits"), F.col("used_tokens"))).alias("prompt_tokens")
     )
     status = (
         F.when(F.col("header_tokens") >= F.col(max_tokens), "header_too_long")
         .when(F.size("_lines") == 0, "no_candidate_fits").otherwise("ok")
     )
     body = F.concat("header", F.array_join(F.col("_lines.line"), ""))
-    return one.withColumns({"used_k": F.size("_lines"), "status": status}).withColumn(
+    return queries.join(lists, keys).withColumns({"used_k": F.size("_lines"), "status": status}).withColumn(
         "prompt", F.when(F.col("status") == "ok", body)
-    ).drop("_lines")
+    ).drop("_lines", "header")
 
 
 def build_prompts(
-    hits: DataFrame, keys: list[str], keep: list[str], *, leg: str = "leg", query_text: str = "query_text",
-    header_fn: HeaderFn = header, counter: TokenCounter = count_chars,
+    candidates: DataFrame, queries: DataFrame, keys: list[str], *, max_tokens: str = "max_prompt_tokens",
+    leg: str = "leg", query_text: str = "query_text", header_fn: HeaderFn = header, counter: TokenCounter = count_chars,
 ) -> DataFrame:
-    """Hits with payload and resolved scenario columns to prompts."""
-    ranked = rank_candidates(hits, keys)
-    lines = ranked.withColumns({
-        "header": header_fn(F.col(leg), F.col(query_text)),
-        "line": candidate_line(F.col("cand_no"), F.col("uid"), F.col("score"), F.col("text")),
-    })
-    return assemble(budget(lines, keys, counter=counter), keys, keep)
+    """Hits with their texts, and one row per query with its text and scenario columns, to prompts.
+
+    Candidates meet only the two token numbers of their query; its text joins once, at the end, and
+    every step is keyed alike.
+    """
+    headed = with_header(queries, leg=leg, query_text=query_text, header_fn=header_fn, counter=counter)
+    limits = headed.select(*keys, "header_tokens", max_tokens)
+    lines = rank_candidates(candidates.join(limits, keys), keys).withColumn(
+        "line", candidate_line(F.col("cand_no"), F.col("uid"), F.col("score"), F.col("text"))
+    )
+    return assemble(budget(lines, keys, max_tokens=max_tokens, counter=counter), headed, keys, max_tokens=max_tokens)

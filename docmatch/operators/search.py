@@ -105,6 +105,8 @@ def _hits(q: pa.Table, p: pa.Table, qcols: list[str], pcol: str, qv: str, pv: st
     columns = {name: q[name].take(pa.array(r)) for name in qcols}
     columns[pcol] = p[pcol].take(pa.array(c))
     columns["score"] = pa.array(s, pa.float64())
+    # Rows come query by query, so a rank is the distance from the query's first row.
+    columns["rank"] = pa.array(np.arange(len(r)) - np.searchsorted(r, r) + 1, pa.int32())
     return pa.table(columns)
 
 
@@ -135,7 +137,7 @@ class _Join:
         self.qcols = [*self.scope, query_key]
         self.schema = T.StructType(
             [self.q.schema[c] for c in self.qcols]
-            + [self.p.schema[point_key], T.StructField("score", T.DoubleType())]
+            + [self.p.schema[point_key], T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]
         )
 
     def ranked(self, hits: DataFrame) -> DataFrame:
@@ -171,8 +173,8 @@ def _broadcast_points(j: _Join, max_bytes: int) -> DataFrame:
                 if key in groups:
                     yield from _hits(rows, groups[key], qcols, pkey, qv, pv, k).to_batches()
 
-    # Every query meets all points in one task, so the kernel's lists are final.
-    return j.ranked(j.q.mapInArrow(search, j.schema))
+    # Every query meets all points in one task, so the kernel's ranks are final.
+    return j.q.mapInArrow(search, j.schema)
 
 
 def _broadcast_queries(j: _Join, max_bytes: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmatch.functions import variants as vr
+from docmatch.sources.trees import parse
 
 MAX_DEPTH = 5
 
@@ -127,10 +128,10 @@ def is_valid(tree: Column, max_depth: int = MAX_DEPTH) -> Column:
 
 
 def split_valid(trees: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Trees without and trees with violations."""
-    tree = F.col("tree") if "tree" in trees.columns else F.try_parse_json("raw")
-    valid = is_valid(tree, max_depth)
-    return trees.where(valid), trees.where(~valid)
+    """Trees without and trees with violations, both parsed (column ``tree``)."""
+    parsed = trees if "tree" in trees.columns else parse(trees)
+    valid = is_valid(F.col("tree"), max_depth)
+    return parsed.where(valid), parsed.where(~valid)
 
 
 def scenario_violations(scenarios: DataFrame) -> DataFrame:

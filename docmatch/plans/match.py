@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,19 +34,24 @@ def text_rows(trees: DataFrame, side: str, depth: int, chunk_size: int) -> DataF
     return hierarchy.chunk(hierarchy.flatten(trees.where(F.col("side") == side), depth), chunk_size)
 
 
-def _search(points: DataFrame, leg: str, scenario: Scenario, strategy: str) -> DataFrame:
-    """Hits of one leg with the payload of both ends."""
-    searched, asking = ("input", "reference") if leg == "reverse" else ("reference", "input")
-    target = points.where(F.col("side") == searched)
-    queries = points.where(F.col("side") == asking).select(
-        F.col("project_id").alias("project_id"), F.col("uid").alias("query_uid"),
-        F.col("vector").alias("vector"), F.col("text").alias("query_text"),
-        F.col("group_uid").alias("root_uid"),
+def _sides(leg: str) -> tuple[str, str]:
+    """The side that asks and the side that is searched."""
+    return ("reference", "input") if leg == "reverse" else ("input", "reference")
+
+
+def _queries(points: DataFrame, leg: str) -> DataFrame:
+    return points.where(F.col("side") == _sides(leg)[0]).select(
+        F.lit(leg).alias("leg"), F.col("project_id").alias("project_id"), F.col("uid").alias("query_uid"),
+        F.col("vector").alias("vector"), F.col("text").alias("query_text"), F.col("group_uid").alias("root_uid"),
     )
-    scope = ["project_id"]
-    hits = search.knn(queries, target, scenario.k(leg), scope=scope, strategy=strategy)
-    hits = search.with_payload(hits, target, ["text"], scope=scope)
-    return hits.join(queries.drop("vector"), ["project_id", "query_uid"]).withColumn("leg", F.lit(leg))
+
+
+def _searched(points: DataFrame, leg: str) -> DataFrame:
+    return points.where(F.col("side") == _sides(leg)[1])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def match(
@@ -73,7 +79,7 @@ def match(
     """
     spark = trees.sparkSession
     path = collection_path or new_path(spark, "collection")
-    valid, rejected = validate.split_valid(trees.withColumn("tree", F.try_parse_json("raw")).drop("raw"))
+    valid, rejected = validate.split_valid(trees)
 
     rows = text_rows(valid, "input", scenario.input_depth, scenario.chunk_size).unionByName(
         text_rows(valid, "reference", scenario.reference_depth, scenario.chunk_size)
@@ -81,11 +87,19 @@ def match(
     col.ingest(rows, path, embed_fn, seq, dim=dim, dedupe=dedupe)
     points = stage(col.current(col.read_log(spark, path)), "points")
 
-    legs = [_search(points, leg, scenario, strategy) for leg in scenario.legs()]
-    hits = legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1])
-    hits = stage(hits, "hits")
-
-    described = hits.withColumns({
+    # Hits stay narrow; the texts of both ends join where prompts are made.
+    legs = scenario.legs()
+    hits = stage(_union([
+        search.knn(
+            _queries(points, leg), _searched(points, leg), scenario.k(leg), scope=["project_id"], strategy=strategy
+        ).withColumn("leg", F.lit(leg))
+        for leg in legs
+    ]), "hits")
+    candidates = _union([
+        search.with_payload(hits.where(F.col("leg") == leg), _searched(points, leg), ["text"], scope=["project_id"])
+        for leg in legs
+    ])
+    queries = _union([_queries(points, leg).drop("vector") for leg in legs]).withColumns({
         "role_desc": F.lit(scenario.role_desc),
         "reference_desc": F.lit(scenario.reference_desc),
         "input_desc": F.lit(scenario.input_desc),
@@ -94,10 +108,10 @@ def match(
         "max_prompt_tokens": F.lit(scenario.max_prompt_tokens),
         "llm_name": F.lit(scenario.llm_name).cast("string"),
     })
-    prompts = prompt.build_prompts(
-        described, QUERY, ["root_uid", "cof_threshold", "llm_name"], header_fn=header_fn, counter=counter
+    prompts = prompt.build_prompts(candidates, queries, QUERY, header_fn=header_fn, counter=counter)
+    asked = prompts.where(F.col("status") == "ok").select(
+        *QUERY, "root_uid", "cof_threshold", "llm_name", "used_k", "prompt_tokens", "prompt"
     )
-    asked = prompts.where(F.col("status") == "ok").drop("header")
     answered = models.generate(
         asked, generators, default=default_model, max_parallel_calls=max_parallel_calls, sleep=sleep
     )

@@ -34,10 +34,21 @@ def read_trees(spark: SparkSession, path: str, side: str, layout: str = "lines")
     return text.select(doc_id.alias("doc_id"), F.lit(side).alias("side"), F.col("value").alias("raw"))
 
 
+def parse(trees: DataFrame) -> DataFrame:
+    """Replace ``raw`` by the parsed ``tree``, NULL where it is not JSON.
+
+    As the output of a generator the tree is made once per row; as a plain expression the optimizer
+    would copy the parsing into every later test of it.
+    """
+    rest = [c for c in trees.columns if c != "raw"]
+    return trees.select(*rest, F.explode(F.array(F.try_parse_json("raw"))).alias("tree"))
+
+
 def split_parsable(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed trees (column ``tree``) and the rows whose text is not JSON."""
-    parsed = trees.withColumn("tree", F.try_parse_json("raw"))
-    return parsed.where("tree IS NOT NULL"), parsed.where("tree IS NULL").drop("tree")
+    parsed = parse(trees.withColumn("_raw", F.col("raw")))
+    good = parsed.where("tree IS NOT NULL").drop("_raw")
+    return good, parsed.where("tree IS NULL").drop("tree").withColumnRenamed("_raw", "raw")
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -69,5 +80,9 @@ def request_trees(requests: DataFrame) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
-    """Write results in one folder per project; a large project is spread over many files."""
-    results.write.mode(mode).partitionBy("project_id").format(fmt).save(path)
+    """Write results in one folder per project.
+
+    Rebalancing by project first keeps the number of files low; a large project still splits by size
+    over many tasks and files.
+    """
+    results.hint("rebalance", "project_id").write.mode(mode).partitionBy("project_id").format(fmt).save(path)

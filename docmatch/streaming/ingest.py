@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docmatch.operators import collection as col
@@ -21,10 +20,9 @@ def start_ingest(
     replayed after a failure adds equal rows that resolve to the same state.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
-        parsed = batch.withColumn("tree", F.try_parse_json("raw")).drop("raw")
-        valid, _ = validate.split_valid(parsed)
+        valid, _ = validate.split_valid(batch)
         rows = hierarchy.chunk(hierarchy.flatten(valid, depth), chunk_size)
-        col.ingest(rows, path, fn, batch_id, dim=dim)
+        col.ingest(rows, path, fn, batch_id, dim=dim, few_files=True)
 
     writer = trees.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -9,10 +9,13 @@ KEYS = ["q"]
 
 
 def candidates(spark, *items, header="h" * 10, limit=100):
-    rows = [("q", u, s, r, t, header, limit) for r, (u, s, t) in enumerate(items, 1)]
-    df = spark.createDataFrame(rows, "q string, uid string, score double, rank int, text string, header string, max_prompt_tokens int")
+    rows = [("q", u, s, r, t, len(header) + 1, limit) for r, (u, s, t) in enumerate(items, 1)]
+    df = spark.createDataFrame(
+        rows, "q string, uid string, score double, rank int, text string, header_tokens int, max_prompt_tokens int")
+    queries = spark.createDataFrame(
+        [("q", header, len(header) + 1, limit)], "q string, header string, header_tokens int, max_prompt_tokens int")
     lines = prompt.rank_candidates(df, KEYS).withColumn("line", F.col("text"))
-    return prompt.assemble(prompt.budget(lines, KEYS), KEYS, []).first()
+    return prompt.assemble(prompt.budget(lines, KEYS), queries, KEYS).first()
 
 
 A, B, C = ("a", 0.9, "a" * 20), ("b", 0.8, "b" * 30), ("c", 0.7, "c" * 5)
@@ -43,9 +46,9 @@ def test_candidate_line_and_word_counter(spark):
 
 
 def test_prompt_uses_the_callers_header_and_counter(spark):
-    df = spark.createDataFrame([("q", "u", 1.0, 1, "one two three", "forward", "ask", 8)],
-                               "q string, uid string, score double, rank int, text string, leg string, query_text string, max_prompt_tokens int")
-    r = prompt.build_prompts(df, KEYS, ["leg"], header_fn=lambda leg, text: F.concat(leg, F.lit(": "), text, F.lit("\n")),
+    df = spark.createDataFrame([("q", "u", 1.0, 1, "one two three")], "q string, uid string, score double, rank int, text string")
+    queries = spark.createDataFrame([("q", "forward", "ask", 8)], "q string, leg string, query_text string, max_prompt_tokens int")
+    r = prompt.build_prompts(df, queries, KEYS, header_fn=lambda leg, text: F.concat(leg, F.lit(": "), text, F.lit("\n")),
                              counter=tx.count_words).first()
     assert r.prompt.startswith("forward: ask\n[Cand#1]") and (r.prompt_tokens, r.used_k) == (8, 1)
 

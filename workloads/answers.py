@@ -58,28 +58,26 @@ asked AS (SELECT hits.*, coalesce(d.text, '') AS query_text FROM hits LEFT JOIN
 {prompts_sql('asked', 'forward', MAX_TOKENS)}"""
 
 
-def hits_with_texts(spark, sf_dir) -> DataFrame:
-    queries, points = query_points(spark, sf_dir), reference_points(spark, sf_dir)
-    hits = search.with_payload(search.knn(queries, points, K), points, ["text"])
-    asked = queries.select("query_uid", "label", F.coalesce("query_text", F.lit("")).alias("query_text"))
-    return with_scenario(hits.join(asked, "query_uid").withColumn("leg", F.lit("forward")))
+def asked_queries(spark, sf_dir) -> DataFrame:
+    queries = query_points(spark, sf_dir).select("query_uid", F.coalesce("query_text", F.lit("")).alias("query_text"))
+    return with_scenario(queries.withColumn("leg", F.lit("forward")))
 
 
-def _budgeted(spark, sf_dir) -> DataFrame:
-    lines = prompt.rank_candidates(hits_with_texts(spark, sf_dir), KEYS).withColumns({
-        "header": prompt.header(F.col("leg"), F.col("query_text")),
-        "line": prompt.candidate_line(F.col("cand_no"), F.col("uid"), F.col("score"), F.col("text")),
-    })
-    return prompt.budget(lines, KEYS)
+def candidates(spark, sf_dir) -> DataFrame:
+    points = reference_points(spark, sf_dir)
+    return search.with_payload(search.knn(query_points(spark, sf_dir), points, K), points, ["text"])
 
 
 @query("token_budget", _HITS + "SELECT query_uid, uid, rank AS cand_no, used_tokens::BIGINT AS used_tokens, fits FROM fit")
 def token_budget(spark, sf_dir):
-    return _budgeted(spark, sf_dir).select("query_uid", "uid", "cand_no", F.col("used_tokens").cast("long"), "fits")
+    headed = prompt.with_header(asked_queries(spark, sf_dir)).select("query_uid", "header_tokens", "max_prompt_tokens")
+    lines = prompt.rank_candidates(candidates(spark, sf_dir).join(headed, KEYS), KEYS).withColumn(
+        "line", prompt.candidate_line(F.col("cand_no"), F.col("uid"), F.col("score"), F.col("text")))
+    return prompt.budget(lines, KEYS).select("query_uid", "uid", "cand_no", F.col("used_tokens").cast("long"), "fits")
 
 
 def _prompts(spark, sf_dir) -> DataFrame:
-    return prompt.build_prompts(hits_with_texts(spark, sf_dir), KEYS, [])
+    return prompt.build_prompts(candidates(spark, sf_dir), asked_queries(spark, sf_dir), KEYS)
 
 
 @query("used_k", _HITS + "SELECT query_uid, used_k::INT AS used_k FROM prompts")
