@@ -15,6 +15,7 @@ into blocks by a hash of the row key, so a hot one spreads over many tasks. Ties
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmatch.sources.staging import stage
+
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
-TILE_CELLS = 4 << 20
+CELL_PRODUCTS = 1 << 35
+QUERY_ROWS = 16_384
+TILE_CELLS = 2 << 20
+BUCKET_ROWS = 4096
+GROUP = 32
 
 STRATEGIES = ("auto", "points", "queries", "grid", "lsh")
 
@@ -67,25 +74,60 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     return m, np.sqrt(np.einsum("ij,ij->i", m, m))
 
 
-def _best(q: np.ndarray, qn: np.ndarray, p: np.ndarray, pn: np.ndarray, k: int):
-    """Top ``k`` columns per row as (row, column, score); equal scores keep column order."""
+class _Block:
+    """Rows of one side with their vectors as matrices: double precision, lengths, and unit rows."""
+
+    def __init__(self, table: pa.Table, vector: str):
+        self.table = table
+        self.m, self.lengths = _matrix(table[vector])
+        scale = np.divide(1.0, self.lengths, out=np.zeros_like(self.lengths), where=self.lengths > 0)
+        self.unit = (self.m * scale[:, None]).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.m)
+
+
+def _exact(q: _Block, p: _Block, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (r, c) in double precision."""
+    dots = np.empty(len(r))
+    step = max(1, TILE_CELLS // max(1, q.m.shape[1]))
+    for i in range(0, len(r), step):
+        part = slice(i, i + step)
+        dots[part] = np.einsum("ij,ij->i", q.m[r[part]], p.m[c[part]])
+    lengths = q.lengths[r] * p.lengths[c]
+    return np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
+
+
+def _best(q: _Block, p: _Block, k: int):
+    """Top ``k`` points per query as (query row, point row, score); equal scores keep point order.
+
+    A product of unit vectors in single precision only picks candidates: everything within twice its
+    largest rounding error of a lower bound for the k-th score. Those are scored in double precision.
+    """
+    n = len(p)
+    if not n or not len(q):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+    slack = 2 * (q.m.shape[1] + 8) * np.finfo(np.float32).eps
+    groups = n // GROUP
+    tile = max(1, TILE_CELLS // n)
     out = []
-    tile = max(1, TILE_CELLS // max(1, len(p)))
     for start in range(0, len(q), tile):
-        lengths = np.outer(qn[start:start + tile], pn)
-        dots = q[start:start + tile] @ p.T
-        scores = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
-        if scores.shape[1] > k:
-            cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-            r, c = np.nonzero(scores >= cut[:, None])
+        near = q.unit[start:start + tile] @ p.unit.T
+        if groups >= 4 * k:
+            # The k-th largest of disjoint groups' maxima is at most the k-th largest value.
+            tops = near[:, :GROUP * groups].reshape(len(near), GROUP, groups).max(axis=1)
+            cut = np.partition(tops, groups - k, axis=1)[:, groups - k]
+        elif n > k:
+            cut = np.partition(near, n - k, axis=1)[:, n - k]
         else:
-            r, c = np.nonzero(np.ones_like(scores, dtype=bool))
-        s = scores[r, c]
+            cut = np.full(len(near), -np.inf, dtype=np.float32)
+        r, c = np.nonzero(near >= (cut - slack)[:, None])
+        r += start
+        s = _exact(q, p, r, c)
         order = np.lexsort((c, -s, r))
         r, c, s = r[order], c[order], s[order]
-        first = np.searchsorted(r, np.arange(scores.shape[0]))
-        keep = np.arange(len(r)) - first[r] < k
-        out.append((r[keep] + start, c[keep], s[keep]))
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((r[keep], c[keep], s[keep]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -93,23 +135,32 @@ def _in_key_order(table: pa.Table, key: str) -> pa.Table:
     return table.take(pc.sort_indices(table[key]))
 
 
-def _hits(q: pa.Table, p: pa.Table, qcols: list[str], pcol: str, qv: str, pv: str, k: int) -> pa.Table:
-    """Kernel on two Arrow tables; ``p`` must be in key order."""
-    qm, qn = _matrix(q[qv])
-    pm, pn = _matrix(p[pv])
-    if not len(qm) or not len(pm):
-        r = c = np.empty(0, dtype=np.int64)
-        s = np.empty(0)
-    else:
-        r, c, s = _best(qm, qn, pm, pn, k)
+def _as_hits(q: pa.Table, qcols: list[str], pcol: str, r: np.ndarray, keys: pa.Array, s: np.ndarray) -> pa.Table:
+    """Hit rows from query positions, point keys and scores, given query by query, best first."""
     columns = {name: q[name].take(pa.array(r)) for name in qcols}
-    columns[pcol] = p[pcol].take(pa.array(c))
+    columns[pcol] = keys
     columns["score"] = pa.array(s, pa.float64())
-    # Rows come query by query, so a rank is the distance from the query's first row.
+    # A rank is the distance from the query's first row.
     columns["rank"] = pa.array(np.arange(len(r)) - np.searchsorted(r, r) + 1, pa.int32())
     return pa.table(columns)
 
 
+def _hits(q: _Block, p: _Block, qcols: list[str], pcol: str, k: int) -> pa.Table:
+    """Kernel result as rows; the points must be in key order."""
+    r, c, s = _best(q, p, k)
+    return _as_hits(q.table, qcols, pcol, r, p.table[pcol].take(pa.array(c)), s)
+
+
+def _merge(old: pa.Table | None, new: pa.Table, k: int) -> pa.Table:
+    """Top ``k`` per query position ``r`` of two lists of ``(r, key, s)``."""
+    if old is None:
+        return new
+    both = pa.concat_tables([old, new])
+    both = both.take(pc.sort_indices(both, [("r", "ascending"), ("s", "descending"), ("key", "ascending")]))
+    r = both["r"].to_numpy()
+    return both.filter(pa.array(np.arange(len(r)) - np.searchsorted(r, r) < k))
+
+
 def _by_scope(table: pa.Table, scope: list[str]) -> dict[tuple, pa.Table]:
     """Split a bounded table by scope values."""
     if not scope:
@@ -146,12 +197,13 @@ class _Join:
         return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
 
 
-def _rows_within(side: DataFrame, vector: str, max_bytes: int) -> bool:
-    """Proof that a side fits: its row count times the size of its vectors."""
+def _rows_within(side: DataFrame, vector: str, max_bytes: int, max_rows: int | None = None) -> bool:
+    """Proof that a side fits: its row count, and that times the size of its vectors."""
     first = side.select(F.size(vector)).head()
     if first is None:
         return True
-    return side.count() * (4 * max(first[0], 1) + 64) <= max_bytes
+    rows = side.count()
+    return rows * (4 * max(first[0], 1) + 64) <= max_bytes and (max_rows is None or rows <= max_rows)
 
 
 def _collect_bounded(side: DataFrame, key: str, max_bytes: int) -> pa.Table:
@@ -167,11 +219,11 @@ def _broadcast_points(j: _Join, max_bytes: int) -> DataFrame:
     qcols, pkey, qv, pv, k, scope = j.qcols, j.pkey, j.qv, j.pv, j.k, j.scope
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = _by_scope(small.value, scope)
-        for batch in batches:
-            for key, rows in _by_scope(pa.Table.from_batches([batch]), scope).items():
+        groups = {key: _Block(rows, pv) for key, rows in _by_scope(small.value, scope).items()}
+        for table in _tables(batches, BLOCK_BYTES):
+            for key, rows in _by_scope(table, scope).items():
                 if key in groups:
-                    yield from _hits(rows, groups[key], qcols, pkey, qv, pv, k).to_batches()
+                    yield from _hits(_Block(rows, qv), groups[key], qcols, pkey, k).to_batches(max_chunksize=10_000)
 
     # Every query meets all points in one task, so the kernel's ranks are final.
     return j.q.mapInArrow(search, j.schema)
@@ -183,20 +235,44 @@ def _broadcast_queries(j: _Join, max_bytes: int) -> DataFrame:
     qcols, pkey, qv, pv, k, scope = j.qcols, j.pkey, j.qv, j.pv, j.k, j.scope
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = _by_scope(small.value, scope)
-        for batch in batches:
-            for key, rows in _by_scope(pa.Table.from_batches([batch]), scope).items():
+        groups = {key: _Block(rows, qv) for key, rows in _by_scope(small.value, scope).items()}
+        best: dict[tuple, pa.Table] = {}
+        for table in _tables(batches, BLOCK_BYTES):
+            for key, rows in _by_scope(table, scope).items():
                 if key in groups:
                     rows = _in_key_order(rows, pkey)
-                    yield from _hits(groups[key], rows, qcols, pkey, qv, pv, k).to_batches()
+                    r, c, s = _best(groups[key], _Block(rows, pv), k)
+                    new = pa.table({"r": r, "key": rows[pkey].take(pa.array(c)), "s": s})
+                    best[key] = _merge(best.get(key), new, k)
+        # One list per query and task, however many points the task has read.
+        for key, top in best.items():
+            hits = _as_hits(groups[key].table, qcols, pkey, top["r"].to_numpy(), top["key"], top["s"].to_numpy())
+            yield from hits.to_batches(max_chunksize=10_000)
 
     return j.ranked(j.p.mapInArrow(search, j.schema))
 
 
+def _tables(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Join record batches into tables of about ``size`` bytes."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield pa.Table.from_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _block_counts(side: DataFrame, scope: list[str], vector: str, block_bytes: int, name: str) -> DataFrame:
-    """Blocks per scope, from its row count; a distributed count with map-side combining."""
-    bytes_ = F.count(F.lit(1)) * F.greatest(F.max(F.size(vector)), F.lit(1)) * 4
-    blocks = F.greatest(F.lit(1), F.ceil(bytes_ / block_bytes)).cast("int").alias(name)
+    """Blocks per scope, from its row count; a distributed count with map-side combining.
+
+    A block holds as many rows as keep both its bytes and the products of a pair of blocks bounded.
+    """
+    dim = F.greatest(F.max(F.size(vector)), F.lit(1))
+    rows = F.greatest(F.lit(1.0), F.least(F.sqrt(F.lit(float(CELL_PRODUCTS)) / dim), F.lit(block_bytes / 4) / dim))
+    blocks = F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name)
     return side.groupBy(*scope).agg(blocks).select(*[F.col(s).alias(s) for s in scope], name)
 
 
@@ -223,7 +299,7 @@ def _grid(j: _Join, block_bytes: int) -> DataFrame:
     qcols, pkey, qv, pv, k = j.qcols, j.pkey, j.qv, j.pv, j.k
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _hits(left, _in_key_order(right, pkey), qcols, pkey, qv, pv, k)
+        return _hits(_Block(left, qv), _Block(_in_key_order(right, pkey), pv), qcols, pkey, k)
 
     return q.groupBy(*cell).cogroup(p.groupBy(*cell)).applyInArrow(search, j.schema)
 
@@ -244,17 +320,21 @@ def _signatures(df: DataFrame, vector: str, dim: int, tables: int, bits: int, se
     return df.select("*", F.posexplode(sign.asNondeterministic()(vector)).alias("_table", "_code"))
 
 
-def _lsh(j: _Join, queries, points, block_bytes: int, tables: int, bits: int, seed: int) -> DataFrame:
+def _lsh(j: _Join, block_bytes: int, tables: int, bits: int | None, seed: int) -> DataFrame:
     first = j.p.select(F.size(j.pv)).head()
     dim = first[0] if first else 1
+    if bits is None:
+        # Buckets of some thousand points whatever the size of the collection.
+        bits = max(4, math.ceil(math.log2(max(1, j.p.count()) / BUCKET_ROWS)))
     scope = [*j.scope, "_table", "_code"]
     near = _Join(
         _signatures(j.q, j.qv, dim, tables, bits, seed), _signatures(j.p, j.pv, dim, tables, bits, seed),
         j.k, scope, j.qkey, j.pkey, j.qv, j.pv,
     )
-    # A pair found in several tables has the same exact score each time.
+    # A pair found in several tables has the same exact score each time. The narrow lists are read
+    # three times below, so they are stored.
     found = _grid(near, block_bytes).groupBy(*j.qcols, j.pkey).agg(F.max("score").alias("score"))
-    found = j.ranked(found)
+    found = stage(j.ranked(found), "lsh-hits")
     full = found.where(F.col("rank") == j.k).select(*j.qcols)
     short = j.q.join(full, j.qcols, "left_anti")
     exact = _Join(short, j.p, j.k, j.scope, j.qkey, j.pkey, j.qv, j.pv)
@@ -278,13 +358,14 @@ def knn(
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
     tables: int = 16,
-    bits: int = 4,
+    bits: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """Top ``k`` points per query as ``(scope…, query_key, point_key, score, rank)``.
 
-    Keys must be unique within a scope. Pass stored tables: ``auto`` counts both sides, and the grid
-    counts rows per scope. ``k_column`` names a per-query limit on ``queries``; ``k`` is then its
+    Keys must be unique within a scope. Pass stored tables: ``auto`` counts both sides, the grid counts
+    rows per scope, and ``lsh`` stores its lists. ``bits`` of a bucket follow from the number of points
+    unless given. ``k_column`` names a per-query limit on ``queries``; ``k`` is then its
     upper bound.
     """
     if k < 1:
@@ -297,7 +378,7 @@ def knn(
     if strategy == "auto":
         if _rows_within(j.p, j.pv, broadcast_bytes):
             strategy = "points"
-        elif _rows_within(j.q, j.qv, broadcast_bytes):
+        elif _rows_within(j.q, j.qv, broadcast_bytes, QUERY_ROWS):
             strategy = "queries"
         else:
             strategy = "grid"
@@ -308,7 +389,7 @@ def knn(
     elif strategy == "grid":
         hits = j.ranked(_grid(j, block_bytes))
     else:
-        hits = _lsh(j, queries, points, block_bytes, tables, bits, seed)
+        hits = _lsh(j, block_bytes, tables, bits, seed)
     if k_column:
         limits = queries.select(*j.qcols, F.greatest(F.lit(1), F.col(k_column)).alias("_k"))
         hits = hits.join(limits, j.qcols).where(F.col("rank") <= F.col("_k")).drop("_k")

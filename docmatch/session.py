@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from types import ModuleType
+
+import docmatch
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,8 +19,14 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session; safe to call repeatedly."""
+def configure(spark: SparkSession, *packages: ModuleType) -> SparkSession:
+    """Apply the run-time settings to a session; safe to call repeatedly.
+
+    Functions of this package, and of further ``packages`` with model functions, travel to the
+    executors by value, so nothing has to be installed there.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    for package in (docmatch, *packages):
+        cloudpickle.register_pickle_by_value(package)
     return spark

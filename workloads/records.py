@@ -71,19 +71,17 @@ def resolve_k(spark, sf_dir):
     return rows.withColumn("leg", F.explode(legs)).select("project_id", "leg", scenario.effective_k(F.col("leg")).alias("k"))
 
 
-# --- blacklist: first 60 characters of every benchmark passage, the even-length ones twice ---
+# --- blacklist: every benchmark passage, listed twice ---
 
 
 def blacklist(spark, sf_dir) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").withColumn("entry", F.substring("text", 1, 60))
-    first = b.select(F.col("item_id").alias("idx"), "entry")
-    again = b.where(F.length("text") % 2 == 0).select((F.col("item_id") + 1_000_000).alias("idx"), "entry")
-    return first.unionByName(again)
+    passages = table(spark, sf_dir, "benchmark")
+    twice = F.explode(F.array(F.col("item_id"), F.col("item_id") + 1_000_000_000))
+    return passages.select(twice.alias("idx"), F.col("text").alias("entry"))
 
 
 _FOUND = """
-WITH bl AS (SELECT item_id AS idx, substr(text, 1, 60) AS entry FROM benchmark
-  UNION ALL SELECT item_id + 1000000, substr(text, 1, 60) FROM benchmark WHERE length(text) % 2 = 0),
+WITH bl AS (SELECT item_id AS idx, text AS entry FROM benchmark UNION ALL SELECT item_id + 1000000000, text FROM benchmark),
 found AS (SELECT 'input-' || doc_id AS uid, idx, entry FROM documents, bl WHERE contains(text, entry))
 """
 

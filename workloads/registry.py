@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import workloads
 from docmatch import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +21,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(configure(spark, workloads), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
