@@ -21,7 +21,7 @@ def _text_of(node: Column, name: str) -> Column:
 
 def flatten(
     trees: DataFrame,
-    depth: int,
+    depth: int | Column,
     *,
     as_coded: bool = False,
     keep_extra: bool = False,
@@ -33,11 +33,15 @@ def flatten(
     carried along. Adds ``orig_sid, group_uid, uid, text, pos``; ``pos`` is the position path that
     gives document order. ``as_coded`` counts levels as N-1 for N of 2 and more. ``keep_extra``
     keeps the other keys of the deepest node as a map. ``spread`` redistributes the first-level
-    nodes, for inputs of few but very large trees.
+    nodes, for inputs of few but very large trees. ``depth`` may be a column of the trees.
     """
-    if depth < 1:
-        raise ValueError("depth must be at least 1")
-    levels = min(max(1, depth - 1) if as_coded else depth, MAX_DEPTH)
+    if isinstance(depth, int):
+        if depth < 1:
+            raise ValueError("depth must be at least 1")
+        levels = min(max(1, depth - 1) if as_coded else depth, MAX_DEPTH)
+        reaches = None
+    else:
+        levels, reaches = MAX_DEPTH, depth - 1 if as_coded else depth
     tree = F.col("tree") if "tree" in trees.columns else F.try_parse_json("raw")
     carried = [c for c in trees.columns if c not in ("raw", "tree")]
 
@@ -58,9 +62,12 @@ def flatten(
         ended = F.col("_p").isNull()
         child = F.col("_child")
         kept = [*carried, "orig_sid"]
+        children = vr.items(F.col("_node"), f"$.level{level}")
+        if reaches is not None:
+            children = F.when(reaches >= level, children)
         rows = rows.select(
             *kept, "pos", "_sids", "text", *(["extra"] if keep_extra else []),
-            F.posexplode_outer(vr.items(F.col("_node"), f"$.level{level}")).alias("_p", "_child"),
+            F.posexplode_outer(children).alias("_p", "_child"),
         )
         step = [
             child.alias("_node"),
@@ -94,14 +101,21 @@ def chunk(docs: DataFrame, size: int | Column) -> DataFrame:
     """Cut each text into pieces of ``size`` code points, one row per piece.
 
     Piece ``i`` gets ``{group_uid}_c{i}`` as ``uid`` and ``sid``. A size of 0 or less leaves the
-    rows as they are, without a ``sid``.
+    rows as they are, without a ``sid``. ``size`` may be a column of the rows.
     """
     if isinstance(size, int) and size <= 0:
         return docs.withColumns({"sid": F.lit(None).cast("string"), "chunk_no": F.lit(0)})
+    size = F.lit(size) if isinstance(size, int) else size
     rest = [c for c in docs.columns if c not in ("text", "uid", "sid", "chunk_no")]
-    pieces = docs.select(*rest, F.posexplode(tx.chunks(F.col("text"), size)).alias("chunk_no", "text"))
+    pieces = docs.select(
+        *rest, F.col("uid").alias("_whole"), (size > 0).alias("_cut"),
+        F.posexplode(tx.chunks(F.col("text"), size)).alias("chunk_no", "text"),
+    )
     chunk_id = F.concat("group_uid", F.lit("_c"), F.col("chunk_no").cast("string"))
-    return pieces.withColumns({"uid": chunk_id, "sid": chunk_id})
+    return pieces.withColumns({
+        "uid": F.when(F.col("_cut"), chunk_id).otherwise(F.col("_whole")),
+        "sid": F.when(F.col("_cut"), chunk_id),
+    }).drop("_whole", "_cut")
 
 
 def flag_oversize(docs: DataFrame, size: int) -> DataFrame:

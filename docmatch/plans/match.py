@@ -1,4 +1,7 @@
-"""The whole matching job: trees in, predictions and envelopes out, for all projects at once."""
+"""The whole matching job: trees in, predictions and envelopes out, for all projects at once.
+
+The scenario is one record for all projects, or a table with a row per project.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +15,16 @@ from pyspark.sql import functions as F
 from docmatch.functions.text import TokenCounter, count_chars
 from docmatch.operators import collection as col
 from docmatch.operators import hierarchy, models, predictions, prompt, search, validate
-from docmatch.operators.scenario import Scenario
+from docmatch.operators.scenario import Scenario, effective_k, resolve
 from docmatch.sources.staging import new_path, stage
-
+from docmatch.sources.trees import request_trees, split_complete
+
+SCENARIO_TYPES = {
+    "role_desc": "string", "reference_desc": "string", "input_desc": "string", "scoring_rule": "string",
+    "direction": "string", "rag_k": "int", "rag_k_forward": "int", "rag_k_reverse": "int",
+    "cof_threshold": "double", "reference_depth": "int", "input_depth": "int", "chunk_size": "int",
+    "llm_name": "string", "max_prompt_tokens": "int",
+}
 QUERY = ["leg", "project_id", "query_uid"]
 
 
@@ -29,9 +39,30 @@ class MatchResult:
     rejected_trees: DataFrame
 
 
-def text_rows(trees: DataFrame, side: str, depth: int, chunk_size: int) -> DataFrame:
-    """Valid trees of one side to chunked text rows."""
-    return hierarchy.chunk(hierarchy.flatten(trees.where(F.col("side") == side), depth), chunk_size)
+def _with_scenario(df: DataFrame, scenario: Scenario | DataFrame, names: list[str]) -> DataFrame:
+    """Add resolved scenario columns: constants, or one row per project."""
+    if isinstance(scenario, DataFrame):
+        return df.join(scenario.select("project_id", *names), "project_id")
+    kinds = {"llm_name": "string", "cof_threshold": "double", "rag_k_forward": "int", "rag_k_reverse": "int"}
+    values = {n: F.lit(getattr(scenario, n)) for n in names}
+    return df.withColumns({n: v.cast(kinds[n]) if n in kinds else v for n, v in values.items()})
+
+
+def text_rows(trees: DataFrame, scenario: Scenario | DataFrame) -> DataFrame:
+    """Valid trees to chunked text rows, each side to its own depth."""
+    own = _with_scenario(trees, scenario, ["input_depth", "reference_depth", "chunk_size"])
+    depth = F.when(F.col("side") == "reference", F.col("reference_depth")).otherwise(F.col("input_depth"))
+    if isinstance(scenario, Scenario) and scenario.input_depth == scenario.reference_depth:
+        depth = scenario.input_depth
+    size = F.col("chunk_size") if isinstance(scenario, DataFrame) else scenario.chunk_size
+    return hierarchy.chunk(hierarchy.flatten(own, depth), size).drop("input_depth", "reference_depth", "chunk_size")
+
+
+def _largest_k(scenario: Scenario | DataFrame, leg: str) -> int:
+    """Upper bound of k; one number from a table of one row per project."""
+    if isinstance(scenario, Scenario):
+        return scenario.k(leg)
+    return scenario.agg(F.max(effective_k(F.lit(leg))).alias("k")).head()["k"] or 1
 
 
 def _sides(leg: str) -> tuple[str, str]:
@@ -39,11 +70,15 @@ def _sides(leg: str) -> tuple[str, str]:
     return ("reference", "input") if leg == "reverse" else ("input", "reference")
 
 
-def _queries(points: DataFrame, leg: str) -> DataFrame:
-    return points.where(F.col("side") == _sides(leg)[0]).select(
+def _queries(points: DataFrame, leg: str, scenario: Scenario | DataFrame) -> DataFrame:
+    """The rows that ask in a leg, with their k."""
+    rows = points.where(F.col("side") == _sides(leg)[0]).select(
         F.lit(leg).alias("leg"), F.col("project_id").alias("project_id"), F.col("uid").alias("query_uid"),
         F.col("vector").alias("vector"), F.col("text").alias("query_text"), F.col("group_uid").alias("root_uid"),
     )
+    names = ["direction", "rag_k", "rag_k_forward", "rag_k_reverse"]
+    asking = _with_scenario(rows, scenario, names).where(F.lower("direction").isin(leg, "both"))
+    return asking.withColumn("k", effective_k(F.lit(leg))).drop(*names)
 
 
 def _searched(points: DataFrame, leg: str) -> DataFrame:
@@ -56,7 +91,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def match(
     trees: DataFrame,
-    scenario: Scenario,
+    scenario: Scenario | DataFrame,
     embed_fn: models.EmbedFn,
     generators: dict[str, models.GenerateFn],
     *,
@@ -74,6 +109,7 @@ def match(
 ) -> MatchResult:
     """Match ``(project_id, doc_id, side, raw)`` trees in the scenario's direction.
 
+    A scenario table has one resolved row per project (see ``scenario.resolve``), valid ones only.
     Both kinds of model calls end in stored tables, the collection log and the answers, so no later
     stage repeats them. Without ``collection_path`` the job gets a collection of its own.
     """
@@ -81,17 +117,16 @@ def match(
     path = collection_path or new_path(spark, "collection")
     valid, rejected = validate.split_valid(trees)
 
-    rows = text_rows(valid, "input", scenario.input_depth, scenario.chunk_size).unionByName(
-        text_rows(valid, "reference", scenario.reference_depth, scenario.chunk_size)
-    )
+    rows = text_rows(valid, scenario)
     col.ingest(rows, path, embed_fn, seq, dim=dim, dedupe=dedupe)
     points = stage(col.current(col.read_log(spark, path)), "points")
 
     # Hits stay narrow; the texts of both ends join where prompts are made.
-    legs = scenario.legs()
+    legs = scenario.legs() if isinstance(scenario, Scenario) else ("forward", "reverse")
     hits = stage(_union([
         search.knn(
-            _queries(points, leg), _searched(points, leg), scenario.k(leg), scope=["project_id"], strategy=strategy
+            _queries(points, leg, scenario), _searched(points, leg), _largest_k(scenario, leg),
+            scope=["project_id"], strategy=strategy, k_column="k" if isinstance(scenario, DataFrame) else None,
         ).withColumn("leg", F.lit(leg))
         for leg in legs
     ]), "hits")
@@ -99,18 +134,14 @@ def match(
         search.with_payload(hits.where(F.col("leg") == leg), _searched(points, leg), ["text"], scope=["project_id"])
         for leg in legs
     ])
-    queries = _union([_queries(points, leg).drop("vector") for leg in legs]).withColumns({
-        "role_desc": F.lit(scenario.role_desc),
-        "reference_desc": F.lit(scenario.reference_desc),
-        "input_desc": F.lit(scenario.input_desc),
-        "scoring_rule": F.lit(scenario.scoring_rule),
-        "cof_threshold": F.lit(float(scenario.cof_threshold)),
-        "max_prompt_tokens": F.lit(scenario.max_prompt_tokens),
-        "llm_name": F.lit(scenario.llm_name).cast("string"),
-    })
+    queries = _with_scenario(
+        _union([_queries(points, leg, scenario).drop("vector", "k") for leg in legs]), scenario,
+        ["role_desc", "reference_desc", "input_desc", "scoring_rule", "cof_threshold", "max_prompt_tokens",
+         "llm_name", "direction"],
+    )
     prompts = prompt.build_prompts(candidates, queries, QUERY, header_fn=header_fn, counter=counter)
     asked = prompts.where(F.col("status") == "ok").select(
-        *QUERY, "root_uid", "cof_threshold", "llm_name", "used_k", "prompt_tokens", "prompt"
+        *QUERY, "root_uid", "cof_threshold", "llm_name", "direction", "used_k", "prompt_tokens", "prompt"
     )
     answered = models.generate(
         asked, generators, default=default_model, max_parallel_calls=max_parallel_calls, sleep=sleep
@@ -118,10 +149,10 @@ def match(
     answers = stage(answered.drop("prompt"), "answers")
 
     head = [*QUERY, "root_uid", "model_used", "used_k", "cof_threshold"]
-    parsed = predictions.parse_output(answers.select(*head, "raw_output"))
-    good = parsed.where(F.col("item_status") == "ok")
-    if not as_coded or scenario.direction.lower() != "both":
-        good = predictions.swap_reverse(good)
+    # As coded, the reverse leg of "both" keeps its sides as the model gave them.
+    swapped = F.when(F.lower("direction") != "both", F.col("leg")) if as_coded else F.col("leg")
+    parsed = predictions.parse_output(answers.select(*head, "raw_output", swapped.alias("_swap")))
+    good = predictions.swap_reverse(parsed.where(F.col("item_status") == "ok"), "_swap").drop("_swap")
     scored = predictions.attach_scores(good, hits, QUERY, as_coded=as_coded)
     kept = predictions.filter_confidence(scored)
     done = answers.where(F.col("error").isNull())
@@ -134,6 +165,29 @@ def match(
     )
 
 
+def match_requests(
+    requests: DataFrame, embed_fn: models.EmbedFn, generators: dict[str, models.GenerateFn],
+    *, defaults: Scenario = Scenario(), **options,
+) -> tuple[MatchResult, DataFrame]:
+    """Run all complete requests, each with its own scenario over the defaults.
+
+    Every job is a project of its own named ``job_id``. Returns the result and the rejected requests:
+    incomplete ones, with ``missing`` parts, and ones that break a scenario rule, with ``broken`` fields.
+    """
+    complete, incomplete = split_complete(requests)
+    kinds = ", ".join(f"{n} {k}" for n, k in SCENARIO_TYPES.items())
+    given = complete.withColumn("_s", F.from_json("scenario", kinds)).select("*", "_s.*").drop("_s")
+    jobs = given.withColumn("project_id", F.col("job_id"))
+    broken = validate.scenario_violations(jobs).groupBy("project_id").agg(
+        F.sort_array(F.collect_set("field")).alias("broken"))
+    good = jobs.join(broken, "project_id", "left_anti")
+    scenarios = resolve(good.select("project_id", *SCENARIO_TYPES), defaults)
+    trees = request_trees(good.select("job_id", "project_id", "input_data", "reference_data"))
+    result = match(trees.drop("job_id"), scenarios, embed_fn, generators, **options)
+    bad = complete.join(broken.withColumnRenamed("project_id", "job_id"), "job_id")
+    return result, incomplete.unionByName(bad, allowMissingColumns=True)
+
+
 def job_summary(result: MatchResult) -> DataFrame:
     """Queries answered, predictions kept and failures per project and leg, without gathering rows."""
     keys = ["project_id", "leg"]

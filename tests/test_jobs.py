@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docmatch.operators import collection as col
 from docmatch.operators.models import hash_embedder
 from docmatch.operators.scenario import Scenario
-from docmatch.plans.match import job_summary, match, text_rows
+from docmatch.operators.validate import split_valid
+from docmatch.plans.match import job_summary, match, match_requests, text_rows
 from docmatch.sources import staging
 from docmatch.sources.trees import write_results
 from docmatch.streaming.ingest import start_ingest
@@ -89,6 +90,36 @@ def test_chunked_queries_failures_and_options(spark):
     assert calls.value == 4, "one call for the good chunk and three attempts for the bad one, never repeated"
 
 
+def test_requests_run_with_their_own_scenarios(spark, tmp_path):
+    deep = {"level1": [{"sid": "0", "text": "red", "level2": [{"sid": "1", "text": "apple pie"}, {"sid": "2", "text": "blue sky"}]}]}
+    refs = {"level1": [{"sid": str(i), "text": t} for i, t in enumerate(["red apple pie", "blue sky", "other words", "sky"])]}
+    scenarios = {
+        "a": {"direction": "forward", "rag_k": 1, "input_depth": 2},
+        "b": {"direction": "both", "rag_k_forward": 3, "rag_k_reverse": 1, "chunk_size": 7, "cof_threshold": 0.05},
+        "c": {"direction": "Reverse", "rag_k": 2, "input_depth": 2, "reference_depth": 1},
+        "bad": {"direction": "sideways", "rag_k": 0},
+    }
+    rows = [{"job_id": j, "project_id": "p", "scenario": s, "input_data": deep, "reference_data": refs} for j, s in scenarios.items()]
+    rows.append({"job_id": "part", "project_id": "p", "scenario": {"rag_k": 1}, "input_data": deep})
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, rows)))
+    from docmatch.sources.trees import read_requests
+    options = {"default_model": "m", "dim": 32, "sleep": lambda i: None}
+    result, rejected = match_requests(read_requests(spark, str(tmp_path)), EMBED, {"m": sure}, **options)
+    assert {r.job_id: (r.missing, r.broken) for r in rejected.collect()} == {
+        "bad": (None, ["direction", "rag_k"]), "part": (["reference_data"], None)}
+
+    def shown(df):
+        return sorted((e.leg, e.project_id, e.query_uid, e.root_uid, e.used_k, str(e.predictions)) for e in df.collect())
+
+    want = []
+    for job in "abc":
+        trees_of_job = spark.createDataFrame(
+            [(job, f"{job}/{s}", s, json.dumps(t)) for s, t in (("input", deep), ("reference", refs))],
+            "project_id string, doc_id string, side string, raw string")
+        want += shown(run(trees_of_job, **scenarios[job]).envelopes)
+    assert shown(result.envelopes) == sorted(want) and len(want) > 8
+
+
 def test_ten_documents_give_ten_envelopes_into_a_kept_collection(spark):
     path = staging.new_path(spark, "kept")
     df = trees(spark, [f"doc {i}" for i in range(10)], ["doc", "other"])
@@ -143,8 +174,7 @@ def test_streamed_ingest_equals_batch_and_survives_a_replay(spark, tmp_path):
 
     start("c1")
     batch = str(tmp_path / "batch")
-    for side in ("input", "reference"):
-        col.ingest(text_rows(df, side, 1, 40), batch, EMBED, 0, dim=32)
+    col.ingest(text_rows(split_valid(df)[0], Scenario(chunk_size=40)), batch, EMBED, 0, dim=32)
     want = sorted((r.uid, r.side, r.text, r.vector) for r in col.current(col.read_log(spark, batch)).collect())
     assert stored() == want
     start("c1")
