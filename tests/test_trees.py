@@ -79,7 +79,7 @@ def codes(spark, tree, **kw):
     return [(r.path, r.code) for r in rows]
 
 
-@pytest.mark.parametrize("tree, want", [
+VIOLATIONS = [
     (RAGGED, []), (DEEP, []), (root(), []),
     ("oops", [("root", "unparsable")]),
     ([1], [("root", "root_not_object")]), ("null", [("root", "root_not_object")]), ('"s"', [("root", "root_not_object")]),
@@ -96,11 +96,18 @@ def codes(spark, tree, **kw):
     (root({"sid": "a", "level2": [{"text": "t", "level3": 0}]}, 1), [
         ("root/level1[0]", "text_not_string"), ("root/level1[0]/level2[0]", "sid_not_string"),
         ("root/level1[0]/level2[0]/level3", "level_not_list"), ("root/level1[1]", "item_not_object")]),
-])
-def test_violations_with_paths_in_depth_first_order(spark, tree, want):
-    assert codes(spark, tree) == want
-    good, bad = validate.split_valid(frame(spark, tree))
-    assert (good.count(), bad.count()) == ((1, 0) if not want else (0, 1))
+]
+
+
+def test_violations_with_paths_in_depth_first_order(spark):
+    df = frame(spark, *[tree for tree, _ in VIOLATIONS])
+    got = {f"d{i}": [] for i in range(len(VIOLATIONS))}
+    for r in validate.violations(df).orderBy("doc_id", "ord").collect():
+        got[r.doc_id].append((r.path, r.code))
+    assert list(got.values()) == [want for _, want in VIOLATIONS]
+    good, bad = validate.split_valid(df)
+    assert {r.doc_id for r in good.select("doc_id").collect()} == {d for d, v in got.items() if not v}
+    assert {r.doc_id for r in bad.select("doc_id").collect()} == {d for d, v in got.items() if v}
 
 
 def test_max_depth_ignores_what_lies_below(spark):
@@ -132,12 +139,15 @@ def python_chunks(text, size):
     return [text[i:i + size] for i in range(0, len(text), size)]
 
 
-@pytest.mark.parametrize("text", ["", "abc", "abcd", "abcdefgh", "中文字漢", "a😀b😀c", "x\ny\r\nz w"])
-@pytest.mark.parametrize("size", [-1, 0, 1, 3, 4])
-def test_chunks(spark, text, size):
-    df = spark.createDataFrame([(text,)], "t string")
-    got = df.select(tx.chunks(F.col("t"), size).alias("c")).first().c
-    assert got == python_chunks(text, size) and "".join(got) == text
+def test_chunks(spark):
+    texts = ["", "abc", "abcd", "abcdefgh", "中文字漢", "a😀b😀c", "x\ny\r\nz w"]
+    cases = [(t, n) for t in texts for n in (-1, 0, 1, 3, 4)]
+    df = spark.createDataFrame(cases, "t string, n int")
+    got = df.select("t", "n", tx.chunks(F.col("t"), F.col("n")).alias("c")).collect()
+    for r in got:
+        assert r.c == python_chunks(r.t, r.n) and "".join(r.c) == r.t
+    fixed = df.where("n = 3").select("t", tx.chunks(F.col("t"), 3).alias("c")).collect()
+    assert [r.c for r in fixed] == [python_chunks(r.t, 3) for r in fixed]
 
 
 def test_chunk_ids(spark):
@@ -150,13 +160,14 @@ def test_chunk_ids(spark):
     assert [r.oversize for r in hierarchy.flag_oversize(df, 4).collect()] == [True]
 
 
-@pytest.mark.parametrize("text, want", [
-    ("[1]", "[1]"), (" 　[1]\n\t", "[1]"), ("```json\n[1]\n```", "[1]"), ("```\n[1]", "[1]"), ("[1]\n```", "[1]"),
-    ("```[1]```", ""), ("```", ""), ("a```b```", "a```b"), ("```x\na```b", "a```b"), ("", ""),
-])
-def test_strip_fence(spark, text, want):
-    df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(tx.strip_fence(F.col("t")).alias("o")).first().o == want
+def test_strip_fence(spark):
+    want = {
+        "[1]": "[1]", " \u3000[1]\n\t": "[1]", "```json\n[1]\n```": "[1]", "```\n[1]": "[1]", "[1]\n```": "[1]",
+        "```[1]```": "", "```": "", "a```b```": "a```b", "```x\na```b": "a```b", "": "", "```a\n\n [1] ``` ": "[1]",
+        "````": "", "a\n```\n```": "a\n```",
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.o for r in df.select("t", tx.strip_fence(F.col("t")).alias("o")).collect()} == want
 
 
 @pytest.mark.parametrize("n, want", [(-1, "a😀bc"), (0, "a😀bc"), (2, "a😀"), (9, "a😀bc")])
