@@ -101,6 +101,7 @@ def match(
     counter: TokenCounter = count_chars,
     strategy: str = "auto",
     dedupe: bool = False,
+    few_files: bool = False,
     as_coded: bool = False,
     max_parallel_calls: int | None = None,
     sleep: Callable[[int], None] = models.wait,
@@ -118,7 +119,7 @@ def match(
     valid, rejected = validate.split_valid(trees)
 
     rows = text_rows(valid, scenario)
-    col.ingest(rows, path, embed_fn, seq, dim=dim, dedupe=dedupe)
+    col.ingest(rows, path, embed_fn, seq, dim=dim, dedupe=dedupe, few_files=few_files)
     points = stage(col.current(col.read_log(spark, path)), "points")
 
     # Hits stay narrow; the texts of both ends join where prompts are made.
@@ -183,6 +184,8 @@ def match_requests(
     good = jobs.join(broken, "project_id", "left_anti")
     scenarios = resolve(good.select("project_id", *SCENARIO_TYPES), defaults)
     trees = request_trees(good.select("job_id", "project_id", "input_data", "reference_data"))
+    # Requests mix their jobs, so each task would otherwise write into every job's folder.
+    options = {"few_files": True, **options}
     result = match(trees.drop("job_id"), scenarios, embed_fn, generators, **options)
     bad = complete.join(broken.withColumnRenamed("project_id", "job_id"), "job_id")
     return result, incomplete.unionByName(bad, allowMissingColumns=True)

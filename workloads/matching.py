@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from docmatch.operators.models import hash_embedder
 from docmatch.operators.scenario import Scenario
-from docmatch.plans.match import MatchResult, job_summary, match
+from docmatch.plans.match import MatchResult, job_summary, match, match_requests
+from docmatch.sources.staging import new_path
+from docmatch.sources.trees import read_requests
 from workloads.answers import SCENARIO, prompts_sql
 from workloads.registry import query, table
 from workloads.trees import _CHUNKS, CHUNK_SIZE
@@ -75,20 +77,26 @@ sims AS (SELECT i.uid AS i, i.text AS itext, r.uid AS r, r.text AS rtext,
 
 
 def _leg(leg: str) -> str:
-    """CTEs of one leg, ending in ``<leg>_preds`` and ``<leg>_asked``."""
+    """CTEs of one leg over ``sims``, ending in ``<leg>_preds`` and ``<leg>_asked``."""
     q, qt, p, pt, k = ("r", "rtext", "i", "itext", K_REVERSE) if leg == "reverse" else ("i", "itext", "r", "rtext", K_FORWARD)
-    ctes = f"""
-{leg}_hits AS (SELECT * FROM (SELECT {q} AS query_uid, {qt} AS query_text, {p} AS uid, {pt} AS text, score,
-  row_number() OVER (PARTITION BY {q} ORDER BY score DESC, {p}) AS rank FROM sims) WHERE rank <= {k}),
-{prompts_sql(f'{leg}_hits', leg, MAX_TOKENS).replace('lines', leg + '_lines').replace('running', leg + '_running')
- .replace('fit AS', leg + '_fit AS').replace('FROM fit', f'FROM {leg}_fit').replace('prompts AS', leg + '_prompts AS')},
+    return _answers(leg, f"""SELECT * FROM (SELECT {q} AS query_uid, {qt} AS query_text, {p} AS uid, {pt} AS text, score,
+  row_number() OVER (PARTITION BY {q} ORDER BY score DESC, {p}) AS rank FROM sims) WHERE rank <= {k}""")
+
+
+def _answers(leg: str, hits: str) -> str:
+    """CTEs from the hits of one leg to its prompts and predictions."""
+    prompts = prompts_sql(f"{leg}_hits", leg, MAX_TOKENS)
+    for name in ("lines", "running"):
+        prompts = prompts.replace(name, f"{leg}_{name}")
+    prompts = prompts.replace("fit AS", f"{leg}_fit AS").replace("FROM fit", f"FROM {leg}_fit").replace("prompts AS", f"{leg}_prompts AS")
+    return f"""
+{leg}_hits AS ({hits}), {prompts},
 {leg}_asked AS (SELECT query_uid, used_k, prompt, md5(prompt)[1] AS form FROM {leg}_prompts WHERE status = 'ok'),
 {leg}_preds AS (
   SELECT '{leg}' AS leg, query_uid, 0 AS pred_no, NULL AS cand_uid, 'nothing found' AS plain_text, 1.0::DOUBLE AS confidence, 0.0::DOUBLE AS similarity
   FROM {leg}_asked WHERE form = '0'
   UNION ALL SELECT '{leg}', query_uid, (rank - 1)::INT, uid, NULL, round(score, 3), score
   FROM {leg}_asked JOIN {leg}_hits USING (query_uid) WHERE form NOT IN ('0', '1') AND rank <= used_k AND round(score, 3) >= {THRESHOLD})"""
-    return ctes
 
 
 def _shown_sql(leg: str) -> str:
@@ -131,3 +139,53 @@ SELECT 'p' AS project_id, 'forward' AS leg, count(*) AS queries, count(*) FILTER
        (SELECT count(*) FROM forward_preds) AS predictions FROM forward_asked""")
 def job_summary_query(spark, sf_dir):
     return job_summary(run(spark, sf_dir, "forward"))
+
+
+# --- requests: every conversation turn is a job that matches its text with its lines ---
+
+REQUEST_CHUNK = 150
+
+
+def _request_hits(leg: str) -> str:
+    ask, role = ("input", "=") if leg == "forward" else ("reference", "<>")
+    return f"""SELECT * FROM (SELECT q.job || '|' || q.uid AS query_uid, q.text AS query_text, p.uid AS uid, p.text AS text, q.k AS k,
+    CASE WHEN lq.n * lp.n > 0 THEN coalesce(d.d, 0) / (lq.n * lp.n) ELSE 0 END AS score,
+    row_number() OVER (PARTITION BY q.job, q.uid ORDER BY
+      CASE WHEN lq.n * lp.n > 0 THEN coalesce(d.d, 0) / (lq.n * lp.n) ELSE 0 END DESC, p.uid) AS rank
+  FROM pts q JOIN pts p ON p.job = q.job AND p.side <> q.side
+  LEFT JOIN dots d ON d.job = q.job AND d.a = q.uid AND d.b = p.uid
+  LEFT JOIN len lq ON lq.job = q.job AND lq.uid = q.uid LEFT JOIN len lp ON lp.job = p.job AND lp.uid = p.uid
+  WHERE q.side = '{ask}' AND q.role {role} 'user') WHERE rank <= k"""
+
+
+@query("match_requests", f"""
+WITH j AS (SELECT 'job-' || conv_id || '-' || turn AS job, role, turn + 1 AS k, text FROM conversations),
+src AS (SELECT job, role, k, 'input' AS side, 'input-t' AS g, text FROM j
+  UNION ALL SELECT job, role, k, 'reference', 'reference-' || i, p FROM (SELECT job, role, k, unnest(string_split(text, chr(10))) AS p,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM j)),
+pts AS (SELECT job, role, k, side, g || '_c' || i AS uid, substr(text, i * {REQUEST_CHUNK} + 1, {REQUEST_CHUNK}) AS text FROM (
+  SELECT *, unnest(range(greatest(1, (length(text) + {REQUEST_CHUNK - 1}) // {REQUEST_CHUNK}))) AS i FROM src)),
+tok AS (SELECT job, side, uid, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS n FROM (
+  SELECT job, side, uid, unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) AS t FROM pts) WHERE t <> '' GROUP BY ALL),
+len AS (SELECT job, uid, sqrt(sum(n * n)) AS n FROM tok GROUP BY ALL),
+dots AS (SELECT a.job, a.uid AS a, c.uid AS b, sum(a.n * c.n) AS d FROM tok a JOIN tok c ON c.job = a.job AND c.b = a.b AND c.side <> a.side GROUP BY ALL),
+{_answers('forward', _request_hits('forward'))}, {_answers('reverse', _request_hits('reverse'))}
+{_shown_sql('forward')} UNION ALL {_shown_sql('reverse')}""")
+def match_requests_query(spark, sf_dir):
+    line = F.transform(F.split("text", "\n"), lambda p, i: F.struct(i.cast("string").alias("sid"), p.alias("text")))
+    settings = {**SCENARIO, "cof_threshold": THRESHOLD, "chunk_size": REQUEST_CHUNK, "max_prompt_tokens": MAX_TOKENS}
+    requests = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.lit("job"), "conv_id", "turn").alias("job_id"), F.concat(F.lit("conv-"), "conv_id").alias("project_id"),
+        F.struct(
+            F.when(F.col("role") == "user", "forward").otherwise("reverse").alias("direction"),
+            (F.col("turn") + 1).alias("rag_k"), *[F.lit(v).alias(n) for n, v in settings.items()],
+        ).alias("scenario"),
+        F.struct(F.array(F.struct(F.lit("t").alias("sid"), F.col("text").alias("text"))).alias("level1")).alias("input_data"),
+        F.struct(line.alias("level1")).alias("reference_data"),
+    )
+    path = new_path(spark, "requests")
+    requests.write.json(path)
+    result, _ = match_requests(
+        read_requests(spark, path), hash_embedder(64), {"scored": scored_answer}, default_model="scored", dim=64, sleep=no_wait)
+    named = result.predictions.withColumn("query_uid", F.concat_ws("|", "project_id", "query_uid"))
+    return _shown(MatchResult(named, *[None] * 4))
