@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmatch.sources.staging import new_path
+
 # Words whose hash a task remembers; beyond that the memory is emptied, the results stay the same.
 REMEMBERED = 1 << 19
 
@@ -98,3 +100,27 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+
+
+def labelled_sample(labels: DataFrame, label_col: str, divisor: int, held_out: int,
+                    per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """``doc_id, label`` of at most ``per_class`` labelled rows of each class, and the rows of each class.
+
+    Rows held out (crc32 of the id modulo ``divisor`` equals ``held_out``), null ids and null labels teach
+    nothing. A document labelled twice counts once, with its larger label. The sample takes the lowest
+    hashes of the ids, so it is the same on every run; ``per_class`` bounds what may be broadcast.
+    """
+    rows = (labels.select("doc_id", F.col(label_col).cast("int").alias("label"))
+            .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)
+                    & (remainder("doc_id", divisor) != held_out))
+            .groupBy("doc_id").agg(F.max("label").alias("label")))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().toLocalIterator()}
+    picked = [rows.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    return picked[0].unionByName(picked[1]), counts
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, compressed well, and return the stored table."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -62,6 +62,38 @@ def op1(spark, sf_dir):
     return chat.read_back(chat.format_chats(events.unionByName(streamed)))
 
 
+# --- 3 ---------------------------------------------------------------------------------------------------
+
+@query("op3_quality")
+def op3(spark, sf_dir):
+    """Quality of every whole text."""
+    from docmatch.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# --- 7 ---------------------------------------------------------------------------------------------------
+
+@query("op7_substring_dedup")
+def op7(spark, sf_dir):
+    """Words that stay after windows of 35 words that repeat anywhere are removed."""
+    from docmatch.llm import repeats
+
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r.end - r.start)
+    return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+# --- 8 ---------------------------------------------------------------------------------------------------
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    """Toxicity of every whole text."""
+    from docmatch.llm import toxicity
+
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------
 
 @query("op9_secret_scan")
