@@ -72,6 +72,16 @@ def op3(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# --- 6 ---------------------------------------------------------------------------------------------------
+
+@query("op6_similar_documents")
+def op6(spark, sf_dir):
+    """Classes of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    from docmatch.llm import similar
+
+    return similar.similar_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------
 
 @query("op7_substring_dedup")
