@@ -62,6 +62,16 @@ def op1(spark, sf_dir):
     return chat.read_back(chat.format_chats(events.unionByName(streamed)))
 
 
+# --- 2 ---------------------------------------------------------------------------------------------------
+
+@query("op2_fingerprints")
+def op2(spark, sf_dir):
+    """I-Match fingerprints of every whole text and of its edited text."""
+    from docmatch.llm import fingerprint
+
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------
 
 @query("op3_quality")
