@@ -82,6 +82,16 @@ def op3(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# --- 5 ---------------------------------------------------------------------------------------------------
+
+@query("op5_decontamination")
+def op5(spark, sf_dir):
+    """Documents that hold benchmark passages, word substitutions tolerated."""
+    from docmatch.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------
 
 @query("op6_similar_documents")

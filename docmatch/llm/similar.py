@@ -29,7 +29,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmatch.llm.common import WordHashes, arrow_schema, kept, ngram_hashes, texts
@@ -251,3 +251,20 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     named = smallest.join(labels, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     return (found.select("doc_id", F.col("n").alias("n_shingles"), "same").join(named, "same", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each class of similar ones, that with the smallest id, with all its columns.
+
+    Of rows that share id and text one stays; rows without an id all stay.
+    """
+    classes = similar_classes(docs.select("doc_id", "text"), n, num, den)
+    first = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    repeated = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    ranked = (docs.join(first, F.col("doc_id") == F.col("_first"), "left")
+              .withColumn("_copy", F.row_number().over(repeated)))
+    return (ranked.filter("doc_id is null or (_first is not null and _copy = 1)").select(*map(quoted, docs.columns)))
+
+
+def quoted(name: str) -> str:
+    return f"`{name}`"

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmatch.llm.common import arrow_schema, labelled_sample, per_document, remainder, texts
+from docmatch.llm.common import FOLDED, arrow_schema, labelled_sample, per_document, remainder, texts
 from docmatch.sources.staging import stage
 
 ACCEPT = 0.3
@@ -28,8 +28,6 @@ NEIGHBOURS = 15
 BLOCK = 64
 # Terms: those whose chi-square is beyond chance, at least so many of the best and at most so many.
 CHI_SQUARE, LEAST_TERMS, MOST_TERMS = 30.0, 16, 512
-# Lower case, and a space for what is neither a letter, a digit nor part of a multi-byte character.
-FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
 
 def terms(text: bytes) -> dict[bytes, int]:
