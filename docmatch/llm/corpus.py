@@ -22,8 +22,24 @@ from docmatch.llm.common import arrow_schema
 BATCH_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 20
 
-SENT = "bucket int, batch int, slots binary, counts binary"
-RETURNED = "batch int, bucket int, places binary, totals binary"
+SENT = "kind int, bucket int, batch int, slots binary, counts binary"
+RETURNED = "batch int, kind int, bucket int, places binary, totals binary"
+
+
+@dataclass(frozen=True)
+class Kind:
+    """A kind of keys: how many bytes of the hash are sent, and about how many keys a byte of text has, which
+    only sets the number of buckets. With 4 bytes some rare keys share a slot, and so their counts."""
+
+    width: int = 8
+    keys_per_byte: float = 1 / 7
+
+    @property
+    def slot(self):
+        return np.uint32 if self.width == 4 else np.uint64
+
+    def buckets(self, size: int) -> int:
+        return max(1, round(size * self.keys_per_byte / BUCKET_KEYS))
 
 
 @dataclass
@@ -46,11 +62,11 @@ class Packed:
     own: np.ndarray
 
 
-def pack(keys: Keys, buckets: int, width: int) -> Packed:
-    """Group equal keys. ``width`` 4 keeps half of the hash: some rare keys then share a slot."""
+def pack(keys: Keys, buckets: int, kind: Kind) -> Packed:
+    """Group equal keys of a batch, by bucket."""
     bucket = ((keys.choose >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     bucket = bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-    slots = keys.hashes.astype(np.uint32 if width == 4 else np.uint64)
+    slots = keys.hashes.astype(kind.slot)
     order = np.argsort(slots)
     order = order[np.argsort(bucket[order], kind="stable")]
     slots, bucket = slots[order], bucket[order]
@@ -63,6 +79,33 @@ def pack(keys: Keys, buckets: int, width: int) -> Packed:
     return Packed(slots, np.searchsorted(bucket, np.arange(buckets + 1)), which, own)
 
 
+def sent_rows(number: int, batch: int, found: Packed) -> pa.Table:
+    """One row per bucket that the batch has keys for."""
+    counts = narrow(found.own)
+    filled = np.flatnonzero(np.diff(found.edges))
+    cut = [(found.edges[b], found.edges[b + 1]) for b in filled]
+    return pa.Table.from_arrays(
+        [pa.array(np.full(len(filled), number), pa.int32()), pa.array(filled, pa.int32()),
+         pa.array(np.full(len(filled), batch), pa.int32()),
+         pa.array([found.slots[a:z].tobytes() for a, z in cut], pa.binary()),
+         pa.array([counts[a:z].tobytes() for a, z in cut], pa.binary())],
+        names=["kind", "bucket", "batch", "slots", "counts"])
+
+
+def added_up(table: pa.Table, kind: Kind) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's rows: their numbers of keys; each key's own count, group and the groups' totals."""
+    slots = [np.frombuffer(s, kind.slot) for s in table["slots"].to_pylist()]
+    lengths = [len(s) for s in slots]
+    own = np.concatenate([widths(c, n).astype(np.int64) for c, n in zip(table["counts"].to_pylist(), lengths)])
+    every = np.concatenate(slots)
+    order = np.argsort(every)
+    new = np.ones(len(order), bool)
+    new[1:] = every[order[1:]] != every[order[:-1]]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return lengths, own, group, np.bincount(group, own).astype(np.int64)
+
+
 def narrow(counts: np.ndarray) -> np.ndarray:
     top = int(counts.max(initial=0))
     return counts.astype(np.uint8 if top < 1 << 8 else np.uint32 if top < 1 << 32 else np.uint64)
@@ -72,61 +115,70 @@ def widths(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(packed) // n]) if n else np.empty(0, np.uint8)
 
 
-def with_totals(docs: DataFrame, keys_of: Callable[[pa.Table], Keys], use: Callable[[pa.Table, np.ndarray], pa.Table],
-                schema: str, width: int, keys_per_byte: float) -> DataFrame:
-    """``use(batch of docs, corpus-wide total of each key occurrence)`` over all documents.
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    ``docs`` has a binary column ``text``; both functions see the same rows, in any order. Keys must not
-    depend on other rows of the batch. ``keys_per_byte`` is a guess that only sets how many buckets there are.
+
+def with_totals(docs: DataFrame, kinds: list[Kind], keys_of: Callable[[pa.Table], list[Keys]],
+                use: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """``use(batch of docs, corpus-wide total of each key occurrence, by kind)`` over all documents.
+
+    ``docs`` has a binary column ``text``; both functions see the same rows, in any order. A row's keys must
+    not depend on other rows of its batch.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = max(1, -(-size // BATCH_BYTES))
-    buckets = max(1, round(size * keys_per_byte / BUCKET_KEYS))
-    sent_out, returned_out = arrow_schema(SENT), arrow_schema(RETURNED)
-
-    def send(key, table: pa.Table) -> pa.Table:
-        found = pack(keys_of(table), buckets, width)
-        counts = narrow(found.own)
-        filled = np.flatnonzero(np.diff(found.edges))
-        cut = [(found.edges[b], found.edges[b + 1]) for b in filled]
-        return pa.Table.from_arrays(
-            [pa.array(filled, pa.int32()), pa.array(np.full(len(filled), key[0].as_py()), pa.int32()),
-             pa.array([found.slots[a:z].tobytes() for a, z in cut], pa.binary()),
-             pa.array([counts[a:z].tobytes() for a, z in cut], pa.binary())], schema=sent_out)
-
-    def add_up(table: pa.Table) -> pa.Table:
-        kind = np.uint32 if width == 4 else np.uint64
-        slots = [np.frombuffer(s, kind) for s in table["slots"].to_pylist()]
-        lengths = [len(s) for s in slots]
-        own = np.concatenate([widths(c, n).astype(np.int64) for c, n in zip(table["counts"].to_pylist(), lengths)])
-        every = np.concatenate(slots)
-        order = np.argsort(every)
-        new = np.ones(len(order), bool)
-        new[1:] = every[order[1:]] != every[order[:-1]]
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        totals = np.bincount(group, own).astype(np.int64)[group]
+    size = text_bytes(docs)
+    batches, buckets = max(1, -(-size // BATCH_BYTES)), [k.buckets(size) for k in kinds]
+    returned_out = arrow_schema(RETURNED)
+
+    def send(key, table):
+        batch = key[0].as_py()
+        return pa.concat_tables(
+            sent_rows(i, batch, pack(keys, buckets[i], kinds[i])) for i, keys in enumerate(keys_of(table)))
+
+    def add_up(key, table):
+        number = key[0].as_py()
+        lengths, own, group, totals = added_up(table, kinds[number])
+        totals = totals[group]
         more = totals > own
-        rows, at = ([], [], [], []), 0
+        rows, at = ([], [], [], [], []), 0
         for batch, bucket, n in zip(table["batch"].to_pylist(), table["bucket"].to_pylist(), lengths):
             places = np.flatnonzero(more[at:at + n])
             if len(places):
-                for column, value in zip(rows, (batch, bucket, places.astype(np.uint32).tobytes(),
+                for column, value in zip(rows, (batch, number, bucket, places.astype(np.uint32).tobytes(),
                                                 narrow(totals[at:at + n][places]).tobytes())):
                     column.append(value)
             at += n
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, returned_out)], schema=returned_out)
 
-    def finish(table: pa.Table, returned: pa.Table) -> pa.Table:
-        found = pack(keys_of(table), buckets, width)
-        totals = found.own.copy()
-        for bucket, places, values in zip(*(returned[c].to_pylist() for c in ("bucket", "places", "totals"))):
+    def finish(table, returned):
+        found = [pack(keys, buckets[i], kinds[i]) for i, keys in enumerate(keys_of(table))]
+        totals = [f.own.copy() for f in found]
+        for number, bucket, places, values in zip(*(returned[c].to_pylist() for c in ("kind", "bucket", "places", "totals"))):
             at = np.frombuffer(places, np.uint32)
-            totals[found.edges[bucket] + at] = widths(values, len(at))
-        return use(table, totals[found.which])
+            totals[number][found[number].edges[bucket] + at] = widths(values, len(at))
+        return use(table, [t[f.which] for t, f in zip(totals, found)])
 
     dealt = docs.withColumn("_batch", F.pmod(F.xxhash64(*docs.columns), F.lit(batches)).cast("int"))
     grouped = dealt.groupBy("_batch")
-    sent = grouped.applyInArrow(lambda key, table: send(key, table), SENT)
-    returned = sent.groupBy("bucket").applyInArrow(lambda table: add_up(table), RETURNED)
-    return grouped.cogroup(returned.groupBy("batch")).applyInArrow(lambda a, b: finish(a, b), schema)
+    returned = grouped.applyInArrow(send, SENT).groupBy("kind", "bucket").applyInArrow(add_up, RETURNED)
+    return grouped.cogroup(returned.groupBy("batch")).applyInArrow(finish, schema)
+
+
+def distinct_keys(docs: DataFrame, kind: Kind, keys_of: Callable[[pa.Table], Keys]) -> tuple[int, int]:
+    """How many distinct keys count anything in the whole corpus, and the sum of all counts."""
+    buckets = kind.buckets(text_bytes(docs))
+
+    def send(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                table = pa.Table.from_batches([batch.slice(at, 2048)])
+                yield from sent_rows(0, 0, pack(keys_of(table), buckets, kind)).to_batches()
+
+    def add_up(table):
+        totals = added_up(table, kind)[3]
+        return pa.table({"n": pa.array([int((totals > 0).sum())], pa.int64()),
+                         "total": pa.array([int(totals.sum())], pa.int64())})
+
+    found = docs.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(add_up, "n bigint, total bigint")
+    n, total = found.agg(F.sum("n"), F.sum("total")).first()
+    return n or 0, total or 0

@@ -82,6 +82,16 @@ def op3(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# --- 4 ---------------------------------------------------------------------------------------------------
+
+@query("op4_lm_scores")
+def op4(spark, sf_dir):
+    """Language-model scores of every whole text."""
+    from docmatch.llm import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------
 
 @query("op5_decontamination")

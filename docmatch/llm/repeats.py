@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docmatch.llm.common import WordHashes, arrow_schema, mixed, texts
-from docmatch.llm.corpus import Keys, with_totals
+from docmatch.llm.corpus import Keys, Kind, with_totals
 
 WINDOW = 35
 # Odd factors of the two rolling polynomials modulo 2^64.
@@ -57,7 +57,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
               "removed array<struct<start: bigint, end: bigint>>, text string")
     out = arrow_schema(schema)
 
-    def keys_of(table: pa.Table) -> Keys:
+    def keys_of(table: pa.Table) -> list[Keys]:
         known, first, second = WordHashes(), Rolling(FACTOR, window), Rolling(CHOOSING_FACTOR, window)
         hashes, choose = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         for text in table["text"]:
@@ -66,14 +66,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 values = known.of(words)
                 hashes.append(first.of(values))
                 choose.append(second.of(mixed(values)))
-        return Keys(np.concatenate(hashes), np.concatenate(choose))
+        return [Keys(np.concatenate(hashes), np.concatenate(choose))]
 
-    def use(table: pa.Table, totals: np.ndarray) -> pa.Table:
+    def use(table: pa.Table, totals: list[np.ndarray]) -> pa.Table:
+        starts_in, = totals
         counts, removed, left, at = [], [], [], 0
         for text in table["text"]:
             words = text.as_py().split()
             windows = max(0, len(words) - window + 1)
-            found = intervals(np.flatnonzero(totals[at:at + windows] > 1), window)
+            found = intervals(np.flatnonzero(starts_in[at:at + windows] > 1), window)
             at += windows
             counts.append(len(words))
             removed.append([dict(start=int(a), end=int(b)) for a, b in found])
@@ -84,4 +85,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             [table["doc_id"], pa.array(counts, pa.int64()), pa.array(removed, out[2].type),
              pa.array(left, pa.binary()).cast(pa.string())], schema=out)
 
-    return with_totals(texts(docs, id_col, text_col), keys_of, use, schema, width=8, keys_per_byte=1 / 7)
+    return with_totals(texts(docs, id_col, text_col), [Kind(8)], keys_of, use, schema)

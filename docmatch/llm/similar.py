@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from docmatch.llm.common import WordHashes, arrow_schema, kept, ngram_hashes, texts
 from docmatch.llm.components import components
-from docmatch.llm.corpus import Keys, with_totals
+from docmatch.llm.corpus import Keys, Kind, with_totals
 
 # Shingles that a search task holds at a time, about.
 SHARD_SHINGLES = 1 << 19
@@ -130,18 +130,19 @@ def documents(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         words = WordHashes()
         return [shingles(words, t.as_py(), n) for t in table["text"]]
 
-    def keys_of(table: pa.Table) -> Keys:
+    def keys_of(table: pa.Table) -> list[Keys]:
         every = np.concatenate(sets_of(table) or [np.empty(0, np.uint64)])
-        return Keys(every, every)
+        return [Keys(every, every)]
 
-    def use(table: pa.Table, totals: np.ndarray) -> pa.Table:
+    def use(table: pa.Table, totals: list[np.ndarray]) -> pa.Table:
+        list_lengths, = totals
         columns, at, first = ([], [], [], []), 0, {}
         sets, ids, raw = sets_of(table), table["doc_id"].to_pylist(), table["text"].to_pylist()
         for i in sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i])):
             if ids[i] is not None and len(sets[i]):
                 first.setdefault(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), i)
         for i, own in enumerate(sets):
-            lengths = totals[at:at + len(own)]
+            lengths = list_lengths[at:at + len(own)]
             at += len(own)
             same = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) and ids[i] is not None else None
             entered = np.empty(0, np.uint64)
@@ -154,7 +155,7 @@ def documents(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         return pa.Table.from_arrays([table["doc_id"], *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:]))],
                                     schema=out)
 
-    return with_totals(texts(docs), keys_of, use, schema, width=4, keys_per_byte=1 / 7)
+    return with_totals(texts(docs), [Kind(4)], keys_of, use, schema)
 
 
 def search(gathered: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -259,12 +260,8 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     Of rows that share id and text one stays; rows without an id all stay.
     """
     classes = similar_classes(docs.select("doc_id", "text"), n, num, den)
-    first = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    repeated = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    ranked = (docs.join(first, F.col("doc_id") == F.col("_first"), "left")
-              .withColumn("_copy", F.row_number().over(repeated)))
-    return (ranked.filter("doc_id is null or (_first is not null and _copy = 1)").select(*map(quoted, docs.columns)))
-
-
-def quoted(name: str) -> str:
-    return f"`{name}`"
+    first = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    repeated = Window.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy("row.doc_id")
+    ranked = whole.join(first, F.col("row.doc_id") == F.col("first"), "left").withColumn("copy", F.row_number().over(repeated))
+    return ranked.filter("row.doc_id is null or (first is not null and copy = 1)").select("row.*")
