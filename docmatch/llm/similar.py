@@ -72,8 +72,8 @@ class Lists:
         if not live:
             return []
         at = np.searchsorted(self.grams, query)
-        at = at[(at < len(self.grams))]
-        at = at[np.isin(self.grams[at], query, assume_unique=True)]
+        query, at = query[at < len(self.grams)], at[at < len(self.grams)]
+        at = at[self.grams[at] == query]
         if len(at) < least:
             return []
         lengths = self.bounds[at + 1] - self.bounds[at]
@@ -225,6 +225,12 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         shard.alias("shard"), "pivot", "part", "doc_id", F.lit(None).cast("boolean").alias("asks"),
         empty.alias("class"), "text"), n, num, den), "similar-links")
     same = found.filter("same is not null").select("doc_id", "same")
+    smallest = same.groupBy("same").agg(F.min("doc_id").alias("node"))
+    # An id with several sets ties their classes together.
+    several = (same.groupBy("doc_id").agg(F.min("same").alias("least"), F.max("same").alias("most"))
+               .filter("least < most").select("doc_id"))
+    ties = same.join(several, "doc_id").join(smallest, "same").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    first = first.unionByName(ties)
     labels = components(first)
 
     # Large groups that are not one class yet: whoever is not in the main class asks the other parts.
@@ -248,7 +254,6 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
             F.xxhash64("pivot", "part").alias("shard"), "pivot", "part", "doc_id", "asks", "class", "text"), n, num, den)
         labels = components(kept(first.unionByName(second), "similar-links"))
 
-    smallest = same.groupBy("same").agg(F.min("doc_id").alias("node"))
     named = smallest.join(labels, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     return (found.select("doc_id", F.col("n").alias("n_shingles"), "same").join(named, "same", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
