@@ -51,6 +51,32 @@ def count_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w != ""))
 
 
+def truncate_words(text: Column, n: int | Column) -> Column:
+    """Keep the text up to its ``n``-th token of the word counter, blanks between tokens included;
+    ``n <= 0`` keeps the text whole."""
+    n = F.lit(n) if isinstance(n, int) else n
+    head = F.call_function("regexp_extract", text, F.concat(F.lit(r"^(?:[ \t\r\n]*[^ \t\r\n]+){0,"), n.cast("string"), F.lit("}")), F.lit(0))
+    return F.when(n <= 0, text).otherwise(head)
+
+
+def truncate(text: Column, n: int | Column, counter: TokenCounter | None = None) -> Column:
+    """Keep the first ``n`` tokens as ``counter`` counts them (code points unless given).
+
+    A counter other than the two above is asked for the longest beginning of at most ``n`` tokens; it
+    must not fall as a text grows.
+    """
+    if counter in (None, count_chars):
+        return truncate_chars(text, n)
+    if counter is count_words:
+        return truncate_words(text, n)
+    n = F.lit(n) if isinstance(n, int) else n
+    # Halving steps over the length: each adds the next smaller power of two where the beginning still fits.
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    fits = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.length(text)) & (counter(F.substring(text, F.lit(1), at + step)) <= n), at + step).otherwise(at))
+    return F.when(n <= 0, text).otherwise(F.substring(text, F.lit(1), fits))
+
+
 def truncate_chars(text: Column, n: int | Column) -> Column:
     """Keep the first ``n`` tokens of the character counter; ``n <= 0`` keeps the text whole."""
     n = F.lit(n) if isinstance(n, int) else n

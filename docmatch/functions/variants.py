@@ -5,6 +5,8 @@ Plain casts coerce (the number 1 reads as the string "1"), so scalar types are t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,14 @@ def is_number(v: Column) -> Column:
     return F.coalesce(
         kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False)
     )
+
+
+def text_field(v: Column, name: str) -> Column:
+    """An object key whose value is a string; NULL for any other kind of value."""
+    return F.when(is_string(field(v, name)), string_field(v, name))
+
+
+def other_fields(v: Column, known: Callable[[Column], Column]) -> Column:
+    """The keys of an object that are not ``known``, values as text."""
+    others = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~known(k))
+    return F.transform_values(others, lambda _, x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))

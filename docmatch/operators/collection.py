@@ -1,8 +1,10 @@
 """Keyed point collections on an append-only Parquet log.
 
 The log holds ``upsert`` and ``delete`` rows with a sequence number per batch and an order within the
-batch, in folders by project, kind and side. Appending never rewrites data, readers resolve the
-latest state, and replaying a batch changes nothing because equal rows resolve to the same state.
+batch, in folders by a hash bucket of the project, kind and side, so that any number of projects makes a
+bounded number of folders; within a file, rows are sorted by project and statistics prune them. Appending
+never rewrites data, readers resolve the latest state, and replaying a batch changes nothing because equal
+rows resolve to the same state.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.errors import AnalysisException
 
 from docmatch.functions.ids import uuid5
 from docmatch.operators.models import EmbedFn, embed
+from docmatch.sources.staging import stage
 
-LOG_PARTITIONS = ["project_id", "op", "side"]
+LOG_PARTITIONS = ["bucket", "op", "side"]
+BUCKETS = 64
 
 ORD = T.StructType([T.StructField("doc", T.StringType()), T.StructField("pos", T.ArrayType(T.IntegerType()))])
 
@@ -26,8 +30,15 @@ LOG_SCHEMA = T.StructType([
     *[T.StructField(c, T.StringType()) for c in ("uid", "sid", "orig_sid", "group_uid", "text")],
     T.StructField("vector", T.ArrayType(T.FloatType())),
     T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
-    *[T.StructField(c, T.StringType()) for c in LOG_PARTITIONS],
+    *[T.StructField(c, T.StringType()) for c in ("project_id", "op", "side")],
 ])
+STORED_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
+VERSION = ["project_id", "point_id", "seq", "ord"]
+
+
+def bucket(project_id: Column) -> Column:
+    """The folder of a project."""
+    return F.pmod(F.xxhash64(project_id), F.lit(BUCKETS)).cast("int")
 
 
 def with_defaults(rows: DataFrame, mode: str | None = None) -> DataFrame:
@@ -90,54 +101,88 @@ def append_log(log_rows: DataFrame, path: str, few_files: bool = False) -> None:
     With ``few_files`` rows are rebalanced by folder first: for inputs whose projects are mixed, where
     every task would otherwise write a file into every folder. A large project still splits by size.
     """
+    log_rows = log_rows.withColumn("bucket", bucket(F.col("project_id")))
     if few_files:
         log_rows = log_rows.hint("rebalance", *LOG_PARTITIONS)
+    log_rows = log_rows.sortWithinPartitions(*LOG_PARTITIONS, "project_id")
     log_rows.write.mode("append").partitionBy(*LOG_PARTITIONS).parquet(path)
 
 
 def ensure_collection(spark: SparkSession, path: str) -> None:
     """Create an empty log unless one exists; an existing log is left alone."""
     try:
-        spark.read.schema(LOG_SCHEMA).parquet(path)
+        spark.read.schema(STORED_SCHEMA).parquet(path)
     except AnalysisException:
-        spark.createDataFrame([], LOG_SCHEMA).write.mode("ignore").parquet(path)
+        spark.createDataFrame([], STORED_SCHEMA).write.mode("ignore").parquet(path)
 
 
-def read_log(spark: SparkSession, path: str, project_id: str | None = None, side: str | None = None) -> DataFrame:
-    """The log, limited by folder to a project and a side; a missing collection reads as empty.
+def read_log(
+    spark: SparkSession, path: str, project_id: str | list[str] | None = None, side: str | None = None
+) -> DataFrame:
+    """The log, limited by folder to projects and a side; a missing collection reads as empty.
 
     Deletions apply to both sides and are always read.
     """
     try:
-        log = spark.read.schema(LOG_SCHEMA).parquet(path)
+        log = spark.read.schema(STORED_SCHEMA).parquet(path)
     except AnalysisException:
-        log = spark.createDataFrame([], LOG_SCHEMA)
+        log = spark.createDataFrame([], STORED_SCHEMA)
     if project_id is not None:
-        log = log.where(F.col("project_id") == project_id)
+        names = [project_id] if isinstance(project_id, str) else project_id
+        log = log.where(F.col("bucket").isin(*[bucket(F.lit(n)) for n in names]) & F.col("project_id").isin(*names))
     if side is not None:
         log = log.where((F.col("side") == side) | (F.col("op") == "delete"))
-    return log
+    return log.drop("bucket")
 
 
-def latest(log: DataFrame) -> DataFrame:
-    """The last version of each point: highest batch, then last row of the batch.
+def _latest_versions(log: DataFrame) -> DataFrame:
+    """The last version of each point, highest batch, then last row of the batch, in narrow rows.
 
     The row limit per point is applied before the shuffle as well, so a point rewritten very often
     sends one row per task.
     """
     w = Window.partitionBy("project_id", "point_id").orderBy(F.desc("seq"), F.desc("ord"))
-    return log.where(F.col("op") == "upsert").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    narrow = log.where(F.col("op") == "upsert").select(*VERSION, "orig_sid")
+    return narrow.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def current(log: DataFrame) -> DataFrame:
-    """Live points. A deletion removes the points whose latest version belongs to its document and
-    is older; taking the latest version first keeps older versions from coming back.
+def live_versions(log: DataFrame) -> DataFrame:
+    """The versions of live points. A deletion removes the points whose latest version belongs to its
+    document and is older; taking the latest version first keeps older versions from coming back.
     """
     removed = log.where(F.col("op") == "delete").groupBy(
         F.col("project_id"), F.col("orig_sid")
     ).agg(F.max("seq").alias("_removed"))
-    live = latest(log).join(removed, ["project_id", "orig_sid"], "left")
-    return live.where(F.col("_removed").isNull() | (F.col("_removed") <= F.col("seq"))).drop("_removed", "op")
+    live = _latest_versions(log).join(removed, ["project_id", "orig_sid"], "left")
+    return live.where(F.col("_removed").isNull() | (F.col("_removed") <= F.col("seq"))).select(*VERSION)
+
+
+def rows_of(log: DataFrame, versions: DataFrame) -> DataFrame:
+    """The log's rows of some versions: the one join that texts and vectors take part in. Batches that
+    were replayed hold a version more than once; one row of each is kept.
+    """
+    rows = log.where(F.col("op") == "upsert").join(versions.select(*VERSION), VERSION, "left_semi")
+    return rows.dropDuplicates(VERSION)
+
+
+def latest(log: DataFrame) -> DataFrame:
+    """The last version of each point."""
+    return rows_of(log, _latest_versions(log))
+
+
+def current(log: DataFrame) -> DataFrame:
+    """Live points."""
+    return rows_of(log, live_versions(log)).drop("op")
+
+
+def stored_current(log: DataFrame) -> DataFrame:
+    """Live points of a stored log, for several reads: the versions are resolved once and stored. Where
+    nothing was written twice or removed, the log's rows are the points and need no join.
+    """
+    versions = stage(live_versions(log), "versions")
+    upserted = log.where(F.col("op") == "upsert")
+    points = upserted if versions.count() == upserted.count() else rows_of(log, versions)
+    return points.drop("op")
 
 
 def lookup(points: DataFrame, ids: DataFrame, column: str = "uid") -> DataFrame:
@@ -149,22 +194,27 @@ def lookup(points: DataFrame, ids: DataFrame, column: str = "uid") -> DataFrame:
 def counts(points: DataFrame) -> DataFrame:
     """Points and documents per project and side."""
     return points.groupBy("project_id", "side").agg(
-        F.count(F.lit(1)).alias("points"), F.approx_count_distinct("group_uid").alias("documents_approx")
+        F.count(F.lit(1)).alias("points"), F.count_distinct("group_uid").alias("documents")
     )
 
 
-def ingest(
-    rows: DataFrame, path: str, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool = False, few_files: bool = False
-) -> None:
-    """Embed text rows and append them in one pass.
+def embedded(rows: DataFrame, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool = False) -> DataFrame:
+    """Text rows as log rows with their vectors.
 
-    Rows without a uid or text, or with a vector of the wrong size, go to the log as ``reject`` rows:
-    they are kept for inspection and never searched. See ``append_log`` for ``few_files``.
+    Rows without a uid or text, or with a vector of the wrong size, become ``reject`` rows: they are
+    kept for inspection and never searched.
     """
     points = embed(prepare_points(rows), fn, dedupe=dedupe)
     good = F.col("uid").isNotNull() & F.col("text").isNotNull() & (F.coalesce(F.size("vector"), F.lit(0)) == dim)
     log = points.withColumns({"seq": F.lit(seq).cast("long"), "op": F.when(good, "upsert").otherwise("reject")})
-    append_log(log.select(*LOG_SCHEMA.names), path, few_files)
+    return log.select(*LOG_SCHEMA.names)
+
+
+def ingest(
+    rows: DataFrame, path: str, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool = False, few_files: bool = False
+) -> None:
+    """Embed text rows and append them in one pass. See ``embedded`` and ``append_log``."""
+    append_log(embedded(rows, fn, seq, dim=dim, dedupe=dedupe), path, few_files)
 
 
 def rejects(log: DataFrame) -> DataFrame:
@@ -178,4 +228,4 @@ def rejects(log: DataFrame) -> DataFrame:
 def compact(spark: SparkSession, path: str, new_path: str) -> None:
     """Write the live points as a new log; the one being read is not touched."""
     log = current(read_log(spark, path)).withColumn("op", F.lit("upsert")).select(*LOG_SCHEMA.names)
-    log.write.partitionBy(*LOG_PARTITIONS).parquet(new_path)
+    append_log(log, new_path)

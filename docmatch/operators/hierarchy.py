@@ -26,6 +26,7 @@ def flatten(
     as_coded: bool = False,
     keep_extra: bool = False,
     spread: int | None = None,
+    max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """One row per path of at most ``depth`` levels, with sids and texts joined along the path.
 
@@ -33,15 +34,18 @@ def flatten(
     carried along. Adds ``orig_sid, group_uid, uid, text, pos``; ``pos`` is the position path that
     gives document order. ``as_coded`` counts levels as N-1 for N of 2 and more. ``keep_extra``
     keeps the other keys of the deepest node as a map. ``spread`` redistributes the first-level
-    nodes, for inputs of few but very large trees. ``depth`` may be a column of the trees.
+    nodes, for inputs of few but very large trees. ``depth`` may be a column of the trees, of values up
+    to ``max_depth``; a larger one is an error, since its deeper texts would be lost.
     """
     if isinstance(depth, int):
         if depth < 1:
             raise ValueError("depth must be at least 1")
-        levels = min(max(1, depth - 1) if as_coded else depth, MAX_DEPTH)
+        levels = max(1, depth - 1) if as_coded else depth
         reaches = None
     else:
-        levels, reaches = MAX_DEPTH, depth - 1 if as_coded else depth
+        levels, reaches = max_depth, depth - 1 if as_coded else depth
+        too_deep = F.raise_error(F.concat(F.lit("a depth is above max_depth: "), reaches.cast("string")))
+        reaches = F.when(reaches > max_depth, too_deep.cast("int")).otherwise(reaches)
     tree = F.col("tree") if "tree" in trees.columns else F.try_parse_json("raw")
     carried = [c for c in trees.columns if c not in ("raw", "tree")]
 
@@ -56,8 +60,10 @@ def flatten(
         _text_of(F.col("_node"), "sid").alias("_sids"),
         _text_of(F.col("_node"), "text").alias("text"),
     )
+    if reaches is not None and levels == 1:
+        rows = rows.where(reaches >= 0)
     if keep_extra:
-        rows = rows.withColumn("extra", _extra(F.col("_node"), 1))
+        rows = rows.withColumn("extra", _extra(F.col("_node")))
     for level in range(2, levels + 1):
         ended = F.col("_p").isNull()
         child = F.col("_child")
@@ -78,7 +84,7 @@ def flatten(
             .otherwise(F.concat_ws("\n", "text", _text_of(child, "text"))).alias("text"),
         ]
         if keep_extra:
-            step.append(F.when(ended, F.col("extra")).otherwise(_extra(child, level)).alias("extra"))
+            step.append(F.when(ended, F.col("extra")).otherwise(_extra(child)).alias("extra"))
         rows = rows.select(*kept, *step)
     group_uid = F.concat_ws("-", "side", "_sids")
     return rows.select(
@@ -87,14 +93,9 @@ def flatten(
     )
 
 
-def _extra(node: Column, level: int) -> Column:
+def _extra(node: Column) -> Column:
     """Keys of a node other than its sid, text and children, values as text."""
-    keys = F.try_variant_get(node, "$", "map<string,variant>")
-    known = ["sid", "text", *[f"level{n}" for n in range(1, MAX_DEPTH + 1)]]
-    others = F.map_filter(keys, lambda k, _: ~k.isin(known))
-    return F.transform_values(
-        others, lambda _, v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
-    )
+    return vr.other_fields(node, lambda k: k.isin("sid", "text") | k.rlike("^level[0-9]+$"))
 
 
 def chunk(docs: DataFrame, size: int | Column) -> DataFrame:

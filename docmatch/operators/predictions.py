@@ -9,7 +9,8 @@ from docmatch.functions import variants as vr
 from docmatch.functions.text import strip_fence
 
 FIELDS = ["input_uid", "input_text", "ref_uid", "ref_text", "plain_text"]
-PREDICTION = [*FIELDS, "evidences", "start_end_idx", "confidence", "similarity_score"]
+UIDS = ["input_uid", "ref_uid"]
+PREDICTION = [*FIELDS, "evidences", "start_end_idx", "confidence", "similarity_score", "extra"]
 
 
 def parse_output(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
@@ -18,7 +19,8 @@ def parse_output(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
     A list gives its items. Text that is not JSON becomes one prediction with the text as
     ``plain_text`` and confidence 1; JSON other than a list gives nothing. ``item_status`` is
     ``bad_item`` for items that are not objects or whose confidence is not a number. Absent
-    ``evidences`` and ``start_end_idx`` become empty lists, JSON null stays NULL.
+    ``evidences`` and ``start_end_idx`` become empty lists, JSON null stays NULL. A uid that is not a
+    string names nothing. All other keys of an item are kept as text in the map ``extra``.
     """
     carried = [c for c in answers.columns if c != raw]
     body = answers.where(F.col(raw).isNotNull()).withColumn("_body", strip_fence(F.col(raw)))
@@ -40,13 +42,14 @@ def parse_output(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
     good = F.col("_plain") | (
         F.coalesce(vr.is_object(item), F.lit(False)) & (confidence.isNull() | vr.is_number(confidence))
     )
-    columns = {name: vr.string_field(item, name) for name in FIELDS}
+    columns = {name: (vr.text_field if name in UIDS else vr.string_field)(item, name) for name in FIELDS}
     columns["plain_text"] = F.when(F.col("_plain"), F.col("_body")).otherwise(columns["plain_text"])
     columns["evidences"] = list_field("evidences", "array<string>")
     columns["start_end_idx"] = list_field("start_end_idx", "array<array<int>>")
     columns["confidence"] = F.when(F.col("_plain"), F.lit(1.0)).when(
         vr.is_number(confidence), F.try_variant_get(item, "$.confidence", "double")
     )
+    columns["extra"] = vr.other_fields(item, lambda k: k.isin(*PREDICTION))
     columns["item_status"] = F.when(good, "ok").otherwise("bad_item")
     return rows.select(*carried, "pred_no", *[c.alias(n) for n, c in columns.items()])
 
@@ -97,8 +100,8 @@ def envelopes(answers: DataFrame, predictions: DataFrame, keys: list[str], head:
     filtered keep an empty list.
     """
     lists = predictions.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("pred_no", *[c for c in PREDICTION if c in predictions.columns])))
-        .alias("predictions")
+        F.array_sort(F.collect_list(F.struct("pred_no", *[c for c in PREDICTION if c in predictions.columns])),
+                     lambda a, b: a["pred_no"] - b["pred_no"]).alias("predictions")
     )
     joined = answers.select(*dict.fromkeys([*keys, *head])).join(lists, keys, "left")
     empty = F.array().cast(lists.schema["predictions"].dataType)

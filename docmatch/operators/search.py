@@ -31,6 +31,7 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
 CELL_PRODUCTS = 1 << 35
 QUERY_ROWS = 16_384
+BROADCAST_SCOPES = 100_000
 TILE_CELLS = 2 << 20
 BUCKET_ROWS = 4096
 GROUP = 32
@@ -67,9 +68,10 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     rows = len(vectors)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if rows and flat.size % rows:
+    sizes = pc.list_value_length(vectors)
+    if rows and (sizes.null_count or pc.min(sizes).as_py() != pc.max(sizes).as_py()):
         raise ValueError("vectors of different sizes in one search")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     m = flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
     return m, np.sqrt(np.einsum("ij,ij->i", m, m))
 
@@ -105,6 +107,8 @@ def _best(q: _Block, p: _Block, k: int):
     largest rounding error of a lower bound for the k-th score. Those are scored in double precision.
     """
     n = len(p)
+    if n and len(q) and q.m.shape[1] != p.m.shape[1]:
+        raise ValueError("vectors of different sizes in one search")
     if not n or not len(q):
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
     slack = 2 * (q.m.shape[1] + 8) * np.finfo(np.float32).eps
@@ -162,14 +166,20 @@ def _merge(old: pa.Table | None, new: pa.Table, k: int) -> pa.Table:
 
 
 def _by_scope(table: pa.Table, scope: list[str]) -> dict[tuple, pa.Table]:
-    """Split a bounded table by scope values."""
+    """Split a bounded table by scope values; rows keep their order within a scope."""
     if not scope:
         return {(): table}
-    keys = list(zip(*[table[s].to_pylist() for s in scope]))
-    groups: dict[tuple, list[int]] = {}
-    for i, key in enumerate(keys):
-        groups.setdefault(key, []).append(i)
-    return {key: table.take(pa.array(rows)) for key, rows in groups.items()}
+    table = table.combine_chunks()
+    code = np.zeros(len(table), np.int64)
+    for name in scope:
+        column = table[name].combine_chunks() if isinstance(table[name], pa.ChunkedArray) else table[name]
+        coded = column.dictionary_encode(null_encoding="encode")
+        code = np.unique(code * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    table = table.take(pa.array(order))
+    ends = [*cuts[1:].tolist(), len(order)]
+    return {tuple(table[name][a].as_py() for name in scope): table.slice(a, z - a) for a, z in zip(cuts.tolist(), ends)}
 
 
 # --- strategies --------------------------------------------------------------------------------
@@ -183,8 +193,9 @@ class _Join:
         self.qkey, self.pkey, self.qv, self.pv = query_key, point_key, "_qv", "_pv"
         # Fresh column identities, so both sides may come from one table.
         fresh = [F.col(s).alias(s) for s in self.scope]
-        self.q = queries.select(*fresh, query_key, F.col(query_vector).alias("_qv"))
-        self.p = points.select(*fresh, point_key, F.col(point_vector).alias("_pv"))
+        # A row without a vector neither asks nor answers.
+        self.q = queries.select(*fresh, query_key, F.col(query_vector).alias("_qv")).where(F.col("_qv").isNotNull())
+        self.p = points.select(*fresh, point_key, F.col(point_vector).alias("_pv")).where(F.col("_pv").isNotNull())
         self.qcols = [*self.scope, query_key]
         self.schema = T.StructType(
             [self.q.schema[c] for c in self.qcols]
@@ -197,24 +208,21 @@ class _Join:
         return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
 
 
-def _rows_within(side: DataFrame, vector: str, max_bytes: int, max_rows: int | None = None) -> bool:
-    """Proof that a side fits: its row count, and that times the size of its vectors."""
-    first = side.select(F.size(vector)).head()
-    if first is None:
-        return True
-    rows = side.count()
-    return rows * (4 * max(first[0], 1) + 64) <= max_bytes and (max_rows is None or rows <= max_rows)
+def _rows_within(side: DataFrame, key: str, vector: str, max_bytes: int, max_rows: int | None = None) -> bool:
+    """Proof that a side fits, from one aggregate over it: its rows, largest vector and keys."""
+    size = side.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vector)).alias("dim"),
+                    F.sum(F.octet_length(F.col(key).cast("string"))).alias("keys")).head()
+    bytes_needed = size["rows"] * (4 * max(size["dim"] or 1, 1) + 64) + (size["keys"] or 0)
+    return bytes_needed <= max_bytes and (max_rows is None or size["rows"] <= max_rows)
 
 
-def _collect_bounded(side: DataFrame, key: str, max_bytes: int) -> pa.Table:
-    table = side.toArrow()
-    if table.nbytes > 4 * max_bytes:
-        raise ValueError("side is larger than its broadcast bound")
-    return _in_key_order(table, key)
+def _collect_bounded(side: DataFrame, key: str) -> pa.Table:
+    """A side that ``_rows_within`` has proven to fit."""
+    return _in_key_order(side.toArrow(), key)
 
 
-def _broadcast_points(j: _Join, max_bytes: int) -> DataFrame:
-    table = _collect_bounded(j.p, j.pkey, max_bytes)
+def _broadcast_points(j: _Join) -> DataFrame:
+    table = _collect_bounded(j.p, j.pkey)
     small = j.q.sparkSession.sparkContext.broadcast(table)
     qcols, pkey, qv, pv, k, scope = j.qcols, j.pkey, j.qv, j.pv, j.k, j.scope
 
@@ -229,8 +237,8 @@ def _broadcast_points(j: _Join, max_bytes: int) -> DataFrame:
     return j.q.mapInArrow(search, j.schema)
 
 
-def _broadcast_queries(j: _Join, max_bytes: int) -> DataFrame:
-    table = _collect_bounded(j.q, j.qkey, max_bytes)
+def _broadcast_queries(j: _Join) -> DataFrame:
+    table = _collect_bounded(j.q, j.qkey)
     small = j.q.sparkSession.sparkContext.broadcast(table)
     qcols, pkey, qv, pv, k, scope = j.qcols, j.pkey, j.qv, j.pv, j.k, j.scope
 
@@ -265,25 +273,38 @@ def _tables(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _block_counts(side: DataFrame, scope: list[str], vector: str, block_bytes: int, name: str) -> DataFrame:
-    """Blocks per scope, from its row count; a distributed count with map-side combining.
+def _block_rows(dim: Column, block_bytes: int) -> Column:
+    """Rows of a block, so that both its bytes and the products of a pair of blocks stay bounded."""
+    dim = F.greatest(dim, F.lit(1))
+    return F.greatest(F.lit(1.0), F.least(F.sqrt(F.lit(float(CELL_PRODUCTS)) / dim), F.lit(block_bytes / 4) / dim))
+
+
+def _blocks(vector: str, block_bytes: int) -> Column:
+    return F.ceil(F.count(F.lit(1)) / _block_rows(F.max(F.size(vector)), block_bytes)).cast("int")
 
-    A block holds as many rows as keep both its bytes and the products of a pair of blocks bounded.
+
+def _with_blocks(j: _Join, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the numbers of query and point blocks of their scope, ``_nq`` and ``_np``.
+
+    Without a scope two counts are all there is. With scopes the counts are one narrow row per scope,
+    stored once; they are broadcast if their number proves that they fit, else the join is a shuffle
+    whose hot scopes Spark splits.
     """
-    dim = F.greatest(F.max(F.size(vector)), F.lit(1))
-    rows = F.greatest(F.lit(1.0), F.least(F.sqrt(F.lit(float(CELL_PRODUCTS)) / dim), F.lit(block_bytes / 4) / dim))
-    blocks = F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name)
-    return side.groupBy(*scope).agg(blocks).select(*[F.col(s).alias(s) for s in scope], name)
+    if not j.scope:
+        nq = j.q.agg(_blocks(j.qv, block_bytes).alias("n")).head()["n"]
+        np_ = j.p.agg(_blocks(j.pv, block_bytes).alias("n")).head()["n"]
+        numbers = {"_nq": F.lit(max(1, nq)), "_np": F.lit(max(1, np_))}
+        return j.q.withColumns(numbers), j.p.withColumns(numbers)
+    counted = j.q.groupBy(*j.scope).agg(_blocks(j.qv, block_bytes).alias("_nq")).join(
+        j.p.groupBy(*j.scope).agg(_blocks(j.pv, block_bytes).alias("_np")), j.scope)
+    sizes = stage(counted, "block-counts")
+    if sizes.count() <= BROADCAST_SCOPES:
+        sizes = F.broadcast(sizes)
+    return j.q.join(sizes, j.scope), j.p.join(sizes, j.scope)
 
 
 def _grid(j: _Join, block_bytes: int) -> DataFrame:
-    # One constant scope when there is none, so both cases share a plan.
-    scope = j.scope or ["_all"]
-    q = j.q if j.scope else j.q.withColumn("_all", F.lit(0))
-    p = j.p if j.scope else j.p.withColumn("_all", F.lit(0))
-    sizes = _block_counts(q, scope, j.qv, block_bytes, "_nq").join(
-        _block_counts(p, scope, j.pv, block_bytes, "_np"), scope
-    )
+    q, p = _with_blocks(j, block_bytes)
 
     def slot(key: str, n: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
@@ -291,9 +312,9 @@ def _grid(j: _Join, block_bytes: int) -> DataFrame:
     def each(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    q = q.join(sizes, scope).withColumns({"_qb": slot(j.qkey, "_nq"), "_pb": each("_np")})
-    p = p.join(sizes, scope).withColumns({"_pb": slot(j.pkey, "_np"), "_qb": each("_nq")})
-    cell = [*scope, "_qb", "_pb"]
+    q = q.withColumns({"_qb": slot(j.qkey, "_nq"), "_pb": each("_np")})
+    p = p.withColumns({"_pb": slot(j.pkey, "_np"), "_qb": each("_nq")})
+    cell = [*j.scope, "_qb", "_pb"]
     q = q.drop("_nq", "_np")
     p = p.drop("_nq", "_np")
     qcols, pkey, qv, pv, k = j.qcols, j.pkey, j.qv, j.pv, j.k
@@ -375,18 +396,12 @@ def knn(
     if filters:
         points = points.where(payload_filter(points, filters))
     j = _Join(queries, points, k, scope, query_key, point_key, query_vector, point_vector)
-    if strategy == "auto":
-        if _rows_within(j.p, j.pv, broadcast_bytes):
-            strategy = "points"
-        elif _rows_within(j.q, j.qv, broadcast_bytes, QUERY_ROWS):
-            strategy = "queries"
-        else:
-            strategy = "grid"
-    if strategy == "points":
-        hits = _broadcast_points(j, broadcast_bytes)
-    elif strategy == "queries":
-        hits = _broadcast_queries(j, broadcast_bytes)
-    elif strategy == "grid":
+    # A side is gathered only behind the proof that it fits, whoever asked for it.
+    if strategy in ("auto", "points") and _rows_within(j.p, j.pkey, j.pv, broadcast_bytes):
+        hits = _broadcast_points(j)
+    elif strategy in ("auto", "queries") and _rows_within(j.q, j.qkey, j.qv, broadcast_bytes, QUERY_ROWS):
+        hits = _broadcast_queries(j)
+    elif strategy != "lsh":
         hits = j.ranked(_grid(j, block_bytes))
     else:
         hits = _lsh(j, block_bytes, tables, bits, seed)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from docmatch.functions.text import TokenCounter, count_chars
 from docmatch.operators import collection as col
 from docmatch.operators import hierarchy, models, predictions, prompt, search, validate
-from docmatch.operators.scenario import Scenario, effective_k, resolve
-from docmatch.sources.staging import new_path, stage
+from docmatch.operators.scenario import Scenario, effective_k, resolve, searched_side
+from docmatch.sources.staging import stage
 from docmatch.sources.trees import request_trees, split_complete
 
 SCENARIO_TYPES = {
@@ -26,6 +26,7 @@ SCENARIO_TYPES = {
     "llm_name": "string", "max_prompt_tokens": "int",
 }
 QUERY = ["leg", "project_id", "query_uid"]
+MAX_NAMED_PROJECTS = 200
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,22 @@ def _searched(points: DataFrame, leg: str) -> DataFrame:
     return points.where(F.col("side") == _sides(leg)[1])
 
 
+def _indexed(batch: DataFrame, scenario: Scenario | DataFrame) -> DataFrame:
+    """The rows of a batch that a kept collection takes: the sides its direction searches, and rejects."""
+    named = _with_scenario(batch, scenario, ["direction"])
+    searched = F.lower("direction").isin("both") | (F.col("side") == searched_side(F.lower("direction")))
+    return named.where((F.col("op") == "reject") | searched).select(*batch.columns)
+
+
+def _log_of_projects(path: str, batch: DataFrame) -> DataFrame:
+    """The kept log of the batch's projects. A few of them prune folders and row groups by name."""
+    spark, projects = batch.sparkSession, batch.select("project_id").distinct()
+    names = [r["project_id"] for r in projects.head(MAX_NAMED_PROJECTS + 1)]
+    if len(names) <= MAX_NAMED_PROJECTS:
+        return col.read_log(spark, path, names)
+    return col.read_log(spark, path).join(projects, "project_id", "left_semi")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -111,22 +128,27 @@ def match(
     """Match ``(project_id, doc_id, side, raw)`` trees in the scenario's direction.
 
     A scenario table has one resolved row per project (see ``scenario.resolve``), valid ones only.
-    Both kinds of model calls end in stored tables, the collection log and the answers, so no later
-    stage repeats them. Without ``collection_path`` the job gets a collection of its own.
+    Both kinds of model calls end in stored tables, the batch of points and the answers, so no later
+    stage repeats them. The rows of this job ask, whatever else a kept collection holds. They search the
+    points of the job's projects: those of the kept collection at ``collection_path``, to which the job
+    first adds its rows of the sides that are searched, or else the job's own.
     """
-    spark = trees.sparkSession
-    path = collection_path or new_path(spark, "collection")
     valid, rejected = validate.split_valid(trees)
+    legs = scenario.legs() if isinstance(scenario, Scenario) else ("forward", "reverse")
 
     rows = text_rows(valid, scenario)
-    col.ingest(rows, path, embed_fn, seq, dim=dim, dedupe=dedupe, few_files=few_files)
-    points = stage(col.current(col.read_log(spark, path)), "points")
+    batch = stage(col.embedded(rows, embed_fn, seq, dim=dim, dedupe=dedupe), "batch")
+    asking = col.stored_current(batch)
+    if collection_path is None:
+        points = asking
+    else:
+        col.append_log(_indexed(batch, scenario), collection_path, few_files)
+        points = col.stored_current(_log_of_projects(collection_path, batch))
 
     # Hits stay narrow; the texts of both ends join where prompts are made.
-    legs = scenario.legs() if isinstance(scenario, Scenario) else ("forward", "reverse")
     hits = stage(_union([
         search.knn(
-            _queries(points, leg, scenario), _searched(points, leg), _largest_k(scenario, leg),
+            _queries(asking, leg, scenario), _searched(points, leg), _largest_k(scenario, leg),
             scope=["project_id"], strategy=strategy, k_column="k" if isinstance(scenario, DataFrame) else None,
         ).withColumn("leg", F.lit(leg))
         for leg in legs
@@ -136,7 +158,7 @@ def match(
         for leg in legs
     ])
     queries = _with_scenario(
-        _union([_queries(points, leg, scenario).drop("vector", "k") for leg in legs]), scenario,
+        _union([_queries(asking, leg, scenario).drop("vector", "k") for leg in legs]), scenario,
         ["role_desc", "reference_desc", "input_desc", "scoring_rule", "cof_threshold", "max_prompt_tokens",
          "llm_name", "direction"],
     )

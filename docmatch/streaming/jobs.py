@@ -13,20 +13,24 @@ STATE = "project_id string, status string, created_at timestamp, updated_at time
 OUTPUT = f"job_id string, {STATE}, timed_out boolean"
 
 
-def job_state(events: DataFrame, *, watermark: str, timeout_seconds: int) -> DataFrame:
+def job_state(events: DataFrame, *, watermark: str, timeout_seconds: int, ttl_seconds: int = 7 * 86_400) -> DataFrame:
     """Latest status per job, and a failure for jobs still pending after the timeout.
 
     ``events`` is a stream of ``(job_id, project_id, status, ts)``. Emits a row per job and
     micro-batch that changed it. State is one small record per job; a job's events arrive in slices
-    and are reduced slice by slice, so a very busy job needs no memory for its events. Finished jobs
-    drop their state.
+    and are reduced slice by slice, so a very busy job needs no memory for its events. Only pending
+    jobs time out. Every other job, a finished one too, keeps its record until nothing has been heard
+    of it for ``ttl_seconds``, so a late event still meets the job's first and last time.
     """
     def step(key: tuple, slices: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         project, status, created, updated = state.get if state.exists else (None, None, None, None)
         if state.hasTimedOut:
-            state.remove()
             if status == "pending":
+                state.update((project, "failed", created, updated))
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + ttl_seconds * 1000)
                 yield pd.DataFrame([(key[0], project, "failed", created, updated, True)], columns=_COLUMNS)
+            else:
+                state.remove()
             return
         for part in slices:
             last = part.loc[part["ts"].idxmax()]
@@ -34,13 +38,10 @@ def job_state(events: DataFrame, *, watermark: str, timeout_seconds: int) -> Dat
             created = first if created is None else min(created, first)
             if updated is None or last["ts"] >= updated:
                 project, status, updated = last["project_id"], last["status"], last["ts"]
-        if status in ("completed", "failed"):
-            if state.exists:
-                state.remove()
-        else:
-            state.update((project, status, created, updated))
-            due = int(created.timestamp() * 1000) + timeout_seconds * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        state.update((project, status, created, updated))
+        start, wait = (created, timeout_seconds) if status == "pending" else (updated, ttl_seconds)
+        due = int(start.timestamp() * 1000) + wait * 1000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], project, status, created, updated, False)], columns=_COLUMNS)
 
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)

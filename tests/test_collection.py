@@ -131,5 +131,25 @@ def test_reads_are_pruned_to_project_and_side(spark, capsys):
     col.ingest(rows(spark, {"uid": "a", "text": "1"}, {"uid": "b", "text": "2", "project": "q"}), path, EMBED, 1, dim=8)
     col.current(col.read_log(spark, path, "p", "input")).explain("formatted")
     shown = capsys.readouterr().out
-    assert shown.count("PartitionFilters: [isnotnull(project_id") == 2
+    assert shown.count("PartitionFilters: [isnotnull(bucket") >= 2 and "project_id,p" in shown
     assert "WindowGroupLimit" in shown
+
+
+def test_versions_are_resolved_without_texts_and_vectors(spark):
+    path = new_path(spark, "t")
+    col.ingest(rows(spark, {"uid": "a", "text": "1"}), path, EMBED, 1, dim=8)
+    col.ingest(rows(spark, {"uid": "a", "text": "2"}), path, EMBED, 2, dim=8)
+    plan = col.live_versions(col.read_log(spark, path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Project [" in plan
+    scans = [line for line in col.live_versions(col.read_log(spark, path))._jdf.queryExecution().executedPlan().toString().splitlines()
+             if "ReadSchema" in line]
+    assert scans and not any("vector" in x.split("ReadSchema")[1] or "text" in x.split("ReadSchema")[1] for x in scans)
+    (row,) = col.stored_current(col.read_log(spark, path)).collect()
+    assert row.text == "2"
+
+
+def test_many_projects_make_few_folders(spark, tmp_path):
+    path = str(tmp_path / "log")
+    col.ingest(rows(spark, *({"uid": f"u{i}", "text": "t", "project": f"p{i}"} for i in range(300))), path, EMBED, 1, dim=8, few_files=True)
+    assert len(list((tmp_path / "log").glob("bucket=*"))) <= col.BUCKETS
+    assert set(live(spark, path, project_id="p7")) == {"u7"}

@@ -125,8 +125,13 @@ def test_ten_documents_give_ten_envelopes_into_a_kept_collection(spark):
     df = trees(spark, [f"doc {i}" for i in range(10)], ["doc", "other"])
     assert run(df, collection_path=path).envelopes.count() == 10
     again = run(trees(spark, ["new one"], []), collection_path=path, seq=1, max_prompt_tokens=2000)
-    uids = {e.query_uid for e in again.envelopes.collect()}
-    assert len(uids) == 10, "input-0 was replaced, the others stay"
+    assert [e.query_uid for e in again.envelopes.collect()] == ["input-0"], "only this job's rows ask"
+    assert {h.uid for h in again.hits.collect()} == {"reference-0", "reference-1"}, "they search what is kept"
+    other = run(trees(spark, ["third"], ["own"], project="q"), collection_path=path, seq=2, max_prompt_tokens=2000)
+    assert [(e.project_id, e.query_uid) for e in other.envelopes.collect()] == [("q", "input-0")]
+    assert {h.uid for h in other.hits.collect()} == {"reference-0"}, "of their own project"
+    kept = col.current(col.read_log(spark, path)).select("project_id", "side").distinct().collect()
+    assert {(r.project_id, r.side) for r in kept} == {("p", "reference"), ("q", "reference")}, "only the searched side"
 
 
 def test_results_are_written_by_project(spark, tmp_path):
