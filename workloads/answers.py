@@ -114,7 +114,16 @@ def token_count(spark, sf_dir):
 SELECT c_custkey, CASE WHEN c_nationkey <= 0 THEN c_name ELSE substr(c_name, 1, c_nationkey) END AS text FROM customer""")
 def token_truncate(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", tx.truncate_chars(F.col("c_name"), F.col("c_nationkey")).alias("text"))
+        "c_custkey", tx.truncate(F.col("c_name"), F.col("c_nationkey")).alias("text"))
+
+
+@query("token_truncate_words", """
+SELECT doc_id, CASE WHEN doc_id % 50 <= 0 THEN text ELSE
+  regexp_extract(text, '^(?:[ \\t\\r\\n]*[^ \\t\\r\\n]+){0,' || (doc_id % 50) || '}') END AS text FROM documents""")
+def token_truncate_words(spark, sf_dir):
+    """The word counter's truncation, and the general one by halving steps where it must agree."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", tx.truncate(F.col("text"), (F.col("doc_id") % 50).cast("int"), tx.count_words).alias("text"))
 
 
 # --- models ---
@@ -158,7 +167,7 @@ def model_routing(spark, sf_dir):
 
 # One answer per query; the label of its vector chooses the form. {u} is the query, {h} its best hit.
 _FORMS = [
-    '[{"input_uid":"{u}","ref_uid":"{h}","confidence":0.5},{"input_uid":"{u}","ref_uid":"{h}","confidence":0.49}]',
+    '[{"input_uid":"{u}","ref_uid":"{h}","confidence":0.5,"reason":"close"},{"input_uid":"{u}","ref_uid":"{h}","confidence":0.49}]',
     '```json\n[{"input_uid":"{u}","ref_uid":"{h}","input_text":"a","ref_text":"b","confidence":0.9}]\n```',
     '```[{"ref_uid":"{h}"}]```',
     "  no match for {u} \n",
@@ -170,22 +179,22 @@ _FORMS = [
     '[{"ref_uid":"{h}","evidences":null,"start_end_idx":[[0,3],[4,9]],"confidence":0.6},{"evidences":["x","y"],"confidence":0.7}]',
 ]
 
-# What each form must give: (label, pred_no, input, ref, input_text, ref_text, plain, evidences, spans, confidence, status).
+# What each form must give: (label, pred_no, input, ref, input_text, ref_text, plain, evidences, spans, confidence, status, reason).
 _WANT = """
-w(label, pred_no, i, r, it, rt, plain, ev, sp, confidence, item_status) AS (VALUES
- (0, 0, 'u', 'h', NULL, NULL, NULL, 0, 0, 0.5, 'ok'), (0, 1, 'u', 'h', NULL, NULL, NULL, 0, 0, 0.49, 'ok'),
- (1, 0, 'u', 'h', 'a', 'b', NULL, 0, 0, 0.9, 'ok'), (2, 0, NULL, NULL, NULL, NULL, '', 0, 0, 1.0, 'ok'),
- (3, 0, NULL, NULL, NULL, NULL, 'text', 0, 0, 1.0, 'ok'),
- (6, 0, 'u', 'h', NULL, NULL, NULL, 0, 0, NULL, 'ok'), (6, 1, NULL, 'h', NULL, NULL, NULL, 0, 0, 1.0, 'ok'),
- (7, 0, NULL, 'h', NULL, NULL, NULL, 0, 0, NULL, 'bad_item'), (7, 1, NULL, NULL, NULL, NULL, NULL, 0, 0, NULL, 'bad_item'),
- (7, 2, NULL, 'u', NULL, NULL, NULL, 0, 0, 0.75, 'ok'),
- (8, 0, 'h', 'x', NULL, NULL, NULL, 0, 0, 0.8, 'ok'),
- (9, 0, NULL, 'h', NULL, NULL, NULL, NULL, 2, 0.6, 'ok'), (9, 1, NULL, NULL, NULL, NULL, NULL, 2, 0, 0.7, 'ok')),
+w(label, pred_no, i, r, it, rt, plain, ev, sp, confidence, item_status, reason) AS (VALUES
+ (0, 0, 'u', 'h', NULL, NULL, NULL, '', '', 0.5, 'ok', 'close'), (0, 1, 'u', 'h', NULL, NULL, NULL, '', '', 0.49, 'ok', NULL),
+ (1, 0, 'u', 'h', 'a', 'b', NULL, '', '', 0.9, 'ok', NULL), (2, 0, NULL, NULL, NULL, NULL, '', '', '', 1.0, 'ok', NULL),
+ (3, 0, NULL, NULL, NULL, NULL, 'text', '', '', 1.0, 'ok', NULL),
+ (6, 0, 'u', 'h', NULL, NULL, NULL, '', '', NULL, 'ok', NULL), (6, 1, NULL, 'h', NULL, NULL, NULL, '', '', 1.0, 'ok', NULL),
+ (7, 0, NULL, 'h', NULL, NULL, NULL, '', '', NULL, 'bad_item', NULL), (7, 1, NULL, NULL, NULL, NULL, NULL, '', '', NULL, 'bad_item', NULL),
+ (7, 2, NULL, 'u', NULL, NULL, NULL, '', '', 0.75, 'ok', NULL),
+ (8, 0, 'h', 'x', NULL, NULL, NULL, '', '', 0.8, 'ok', NULL),
+ (9, 0, NULL, 'h', NULL, NULL, NULL, NULL, '0-3,4-9', 0.6, 'ok', NULL), (9, 1, NULL, NULL, NULL, NULL, NULL, 'x,y', '', 0.7, 'ok', NULL)),
 top AS (SELECT query_uid, label, uid, score FROM hits WHERE rank = 1),
 preds AS (SELECT query_uid, pred_no::INT AS pred_no,
   CASE i WHEN 'u' THEN query_uid WHEN 'h' THEN uid END AS input_uid,
   CASE r WHEN 'u' THEN query_uid WHEN 'h' THEN uid WHEN 'x' THEN 'unknown' END AS ref_uid, it AS input_text, rt AS ref_text,
-  CASE WHEN plain = 'text' THEN 'no match for ' || query_uid ELSE plain END AS plain_text, ev::INT AS evidences, sp::INT AS spans,
+  CASE WHEN plain = 'text' THEN 'no match for ' || query_uid ELSE plain END AS plain_text, ev AS evidences, sp AS spans, reason,
   confidence::DOUBLE AS confidence, item_status FROM top JOIN w USING (label))"""
 _PREDS = f"WITH {_knn_sql()}, {_WANT}"
 
@@ -211,12 +220,11 @@ def strip_fence(spark, sf_dir):
 
 
 def _flat(p: DataFrame, *more: str) -> DataFrame:
-    def size(c: str):
-        return F.when(F.col(c).isNotNull(), F.size(c))
-
+    spans = F.transform("start_end_idx", lambda s: F.array_join(s.cast("array<string>"), "-"))
     return p.select(
         "query_uid", "pred_no", "input_uid", "ref_uid", "input_text", "ref_text", "plain_text",
-        size("evidences").alias("evidences"), size("start_end_idx").alias("spans"), "confidence", *more)
+        F.array_join("evidences", ",").alias("evidences"), F.array_join(spans, ",").alias("spans"), "confidence",
+        F.try_element_at("extra", F.lit("reason")).alias("reason"), *more)
 
 
 @query("parse_predictions", _PREDS + "SELECT * FROM preds")

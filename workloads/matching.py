@@ -53,34 +53,36 @@ def project_trees(spark, sf_dir) -> DataFrame:
     return trees("documents", "doc_id", "input").unionByName(trees("benchmark", "item_id", "reference"))
 
 
-def run(spark, sf_dir, direction: str, **more) -> MatchResult:
+def run(spark, sf_dir, direction: str, trees: DataFrame | None = None, **more) -> MatchResult:
     scenario = Scenario(
         **SCENARIO, direction=direction, rag_k_forward=K_FORWARD, rag_k_reverse=K_REVERSE, cof_threshold=THRESHOLD,
         chunk_size=CHUNK_SIZE, max_prompt_tokens=MAX_TOKENS)
     return match(
-        project_trees(spark, sf_dir), scenario, hash_embedder(64), {"scored": scored_answer},
+        project_trees(spark, sf_dir) if trees is None else trees, scenario, hash_embedder(64), {"scored": scored_answer},
         default_model="scored", dim=64, sleep=no_wait, **more)
 
 
 _POINTS = _CHUNKS + f""",
 rchunks AS (SELECT item_id, text, unnest(range(greatest(1, ((length(text) + {CHUNK_SIZE - 1}) // {CHUNK_SIZE})))) AS i FROM benchmark),
-pts AS (SELECT 'input' AS side, 'input-' || doc_id || '_c' || i AS uid, text FROM chunks
+pts AS MATERIALIZED (SELECT 'input' AS side, 'input-' || doc_id || '_c' || i AS uid, text FROM chunks
   UNION ALL SELECT 'reference', 'reference-' || item_id || '_c' || i, substr(text, i * {CHUNK_SIZE} + 1, {CHUNK_SIZE}) FROM rchunks),
-tok AS (SELECT side, uid, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS n FROM (
+tok AS MATERIALIZED (SELECT side, uid, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS n FROM (
   SELECT side, uid, unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) AS t FROM pts) WHERE t <> '' GROUP BY ALL),
-len AS (SELECT side, uid, sqrt(sum(n * n)) AS n FROM tok GROUP BY ALL),
-dots AS (SELECT a.uid AS i, b.uid AS r, sum(a.n * b.n) AS d FROM tok a JOIN tok b USING (b) WHERE a.side = 'input' AND b.side = 'reference' GROUP BY ALL),
-sims AS (SELECT i.uid AS i, i.text AS itext, r.uid AS r, r.text AS rtext,
+len AS MATERIALIZED (SELECT side, uid, sqrt(sum(n * n)) AS n FROM tok GROUP BY ALL),
+dots AS MATERIALIZED (SELECT a.uid AS i, b.uid AS r, sum(a.n * b.n) AS d FROM tok a JOIN tok b USING (b) WHERE a.side = 'input' AND b.side = 'reference' GROUP BY ALL),
+sims AS MATERIALIZED (SELECT i.uid AS i, r.uid AS r,
    CASE WHEN li.n * lr.n > 0 THEN coalesce(d.d, 0) / (li.n * lr.n) ELSE 0 END AS score
-  FROM (SELECT * FROM pts WHERE side = 'input') i CROSS JOIN (SELECT * FROM pts WHERE side = 'reference') r
+  FROM (SELECT uid FROM pts WHERE side = 'input') i CROSS JOIN (SELECT uid FROM pts WHERE side = 'reference') r
   LEFT JOIN dots d ON d.i = i.uid AND d.r = r.uid LEFT JOIN len li ON li.uid = i.uid LEFT JOIN len lr ON lr.uid = r.uid)"""
 
 
-def _leg(leg: str) -> str:
-    """CTEs of one leg over ``sims``, ending in ``<leg>_preds`` and ``<leg>_asked``."""
-    q, qt, p, pt, k = ("r", "rtext", "i", "itext", K_REVERSE) if leg == "reverse" else ("i", "itext", "r", "rtext", K_FORWARD)
-    return _answers(leg, f"""SELECT * FROM (SELECT {q} AS query_uid, {qt} AS query_text, {p} AS uid, {pt} AS text, score,
-  row_number() OVER (PARTITION BY {q} ORDER BY score DESC, {p}) AS rank FROM sims) WHERE rank <= {k}""")
+def _leg(leg: str, sims: str = "sims") -> str:
+    """CTEs of one leg over ``sims``, ending in ``<leg>_preds`` and ``<leg>_asked``. Ids are ranked; texts
+    join what is left."""
+    q, p, k = ("r", "i", K_REVERSE) if leg == "reverse" else ("i", "r", K_FORWARD)
+    return _answers(leg, f"""SELECT query_uid, q.text AS query_text, h.uid AS uid, p.text AS text, score, rank FROM (
+    SELECT * FROM (SELECT {q} AS query_uid, {p} AS uid, score, row_number() OVER (PARTITION BY {q} ORDER BY score DESC, {p}) AS rank
+      FROM {sims}) WHERE rank <= {k}) h JOIN pts q ON q.uid = h.query_uid JOIN pts p ON p.uid = h.uid""")
 
 
 def _answers(leg: str, hits: str) -> str:
@@ -126,12 +128,32 @@ def match_both(spark, sf_dir):
     return _shown(run(spark, sf_dir, "both"))
 
 
+_NUMBER = "split_part(split_part({}, '-', 2), '_', 1)::BIGINT"
+
+
+@query("match_incremental", f"""{_POINTS},
+own AS (SELECT doc_id, lang = 'en' AS first FROM documents),
+seen AS (SELECT s.* FROM sims s JOIN own ON doc_id = {_NUMBER.format('i')} WHERE NOT first OR {_NUMBER.format('r')} % 2 = 0),
+{_leg('forward', 'seen')} {_shown_sql('forward')}""")
+def match_incremental(spark, sf_dir):
+    """Two jobs into one kept collection: each asks its own rows against all points so far."""
+    path = new_path(spark, "collection")
+    number = F.regexp_extract("doc_id", r"(\d+)$", 1).cast("bigint")
+    trees = project_trees(spark, sf_dir).withColumn("number", number)
+    english = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("number"), F.lit(True).alias("en"))
+    marked = trees.join(english, "number", "left").withColumn(
+        "first", F.when(F.col("side") == "reference", F.col("number") % 2 == 0).otherwise(F.coalesce("en", F.lit(False)))).drop("number", "en")
+    parts = [marked.where("first").drop("first"), marked.where("not first").drop("first")]
+    shown = [_shown(run(spark, sf_dir, "forward", trees=part, collection_path=path, seq=i)) for i, part in enumerate(parts)]
+    return shown[0].unionByName(shown[1])
+
+
 @query("match_envelopes", f"""{_POINTS}, {_leg('forward')}
-SELECT a.query_uid, 'input-' || split_part(split_part(a.query_uid, '-', 2), '_', 1) AS root_uid, a.used_k::INT AS used_k, count(p.pred_no)::INT AS n
+SELECT a.query_uid, 'input-' || split_part(split_part(a.query_uid, '-', 2), '_', 1) AS root_uid, 'scored' AS model_used, a.used_k::INT AS used_k, count(p.pred_no)::INT AS n
 FROM forward_asked a LEFT JOIN forward_preds p USING (query_uid) WHERE form <> '1' GROUP BY ALL""")
 def match_envelopes(spark, sf_dir):
     e = run(spark, sf_dir, "forward").envelopes
-    return e.select("query_uid", "root_uid", "used_k", F.size("predictions").alias("n"))
+    return e.select("query_uid", "root_uid", "model_used", "used_k", F.size("predictions").alias("n"))
 
 
 @query("job_summary", f"""{_POINTS}, {_leg('forward')}

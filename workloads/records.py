@@ -211,3 +211,28 @@ def stream_job_state(spark, sf_dir):
      .option("checkpointLocation", new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(states.schema).parquet(out).withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
+
+
+@query("stream_job_batches", """
+WITH l AS (SELECT user_id::VARCHAR AS job_id, 'proj-' || right(user_id::VARCHAR, 1) AS project_id, ts,
+    CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status
+  FROM events)
+SELECT job_id, any_value(project_id) AS project_id, arg_max(status, ts) AS status, min(ts) AS created_at, max(ts) AS updated_at
+FROM l GROUP BY job_id""")
+def stream_job_batches(spark, sf_dir):
+    """Events in several micro-batches in order of time: jobs outlive the timer and keep their first time."""
+    source, out, batches = new_path(spark, "stream-source"), new_path(spark, "job-state"), 5
+    events = job_ledger(spark, sf_dir).select(F.col("job_id").cast("string"), "project_id", "status", "ts")
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / batches for i in range(1, batches)])).head()[0]
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.unix_micros(F.col("ts").cast("timestamp"))))
+    for i in range(batches):
+        events.where(part == i).write.mode("append").parquet(source)
+    schema = "job_id string, project_id string, status string, ts timestamp_ntz"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
+    states = job_state(stream, watermark="60 days", timeout_seconds=3600, ttl_seconds=10 * 365 * 86_400)
+    (states.writeStream.outputMode("append").format("parquet").option("path", out)
+     .option("checkpointLocation", new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination())
+    told = spark.read.schema(states.schema).parquet(out).where("not timed_out")
+    last = told.groupBy("job_id", "project_id").agg(
+        F.max_by("status", "updated_at").alias("status"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+    return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})

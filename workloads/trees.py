@@ -17,30 +17,30 @@ from docmatch.sources.staging import new_path
 from workloads.registry import query, table
 
 # Separators of levels 2 to 5: regular expression for Spark, literal for SQL.
-SEPARATORS = [("\n", "chr(10)"), (r"\. ", "'. '"), (", ", "', '"), (" ", "' '")]
+SEPARATORS = [("\n", "chr(10)"), (r"\. ", "'. '"), (", ", "', '"), (" ", "' '"), ("e", "'e'")]
 
 
-def _children(text: Column, level: int) -> Column:
+def _children(text: Column, level: int, levels: int) -> Column:
     """Array of level nodes from the pieces of a text."""
     def node(piece: Column, i: Column) -> Column:
         fields = [i.cast("string").alias("sid")]
-        if level == 5:
+        if level == levels:
             return F.struct(*fields, piece.alias("text"))
         below = F.split(piece, SEPARATORS[level - 1][0])
         many = F.size(below) > 1
         return F.struct(
             *fields,
             F.when(many, "").otherwise(piece).alias("text"),
-            F.when(many, _children(piece, level + 1)).alias(f"level{level + 1}"),
+            F.when(many, _children(piece, level + 1, levels)).alias(f"level{level + 1}"),
         )
 
     return F.transform(F.split(text, SEPARATORS[level - 2][0]), node)
 
 
-def doc_trees(spark, sf_dir) -> DataFrame:
+def doc_trees(spark, sf_dir, levels: int = 5) -> DataFrame:
     root = F.struct(
         F.col("doc_id").cast("string").alias("sid"), F.col("source").alias("text"),
-        _children(F.col("text"), 2).alias("level2"),
+        _children(F.col("text"), 2, levels).alias("level2"),
     )
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"), F.lit("input").alias("side"),
@@ -48,13 +48,13 @@ def doc_trees(spark, sf_dir) -> DataFrame:
     )
 
 
-def _levels_sql(depth: int) -> str:
+def _levels_sql(depth: int, levels: int = 5) -> str:
     """Rows of every level down to ``depth`` from plain unnesting."""
     ctes = ["n1 AS (SELECT doc_id::VARCHAR AS orig_sid, doc_id::VARCHAR AS sids, source AS txt, "
             "text AS piece FROM documents)"]
     for level in range(2, depth + 1):
         sep = SEPARATORS[level - 2][1]
-        below = SEPARATORS[level - 1][1] if level < 5 else None
+        below = SEPARATORS[level - 1][1] if level < levels else None
         many = f"len(string_split(p, {below})) > 1" if below else "false"
         ctes.append(
             f"n{level} AS (SELECT orig_sid, sids || '_' || i AS sids, "
@@ -84,6 +84,12 @@ for _depth in range(1, 6):
     _register_flatten(_depth)
 
 
+@query("flatten_depth6", _levels_sql(6, 6))
+def flatten_depth6(spark, sf_dir):
+    """Words cut once more: levels below the fifth are taken too."""
+    return hierarchy.flatten(doc_trees(spark, sf_dir, 6), 6).select(*FLAT)
+
+
 @query("flatten_as_coded", _levels_sql(2))
 def flatten_as_coded(spark, sf_dir):
     return hierarchy.flatten(doc_trees(spark, sf_dir), 3, as_coded=True).select(*FLAT)
