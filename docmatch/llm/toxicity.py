@@ -37,40 +37,43 @@ def terms(text: bytes) -> dict[bytes, int]:
 
 @dataclass
 class Index:
-    """Unit vectors of examples, term by term and block by block."""
+    """Unit vectors of examples, block by block and term by term; ``postings`` are (examples, weights) of each
+    term. A block's lists lie under each other, so that the lists of a query's terms are read at once. Blocks,
+    terms and a block's examples are bounded, and so is the whole."""
 
     labels: np.ndarray
     ids: np.ndarray
     postings: list[tuple[np.ndarray, np.ndarray]]
+    lists: np.ndarray = field(init=False)
     largest: np.ndarray = field(init=False)
-    starts: list[np.ndarray] = field(init=False)
 
     def __post_init__(self):
         blocks = -(-max(1, len(self.labels)) // BLOCK)
-        self.largest = np.zeros((len(self.postings), blocks))
-        self.starts = []
+        self.lists = np.zeros((blocks, len(self.postings), BLOCK))
         for t, (examples, weights) in enumerate(self.postings):
-            np.maximum.at(self.largest[t], examples // BLOCK, weights)
-            self.starts.append(np.searchsorted(examples, np.arange(blocks + 1) * BLOCK))
+            self.lists[examples // BLOCK, t, examples % BLOCK] = weights
+        self.largest = self.lists.max(axis=2).T.copy()
 
     def nearest(self, which: list[int], weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k largest (cosine, example), ties by example; only positive cosines."""
         bounds = weights @ self.largest[which]
-        best: list[tuple[float, int]] = []
+        found, last = (np.empty(0), np.empty(0, np.int64)), 0.0
         for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-12:
+            if bounds[block] <= 0 or bounds[block] < last - 1e-12:
                 break
-            cosines = np.zeros(BLOCK)
-            for t, w in zip(which, weights):
-                if self.largest[t, block]:
-                    a, b = self.starts[t][block:block + 2]
-                    examples, values = self.postings[t]
-                    cosines[examples[a:b] - block * BLOCK] += w * values[a:b]
-            if without // BLOCK == block and without >= 0:
-                cosines[without - block * BLOCK] = 0
-            best += [(float(cosines[i]), int(block) * BLOCK + int(i)) for i in np.flatnonzero(cosines > 0)]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            cosines = weights @ self.lists[block, which]
+            if without >= 0 and without // BLOCK == block:
+                cosines[without % BLOCK] = 0
+            good = np.flatnonzero(cosines > max(0.0, last - 1e-12))
+            if not len(good):
+                continue
+            values = np.concatenate([found[0], cosines[good]])
+            examples = np.concatenate([found[1], block * BLOCK + good])
+            best = np.lexsort((examples, -values))[:k]
+            found = values[best], examples[best]
+            if len(best) == k:
+                last = found[0][-1]
+        return list(zip(found[0].tolist(), found[1].tolist()))
 
 
 @dataclass
