@@ -80,47 +80,74 @@ def _window_minima(text: bytes) -> np.ndarray:
     return np.unique(h).view(np.int64)
 
 
-def _minima_column(text: str, wanted: np.ndarray | None = None, spark=None) -> Column:
-    """``array<bigint>`` of window minima, only those in the sorted ``wanted`` if given."""
+def _short_size(length: int) -> int:
+    """Bytes of the grams that stand for a short entry: the largest power of two within it."""
+    return min(GRAM, 1 << (length.bit_length() - 1))
+
+
+def _short_grams(text: bytes, sizes: list[int]) -> np.ndarray:
+    """Distinct hashes of the grams of the given sizes."""
+    raw, found = np.frombuffer(text, dtype=np.uint8), [np.empty(0, np.uint64)]
+    for size in sizes:
+        if len(raw) >= size:
+            h = np.full(len(raw) - size + 1, size, dtype=np.uint64)
+            for i in range(size):
+                h = h * _FACTOR + raw[i:i + len(h)] + np.uint64(1)
+            h ^= h >> np.uint64(31)
+            found.append(h * _MIX)
+    return np.unique(np.concatenate(found)).view(np.int64)
+
+
+def _keys_column(text: str, of_text, wanted: np.ndarray | None = None, spark=None) -> Column:
+    """``array<bigint>`` of a text's keys, only those in the sorted ``wanted`` if given."""
     shared = spark.sparkContext.broadcast(wanted) if wanted is not None else None
 
     @F.arrow_udf("array<bigint>")
-    def minima(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [_window_minima(t.encode("utf-8")) if t else np.empty(0, np.int64) for t in batch.to_pylist()]
+            rows = [of_text(t.encode("utf-8")) if t else np.empty(0, np.int64) for t in batch.to_pylist()]
             if shared is not None:
                 rows = [r[np.isin(r, shared.value, assume_unique=True)] for r in rows]
             yield pa.array(rows, pa.list_(pa.int64()))
 
-    return minima.asNondeterministic()(text)
+    return keys.asNondeterministic()(text)
 
 
-def _by_grams(texts: DataFrame, blacklist: DataFrame, text: str, key: str) -> DataFrame:
-    spark = texts.sparkSession
-    entries = blacklist.select("entry").where(F.col("entry").isNotNull()).distinct()
-    size = F.octet_length("entry")
+def _meet(texts: DataFrame, entries: DataFrame, text: str, key: str, of_entry, of_text, name: str) -> DataFrame:
+    """Texts that contain an entry: both meet by equal keys, then the match is verified.
 
-    # Each long entry is found by its rarest minimum, so entries with a common part do not share a key.
-    minima = entries.where(size >= KEYED_BYTES).select("entry", F.explode(_minima_column("entry")).alias("_gram"))
-    shared_by = minima.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    keyed = minima.join(shared_by, "_gram").groupBy("entry").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    keyed = stage(keyed, "blacklist-keys")
+    Each entry is found by the rarest of its keys, so entries with a common part do not share one. The
+    texts give only keys that some entry needs as long as those fit a bound; beyond it they give all.
+    """
+    spark = texts.sparkSession
+    every = entries.select("entry", F.explode(_keys_column("entry", of_entry)).alias("_gram"))
+    shared_by = every.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = every.join(shared_by, "_gram").groupBy("entry").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    keyed = stage(keyed, name)
 
     grams = keyed.select("_gram").distinct()
     wanted = None
     if grams.count() <= MAX_SHARED_KEYS:
         wanted = np.sort(grams.toPandas()["_gram"].to_numpy(dtype=np.int64))
-    at = texts.select(key, F.explode(_minima_column(text, wanted, spark)).alias("_gram"))
+    at = texts.select(key, F.explode(_keys_column(text, of_text, wanted, spark)).alias("_gram"))
     pairs = at.join(keyed, "_gram").select(key, "entry")
-    found = texts.join(pairs, key).where(F.col(text).contains(F.col("entry")))
-
-    # Short entries have no full window; they go through automata of bounded size, one pass each.
-    short = entries.where(size < KEYED_BYTES)
-    slices = -(-short.count() // MAX_AUTOMATON_ENTRIES)
-    for n in range(slices):
-        part = short.where(F.pmod(F.xxhash64("entry"), F.lit(slices)) == n)
-        rows = [r["entry"] for r in part.toLocalIterator()]
-        found = found.unionByName(_by_automaton(texts, rows, text))
+    return texts.join(pairs, key).where(F.col(text).contains(F.col("entry")))
+
+
+def _by_grams(texts: DataFrame, blacklist: DataFrame, text: str, key: str) -> DataFrame:
+    entries = blacklist.select("entry").where(F.col("entry").isNotNull()).distinct()
+    size = F.octet_length("entry")
+    found = _meet(texts, entries.where(size >= KEYED_BYTES), text, key, _window_minima, _window_minima, "blacklist-keys")
+
+    # Short entries have no full window; their grams have one of a few sizes.
+    short = entries.where((size > 0) & (size < KEYED_BYTES))
+    if not short.isEmpty():
+        sizes = [1 << i for i in range(GRAM.bit_length())]
+        found = found.unionByName(_meet(
+            texts, short, text, key, lambda e: _short_grams(e, [_short_size(len(e))]),
+            lambda t: _short_grams(t, sizes), "blacklist-short-keys"))
+    if not entries.where(size == 0).isEmpty():
+        found = found.unionByName(texts.where(F.col(text).isNotNull()).withColumn("entry", F.lit("")))
     return found
 
 

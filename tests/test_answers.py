@@ -148,3 +148,32 @@ def test_embedding_batches_copies_and_empty_answers(spark):
     assert sorted(map(str, once)) == sorted(map(str, plain)) and calls.value == 3
     hashed = models.hash_embedder(16)(["a b a", ""])
     assert hashed.sum() == 3 and np.count_nonzero(hashed[1]) == 0
+
+
+def test_truncation_pairs_with_any_counter(spark):
+    from docmatch.functions import text as tx
+
+    def vowels(t):
+        return F.length(t) - F.length(F.translate(t, "aeiou", ""))
+
+    cases = ["", "one two  three", " lead and trail ", "aeiou xyz", "日本語 text", "a\nb\tc d"]
+    df = spark.createDataFrame([(c, n) for c in cases for n in range(-1, 6)], "t string, n int")
+    out = df.select("t", "n", tx.truncate(F.col("t"), F.col("n")).alias("chars"),
+                    tx.truncate(F.col("t"), F.col("n"), tx.count_words).alias("words"),
+                    tx.truncate(F.col("t"), F.col("n"), vowels).alias("vowels")).collect()
+    for r in out:
+        if r.n <= 0:
+            assert r.chars == r.words == r.vowels == r.t
+            continue
+        assert r.chars == r.t[:r.n]
+        assert len(r.words.split()) == min(r.n, len(r.t.split())) and r.t.startswith(r.words)
+        kept = [i for i in range(len(r.t) + 1) if sum(c in "aeiou" for c in r.t[:i]) <= r.n]
+        assert r.vowels == r.t[:max(kept)]
+
+
+def test_uids_must_be_strings_and_other_keys_are_kept(spark):
+    raw = '[{"ref_uid": 5, "input_uid": "u", "reason": "r", "n": 3, "deep": {"a": [1]}, "confidence": 1}]'
+    df = spark.createDataFrame([("q", raw)], "query_uid string, raw_output string")
+    (row,) = predictions.parse_output(df).collect()
+    assert row.ref_uid is None and row.input_uid == "u"
+    assert row.extra == {"reason": "r", "n": "3", "deep": '{"a":[1]}'}

@@ -144,3 +144,41 @@ def test_plans_limit_before_the_shuffle_and_prune(spark, tmp_path):
     assert "wide" not in shown
     broadcast = plan(search.knn(q, stored, 3, strategy="points"))
     assert "CartesianProduct" not in broadcast and "NestedLoop" not in broadcast
+
+
+@pytest.mark.parametrize("how", STRATEGIES)
+def test_rows_without_a_vector_are_set_aside_and_mixed_sizes_are_an_error(spark, how):
+    queries, points = tables(spark, 6, 40)
+    none = spark.createDataFrame([("g0", "a-null", None, "a"), ("g1", "z-null", None, "a")], points.schema)
+    asked_none = spark.createDataFrame([("g0", "a-null", None)], queries.schema)
+    got = search.knn(asked_none.union(queries), none.union(points), 3, **how)
+    assert found(got) == brute(queries, points, 3)
+    mixed = spark.createDataFrame([("g0", "m2", [1.0, 2.0], "a"), ("g0", "m4", [1.0, 2.0, 3.0, 4.0], "a")], points.schema)
+    three = spark.createDataFrame([("g0", "q", [1.0, 2.0, 3.0])], queries.schema)
+    with pytest.raises(Exception, match="different sizes"):
+        search.knn(three, mixed, 1, **how).collect()
+
+
+@pytest.mark.parametrize("strategy", ["points", "queries"])
+def test_an_asked_for_strategy_gathers_nothing_that_was_not_proven_to_fit(spark, strategy, monkeypatch):
+    queries, points = tables(spark, 20, 60)
+    monkeypatch.setattr(search, "_collect_bounded", lambda *a: pytest.fail("gathered"))
+    assert found(search.knn(queries, points, 3, strategy=strategy, broadcast_bytes=10)) == brute(queries, points, 3)
+
+
+@pytest.mark.parametrize("scope", [[], ["g"]])
+def test_the_grid_multiplies_no_rows_and_reads_its_sources_few_times(spark, tmp_path, scope):
+    queries, points = tables(spark, 20, 60)
+    for name, df in (("q", queries), ("p", points)):
+        df.write.parquet(str(tmp_path / name))
+    q, p = (spark.read.parquet(str(tmp_path / n)) for n in "qp")
+    shown = plan(search.knn(q, p, 3, scope=scope, strategy="grid"), "simple")
+    assert "Cartesian" not in shown and "NestedLoop" not in shown
+    assert shown.count("FileScan parquet") <= 4
+
+
+def test_shuffled_block_counts_give_the_same_rows(spark, monkeypatch):
+    queries, points = tables(spark)
+    want = found(search.knn(queries, points, 4, scope=["g"], strategy="grid"))
+    monkeypatch.setattr(search, "BROADCAST_SCOPES", 0)
+    assert found(search.knn(queries, points, 4, scope=["g"], strategy="grid", block_bytes=400)) == want

@@ -231,3 +231,15 @@ def test_ingestable_rows_and_strict_batches(spark):
     good, bad = validate.split_ingestable(rows, ["b"])
     assert [r.uid for r in good.collect()] == ["v"]
     assert sorted(r.reason for r in bad.collect()) == ["batch_rejected", "missing_text", "missing_uid"]
+
+
+def test_levels_below_the_fifth_and_a_depth_column_with_a_maximum(spark):
+    tree = {"sid": "6", "text": "six"}
+    for level in range(5, 0, -1):
+        tree = {"sid": str(level), "text": "t", f"level{level + 1}": [tree]}
+    df = spark.createDataFrame([(json.dumps({"level1": [tree]}), "input", 6)], "raw string, side string, depth int")
+    (row,) = hierarchy.flatten(df, 6).collect()
+    assert row.uid == "input-1_2_3_4_5_6" and row.text.endswith("six")
+    assert hierarchy.flatten(df, F.col("depth"), max_depth=6).first().uid == row.uid
+    with pytest.raises(Exception, match="above max_depth"):
+        hierarchy.flatten(df, F.col("depth")).collect()

@@ -97,6 +97,19 @@ def blacklist_by_grams(spark, sf_dir):
     return found.select("uid", "idx", "entry")
 
 
+@query("blacklist_short", """
+WITH b AS (SELECT item_id * 4 + n AS idx, substr(text, (n * 20 + 1)::INT, 12) AS entry FROM benchmark, (SELECT unnest(range(4)) AS n))
+SELECT 'input-' || doc_id AS uid, idx::INT AS idx, entry FROM documents, b WHERE contains(text, entry)""")
+def blacklist_short(spark, sf_dir):
+    """Entries of a few bytes, without a window of their own."""
+    places = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")
+    entries = table(spark, sf_dir, "benchmark").select("item_id", "text", places).select(
+        (F.col("item_id") * 4 + F.col("n")).cast("int").alias("idx"),
+        F.substring("text", F.col("n") * 20 + 1, F.lit(12)).alias("entry"))
+    found = screen.hits(flat_docs(spark, sf_dir), entries, strategy="grams")
+    return found.select("uid", "idx", "entry")
+
+
 @query("blacklist_by_doc", _FOUND + "SELECT uid, count(*)::INT AS n, string_agg(entry, '|' ORDER BY idx) AS entries FROM found GROUP BY uid")
 def blacklist_by_doc(spark, sf_dir):
     found = screen.hits(flat_docs(spark, sf_dir), blacklist(spark, sf_dir))
