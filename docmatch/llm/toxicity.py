@@ -23,7 +23,7 @@ from docmatch.llm.common import FOLDED, arrow_schema, labelled_sample, per_docum
 from docmatch.sources.staging import stage
 
 ACCEPT = 0.3
-PER_CLASS = 2500
+PER_CLASS = 1500
 NEIGHBOURS = 15
 BLOCK = 64
 # Terms: those whose chi-square is beyond chance, at least so many of the best and at most so many.
