@@ -228,10 +228,14 @@ UNION ALL SELECT doc_id, path || '/level3', 'level_not_list', o || '.-1' FROM ln
 """
 
 
-@query("validate_violations", _DEFECTS + "SELECT doc_id, path, code, ord FROM found")
+@query("validate_violations", _DEFECTS + """SELECT doc_id, path, code, ord, CASE code
+  WHEN 'level1_missing' THEN 'the root has no level1' WHEN 'level_not_list' THEN 'the level is not a list'
+  WHEN 'root_not_object' THEN 'the root is not an object' WHEN 'unparsable' THEN 'text is not valid JSON'
+  WHEN 'sid_not_string' THEN 'sid is missing or not a string' WHEN 'item_not_object' THEN 'the item is not an object'
+  WHEN 'text_not_string' THEN 'text is missing or not a string' END AS message FROM found""")
 def validate_violations(spark, sf_dir):
     found = validate.violations(defect_trees(spark, sf_dir))
-    return found.select("doc_id", "path", "code", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"))
+    return found.select("doc_id", "path", "code", "message", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"))
 
 
 @query("valid_docs", _DEFECTS + "SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM found) AS valid FROM d")
