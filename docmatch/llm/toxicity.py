@@ -27,7 +27,7 @@ PER_CLASS = 1500
 NEIGHBOURS = 15
 BLOCK = 64
 # Terms: those whose chi-square is beyond chance, at least so many of the best and at most so many.
-CHI_SQUARE, LEAST_TERMS, MOST_TERMS = 30.0, 16, 512
+CHI_SQUARE, LEAST_TERMS, MOST_TERMS = 25.0, 16, 512
 
 
 def terms(text: bytes) -> dict[bytes, int]:
