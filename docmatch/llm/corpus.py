@@ -2,9 +2,9 @@
 
 Millions of keys per megabyte would be too many rows. So documents are dealt into batches of bounded size;
 a batch sends each distinct key once, with its own count, packed and sorted by bucket of the hash; a bucket
-adds up what the batches sent and returns totals only for keys that others hold too, by their place in what
-the batch sent. A key in a third of all documents costs one entry per batch, so no task receives more than
-its share. Batches and buckets are plain groups of a Spark shuffle: a lost one is made again.
+adds up what the batches sent and returns totals only for keys that others hold too, with one bit per key
+sent to tell which. A key in a third of all documents costs one entry per batch, so no task receives more
+than its share. Batches and buckets are plain groups of a Spark shuffle: a lost one is made again.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ BATCH_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 20
 
 SENT = "kind int, bucket int, batch int, slots binary, counts binary"
-RETURNED = "batch int, kind int, bucket int, places binary, totals binary"
+RETURNED = "batch int, kind int, bucket int, shared binary, totals binary"
 
 
 @dataclass(frozen=True)
@@ -106,13 +106,16 @@ def added_up(table: pa.Table, kind: Kind) -> tuple[list[int], np.ndarray, np.nda
     return lengths, own, group, np.bincount(group, own).astype(np.int64)
 
 
+WIDTHS = [(8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)]
+
+
 def narrow(counts: np.ndarray) -> np.ndarray:
     top = int(counts.max(initial=0))
-    return counts.astype(np.uint8 if top < 1 << 8 else np.uint32 if top < 1 << 32 else np.uint64)
+    return counts.astype(next(kind for bits, kind in WIDTHS if top < 1 << bits))
 
 
 def widths(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(packed, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(packed) // n]) if n else np.empty(0, np.uint8)
+    return np.frombuffer(packed, {bits // 8: kind for bits, kind in WIDTHS}[len(packed) // n]) if n else np.empty(0, np.uint8)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -142,10 +145,10 @@ def with_totals(docs: DataFrame, kinds: list[Kind], keys_of: Callable[[pa.Table]
         more = totals > own
         rows, at = ([], [], [], [], []), 0
         for batch, bucket, n in zip(table["batch"].to_pylist(), table["bucket"].to_pylist(), lengths):
-            places = np.flatnonzero(more[at:at + n])
-            if len(places):
-                for column, value in zip(rows, (batch, number, bucket, places.astype(np.uint32).tobytes(),
-                                                narrow(totals[at:at + n][places]).tobytes())):
+            shared = more[at:at + n]
+            if shared.any():
+                for column, value in zip(rows, (batch, number, bucket, np.packbits(shared).tobytes(),
+                                                narrow(totals[at:at + n][shared]).tobytes())):
                     column.append(value)
             at += n
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, returned_out)], schema=returned_out)
@@ -153,8 +156,8 @@ def with_totals(docs: DataFrame, kinds: list[Kind], keys_of: Callable[[pa.Table]
     def finish(table, returned):
         found = [pack(keys, buckets[i], kinds[i]) for i, keys in enumerate(keys_of(table))]
         totals = [f.own.copy() for f in found]
-        for number, bucket, places, values in zip(*(returned[c].to_pylist() for c in ("kind", "bucket", "places", "totals"))):
-            at = np.frombuffer(places, np.uint32)
+        for number, bucket, shared, values in zip(*(returned[c].to_pylist() for c in ("kind", "bucket", "shared", "totals"))):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(shared, np.uint8)))
             totals[number][found[number].edges[bucket] + at] = widths(values, len(at))
         return use(table, [t[f.which] for t, f in zip(totals, found)])
 
