@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docmatch.llm import (bpe, chat, components, decontaminate, fingerprint, lm, quality, repeats, secret_scan,
+from docmatch.llm import (bpe, chat, components, corpus, decontaminate, fingerprint, lm, quality, repeats, secret_scan,
                           similar, toxicity)
 from tests.llm.cases import docs, labelled_docs, labels, prose, texts
 
@@ -199,6 +199,21 @@ def test_mixed_probabilities_are_a_distribution():
     assert np.all(logs <= 0) and len(logs) == n
 
 
+def test_language_model_is_one_for_all_batches(spark, monkeypatch):
+    """Scores come from the whole corpus: how it is dealt into batches changes none of them."""
+    rng, sentences = random.Random(8), [prose(i, 9) for i in range(12)]
+    rows = [(i, " ".join(rng.choice(sentences) for _ in range(8))) for i in range(120)]
+    rows += [(500 + i, rows[0][1]) for i in range(40)]
+
+    def scores():
+        return {r.doc_id: (round(r.score, 6), r.held_out) for r in lm.score(docs(spark, rows)).collect()}
+
+    whole = scores()
+    monkeypatch.setattr(corpus, "BATCH_BYTES", 2000)
+    assert scores() == whole
+    assert all(len({s for i, (s, h) in whole.items() if i >= 500 and h == held}) == 1 for held in (False, True))
+
+
 # --- decontamination -------------------------------------------------------------------------------------
 
 def test_decontamination_tolerates_substitutions(spark):
