@@ -2,9 +2,10 @@
 
 A document's terms are its distinct lower-cased words. The lexicon keeps the terms whose document frequency
 lies in a band: rarer ones are typing errors and numbers, more frequent ones say little. Document frequencies
-are counted over all documents in a fixed number of hashed slots, so that what every task needs to look up
-has the size of one bit per slot, whatever the corpus. A document's distinct lexicon terms are sorted and
-hashed once per randomised subset of the lexicon. Subsets come in series; in a series they keep a random
+are counted per term (64-bit hash) over all documents, and the terms of each text meet the lexicon in a join.
+A bit per hashed slot that holds a lexicon term only saves work before the join; where all slots are taken it
+drops nothing and the result stays the same. A document's distinct lexicon terms are sorted and hashed once
+per randomised subset of the lexicon. Subsets come in series; in a series they keep a random
 half, quarter, eighth ... of the lexicon.
 
 Two fingerprints are as alike as the share of series whose hashes agree in the sparsest subset in which either
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmatch.llm.common import kept
+
 SLOTS = 1 << 18
 # Document frequencies of the band, as shares of all documents; the lower one is a count as well.
 LEAST_DOCUMENTS, LEAST_SHARE, LARGEST_SHARE = 2, 0.0, 0.2
@@ -38,16 +41,26 @@ def slot(term: Column) -> Column:
     return F.pmod(F.shiftright(term, 40), F.lit(SLOTS)).cast("int")
 
 
-def lexicon(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """One bit per slot, 64 to a number: set where the slot's document frequency is in the band.
+def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term, inside`` of the terms in the band (true) and above it (false).
 
-    Terms are counted where they are read before anything moves, and what moves is bounded by the slots.
+    Counts are combined where the texts are read. Few terms can be above the band: a document of m terms
+    pays for at most m / LARGEST_SHARE of them.
     """
-    used = F.array_distinct(F.transform(terms(F.coalesce(F.col(text_col), F.lit(""))), slot))
-    n = docs.count()
-    counts = docs.select(F.explode(used).alias("slot")).groupBy("slot").count()
-    inside = counts.filter(F.col("count").between(max(LEAST_DOCUMENTS, LEAST_SHARE * n), max(LARGEST_SHARE * n, 50)))
-    words = inside.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+    n, seen = docs.count(), F.col("count")
+    counts = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").count()
+    return (counts.filter(seen >= max(LEAST_DOCUMENTS, LEAST_SHARE * n))
+            .select("term", (seen <= max(LARGEST_SHARE * n, 50)).alias("inside")))
+
+
+def lexicon(docs: DataFrame, text_col: str = "text") -> list[int]:
+    """The bits of the slots that hold terms of the band."""
+    return slots_of(counted(docs, text_col).filter("inside"))
+
+
+def slots_of(band: DataFrame) -> list[int]:
+    """One bit per slot, 64 to a number: set where the slot holds a term of the band."""
+    words = band.select(slot(F.col("term")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, slot & 63))").alias("bits"))
     bits = [0] * (SLOTS // 64)
     for word, value in words.toLocalIterator():  # at most SLOTS / 64 rows
@@ -59,12 +72,20 @@ def without_bit(position: int):
     return lambda term: term.bitwiseAND(1 << position) == 0
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, bits: list[int]) -> DataFrame:
-    """Add ``name``: one hash per subset, in hexadecimal, ``-`` where the subset has none of the terms."""
+def maybe_in_band(text: Column, bits: list[int]) -> Column:
+    """A text's terms whose slot holds a term of the band."""
     known = F.from_json(F.lit("[" + ",".join(map(str, bits)) + "]"), "array<bigint>")
-    in_band = F.filter(terms(F.col(text)),
-                       lambda t: F.getbit(F.element_at(known, F.shiftright(slot(t), 6) + 1), slot(t).bitwiseAND(63)) == 1)
-    df = df.withColumn("_terms", in_band)
+    return F.filter(terms(text),
+                    lambda t: F.getbit(F.element_at(known, F.shiftright(slot(t), 6) + 1), slot(t).bitwiseAND(63)) == 1)
+
+
+def with_fingerprint(df: DataFrame, text: str, name: str, bits: list[int]) -> DataFrame:
+    """Add ``name``: the fingerprint of the terms that ``bits`` let through."""
+    return of_terms(df.withColumn("_terms", maybe_in_band(F.col(text), bits)), name)
+
+
+def of_terms(df: DataFrame, name: str) -> DataFrame:
+    """Turn ``_terms`` into ``name``: one hash per subset, in hexadecimal, ``-`` where the subset has none of them."""
     for halving in range(HALVINGS):
         df = df.withColumns({
             f"_{series}_{halving}": F.filter("_terms" if halving == 0 else f"_{series}_{halving - 1}",
@@ -76,6 +97,18 @@ def with_fingerprint(df: DataFrame, text: str, name: str, bits: list[int]) -> Da
     return df.withColumn(name, F.concat_ws(" ", *digits)).drop("_terms", *subsets)
 
 
+def prints(every_text: DataFrame, lexicon_terms: DataFrame) -> DataFrame:
+    """``key, print`` of each text (``key, text``) that has terms of the band.
+
+    Terms above the band leave by a broadcast, so none of the joined ones is in more than the band's share.
+    """
+    band = lexicon_terms.filter("inside").select("term")
+    met = (every_text.select("key", F.explode(maybe_in_band(F.col("text"), slots_of(band))).alias("term"))
+           .join(F.broadcast(lexicon_terms.filter("not inside").select("term")), "term", "left_anti")
+           .join(band, "term").groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("_terms")))
+    return of_terms(met, "print")
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of series that agree in the sparsest subset in which either fingerprint has a hash."""
     pairs = F.arrays_zip(F.split(a, " ").alias("a"), F.split(b, " ").alias("b"))
@@ -123,17 +156,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text's last half of the code points are the first as many, or all, of the next document.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bits = lexicon(docs)
-    order = Window.partitionBy("_range").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
+    lexicon_terms = kept(counted(docs), "fingerprint-lexicon")
+    order = Window.partitionBy("_range").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), F.col("_key").desc())
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    near = (with_next(docs).withColumn("_next", F.lead("text").over(order))
-            .withColumn("n_chars", n.cast("bigint"))
-            .withColumn("_edited", F.concat(F.left("text", n - half), F.left(F.coalesce("_next", "text"), half))))
-    near = with_fingerprint(near, "text", "fingerprint", bits)
-    near = with_fingerprint(near, "_edited", "edited_fingerprint", bits)
+    edited = (with_next(docs).withColumn("_key", F.xxhash64("text")).withColumn("_next", F.lead("text").over(order))
+              .withColumn("_edited", F.concat(F.left("text", n - half), F.left(F.coalesce("_next", "text"), half))))
+    near = edited.select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), "_range",
+                         "_ghost", "_key", F.xxhash64("_edited").alias("_edited_key"))
+    every = (docs.select(F.xxhash64("text").alias("key"), "text")
+             .unionByName(edited.filter(~F.col("_ghost")).select(F.xxhash64("_edited").alias("key"), F.col("_edited").alias("text"))))
+    found = kept(prints(every, lexicon_terms), "fingerprints")
+    blank = F.lit(" ".join("-" * (SERIES * HALVINGS)))
+
+    def with_print(df: DataFrame, key: str, name: str) -> DataFrame:
+        own = found.select(F.col("key").alias(key), F.col("print").alias(name))
+        return df.join(own, key, "left").withColumn(name, F.coalesce(name, blank))
+
+    near = with_print(with_print(near, "_key", "fingerprint"), "_edited_key", "edited_fingerprint")
     near = near.withColumn("_next_fingerprint", F.coalesce(F.lead("fingerprint").over(order), "fingerprint"))
     return near.filter(~F.col("_ghost")).select(
-        "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("_next_fingerprint")).alias("near_next"))

@@ -100,6 +100,15 @@ def test_fingerprint_subsets_against_plain_python(spark):
         assert len(row.terms) == len(set(ascii_lower(row.text).split())) or not row.text.isascii()
 
 
+def test_fingerprint_terms_are_counted_one_by_one(spark, monkeypatch):
+    """Terms that share a slot do not share a frequency: whatever the slots, only the band's terms count."""
+    rows = [(i, f"{prose(i, 12)} once{i}") for i in range(80)] + [(90, prose(3, 12)), (91, "once1x once2x")]
+    want = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs(spark, rows)).collect()}
+    monkeypatch.setattr(fingerprint, "SLOTS", 64)
+    assert {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs(spark, rows)).collect()} == want
+    assert want[3] == want[90] and set(want[91].split(" ")) == {"-"}
+
+
 # --- quality and toxicity --------------------------------------------------------------------------------
 
 def area(rows, truth):
