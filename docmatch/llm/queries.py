@@ -106,10 +106,10 @@ def op5(spark, sf_dir):
 
 @query("op6_similar_documents")
 def op6(spark, sf_dir):
-    """Classes of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    """Classes of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more, and links."""
     from docmatch.llm import similar
 
-    return similar.similar_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return similar.similar_documents(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
 # --- 7 ---------------------------------------------------------------------------------------------------

@@ -15,6 +15,11 @@ shortest. So
    against the other shards,
 6. links become classes (``components``).
 
+That finds classes by as few links as will do (``similar_classes``). The join itself (``similar_documents``)
+returns every link: in step 4 each document is searched among all later ones and none leaves the lists for
+having been found, and in step 5 the parts of a large group meet pair by pair. There are as many links as
+there are, a group's square where all of its sets differ a little.
+
 Equal sets are one document until the last step. A null or empty text has no shingles and links with
 nothing, as does a row with a null id. Rows that share an id are one node.
 """
@@ -25,11 +30,12 @@ import hashlib
 import heapq
 import math
 from bisect import bisect_left
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmatch.llm.common import WordHashes, arrow_schema, kept, ngram_hashes, texts
@@ -118,6 +124,15 @@ def classes(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
     return pairs
 
 
+def pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Every two documents that link."""
+    lists, found = Lists(sets, list(range(len(sets)))), []
+    for first in range(len(sets)):
+        lists.live.discard(first)
+        found += [(first, d) for d in lists.partners(sets[first], num, den, set())]
+    return found
+
+
 def documents(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Per document its number of shingles, a digest of its set, its short lists, and its text if it has any.
 
@@ -158,11 +173,12 @@ def documents(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return with_totals(texts(docs), [Kind(4)], keys_of, use, schema)
 
 
-def search(gathered: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def search(gathered: DataFrame, n: int, num: int, den: int, every: bool = False) -> DataFrame:
     """Links ``a, b`` in each shard of ``shard, pivot, part, doc_id, asks, class, text``.
 
     Documents with the same pivot and part meet. Where ``asks`` is null all are searched for classes;
-    else those that ask are searched among those that don't and that are of another class so far.
+    else those that ask are searched among those that don't and that are of another class so far. With
+    ``every`` all links are returned and classes play no part.
     """
     schema = "a bigint, b bigint"
     out = arrow_schema(schema)
@@ -179,9 +195,12 @@ def search(gathered: DataFrame, n: int, num: int, den: int) -> DataFrame:
             ids, asks, kinds = (own[c].to_pylist() for c in ("doc_id", "asks", "class"))
             sets = [shingles(words, t.as_py(), n) for t in own["text"]]
             if asks[0] is None:
-                links += [(ids[a], ids[b]) for a, b in classes(sets, num, den)]
+                links += [(ids[a], ids[b]) for a, b in (pairs if every else classes)(sets, num, den)]
                 continue
             lists = Lists(sets, [i for i, a in enumerate(asks) if not a])
+            if every:
+                links += [(ids[i], ids[d]) for i, a in enumerate(asks) if a for d in lists.partners(sets[i], num, den, set())]
+                continue
             of_class: dict[int, set[int]] = {}
             for i in lists.live:
                 of_class.setdefault(kinds[i], set()).add(i)
@@ -198,39 +217,107 @@ def search(gathered: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return gathered.groupBy("shard").applyInArrow(lambda table: run(table), schema)
 
 
-def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: the class of each document, named by its smallest id."""
+@dataclass
+class Groups:
+    """All documents, texts of one document for each distinct set, those that share a list with others by
+    pivot with the pivot's number of parts, the shard of a pivot's part, and which document stands for a set."""
+
+    found: DataFrame
+    node_texts: DataFrame
+    dealt: DataFrame
+    shard: Column
+    smallest: DataFrame
+    ties: DataFrame
+
+
+def groups(docs: DataFrame, n: int, num: int, den: int, by_set: bool = False) -> Groups:
+    """With ``by_set`` nodes are sets, numbered by hash, and an id with several sets keeps them apart."""
     found = kept(documents(docs, n, num, den), "similar-documents")
     entered = found.filter(F.size("lists") > 0)
     # One of the equal sets stands for all of them; each entered the same lists.
     stands = entered.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
     nodes = entered.join(stands, ["same", "doc_id"], "left_semi")
+    if by_set:
+        nodes = nodes.withColumn("doc_id", F.xxhash64("same")).dropDuplicates(["doc_id"])
     entries = nodes.select("doc_id", "n", F.explode("lists").alias("list"))
     pivots = (entries.groupBy("list").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
               .filter("pivot < last").drop("last"))
     members = kept(entries.join(pivots, "list").select("pivot", "doc_id", "n").distinct(), "similar-members")
-    node_texts = nodes.select("doc_id", "text")
-
     total = members.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_SHINGLES))
     parts = (members.groupBy("pivot").agg(F.ceil(F.sum("n") / SHARD_SHINGLES).cast("int").alias("parts")))
-    dealt = members.join(parts, "pivot")
+    shard = F.when(F.col("parts") > 1, F.xxhash64("pivot", "part")).otherwise(F.pmod(F.xxhash64("pivot"), F.lit(shards)))
+    same = found.filter("same is not null").select("doc_id", "same")
+    smallest = same.groupBy("same").agg(F.min("doc_id").alias("id"))
+    smallest = smallest.withColumn("node", F.xxhash64("same") if by_set else F.col("id"))
+    # An id with several sets ties their classes together.
+    several = (same.groupBy("doc_id").agg(F.min("same").alias("least"), F.max("same").alias("most"))
+               .filter("least < most").select("doc_id"))
+    ties = same.join(several, "doc_id").join(smallest, "same").select("doc_id", F.col("node").alias("b"))
+    if by_set:
+        ties = ties.join(ties.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id")
+    else:
+        ties = ties.withColumn("a", F.col("doc_id"))
+    ties = ties.select("a", "b")
+    return Groups(found, nodes.select("doc_id", "text"), members.join(parts, "pivot"), shard, smallest, ties)
+
+
+def similar_pairs(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``a, b``: every link between different sets, once, each set named by its smallest id."""
+    made = groups(docs, n, num, den, by_set=True)
+    a, b = (made.smallest.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id")) for c in "ab")
+    return (every_link(made, n, num, den).join(a, "a").join(b, "b")
+            .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")))
+
+
+def every_link(made: Groups, n: int, num: int, den: int) -> DataFrame:
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    # Part p of a group meets part q in the cell of (p, q); p asks.
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = (made.dealt.withColumn("own", own).withColumn("other", other)
+             .withColumn("part", F.least("own", "other").cast("bigint") * F.col("parts") + F.greatest("own", "other"))
+             .withColumn("asks", F.when(F.col("own") != F.col("other"), F.col("own") < F.col("other"))))
+    found = search(cells.join(made.node_texts, "doc_id").select(
+        made.shard.alias("shard"), "pivot", "part", "doc_id", "asks", F.lit(None).cast("bigint").alias("class"), "text"),
+        n, num, den, every=True)
+    # Documents that share lists with several pivots meet more than once.
+    return kept(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-links")
+
+
+def similar_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links``: the class of each document and how many others it links with.
+
+    Others are counted by id and distinct set, copies of the own set included.
+    """
+    made = groups(docs, n, num, den, by_set=True)
+    links = every_link(made, n, num, den)
+    labels = components(links.unionByName(made.ties))
+    times = (made.found.filter("same is not null").groupBy("same").agg(F.count_distinct("doc_id").alias("times"))
+             .join(made.smallest, "same"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    further = both.join(times.select(F.col("node").alias("b"), "times"), "b").groupBy("a").agg(F.sum("times").alias("further"))
+    n_links = F.col("times") - 1 + F.coalesce("further", F.lit(0))
+    named = (times.join(labels, "node", "left").join(further.withColumnRenamed("a", "node"), "node", "left")
+             .select("same", "id", F.coalesce("component", "node").alias("component"), n_links.alias("n_links")))
+    named = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component")
+    return (made.found.select("doc_id", F.col("n").alias("n_shingles"), "same").join(named, "same", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+                    F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+
+def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: the class of each document, named by its smallest id."""
+    made = groups(docs, n, num, den)
+    found, node_texts, dealt, shard, smallest = made.found, made.node_texts, made.dealt, made.shard, made.smallest
     # A large group is dealt over parts; its pivot is in each.
     part = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
     placed = dealt.withColumn("part", F.explode(part))
-    shard = F.when(F.col("parts") > 1, F.xxhash64("pivot", "part")).otherwise(F.pmod(F.xxhash64("pivot"), F.lit(shards)))
     empty = F.lit(None).cast("bigint")
     first = kept(search(placed.join(node_texts, "doc_id").select(
         shard.alias("shard"), "pivot", "part", "doc_id", F.lit(None).cast("boolean").alias("asks"),
         empty.alias("class"), "text"), n, num, den), "similar-links")
-    same = found.filter("same is not null").select("doc_id", "same")
-    smallest = same.groupBy("same").agg(F.min("doc_id").alias("node"))
-    # An id with several sets ties their classes together.
-    several = (same.groupBy("doc_id").agg(F.min("same").alias("least"), F.max("same").alias("most"))
-               .filter("least < most").select("doc_id"))
-    ties = same.join(several, "doc_id").join(smallest, "same").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    first = first.unionByName(ties)
+    first = first.unionByName(made.ties)
     labels = components(first)
 
     # Large groups that are not one class yet: whoever is not in the main class asks the other parts.

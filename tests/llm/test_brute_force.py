@@ -289,6 +289,39 @@ def test_similar_classes_of_a_large_group_in_many_shards(spark, monkeypatch):
     assert got_classes(similar.similar_classes(docs(spark, rows), 2, 80, 100).collect()) == classes_of(rows, 2, 80, 100)
 
 
+@pytest.mark.parametrize("shard", [600, similar.SHARD_SHINGLES])
+def test_similar_documents_returns_every_link(spark, monkeypatch, shard):
+    """Also between documents of a class that is found already, and across the parts of a large group."""
+    monkeypatch.setattr(similar, "SHARD_SHINGLES", shard)
+    rng, base, rows = random.Random(4), prose(77, 60).split(), []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(60)] = f"z{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, prose(i, 50)) for i in range(5)] + [(None, rows[0][1]), (300, "")]
+    sets = {i: frozenset(shingle_set(t, 2)) for i, t in rows if i is not None}
+    linked = {(i, j) for i, x in sets.items() for j, y in sets.items() if i < j and x and 100 * len(x & y) >= 80 * len(x | y)}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    want = {(first[sets[i]], first[sets[j]]) for i, j in linked if sets[i] != sets[j]}
+    got = [(r.a, r.b) for r in similar.similar_pairs(docs(spark, rows), 2, 80, 100).collect()]
+    assert sorted(got) == sorted({(min(p), max(p)) for p in want}) and len(got) > 400
+    out = similar.similar_documents(docs(spark, rows), 2, 80, 100).collect()
+    assert got_classes(out) == classes_of(rows, 2, 80, 100)
+    times = Counter(x for pair in linked for x in pair)
+    assert all(r.n_links == (times[r.doc_id] if r.doc_id is not None else 0) for r in out)
+
+
+def test_links_of_one_id_with_several_sets_stay_apart(spark):
+    one, two = prose(1, 60), prose(2, 60)
+    rows = [(1, one), (1, two), (2, one + " tail"), (3, two + " tail"), (4, two)]
+    out = similar.similar_documents(docs(spark, rows), 2, 80, 100).collect()
+    assert got_classes(out) == classes_of(rows, 2, 80, 100)
+    assert sorted((r.doc_id, r.n_links) for r in out) == [(1, 1), (1, 2), (2, 1), (3, 2), (4, 2)]
+
+
 def test_divide_skip_finds_what_counting_finds():
     rng = np.random.default_rng(5)
     for _ in range(60):
