@@ -155,3 +155,47 @@ def op10(spark, sf_dir):
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+# --- 11 --------------------------------------------------------------------------------------------------
+
+LINES = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS said, unnest(range(len(lines))) AS pos FROM split),
+keyed AS (SELECT doc_id, said, pos, translate(regexp_replace(said, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+shared AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT doc_id, said, pos, coalesce(doc_id < keeper, false) AS gone FROM keyed LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(said, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op11_line_dedup", LINES)
+def op11(spark, sf_dir):
+    """Lines that five documents hold stay in the one with the largest id."""
+    from docmatch.llm import lines
+
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+# --- 12 --------------------------------------------------------------------------------------------------
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    """Every embedding projected on 16 components of unit variance."""
+    from docmatch.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+# --- 13 --------------------------------------------------------------------------------------------------
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    """The words of all documents and the more frequent words that they vary."""
+    from docmatch.llm import spelling
+
+    return spelling.variants(table(spark, sf_dir, "documents"))
