@@ -157,7 +157,7 @@ def characteristic(spark, a: np.ndarray) -> list[int]:
                 reduced = np.array([[v % p for v in row] for row in rows], np.int64)
                 yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int64()), "c": pa.array([polynomial_mod(reduced, p)], pa.list_(pa.int64()))})
 
-    asked = spark.createDataFrame([(p,) for p in moduli], "p bigint").repartition(min(len(moduli), 8 * len(a)), "p")
+    asked = spark.createDataFrame([(p,) for p in moduli], "p bigint").repartition(min(len(moduli), 2 * spark.sparkContext.defaultParallelism), "p")
     found = sorted((r["p"], r["c"]) for r in asked.mapInArrow(solve, "p bigint, c array<bigint>").toLocalIterator())
     value, modulus = [0] * (d + 1), 1
     for p, rest in found:
