@@ -77,7 +77,9 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     ``keep`` lists the runs of lines that stay as ``start, length``, from line 0.
     """
     lines = kept(_keyed(_texts(docs, id_col, text_col), least_chars), "lines")
-    gone = (lines.join(_shared(lines, least_docs), ["hash", "check"])
+    # Stored, so that both sides of the join are plain exchanges and Spark can split a hot key.
+    shared = kept(_shared(lines, least_docs), "shared-lines")
+    gone = (lines.join(shared, ["hash", "check"])
             .filter(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper"))))
     # A repeated row brings each of its lines again.
     found = (gone.groupBy("doc_id", "text_hash")
