@@ -5,16 +5,19 @@ reduced at once to the block's top ``k``. They differ in how rows get into block
 
 ``points``   the points fit the broadcast bound: one pass over the queries, no shuffle
 ``queries``  the queries fit the broadcast bound: one pass over the points, shuffling only top lists
-``grid``     neither fits: a grid of point blocks and query blocks, bounded by rows per block
+``grid``     neither fits: stripes of one query block each, past which any number of points streams
 ``lsh``      approximate: random-hyperplane buckets as extra scopes of the grid, exact scores, and
              an exact search for queries whose buckets held fewer than ``k`` points
 
 ``scope`` columns (a project, say) must be equal on both sides. A scope or bucket of any size is cut
-into blocks by a hash of the row key, so a hot one spreads over many tasks. Ties rank by point key.
+by a hash of the row key into query blocks and, where one task would read too much, lanes of points, so
+a hot one spreads over many tasks. A point is copied once per query block, a query once per lane, and a
+task holds one query block, one batch of points and one running top list. Ties rank by point key.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,7 +32,9 @@ from docmatch.sources.staging import stage
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
-CELL_PRODUCTS = 1 << 35
+# What one stripe reads (in query blocks) and multiplies at most, before its points are dealt over lanes.
+LANE_BLOCKS = 32
+LANE_PRODUCTS = 1 << 40
 QUERY_ROWS = 16_384
 BROADCAST_SCOPES = 100_000
 TILE_CELLS = 2 << 20
@@ -273,38 +278,74 @@ def _tables(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _block_rows(dim: Column, block_bytes: int) -> Column:
-    """Rows of a block, so that both its bytes and the products of a pair of blocks stay bounded."""
-    dim = F.greatest(dim, F.lit(1))
-    return F.greatest(F.lit(1.0), F.least(F.sqrt(F.lit(float(CELL_PRODUCTS)) / dim), F.lit(block_bytes / 4) / dim))
+def _rows_of(vector: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"), F.greatest(F.max(F.size(vector)), F.lit(1)).alias("dim")]
 
 
-def _blocks(vector: str, block_bytes: int) -> Column:
-    return F.ceil(F.count(F.lit(1)) / _block_rows(F.max(F.size(vector)), block_bytes)).cast("int")
+def _cuts(queries: Column, points: Column, dim: Column, block_bytes: int) -> tuple[Column, Column]:
+    """Query blocks and point lanes of a scope: a block is bounded in bytes, a stripe in bytes and in work."""
+    blocks = F.greatest(F.lit(1.0), F.ceil(queries * dim * 4 / F.lit(float(block_bytes))))
+    in_block = F.greatest(F.lit(1.0), F.ceil(queries / blocks))
+    lane = F.least(F.lit(float(LANE_BLOCKS * block_bytes)) / 4, F.lit(float(LANE_PRODUCTS)) / in_block) / dim
+    return blocks.cast("int"), F.ceil(F.greatest(F.lit(1.0), points / F.greatest(lane, F.lit(1.0)))).cast("int")
 
 
-def _with_blocks(j: _Join, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the numbers of query and point blocks of their scope, ``_nq`` and ``_np``.
+def _with_cuts(j: _Join, block_bytes: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Both sides with the numbers of query blocks and point lanes of their scope, ``_nq`` and ``_lanes``, and
+    whether any scope has several lanes.
 
-    Without a scope two counts are all there is. With scopes the counts are one narrow row per scope,
-    stored once; they are broadcast if their number proves that they fit, else the join is a shuffle
-    whose hot scopes Spark splits.
+    Without a scope there are at least as many stripes as the session has cores. With scopes the counts are one
+    narrow row per scope, stored once; they are broadcast if their number proves that they fit, else the join is
+    a shuffle whose hot scopes Spark splits.
     """
     if not j.scope:
-        nq = j.q.agg(_blocks(j.qv, block_bytes).alias("n")).head()["n"]
-        np_ = j.p.agg(_blocks(j.pv, block_bytes).alias("n")).head()["n"]
-        numbers = {"_nq": F.lit(max(1, nq)), "_np": F.lit(max(1, np_))}
-        return j.q.withColumns(numbers), j.p.withColumns(numbers)
-    counted = j.q.groupBy(*j.scope).agg(_blocks(j.qv, block_bytes).alias("_nq")).join(
-        j.p.groupBy(*j.scope).agg(_blocks(j.pv, block_bytes).alias("_np")), j.scope)
-    sizes = stage(counted, "block-counts")
-    if sizes.count() <= BROADCAST_SCOPES:
+        q, p = (side.agg(*_rows_of(vector)).head() for side, vector in ((j.q, j.qv), (j.p, j.pv)))
+        dim = max(q["dim"] or 1, p["dim"] or 1)
+        one = j.q.sparkSession.range(1).select(*(c.alias(n) for c, n in zip(_cuts(
+            F.lit(float(q["rows"])), F.lit(float(p["rows"])), F.lit(float(dim)), block_bytes), ("nq", "lanes")))).head()
+        cores = j.q.sparkSession.sparkContext.defaultParallelism
+        numbers = {"_nq": F.lit(one["nq"]), "_lanes": F.lit(max(one["lanes"], -(-cores // one["nq"])))}
+        return j.q.withColumns(numbers), j.p.withColumns(numbers), True
+    asked = j.q.groupBy(*j.scope).agg(*_rows_of(j.qv)).withColumnsRenamed({"rows": "_q", "dim": "_qd"})
+    there = j.p.groupBy(*j.scope).agg(*_rows_of(j.pv)).withColumnsRenamed({"rows": "_p", "dim": "_pd"})
+    blocks, lanes = _cuts(F.col("_q"), F.col("_p"), F.greatest("_qd", "_pd"), block_bytes)
+    sizes = stage(asked.join(there, j.scope).select(*j.scope, blocks.alias("_nq"), lanes.alias("_lanes")), "stripe-counts")
+    seen = sizes.agg(F.count(F.lit(1)).alias("scopes"), F.max("_lanes").alias("lanes")).head()
+    if seen["scopes"] <= BROADCAST_SCOPES:
         sizes = F.broadcast(sizes)
-    return j.q.join(sizes, j.scope), j.p.join(sizes, j.scope)
+    return j.q.join(sizes, j.scope), j.p.join(sizes, j.scope), (seen["lanes"] or 1) > 1
 
 
-def _grid(j: _Join, block_bytes: int) -> DataFrame:
-    q, p = _with_blocks(j, block_bytes)
+def _one_stripe(batches: Iterator[pa.RecordBatch], qcols: list[str], qkey: str, pkey: str, k: int,
+                block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Top lists of a stripe's queries, which come first; its points follow in key order.
+
+    Held are the queries, one table of points of about ``block_bytes`` and one list of ``k`` per query.
+    """
+    held: list[pa.RecordBatch] = []
+    first = None
+    for batch in batches:
+        n = int(pc.sum(pc.invert(batch["_point"])).as_py() or 0)
+        if n:
+            held.append(batch.slice(0, n))
+        if n < batch.num_rows:
+            first = batch.slice(n)
+            break
+    if not held or first is None:
+        return
+    queries = _Block(pa.Table.from_batches(held).rename_columns(
+        [qkey if c == "_qk" else c for c in held[0].schema.names]), "_v")
+    best: pa.Table | None = None
+    for points in _tables(itertools.chain([first], batches), block_bytes):
+        r, c, s = _best(queries, _Block(points, "_v"), k)
+        best = _merge(best, pa.table({"r": r, "key": points["_pk"].take(pa.array(c)), "s": s}), k)
+    hits = _as_hits(queries.table, qcols, pkey, best["r"].to_numpy(), best["key"], best["s"].to_numpy())
+    yield from hits.to_batches(max_chunksize=10_000)
+
+
+def _grid(j: _Join, block_bytes: int) -> tuple[DataFrame, bool]:
+    """Top lists per stripe, and whether a query can have several."""
+    q, p, several = _with_cuts(j, block_bytes)
 
     def slot(key: str, n: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
@@ -312,17 +353,29 @@ def _grid(j: _Join, block_bytes: int) -> DataFrame:
     def each(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    q = q.withColumns({"_qb": slot(j.qkey, "_nq"), "_pb": each("_np")})
-    p = p.withColumns({"_pb": slot(j.pkey, "_np"), "_qb": each("_nq")})
-    cell = [*j.scope, "_qb", "_pb"]
-    q = q.drop("_nq", "_np")
-    p = p.drop("_nq", "_np")
-    qcols, pkey, qv, pv, k = j.qcols, j.pkey, j.qv, j.pv, j.k
+    def typed(schema: T.StructType, name: str) -> Column:
+        return F.lit(None).cast(schema[name].dataType)
+
+    q = q.withColumns({"_qb": slot(j.qkey, "_nq"), "_lane": each("_lanes")})
+    p = p.withColumns({"_lane": slot(j.pkey, "_lanes"), "_qb": each("_nq")})
+    cell = [*j.scope, "_qb", "_lane"]
+    rows = q.select(*cell, F.lit(False).alias("_point"), F.col(j.qkey).alias("_qk"), typed(j.p.schema, j.pkey).alias("_pk"),
+                    F.col(j.qv).alias("_v")).unionByName(
+        p.select(*cell, F.lit(True).alias("_point"), typed(j.q.schema, j.qkey).alias("_qk"), F.col(j.pkey).alias("_pk"),
+                 F.col(j.pv).alias("_v")))
+    qcols, qkey, pkey, k = j.qcols, j.qkey, j.pkey, j.k
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _one_stripe(batches, qcols, qkey, pkey, k, block_bytes)
+
+    # One exchange and one sort bring a stripe's rows in the order in which it reads them.
+    dealt = rows.repartition(*cell).sortWithinPartitions(*cell, "_point", "_pk")
+    return dealt.groupBy(*cell).applyInArrow(search, j.schema), several
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _hits(_Block(left, qv), _Block(_in_key_order(right, pkey), pv), qcols, pkey, k)
 
-    return q.groupBy(*cell).cogroup(p.groupBy(*cell)).applyInArrow(search, j.schema)
+def _by_grid(j: _Join, block_bytes: int) -> DataFrame:
+    hits, several = _grid(j, block_bytes)
+    return j.ranked(hits) if several else hits
 
 
 def _signatures(df: DataFrame, vector: str, dim: int, tables: int, bits: int, seed: int) -> DataFrame:
@@ -354,12 +407,12 @@ def _lsh(j: _Join, block_bytes: int, tables: int, bits: int | None, seed: int) -
     )
     # A pair found in several tables has the same exact score each time. The narrow lists are read
     # three times below, so they are stored.
-    found = _grid(near, block_bytes).groupBy(*j.qcols, j.pkey).agg(F.max("score").alias("score"))
+    found = _grid(near, block_bytes)[0].groupBy(*j.qcols, j.pkey).agg(F.max("score").alias("score"))
     found = stage(j.ranked(found), "lsh-hits")
     full = found.where(F.col("rank") == j.k).select(*j.qcols)
     short = j.q.join(full, j.qcols, "left_anti")
     exact = _Join(short, j.p, j.k, j.scope, j.qkey, j.pkey, j.qv, j.pv)
-    rest = exact.ranked(_grid(exact, block_bytes))
+    rest = _by_grid(exact, block_bytes)
     return found.join(full, j.qcols, "left_semi").unionByName(rest)
 
 
@@ -402,7 +455,7 @@ def knn(
     elif strategy in ("auto", "queries") and _rows_within(j.q, j.qkey, j.qv, broadcast_bytes, QUERY_ROWS):
         hits = _broadcast_queries(j)
     elif strategy != "lsh":
-        hits = j.ranked(_grid(j, block_bytes))
+        hits = _by_grid(j, block_bytes)
     else:
         hits = _lsh(j, block_bytes, tables, bits, seed)
     if k_column:
