@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmatch.functions import vectors as vec
 from docmatch.operators import collection as col
-from docmatch.operators import models, scenario, search
+from docmatch.operators import clusters, models, scenario, search
 from docmatch.sources.staging import new_path, stage
 from workloads.registry import query, table
 from workloads.trees import flat_docs, uuid5_sql
@@ -95,7 +95,10 @@ def knn_lsh(spark, sf_dir):
     """What is certain of approximate lists: their length, exact scores, and a bound of the recall."""
     queries, refs = query_points(spark, sf_dir), reference_points(spark, sf_dir)
     found = stage(search.knn(queries, refs, K, strategy="lsh"), "lsh-found")
-    best = search.knn(queries, refs, K)
+    return _certain(found, search.knn(queries, refs, K), queries, refs)
+
+
+def _certain(found: DataFrame, best: DataFrame, queries: DataFrame, refs: DataFrame) -> DataFrame:
     shared = found.join(best.select("query_uid", "uid"), ["query_uid", "uid"]).count()
     holds = shared >= 0.9 * found.count()
     vectors = queries.select("query_uid", F.col("vector").alias("qv")), refs.select("uid", F.col("vector").alias("pv"))
@@ -105,6 +108,27 @@ def knn_lsh(spark, sf_dir):
         "recall_holds", F.lit(holds))
 
 
+def _stored_points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Queries, and points as search needs them: keys and vectors."""
+    return query_points(spark, sf_dir).select("query_uid", "vector"), reference_points(spark, sf_dir).select("uid", "vector")
+
+
+@query("knn_pruned", f"WITH {_knn_sql()} {HITS}")
+def knn_pruned(spark, sf_dir):
+    """Exact lists from clustered points, clusters that cannot hold a hit left out."""
+    queries, refs = _stored_points(spark, sf_dir)
+    return _shown(clusters.knn_clustered(queries, clusters.cluster_points(refs), K))
+
+
+@query("knn_probed", f"""SELECT 'input-' || vec_id AS query_uid, {K} AS hits, true AS exact_scores, true AS recall_holds FROM embeddings""")
+def knn_probed(spark, sf_dir):
+    """Approximate lists from three quarters of the clusters: length, exact scores, and a bound of the recall."""
+    queries, refs = _stored_points(spark, sf_dir)
+    points = clusters.cluster_points(refs)
+    found = stage(clusters.knn_clustered(queries, points, K, probes=points.clusters.count() * 3 // 4), "probed-hits")
+    return _certain(found, search.knn(queries, refs, K), queries, refs)
+
+
 @query("cosine_pairs", """
 SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
