@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docmatch.functions.tokens import Tokenizer
+
 TokenCounter = Callable[[Column], Column]
 FENCE = "```"
 
@@ -55,14 +57,15 @@ def truncate_words(text: Column, n: int | Column) -> Column:
     """Keep the text up to its ``n``-th token of the word counter, blanks between tokens included;
     ``n <= 0`` keeps the text whole."""
     n = F.lit(n) if isinstance(n, int) else n
-    head = F.call_function("regexp_extract", text, F.concat(F.lit(r"^(?:[ \t\r\n]*[^ \t\r\n]+){0,"), n.cast("string"), F.lit("}")), F.lit(0))
-    return F.when(n <= 0, text).otherwise(head)
+    # Tokens, each with the blanks before it: one linear pass, no repeated group that could exhaust the stack.
+    tokens = F.regexp_extract_all(text, F.lit(r"[ \t\r\n]*[^ \t\r\n]+"), F.lit(0))
+    return F.when(n <= 0, text).otherwise(F.array_join(F.slice(tokens, F.lit(1), F.greatest(n, F.lit(1))), ""))
 
 
 def truncate(text: Column, n: int | Column, counter: TokenCounter | None = None) -> Column:
     """Keep the first ``n`` tokens as ``counter`` counts them (code points unless given).
 
-    A counter other than the two above is asked for the longest beginning of at most ``n`` tokens; it
+    A ``tokens.Tokenizer`` cuts where its ``n``-th token ends. Any other counter is asked for the longest beginning of at most ``n`` tokens; it
     must not fall as a text grows.
     """
     if counter in (None, count_chars):
@@ -70,6 +73,8 @@ def truncate(text: Column, n: int | Column, counter: TokenCounter | None = None)
     if counter is count_words:
         return truncate_words(text, n)
     n = F.lit(n) if isinstance(n, int) else n
+    if isinstance(counter, Tokenizer):
+        return F.when(n <= 0, text).otherwise(counter.cut(text, n))
     # Halving steps over the length: each adds the next smaller power of two where the beginning still fits.
     steps = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
     fits = F.aggregate(steps, F.lit(0), lambda at, step: F.when(

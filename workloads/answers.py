@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmatch.functions import text as tx
+from docmatch.functions import tokens
 from docmatch.operators import models, predictions, prompt, search
 from docmatch.sources.staging import new_path
 from docmatch.sources.trees import write_results
@@ -76,6 +77,24 @@ def token_budget(spark, sf_dir):
     return prompt.budget(lines, KEYS).select("query_uid", "uid", "cand_no", F.col("used_tokens").cast("long"), "fits")
 
 
+PIECES = ("coalesce(list_sum(list_transform(list_filter(regexp_split_to_array({0}, '[ \\t\\r\\n]+'), lambda t: t <> ''), "
+          "lambda t: ceil(length(t) / 4.0))), 0)::BIGINT")
+
+
+@query("token_budget_pieces", _HITS + f"""
+, counted AS (SELECT *, {PIECES.format('header')} + {PIECES.format('chr(10)')} AS h, {PIECES.format('line')} AS n FROM lines),
+summed AS (SELECT *, (h + sum(n) OVER (PARTITION BY query_uid ORDER BY rank ROWS UNBOUNDED PRECEDING))::BIGINT AS used FROM counted)
+SELECT query_uid, uid, rank AS cand_no, used AS used_tokens, h < 400 AND used <= 400 AS fits FROM summed""")
+def token_budget_pieces(spark, sf_dir):
+    """The budget with a sub-word counter: words in pieces of four code points."""
+    counter = tokens.pieces(4)
+    queries = asked_queries(spark, sf_dir).withColumn("max_prompt_tokens", F.lit(400))
+    headed = prompt.with_header(queries, counter=counter).select("query_uid", "header_tokens", "max_prompt_tokens")
+    lines = prompt.rank_candidates(candidates(spark, sf_dir).join(headed, KEYS), KEYS).withColumn(
+        "line", prompt.candidate_line(F.col("cand_no"), F.col("uid"), F.col("score"), F.col("text")))
+    return prompt.budget(lines, KEYS, counter=counter).select("query_uid", "uid", "cand_no", F.col("used_tokens").cast("long"), "fits")
+
+
 def _prompts(spark, sf_dir) -> DataFrame:
     return prompt.build_prompts(candidates(spark, sf_dir), asked_queries(spark, sf_dir), KEYS)
 
@@ -126,6 +145,17 @@ def token_truncate_words(spark, sf_dir):
     return docs.select("doc_id", tx.truncate(F.col("text"), (F.col("doc_id") % 50).cast("int"), tx.count_words).alias("text"))
 
 
+@query("token_truncate_pieces", f"""
+SELECT doc_id, {PIECES.format('text')} AS n_tokens,
+       CASE WHEN doc_id % 50 <= 0 THEN text WHEN {PIECES.format('text')} <= doc_id % 50 THEN text
+            ELSE regexp_extract(text, '^(?:[ \\t\\r\\n]*[^ \\t\\r\\n]{{1,4}}){{0,' || (doc_id % 50) || '}}') END AS text FROM documents""")
+def token_truncate_pieces(spark, sf_dir):
+    """Count and cut by one array of token ends."""
+    counter, t = tokens.pieces(4), F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", counter(t).cast("bigint").alias("n_tokens"), tx.truncate(t, (F.col("doc_id") % 50).cast("int"), counter).alias("text"))
+
+
 # --- models ---
 
 
