@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 
 from docmatch.functions.ids import uuid5
 from docmatch.operators.models import EmbedFn, embed
+from docmatch.operators.payload import MARKS, marks, payload_filter
 from docmatch.sources.staging import stage
 
 LOG_PARTITIONS = ["bucket", "op", "side"]
@@ -32,7 +33,7 @@ LOG_SCHEMA = T.StructType([
     T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
     *[T.StructField(c, T.StringType()) for c in ("project_id", "op", "side")],
 ])
-STORED_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
+STORED_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField("marks", MARKS), T.StructField("bucket", T.IntegerType())])
 VERSION = ["project_id", "point_id", "seq", "ord"]
 
 
@@ -101,7 +102,7 @@ def append_log(log_rows: DataFrame, path: str, few_files: bool = False) -> None:
     With ``few_files`` rows are rebalanced by folder first: for inputs whose projects are mixed, where
     every task would otherwise write a file into every folder. A large project still splits by size.
     """
-    log_rows = log_rows.withColumn("bucket", bucket(F.col("project_id")))
+    log_rows = log_rows.withColumns({"marks": marks(F.col("extra")), "bucket": bucket(F.col("project_id"))})
     if few_files:
         log_rows = log_rows.hint("rebalance", *LOG_PARTITIONS)
     log_rows = log_rows.sortWithinPartitions(*LOG_PARTITIONS, "project_id")
@@ -170,9 +171,12 @@ def latest(log: DataFrame) -> DataFrame:
     return rows_of(log, _latest_versions(log))
 
 
-def current(log: DataFrame) -> DataFrame:
-    """Live points."""
-    return rows_of(log, live_versions(log)).drop("op")
+def current(log: DataFrame, filters: dict[str, object] | None = None) -> DataFrame:
+    """Live points, those whose payload passes the filters. Versions are resolved on all rows first, so that
+    an older version never passes for a newer one; the scan of the wide rows leaves out what cannot pass.
+    """
+    wide = log.where(payload_filter(log, filters)) if filters else log
+    return rows_of(wide, live_versions(log)).drop("op", "marks")
 
 
 def stored_current(log: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmatch.operators.payload import payload_filter
 from docmatch.sources.staging import stage
 
 BROADCAST_BYTES = 64 << 20
@@ -44,27 +45,6 @@ GROUP = 32
 STRATEGIES = ("auto", "points", "queries", "grid", "lsh")
 
 
-# --- filters -----------------------------------------------------------------------------------
-
-
-def payload_filter(points: DataFrame, filters: dict[str, object]) -> Column:
-    """Conjunction of equalities over columns, or over ``extra`` for other keys.
-
-    A key that a point does not have gives NULL or false and never matches. Plain comparisons let the
-    scan prune folders and row groups.
-    """
-    condition = F.lit(True)
-    for key, value in filters.items():
-        if key in points.columns:
-            test = F.col(key) == F.lit(value)
-        elif "extra" in points.columns:
-            test = F.col("extra")[key] == F.lit(str(value))
-        else:
-            test = F.lit(False)
-        condition = condition & test
-    return condition
-
-
 # --- kernel (runs in tasks) --------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,6 +212,29 @@ def collection_isolation(spark, sf_dir):
     return col.current(col.read_log(spark, _collection(spark, sf_dir), "p-fr", "input")).select("uid")
 
 
+_PAYLOAD = [("source", "src8"), ("length", 416), ("english", True), ("missing", 1)]
+
+
+@query("filter_payload_keys", """
+SELECT filter, uid FROM (
+  SELECT unnest(['source', 'length', 'english', 'both']) AS filter, 'input-' || doc_id AS uid,
+         unnest([source = 'src8', n_chars = 416, lang = 'en', source = 'src8' AND lang = 'en']) AS passes FROM documents)
+WHERE passes""")
+def filter_payload_keys(spark, sf_dir):
+    """Texts, numbers, truth values and a missing key, none of them a column of the stored log."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.lit("p").alias("project_id"), F.concat(F.lit("input-"), "doc_id").alias("uid"), "text", F.lit("input").alias("side"),
+        F.array(F.lit(1.0).cast("float")).alias("vector"),
+        F.create_map(F.lit("source"), "source", F.lit("length"), F.col("n_chars").cast("string"),
+                     F.lit("english"), (F.col("lang") == "en").cast("string")).alias("extra"))
+    path = new_path(spark, "collection")
+    col.append_log(col.upserts(col.prepare_points(docs), 0), path)
+    log = col.read_log(spark, path)
+    wanted = [(key, {key: value}) for key, value in _PAYLOAD] + [("both", {"source": "src8", "english": True})]
+    found = [col.current(log, filters).select(F.lit(name).alias("filter"), "uid") for name, filters in wanted]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("ensure_collection", "SELECT 'p-' || lang AS project_id, count(*) AS points FROM documents GROUP BY ALL")
 def ensure_collection(spark, sf_dir):
     path = new_path(spark, "collection")
