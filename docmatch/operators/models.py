@@ -7,6 +7,7 @@ import random
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -101,6 +102,12 @@ def wait(attempt: int) -> None:
     time.sleep(2 ** attempt + random.random())
 
 
+def model_of(df: DataFrame, model: str, default: str) -> Column:
+    """The model a row names, or the default where it names none."""
+    named = F.trim(F.col(model)) if model in df.columns else F.lit("")
+    return F.when(F.coalesce(named, F.lit("")) == "", default).otherwise(named)
+
+
 def generate(
     df: DataFrame,
     fns: dict[str, GenerateFn],
@@ -111,15 +118,19 @@ def generate(
     max_attempts: int = 3,
     sleep: Callable[[int], None] = wait,
     max_parallel_calls: int | None = None,
+    concurrency: int = 1,
 ) -> DataFrame:
     """Call the model named per row, or the default where blank.
 
     Adds ``model_used, raw_output, attempts, error``. A failing call or an unknown name fails its row
-    only. ``max_parallel_calls`` bounds the tasks calling at once. Stage the result: replays of its
-    lineage would repeat the calls.
+    only. ``max_parallel_calls`` bounds the tasks calling at once, ``concurrency`` the calls that a task
+    has open at once. Stage the result, or use ``answers.resumable``: replays of its lineage would repeat
+    the calls.
     """
     if default not in fns:
         raise ValueError(f"default model {default!r} is not among the functions")
+    if concurrency < 1:
+        raise ValueError("concurrency must be at least 1")
 
     def call(name: str, text: str | None):
         fn = fns.get(name)
@@ -138,12 +149,13 @@ def generate(
 
     @F.pandas_udf("raw_output string, attempts int, error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for names, prompts in batches:
-            rows = [call(n, p) for n, p in zip(names, prompts)]
-            yield pd.DataFrame(rows, columns=["raw_output", "attempts", "error"])
+        with ThreadPoolExecutor(concurrency) as pool:
+            for names, prompts in batches:
+                # Answers keep the order of their rows; one call at a time stays in the task's own thread.
+                rows = list(pool.map(call, names, prompts)) if concurrency > 1 else [call(n, p) for n, p in zip(names, prompts)]
+                yield pd.DataFrame(rows, columns=["raw_output", "attempts", "error"])
 
-    named = F.trim(F.col(model)) if model in df.columns else F.lit("")
-    df = df.withColumn("model_used", F.when(F.coalesce(named, F.lit("")) == "", default).otherwise(named))
+    df = df.withColumn("model_used", model_of(df, model, default))
     if max_parallel_calls:
         df = df.repartition(max_parallel_calls)
     answered = df.withColumn("_answer", run.asNondeterministic()("model_used", prompt))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docmatch.functions.text import TokenCounter, count_chars
 from docmatch.operators import collection as col
 from docmatch.operators import hierarchy, models, predictions, prompt, search, validate
+from docmatch.operators.answers import resumable
 from docmatch.operators.scenario import Scenario, effective_k, resolve, searched_side
 from docmatch.sources.staging import stage
 from docmatch.sources.trees import request_trees, split_complete
@@ -124,6 +125,8 @@ def match(
     sleep: Callable[[int], None] = models.wait,
     collection_path: str | None = None,
     seq: int = 0,
+    concurrency: int = 1,
+    ledger_path: str | None = None,
 ) -> MatchResult:
     """Match ``(project_id, doc_id, side, raw)`` trees in the scenario's direction.
 
@@ -131,7 +134,8 @@ def match(
     Both kinds of model calls end in stored tables, the batch of points and the answers, so no later
     stage repeats them. The rows of this job ask, whatever else a kept collection holds. They search the
     points of the job's projects: those of the kept collection at ``collection_path``, to which the job
-    first adds its rows of the sides that are searched, or else the job's own.
+    first adds its rows of the sides that are searched, or else the job's own. With a ``ledger_path``
+    answers are kept there and a job that was stopped asks only what is unanswered.
     """
     valid, rejected = validate.split_valid(trees)
     legs = scenario.legs() if isinstance(scenario, Scenario) else ("forward", "reverse")
@@ -166,9 +170,9 @@ def match(
     asked = prompts.where(F.col("status") == "ok").select(
         *QUERY, "root_uid", "cof_threshold", "llm_name", "direction", "used_k", "prompt_tokens", "prompt"
     )
-    answered = models.generate(
-        asked, generators, default=default_model, max_parallel_calls=max_parallel_calls, sleep=sleep
-    )
+    calls = {"default": default_model, "max_parallel_calls": max_parallel_calls, "sleep": sleep, "concurrency": concurrency}
+    answered = (models.generate(asked, generators, **calls) if ledger_path is None
+                else resumable(asked, generators, ledger_path, **calls))
     answers = stage(answered.drop("prompt"), "answers")
 
     head = [*QUERY, "root_uid", "model_used", "used_k", "cof_threshold"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docmatch.functions import text as tx
 from docmatch.functions import tokens
+from docmatch.operators import answers as answers_ledger
 from docmatch.operators import models, predictions, prompt, search
 from docmatch.sources.staging import new_path
 from docmatch.sources.trees import write_results
@@ -181,6 +182,21 @@ def generate_mock(spark, sf_dir):
     return out.select("doc_id", "raw_output", "attempts", "error")
 
 
+@query("generate_resumed", """
+SELECT doc_id, CASE WHEN md5(text)[1] <> 'f' THEN '[{"confidence": 0.' || md5(text)[1:2] || '}]' END AS raw_output,
+       CASE WHEN md5(text)[1] = 'f' THEN 'RuntimeError: refused' END AS error,
+       CASE WHEN md5(text)[1] = 'f' AND min(doc_id % 3) OVER (PARTITION BY text) = 0 THEN 2 ELSE 1 END AS rows_kept FROM documents""")
+def generate_resumed(spark, sf_dir):
+    """Two runs over one ledger: a third of the documents, then all. Only failed prompts are asked twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    path = new_path(spark, "ledger")
+    for part in (docs.where("doc_id % 3 = 0"), docs):
+        out = answers_ledger.resumable(part, {"digest": answer_by_digest}, path, default="digest", sleep=no_wait)
+    rows = spark.read.schema(answers_ledger.SCHEMA).parquet(path).groupBy(F.col("prompt_key").alias("_key")).agg(
+        F.count(F.lit(1)).cast("int").alias("rows_kept"))
+    return out.join(rows, F.sha2("prompt", 256) == F.col("_key")).select("doc_id", "raw_output", "error", "rows_kept")
+
+
 @query("model_routing", """
 SELECT doc_id, CASE lang WHEN 'en' THEN 'upper' WHEN 'fr' THEN 'size' ELSE 'none' END AS model_used,
        CASE lang WHEN 'en' THEN md5(text) WHEN 'fr' THEN length(text)::VARCHAR END AS raw_output,
