@@ -16,9 +16,12 @@ shortest. So
 6. links become classes (``components``).
 
 That finds classes by as few links as will do (``similar_classes``). The join itself (``similar_documents``)
-returns every link: in step 4 each document is searched among all later ones and none leaves the lists for
-having been found, and in step 5 the parts of a large group meet pair by pair. There are as many links as
-there are, a group's square where all of its sets differ a little.
+looks at every link: in step 4 each document is searched among all later ones and none leaves the lists for
+having been found, and in step 5 the parts of a large group meet pair by pair, in cells of bounded work. There
+are as many links as there are, a group's square where all of its sets differ a little, so links stay in their
+cell: what leaves it is one row per document that has any, with the first document that it reaches there and
+how many it links with. Documents that share several pivots meet in several groups and are counted in that of
+the smallest. ``similar_pairs`` returns the links themselves, as many rows as there are.
 
 Equal sets are one document until the last step. A null or empty text has no shingles and links with
 nothing, as does a row with a null id. Rows that share an id are one node.
@@ -30,6 +33,7 @@ import hashlib
 import heapq
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -44,6 +48,8 @@ from docmatch.llm.corpus import Keys, Kind, with_totals
 
 # Shingles that a search task holds at a time, about.
 SHARD_SHINGLES = 1 << 19
+# Documents of a group that are searched pair by pair in one cell, at most as many asking others.
+CELL_DOCUMENTS = 1000
 # DivideSkip's constant: how many of the longest lists are probed instead of merged.
 MU = 0.01
 
@@ -124,13 +130,14 @@ def classes(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
     return pairs
 
 
-def pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Every two documents that link."""
-    lists, found = Lists(sets, list(range(len(sets)))), []
-    for first in range(len(sets)):
-        lists.live.discard(first)
-        found += [(first, d) for d in lists.partners(sets[first], num, den, set())]
-    return found
+def pairs(sets: list[np.ndarray], asks: list[bool | None], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Every two documents that link; where some ask, each of them with each of the others."""
+    among = asks[0] is None
+    lists = Lists(sets, [i for i, a in enumerate(asks) if not a])
+    for i in range(len(sets)) if among else [i for i, a in enumerate(asks) if a]:
+        lists.live.discard(i)
+        for d in lists.partners(sets[i], num, den, set()):
+            yield i, d
 
 
 def documents(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -173,34 +180,34 @@ def documents(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return with_totals(texts(docs), [Kind(4)], keys_of, use, schema)
 
 
-def search(gathered: DataFrame, n: int, num: int, den: int, every: bool = False) -> DataFrame:
+def groups_of(table: pa.Table) -> Iterator[pa.Table]:
+    """A shard's rows by pivot and part, in order of their ids."""
+    table = table.sort_by([("pivot", "ascending"), ("part", "ascending"), ("doc_id", "ascending")])
+    at = 0
+    for _, rows in groupby(list(zip(table["pivot"].to_pylist(), table["part"].to_pylist()))):
+        size = sum(1 for _ in rows)
+        yield table.slice(at, size)
+        at += size
+
+
+def search(gathered: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links ``a, b`` in each shard of ``shard, pivot, part, doc_id, asks, class, text``.
 
     Documents with the same pivot and part meet. Where ``asks`` is null all are searched for classes;
-    else those that ask are searched among those that don't and that are of another class so far. With
-    ``every`` all links are returned and classes play no part.
+    else those that ask are searched among those that don't and that are of another class so far.
     """
     schema = "a bigint, b bigint"
     out = arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
         words, links = WordHashes(), []
-        table = table.sort_by([("pivot", "ascending"), ("part", "ascending"), ("doc_id", "ascending")])
-        at = 0
-        group = list(zip(table["pivot"].to_pylist(), table["part"].to_pylist()))
-        for _, rows in groupby(group):
-            size = sum(1 for _ in rows)
-            own = table.slice(at, size)
-            at += size
+        for own in groups_of(table):
             ids, asks, kinds = (own[c].to_pylist() for c in ("doc_id", "asks", "class"))
             sets = [shingles(words, t.as_py(), n) for t in own["text"]]
             if asks[0] is None:
-                links += [(ids[a], ids[b]) for a, b in (pairs if every else classes)(sets, num, den)]
+                links += [(ids[a], ids[b]) for a, b in classes(sets, num, den)]
                 continue
             lists = Lists(sets, [i for i, a in enumerate(asks) if not a])
-            if every:
-                links += [(ids[i], ids[d]) for i, a in enumerate(asks) if a for d in lists.partners(sets[i], num, den, set())]
-                continue
             of_class: dict[int, set[int]] = {}
             for i in lists.live:
                 of_class.setdefault(kinds[i], set()).add(i)
@@ -262,26 +269,78 @@ def groups(docs: DataFrame, n: int, num: int, den: int, by_set: bool = False) ->
     return Groups(found, nodes.select("doc_id", "text"), members.join(parts, "pivot"), shard, smallest, ties)
 
 
-def similar_pairs(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``a, b``: every link between different sets, once, each set named by its smallest id."""
-    made = groups(docs, n, num, den, by_set=True)
-    a, b = (made.smallest.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id")) for c in "ab")
-    return (every_link(made, n, num, den).join(a, "a").join(b, "b")
-            .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")))
+def linked(gathered: DataFrame, n: int, num: int, den: int, as_pairs: bool) -> DataFrame:
+    """Every link in each shard of ``shard, pivot, part, doc_id, asks, times, before, text``, met by ``search``'s rule.
+
+    A pair with a pivot in common in ``before``, a document's smaller pivots, is left to that pivot's group. Either the
+    pairs ``a, b``, or per document that links ``node, root, further``: the first document it reaches by links of
+    its cell, and the ``times`` of those it links with.
+    """
+    schema = "a bigint, b bigint" if as_pairs else "node bigint, root bigint, further bigint"
+    out = arrow_schema(schema)
 
+    def run(table: pa.Table) -> pa.Table:
+        words, rows = WordHashes(), []
+        for own in groups_of(table):
+            ids, asks, times = (own[c].to_pylist() for c in ("doc_id", "asks", "times"))
+            before = [frozenset(b) for b in own["before"].to_pylist()]
+            met = ((i, d) for i, d in pairs([shingles(words, t.as_py(), n) for t in own["text"]], asks, num, den)
+                   if not before[i] or before[i].isdisjoint(before[d]))
+            if as_pairs:
+                rows += [(ids[i], ids[d]) for i, d in met]
+                continue
+            first, further = list(range(len(ids))), [0] * len(ids)
+            for i, d in met:
+                further[i] += times[d]
+                further[d] += times[i]
+                while first[i] != i:
+                    first[i] = i = first[first[i]]
+                while first[d] != d:
+                    first[d] = d = first[first[d]]
+                first[max(i, d)] = min(i, d)
+            for i, count in enumerate(further):
+                if count:
+                    root = i
+                    while first[root] != root:
+                        root = first[root]
+                    rows.append((ids[i], ids[root], count))
+        columns = zip(*rows) if rows else ([] for _ in out)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
+
+    return gathered.groupBy("shard").applyInArrow(lambda table: run(table), schema)
 
-def every_link(made: Groups, n: int, num: int, den: int) -> DataFrame:
+
+def every_link(made: Groups, n: int, num: int, den: int, as_pairs: bool = False) -> DataFrame:
+    """``linked`` over all groups, each in cells of bounded size."""
+    documents = made.dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("documents"))
+    cut = made.dealt.join(documents, "pivot").withColumn(
+        "parts", F.greatest("parts", F.ceil(F.col("documents") / CELL_DOCUMENTS).cast("int")))
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     # Part p of a group meets part q in the cell of (p, q); p asks.
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = (made.dealt.withColumn("own", own).withColumn("other", other)
+    cells = (cut.withColumn("own", own).withColumn("other", other)
              .withColumn("part", F.least("own", "other").cast("bigint") * F.col("parts") + F.greatest("own", "other"))
              .withColumn("asks", F.when(F.col("own") != F.col("other"), F.col("own") < F.col("other"))))
-    found = search(cells.join(made.node_texts, "doc_id").select(
-        made.shard.alias("shard"), "pivot", "part", "doc_id", "asks", F.lit(None).cast("bigint").alias("class"), "text"),
-        n, num, den, every=True)
-    # Documents that share lists with several pivots meet more than once.
-    return kept(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-links")
+    pivots = made.dealt.groupBy("doc_id").agg(F.collect_set("pivot").alias("pivots"))
+    nodes = made.node_texts.join(pivots, "doc_id").join(_times(made).select(F.col("node").alias("doc_id"), "times"), "doc_id")
+    met = cells.join(nodes, "doc_id").select(
+        made.shard.alias("shard"), "pivot", "part", "doc_id", "asks", "times",
+        F.filter("pivots", lambda p: p < F.col("pivot")).alias("before"), "text")
+    return kept(linked(met, n, num, den, as_pairs), "similar-links")
+
+
+def _times(made: Groups) -> DataFrame:
+    """``same, id, node, times`` of every set: how many ids have it."""
+    return (made.found.filter("same is not null").groupBy("same").agg(F.count_distinct("doc_id").alias("times"))
+            .join(made.smallest, "same"))
+
+
+def similar_pairs(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``a, b``: every link between different sets, once, each set named by its smallest id."""
+    made = groups(docs, n, num, den, by_set=True)
+    a, b = (made.smallest.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id")) for c in "ab")
+    return (every_link(made, n, num, den, as_pairs=True).join(a, "a").join(b, "b")
+            .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")))
 
 
 def similar_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -291,13 +350,10 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100
     """
     made = groups(docs, n, num, den, by_set=True)
     links = every_link(made, n, num, den)
-    labels = components(links.unionByName(made.ties))
-    times = (made.found.filter("same is not null").groupBy("same").agg(F.count_distinct("doc_id").alias("times"))
-             .join(made.smallest, "same"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    further = both.join(times.select(F.col("node").alias("b"), "times"), "b").groupBy("a").agg(F.sum("times").alias("further"))
+    labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(made.ties))
+    further = links.groupBy("node").agg(F.sum("further").alias("further"))
     n_links = F.col("times") - 1 + F.coalesce("further", F.lit(0))
-    named = (times.join(labels, "node", "left").join(further.withColumnRenamed("a", "node"), "node", "left")
+    named = (_times(made).join(labels, "node", "left").join(further, "node", "left")
              .select("same", "id", F.coalesce("component", "node").alias("component"), n_links.alias("n_links")))
     named = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component")
     return (made.found.select("doc_id", F.col("n").alias("n_shingles"), "same").join(named, "same", "left")

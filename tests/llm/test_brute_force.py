@@ -314,6 +314,24 @@ def test_similar_documents_returns_every_link(spark, monkeypatch, shard):
     assert all(r.n_links == (times[r.doc_id] if r.doc_id is not None else 0) for r in out)
 
 
+def test_links_in_small_cells_are_counted_once(spark, monkeypatch):
+    """Documents that share several pivots, in cells of a few documents."""
+    monkeypatch.setattr(similar, "CELL_DOCUMENTS", 4)
+    rng, base = random.Random(9), prose(3, 40).split()
+    rows = []
+    for i in range(50):
+        w = list(base)
+        w[rng.randrange(40)] = f"z{rng.randrange(6)}"
+        w[rng.randrange(40)] = f"y{rng.randrange(6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(60 + i, rows[i][1]) for i in range(5)]
+    sets = {i: shingle_set(t, 1) for i, t in rows}
+    times = {i: sum(100 * len(x & y) >= 90 * len(x | y) for j, y in sets.items() if j != i) for i, x in sets.items()}
+    out = similar.similar_documents(docs(spark, rows), 1, 90, 100).collect()
+    assert {r.doc_id: r.n_links for r in out} == times and len(set(times.values())) > 3
+    assert got_classes(out) == classes_of(rows, 1, 90, 100)
+
+
 def test_links_of_one_id_with_several_sets_stay_apart(spark):
     one, two = prose(1, 60), prose(2, 60)
     rows = [(1, one), (1, two), (2, one + " tail"), (3, two + " tail"), (4, two)]
