@@ -9,12 +9,13 @@ rows resolve to the same state.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from docmatch.functions.ids import uuid5
+from docmatch.operators.metrics import log_metrics
 from docmatch.operators.models import EmbedFn, embed
 from docmatch.operators.payload import MARKS, marks, payload_filter
 from docmatch.sources.staging import stage
@@ -42,6 +43,21 @@ def bucket(project_id: Column) -> Column:
     return F.pmod(F.xxhash64(project_id), F.lit(BUCKETS)).cast("int")
 
 
+RUN_MARK = "\x1f"
+
+
+def of_run(project_id: Column, run_id: str | None) -> Column:
+    """A project's name within a run. It takes the place of the project in folders, scopes and pruning, so two
+    runs of one project share a collection and never meet."""
+    return project_id if run_id is None else F.concat(project_id, F.lit(RUN_MARK + run_id))
+
+
+def without_run(df: DataFrame) -> DataFrame:
+    """Split ``project_id`` into the project's own name and ``run_id``, null where there is none."""
+    parts = F.split("project_id", RUN_MARK, 2)
+    return df.withColumns({"run_id": F.get(parts, 1), "project_id": F.get(parts, 0)})
+
+
 def with_defaults(rows: DataFrame, mode: str | None = None) -> DataFrame:
     """Fill what ingestion fills: side, ``orig_sid``, ``group_uid`` and ``sid``.
 
@@ -96,12 +112,16 @@ def updates(rows: DataFrame, fn: EmbedFn, seq: int | Column) -> DataFrame:
     return upserts(embed(points, fn), seq)
 
 
-def append_log(log_rows: DataFrame, path: str, few_files: bool = False) -> None:
+def append_log(log_rows: DataFrame, path: str, few_files: bool = False, observation: Observation | None = None) -> None:
     """Append log rows in place, each task writing its own share without a shuffle.
 
+    An ``observation`` counts what is written, see ``metrics.log_metrics``, in the same pass.
+
     With ``few_files`` rows are rebalanced by folder first: for inputs whose projects are mixed, where
     every task would otherwise write a file into every folder. A large project still splits by size.
     """
+    if observation is not None:
+        log_rows = log_rows.observe(observation, *log_metrics())
     log_rows = log_rows.withColumns({"marks": marks(F.col("extra")), "bucket": bucket(F.col("project_id"))})
     if few_files:
         log_rows = log_rows.hint("rebalance", *LOG_PARTITIONS)
@@ -216,10 +236,11 @@ def embedded(rows: DataFrame, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool =
 
 
 def ingest(
-    rows: DataFrame, path: str, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool = False, few_files: bool = False
+    rows: DataFrame, path: str, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool = False, few_files: bool = False,
+    observation: Observation | None = None,
 ) -> None:
     """Embed text rows and append them in one pass. See ``embedded`` and ``append_log``."""
-    append_log(embedded(rows, fn, seq, dim=dim, dedupe=dedupe), path, few_files)
+    append_log(embedded(rows, fn, seq, dim=dim, dedupe=dedupe), path, few_files, observation)
 
 
 def rejects(log: DataFrame) -> DataFrame:

@@ -6,18 +6,18 @@ The scenario is one record for all projects, or a table with a row per project.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docmatch.functions.text import TokenCounter, count_chars
 from docmatch.operators import collection as col
-from docmatch.operators import hierarchy, models, predictions, prompt, search, validate
+from docmatch.operators import hierarchy, metrics, models, predictions, prompt, search, validate
 from docmatch.operators.answers import resumable
 from docmatch.operators.scenario import Scenario, effective_k, resolve, searched_side
-from docmatch.sources.staging import stage
+from docmatch.sources.staging import stage, staged_by
 from docmatch.sources.trees import request_trees, split_complete
 
 SCENARIO_TYPES = {
@@ -32,13 +32,14 @@ MAX_NAMED_PROJECTS = 200
 
 @dataclass(frozen=True)
 class MatchResult:
-    """Tables of one job; all but ``rejected_trees`` hold the legs that ran."""
+    """Tables of one job, which hold the legs that ran but for ``rejected_trees``, and its counts."""
 
     predictions: DataFrame
     envelopes: DataFrame
     answers: DataFrame
     hits: DataFrame
     rejected_trees: DataFrame
+    counts: dict[str, int]
 
 
 def _with_scenario(df: DataFrame, scenario: Scenario | DataFrame, names: list[str]) -> DataFrame:
@@ -127,6 +128,7 @@ def match(
     seq: int = 0,
     concurrency: int = 1,
     ledger_path: str | None = None,
+    run_id: str | None = None,
 ) -> MatchResult:
     """Match ``(project_id, doc_id, side, raw)`` trees in the scenario's direction.
 
@@ -135,13 +137,26 @@ def match(
     stage repeats them. The rows of this job ask, whatever else a kept collection holds. They search the
     points of the job's projects: those of the kept collection at ``collection_path``, to which the job
     first adds its rows of the sides that are searched, or else the job's own. With a ``ledger_path``
-    answers are kept there and a job that was stopped asks only what is unanswered.
+    answers are kept there and a job that was stopped asks only what is unanswered. With a ``run_id`` the job meets
+    nothing of other runs in a kept collection, its tables have a column ``run_id``, and ``staging.remove_run`` deletes
+    what it staged. ``counts`` come from the writes of batch and answers, without a pass of their own.
     """
+    if run_id is not None:
+        trees, scenario = (df if isinstance(df, Scenario) else df.withColumn("project_id", col.of_run(F.col("project_id"), run_id))
+                           for df in (trees, scenario))
+        with staged_by(run_id):
+            made = match(
+                trees, scenario, embed_fn, generators, default_model=default_model, dim=dim, header_fn=header_fn, counter=counter,
+                strategy=strategy, dedupe=dedupe, few_files=few_files, as_coded=as_coded, max_parallel_calls=max_parallel_calls,
+                sleep=sleep, collection_path=collection_path, seq=seq, concurrency=concurrency, ledger_path=ledger_path)
+        tables = {f.name: getattr(made, f.name) for f in fields(made)}
+        return MatchResult(**{n: col.without_run(t) if isinstance(t, DataFrame) else t for n, t in tables.items()})
     valid, rejected = validate.split_valid(trees)
     legs = scenario.legs() if isinstance(scenario, Scenario) else ("forward", "reverse")
 
     rows = text_rows(valid, scenario)
-    batch = stage(col.embedded(rows, embed_fn, seq, dim=dim, dedupe=dedupe), "batch")
+    written, told = Observation(), Observation()
+    batch = stage(col.embedded(rows, embed_fn, seq, dim=dim, dedupe=dedupe).observe(written, *metrics.log_metrics()), "batch")
     asking = col.stored_current(batch)
     if collection_path is None:
         points = asking
@@ -173,7 +188,7 @@ def match(
     calls = {"default": default_model, "max_parallel_calls": max_parallel_calls, "sleep": sleep, "concurrency": concurrency}
     answered = (models.generate(asked, generators, **calls) if ledger_path is None
                 else resumable(asked, generators, ledger_path, **calls))
-    answers = stage(answered.drop("prompt"), "answers")
+    answers = stage(answered.drop("prompt").observe(told, *metrics.answer_metrics()), "answers")
 
     head = [*QUERY, "root_uid", "model_used", "used_k", "cof_threshold"]
     # As coded, the reverse leg of "both" keeps its sides as the model gave them.
@@ -189,6 +204,7 @@ def match(
         answers=answers,
         hits=hits,
         rejected_trees=rejected,
+        counts={**written.get, **told.get},
     )
 
 

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -26,9 +30,32 @@ def stage_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _folder(spark: SparkSession, run_id: str | None) -> str:
+    # A run's name may hold anything; its folder has letters and digits.
+    part = "" if run_id is None else f"/run-{uuid.uuid5(uuid.NAMESPACE_URL, run_id).hex}"
+    return f"{stage_root(spark)}/docmatch{part}"
+
+
+@contextmanager
+def staged_by(run_id: str | None) -> Iterator[None]:
+    """Tables staged within belong to a run; without one they belong to nobody and stay."""
+    token = _RUN.set(run_id)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+
+
+def remove_run(spark: SparkSession, run_id: str) -> bool:
+    """Delete the staged tables of a finished run, by name, wherever the shared folder lies. Its results must have
+    been written elsewhere by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark, run_id))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{stage_root(spark)}/docmatch/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark, _RUN.get())}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -235,6 +235,22 @@ def filter_payload_keys(spark, sf_dir):
     return reduce(DataFrame.unionByName, found)
 
 
+@query("collection_runs", """
+SELECT 'first' AS run_id, 'input-' || doc_id AS uid, length(text)::INT AS chars FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT 'second', 'input-' || doc_id, length('again ' || text)::INT FROM documents""")
+def collection_runs(spark, sf_dir):
+    """Two runs of one project write the same points into one collection; each reads back its own."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("input-"), "doc_id").alias("uid"), "doc_id", "text", F.lit("input").alias("side"), F.array(F.lit(1.0).cast("float")).alias("vector"))
+    path = new_path(spark, "collection")
+    again = docs.withColumn("text", F.concat(F.lit("again "), "text"))
+    for seq, (run, rows) in enumerate([("first", docs.where("doc_id % 2 = 0")), ("second", again)]):
+        named = rows.drop("doc_id").withColumn("project_id", col.of_run(F.lit("p"), run))
+        col.append_log(col.upserts(col.prepare_points(named), seq), path)
+    parts = [col.without_run(col.current(col.read_log(spark, path, f"p{col.RUN_MARK}{run}"))) for run in ("first", "second")]
+    return parts[0].unionByName(parts[1]).select("run_id", "uid", F.length("text").alias("chars"))
+
+
 @query("ensure_collection", "SELECT 'p-' || lang AS project_id, count(*) AS points FROM documents GROUP BY ALL")
 def ensure_collection(spark, sf_dir):
     path = new_path(spark, "collection")
