@@ -223,7 +223,7 @@ def counts(points: DataFrame) -> DataFrame:
     )
 
 
-def embedded(rows: DataFrame, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool = False) -> DataFrame:
+def embedded(rows: DataFrame, fn: EmbedFn, seq: int | Column, *, dim: int, dedupe: bool = False) -> DataFrame:
     """Text rows as log rows with their vectors.
 
     Rows without a uid or text, or with a vector of the wrong size, become ``reject`` rows: they are
@@ -231,7 +231,8 @@ def embedded(rows: DataFrame, fn: EmbedFn, seq: int, *, dim: int, dedupe: bool =
     """
     points = embed(prepare_points(rows), fn, dedupe=dedupe)
     good = F.col("uid").isNotNull() & F.col("text").isNotNull() & (F.coalesce(F.size("vector"), F.lit(0)) == dim)
-    log = points.withColumns({"seq": F.lit(seq).cast("long"), "op": F.when(good, "upsert").otherwise("reject")})
+    seq = F.lit(seq) if isinstance(seq, int) else seq
+    log = points.withColumns({"seq": seq.cast("long"), "op": F.when(good, "upsert").otherwise("reject")})
     return log.select(*LOG_SCHEMA.names)
 
 

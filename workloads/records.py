@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docmatch.operators import collection as col
 from docmatch.operators import ledger, models, scenario, screen, validate
 from docmatch.sources.staging import new_path
+from docmatch.streaming import operations
 from docmatch.streaming.ingest import start_ingest
 from docmatch.streaming.jobs import job_state
 from workloads.registry import query, table
@@ -204,6 +205,29 @@ def stream_ingest(spark, sf_dir):
     return col.current(col.read_log(spark, path)).select("uid", "text")
 
 
+@query("stream_operations", """
+WITH w AS (SELECT event_id AS seq, 'input-' || user_id AS uid, json_extract_string(props, '$.k') AS orig_sid, event_type, value FROM events),
+last AS (SELECT uid, arg_max(orig_sid, seq) AS orig_sid, arg_max(event_type, seq) AS event_type, max(seq) AS seq FROM w WHERE event_type <> 'error' GROUP BY uid)
+SELECT uid, orig_sid, event_type AS text, seq FROM last l WHERE NOT EXISTS (
+  SELECT 1 FROM w WHERE event_type = 'error' AND w.orig_sid = l.orig_sid AND w.seq > l.seq)""")
+def stream_operations(spark, sf_dir):
+    """Events as a stream of changes and deletions, in files that hold them in no order, one batch replayed."""
+    events = table(spark, sf_dir, "events")
+    removal = F.col("event_type") == "error"
+    ops = events.select(
+        F.col("event_id").alias("seq"), F.when(removal, "delete").otherwise("update").alias("op"), F.lit("p").alias("project_id"),
+        F.lit("input").alias("side"), F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("raw"),
+        F.get_json_object("props", "$.k").alias("orig_sid"), F.concat(F.lit("input-"), "user_id").alias("uid"), F.col("event_type").alias("text"))
+    source, path, aside = (new_path(spark, n) for n in ("stream-source", "collection", "quarantine"))
+    ops.repartition(4, F.xxhash64("seq")).write.parquet(source)
+    stream = spark.readStream.schema(operations.SCHEMA).option("maxFilesPerTrigger", 2).parquet(source)
+    embed = models.hash_embedder(8)
+    options = {"dim": 8, "depth": 1, "chunk_size": 0, "quarantine": aside}
+    operations.start_operations(stream, path, embed, checkpoint=new_path(spark, "stream-checkpoint"), **options).awaitTermination()
+    operations.apply_batch(ops.where(F.col("seq") % 3 == 0), 0, path, embed, **options)
+    return col.current(col.read_log(spark, path)).select("uid", "orig_sid", "text", "seq")
+
+
 @query("stream_job_state", """
 WITH l AS (SELECT user_id::VARCHAR AS job_id, 'proj-' || right(user_id::VARCHAR, 1) AS project_id, ts,
     CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status
