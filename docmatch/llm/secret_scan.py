@@ -3,20 +3,25 @@
 Three plain patterns find labelled credentials (assigned values, access keys, long hex runs). From a
 bounded sample of their values, one probabilistic automaton per kind is inferred: a prefix tree of the
 values, in classes of characters, whose states merge while their outgoing frequencies are statistically
-compatible (Hoeffding bound). Every other credential-like run of a text is scored by its log likelihood
-per character under each automaton and becomes a span too where some automaton finds it about as likely
-as the values it learned from. The plain spans always stay.
+compatible (Hoeffding bound). Then every other candidate is scored by its log likelihood per character under
+each automaton and becomes a span too where some automaton finds it no less likely than the values it learned
+from, and far likelier than by the shares of characters in the corpus. Candidates are all maximal runs of the credentials' alphabet, of any length from the shortest learned
+value on; where a plain span lies in a run, what is left of the run on either side is a candidate by itself.
+The plain spans always stay.
 
 A null or empty text has no spans. Repeated texts have equal spans. Offsets count code points, end
-exclusive. Without labelled credentials nothing is inferred and only the plain patterns report.
+exclusive. Of automata that like a run equally the later kind names it. Without labelled credentials nothing
+is inferred and only the plain patterns report.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +36,16 @@ ASSIGN_WORDS = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASC
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
-# Runs that may be a credential of a kind nobody labelled: long, with letters and digits.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
-DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+# The alphabet of all kinds.
+ALPHABET = "[A-Za-z0-9+/_.=-]"
 
-# Labelled values per kind that the automata learn from, and the characters of each: a documented bound.
-SAMPLE_PER_KIND, SAMPLE_CHARS = 400, 128
+# Labelled values per kind that the automata learn from, each of them whole: a documented bound on their number, on
+# the length of one and on the characters of all.
+SAMPLE_PER_KIND, VALUE_CHARS, SAMPLE_CHARS = 400, 1 << 13, 1 << 17
+# How much likelier as a credential than as ordinary text a run must be: about one in a million.
+EVIDENCE_BITS = 20.0
+# Values that a task counts before it sends what it has.
+COUNTED = 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -55,10 +64,23 @@ def labelled(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, st
     return [(kind, ASSIGN.match(text, start, end)[2] if kind == 0 else text[start:end]) for start, kind, end in spans]
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Credential-like runs that touch no plain span."""
-    runs = [m.span() for m in CANDIDATE.finditer(text) if DIGIT.search(m[0]) and LETTER.search(m[0])]
-    return [(a, b) for a, b in runs if all(b <= s or e <= a for s, _, e in spans)]
+def run_pattern(least: int) -> re.Pattern:
+    return re.compile(f"{ALPHABET}{{{least},}}", re.ASCII)
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]], runs: re.Pattern, least: int) -> list[tuple[int, int]]:
+    """Maximal runs of at least ``least`` characters, without what plain spans take of them."""
+    found = []
+    for m in runs.finditer(text):
+        at = m.start()
+        for start, _, end in spans:
+            if end > at and start < m.end():
+                if start - at >= least:
+                    found.append((at, start))
+                at = max(at, end)
+        if m.end() - at >= least:
+            found.append((at, m.end()))
+    return found
 
 
 def character_class(c: str) -> str:
@@ -113,9 +135,9 @@ def infer(values: list[str], alpha: float = 0.01) -> Automaton:
         return bool(nx and ny) and abs(x / nx - y / ny) > width * (1 / math.sqrt(nx) + 1 / math.sqrt(ny))
 
     def compatible(a: int, b: int) -> bool:
-        pairs, budget = [(a, b)], 2000
-        while pairs and budget:
-            budget -= 1
+        # ``b`` is the root of a tree, so every pair is met once.
+        pairs = [(a, b)]
+        while pairs:
             a, b = pairs.pop()
             na, nb = total(a), total(b)
             if differ(ends[a], na, ends[b], nb):
@@ -163,50 +185,97 @@ def infer(values: list[str], alpha: float = 0.01) -> Automaton:
                 at = late
     number = {s: i for i, s in enumerate(kept)}
     made = Automaton([{k: (n, number[q]) for k, (n, q) in moves[s].items()} for s in kept], [ends[s] for s in kept])
-    scores = sorted(map(made.score, values))
-    made.least = scores[len(scores) // 20] if scores else math.inf
+    made.least = min(map(made.score, values), default=math.inf)
     return made
 
 
-SCANNED = ("doc_id {id}, spans array<struct<start: int, kind: int, end: int>>, "
-           "labelled array<struct<kind: int, value: string>>, "
-           "runs array<struct<start: int, end: int, value: string>>")
+def seen(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``kind, value, n``: the credential values of the plain patterns in every whole text, and, as kind -1, the
+    characters of the alphabet: what ordinary text looks like. Counted in the tasks first."""
+    schema = "kind int, value string, n bigint"
+    out = arrow_schema(schema)
 
+    def rows(counts: dict[tuple[int, str], int]) -> pa.RecordBatch:
+        columns = zip(*((k, v, n) for (k, v), n in counts.items())) if counts else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, out)], schema=out)
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Plain spans, their values and the other credential-like runs of every whole text."""
-    def start():
-        def row(doc_id, raw):
-            text = raw.decode()
-            spans = base_spans(text)
-            return (doc_id, [dict(start=s, kind=k, end=e) for s, k, e in spans],
-                    [dict(kind=k, value=v) for k, v in labelled(text, spans)],
-                    [dict(start=a, end=b, value=text[a:b]) for a, b in candidates(text, spans)])
-        return row
+    def count(batches):
+        values, characters = Counter(), np.zeros(256, np.int64)
+        for batch in batches:
+            for raw in batch["text"].to_pylist():
+                characters += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+                text = raw.decode()
+                values.update(labelled(text, base_spans(text)))
+                if len(values) >= COUNTED:
+                    yield rows(values)
+                    values.clear()
+        yield rows(values)
+        yield rows({(-1, chr(c)): int(n) for c, n in enumerate(characters) if n and c < 128 and re.match(ALPHABET, chr(c))})
 
-    return per_document(texts(docs, id_col, text_col),
-                        SCANNED.format(id=docs.schema[id_col].dataType.simpleString()), start)
+    text = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    return text.mapInArrow(count, schema).groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
-def learn(scanned: DataFrame) -> list[Automaton | None]:
-    """One automaton per kind from at most ``SAMPLE_PER_KIND`` distinct values, those of the lowest hash."""
-    values = (scanned.select(F.explode("labelled").alias("v"))
-              .select("v.kind", F.left(F.col("v.value"), F.lit(SAMPLE_CHARS)).alias("value")).distinct())
-    lowest = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    rows = (values.withColumn("_n", lowest).filter(F.col("_n") <= SAMPLE_PER_KIND)
-            .select("kind", "value").toLocalIterator())
+@dataclass
+class Formats:
+    """What a scan needs: an automaton per kind, and the length that candidates have at least."""
+
+    automata: list[Automaton | None]
+    least: int
+    ordinary: dict[str, int]
+
+    def __post_init__(self):
+        """``ordinary`` characters by class: log2 likelihood of one."""
+        by_class = Counter()
+        for c, n in self.ordinary.items():
+            by_class[character_class(c)] += n
+        total = sum(by_class.values())
+        self.shares = {k: math.log2((n + 0.5) / (total + 6) / CLASS_SIZE.get(k, 1)) for k, n in by_class.items()}
+        self.rarest = -math.log2(2 * total + 12)
+
+    def plain(self, value: str) -> float:
+        """Log2 likelihood as ordinary text."""
+        return sum(self.shares.get(character_class(c), self.rarest) for c in value)
+
+    def spans(self, text: str) -> tuple[list[dict], list[dict]]:
+        """Plain spans and all spans of a text, by start."""
+        found = base_spans(text)
+        base = [dict(start=s, end=e, kind=KINDS[k], score=None) for s, k, e in found]
+        if not any(self.automata):
+            return base, base
+        runs = run_pattern(self.least)
+        judged = [self.judge(text[a:b], a) for a, b in candidates(text, found, runs, self.least)]
+        added = [s for s in judged if s]
+        return base, sorted(base + added, key=lambda s: s["start"]) if added else base
+
+    def judge(self, value: str, start: int) -> dict | None:
+        """The span of a run that some automaton finds as likely as its own values, and much likelier than ordinary
+        text, or none."""
+        best = max(((a.score(value) - a.least, k) for k, a in enumerate(self.automata) if a), default=(-1.0, 0))
+        if best[0] < 0:
+            return None
+        if (best[0] + self.automata[best[1]].least) * len(value) - self.plain(value) < EVIDENCE_BITS:
+            return None
+        return dict(start=start, end=start + len(value), kind=f"like_{KINDS[best[1]]}", score=best[0])
+
+
+def learn(found: DataFrame) -> Formats:
+    """One automaton per kind from distinct whole values, those of the lowest hash within the sample's bounds."""
+    distinct = found.filter((F.col("kind") >= 0) & (F.length("value") <= VALUE_CHARS))
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    lowest = distinct.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_PER_KIND)
+    told = F.sum(F.length("value")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = lowest.withColumn("_chars", told).filter(F.col("_chars") <= SAMPLE_CHARS).select("kind", "value").toLocalIterator()
     by_kind: dict[int, list[str]] = {}
     for kind, value in rows:
         by_kind.setdefault(kind, []).append(value)
-    return [infer(sorted(by_kind[k])) if k in by_kind else None for k in range(len(KINDS))]
+    automata = [infer(sorted(by_kind[k])) if k in by_kind else None for k in range(len(KINDS))]
+    ordinary = {r["value"]: r["n"] for r in found.filter("kind = -1").toLocalIterator()}  # the alphabet's characters
+    return Formats(automata, min((len(v) for vs in by_kind.values() for v in vs), default=1), ordinary)
 
 
-def judge(automata: list[Automaton | None], run: dict) -> dict | None:
-    """The span of a run that some automaton finds as likely as its own values, or none."""
-    best = max(((a.score(run["value"]) - a.least, k) for k, a in enumerate(automata) if a), default=(-1.0, 0))
-    if best[0] < 0:
-        return None
-    return dict(start=run["start"], end=run["end"], kind=f"like_{KINDS[best[1]]}", score=best[0])
+def formats_of(docs: DataFrame, text_col: str = "text") -> Formats:
+    return learn(kept(seen(docs, text_col), "secret-values"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,25 +283,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Spans that the automata add carry the kind whose automaton likes them best, as ``like_KIND``.
     """
-    scanned = kept(scan(docs, id_col, text_col), "secret-scan")
-    automata = learn(scanned)
+    formats = formats_of(docs, text_col)
     span = "array<struct<start: int, end: int, kind: string, score: double>>"
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, base {span}, spans {span}"
 
-    out = arrow_schema(schema)
-
-    def score(batches):
-        for batch in batches:
-            base, every = [], []
-            for spans, runs in zip(batch["spans"].to_pylist(), batch["runs"].to_pylist()):
-                own = [dict(start=s["start"], end=s["end"], kind=KINDS[s["kind"]], score=None) for s in spans]
-                base.append(own)
-                added = [s for s in (judge(automata, r) for r in runs) if s]
-                every.append(sorted(own + added, key=lambda s: s["start"]) if added else own)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(base, out[1].type), pa.array(every, out[2].type)], schema=out)
+    def start():
+        def row(doc_id, raw):
+            return doc_id, *formats.spans(raw.decode())
+        return row
 
-    return scanned.select("doc_id", "spans", "runs").mapInArrow(score, schema)
+    return per_document(texts(docs, id_col, text_col),
+                        f"doc_id {docs.schema[id_col].dataType.simpleString()}, base {span}, spans {span}", start)
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -259,19 +319,14 @@ def redact(text: str, spans: list[dict], mark: str = "[SECRET]") -> str:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every secret replaced, and ``n_chars`` (where there is one) counted anew."""
-    sent = docs.sparkSession.sparkContext.broadcast(learn(kept(scan(docs), "secret-scan")))
+    formats = formats_of(docs)
 
     def start():
-        automata = sent.value
-
         def clean(text: str | None) -> str | None:
             if not text:
                 return text
-            spans = base_spans(text)
-            found = [dict(start=s, end=e) for s, _, e in spans]
-            found += [s for a, b in candidates(text, spans)
-                      if (s := judge(automata, dict(start=a, end=b, value=text[a:b])))]
-            return redact(text, sorted(found, key=lambda s: s["start"])) if found else text
+            found = formats.spans(text)[1]
+            return redact(text, found) if found else text
 
         def change(batch):
             old = batch["text"].to_pylist()

@@ -433,6 +433,47 @@ def test_inferred_automaton_likes_its_format_best():
     assert np.mean([made.score(v) >= made.least for v in fresh]) > 0.8
 
 
+def test_all_candidates_are_scored(spark):
+    """Runs of any length and what plain spans leave of a run, against a plain scan; planted credentials are found."""
+    rng = random.Random(12)
+
+    def key():
+        return "tk_" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(22))
+
+    rows = [(i, f"{prose(i, 20)} secret = {key()} {prose(i + 1, 10)}") for i in range(80)]
+    planted = {200 + i: key() for i in range(20)}
+    rows += [(i, f"{prose(i, 15)} ({k}) {prose(i, 5)}") for i, k in planted.items()]
+    long = {n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n)) for n in (6, 19, 24, 25, 128, 129, 5000)}
+    rows += [(1000 + n, f"see {v} there") for n, v in long.items()]
+    rows += [(300, key() + "0123456789abcdef" * 2 + key()), (301, prose(1, 3000)), (302, "word." * 500)]
+    table = docs(spark, rows)
+    formats = secret_scan.formats_of(table)
+    assert formats.least == 25
+    for i, text in rows:
+        spans = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_.=-]+", text)]
+        base = secret_scan.base_spans(text)
+        free = []
+        for a, z in spans:
+            marks = [any(s <= c < e for s, _, e in base) for c in range(a, z)]
+            free += [(a + m.start(), a + m.end()) for m in re.finditer("0+", "".join("01"[x] for x in marks))]
+        assert secret_scan.candidates(text, base, secret_scan.run_pattern(25), 25) == [(a, z) for a, z in free if z - a >= 25]
+    out = {r.doc_id: r for r in secret_scan.find_secrets(table).collect()}
+    texts_by_id = dict(rows)
+    added = {i: [texts_by_id[i][s.start:s.end] for s in r.spans if s.kind.startswith("like")] for i, r in out.items()}
+    assert sum(k in added[i] for i, k in planted.items()) >= 18
+    assert len(added[300]) == 2 and added[301] == added[302] == [] and not any(added[i] for i in range(80))
+    clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(table).collect()}
+    assert all(k not in clean[i] for i, k in planted.items() if k in added[i]) and clean[301] == texts_by_id[301]
+
+
+def test_values_are_learned_from_whole(spark):
+    """Values that share their first 128 characters are different values."""
+    rows = [(i, f"token = {'a1' * 64}{sha(str(i))[:20]}") for i in range(30)]
+    found = secret_scan.seen(docs(spark, rows)).filter("kind = 0")
+    assert found.count() == 30
+    assert secret_scan.learn(found).least == 148
+
+
 def test_redaction(spark):
     out = {r.doc_id: r for r in secret_scan.redact_secrets(docs(spark, SECRETS)).collect()}
     assert out[1].text == 'say "[SECRET] and token=abc and [SECRET]' or "hunter22" not in out[1].text
