@@ -341,11 +341,11 @@ def scored(told: DataFrame, model: Model, total: int) -> DataFrame:
     """Every document by the one model."""
     schema = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
               "base_score double, score double, bits_per_byte double")
-    out, sent = arrow_schema(schema), told.sparkSession.sparkContext.broadcast(model)
+    out = arrow_schema(schema)
 
     def run(batches):
         for part, t, said in parts(batches):
-            scores = np.array(part["chosen"].to_pylist()) + np.bincount(t.doc, sent.value.log_bits(t, said), part.num_rows)
+            scores = np.array(part["chosen"].to_pylist()) + np.bincount(t.doc, model.log_bits(t, said), part.num_rows)
             size = np.array(part["size"].to_pylist())
             held = pa.array([not learn for learn in part["learn"].to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays(

@@ -208,11 +208,9 @@ def classify(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int
              per_class: int = PER_CLASS) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence``: evidence lists the three nearest examples."""
     model = learn(docs, labels, divisor, held_out, per_class)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    # The model travels with the function, by value, as its class does: executors need not have this package.
     def start():
-        model = sent.value
-
         def row(doc_id, text):
             s, found = model.score(text)
             near = [dict(doc_id=int(model.index.ids[e]), toxic=int(model.index.labels[e]), cosine=c) for c, e in found[:3]]
