@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmatch.operators import search
+from docmatch.operators.search import _matrix
 from docmatch.sources.staging import new_path, stage
 
 SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
@@ -47,7 +48,7 @@ class Clustered:
 # --- numbers ---------------------------------------------------------------------------------------------
 
 def _units(vectors: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    m, lengths = search._matrix(vectors)
+    m, lengths = _matrix(vectors)
     return m / np.where(lengths > 0, lengths, 1.0)[:, None], lengths
 
 

@@ -6,7 +6,7 @@ The scenario is one record for all projects, or a table with a row per project.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
@@ -39,7 +39,7 @@ class MatchResult:
     answers: DataFrame
     hits: DataFrame
     rejected_trees: DataFrame
-    counts: dict[str, int]
+    counts: dict[str, int] = field(default_factory=dict)
 
 
 def _with_scenario(df: DataFrame, scenario: Scenario | DataFrame, names: list[str]) -> DataFrame:

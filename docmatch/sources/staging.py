@@ -10,12 +10,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+# The run that a thread stages for. A plain table, since functions of this package travel by value.
+_RUNS: dict[int, str | None] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -39,11 +40,12 @@ def _folder(spark: SparkSession, run_id: str | None) -> str:
 @contextmanager
 def staged_by(run_id: str | None) -> Iterator[None]:
     """Tables staged within belong to a run; without one they belong to nobody and stay."""
-    token = _RUN.set(run_id)
+    outer = _RUNS.get(get_ident())
+    _RUNS[get_ident()] = run_id
     try:
         yield
     finally:
-        _RUN.reset(token)
+        _RUNS[get_ident()] = outer
 
 
 def remove_run(spark: SparkSession, run_id: str) -> bool:
@@ -55,7 +57,7 @@ def remove_run(spark: SparkSession, run_id: str) -> bool:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{_folder(spark, _RUN.get())}/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark, _RUNS.get(get_ident()))}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
