@@ -5,11 +5,13 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from docmatch.llm import (bpe, chat, components, corpus, decontaminate, fingerprint, lm, quality, repeats, secret_scan,
@@ -82,22 +84,57 @@ def test_fingerprints(spark):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
 
 
-def test_fingerprint_subsets_against_plain_python(spark):
-    """Membership in subsets and their hashes, from the band's bits down."""
-    table = docs(spark)
-    bits = fingerprint.lexicon(table)
-    frame = fingerprint.with_fingerprint(table.select(F.coalesce("text", F.lit("")).alias("text")), "text", "print", bits)
-    seen = frame.withColumn("terms", fingerprint.terms(F.col("text"))).collect()
-    for row in seen:
-        inside = [t for t in row.terms if bits[(s := (t >> 40) % fingerprint.SLOTS) >> 6] >> (s & 63) & 1]
-        told = row["print"].split(" ")
-        assert len(told) == fingerprint.SERIES * fingerprint.HALVINGS
+def plain_fingerprints(rows):
+    """fingerprint, edited_fingerprint, near_edited and near_next per id, from the texts up."""
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def words(text):
+        return {signed(xxhash.xxh64(w, seed=42).intdigest()) for w in re.findall(rb"[^ \t-\r]+", text.encode().lower())}
+
+    seen = Counter(t for _, text in rows for t in words(text))
+    n = len(rows)
+    band = {t for t, c in seen.items() if max(2, n / 2000) <= c <= max(n / 5, 50)}
+
+    def made(text):
+        out = []
         for series in range(fingerprint.SERIES):
-            kept = inside
+            own = sorted(words(text) & band)
             for halving in range(fingerprint.HALVINGS):
-                kept = [t for t in kept if not t >> (series * fingerprint.HALVINGS + halving) & 1]
-                assert (told[series * fingerprint.HALVINGS + halving] == "-") == (not kept)
-        assert len(row.terms) == len(set(ascii_lower(row.text).split())) or not row.text.isascii()
+                own = [t for t in own if not t >> (series * fingerprint.HALVINGS + halving) & 1]
+                h = 42
+                for t in own:
+                    h = xxhash.xxh64(struct.pack("<q", t), seed=h).intdigest()
+                out.append(f"{h:016x}"[-fingerprint.DIGITS:] if own else "-")
+        return out
+
+    def alike(a, b):
+        told = []
+        for at in range(0, len(a), fingerprint.HALVINGS):
+            either = [(x, y) for x, y in zip(a[at:at + fingerprint.HALVINGS], b[at:at + fingerprint.HALVINGS]) if (x, y) != ("-", "-")]
+            told += either[-1:]
+        return sum(x == y for x, y in told) / len(told) if told else 1.0
+
+    ordered = sorted(rows, reverse=True)
+    want = {}
+    for k, (i, text) in enumerate(ordered):
+        following = ordered[(k + 1) % n][1]
+        half = len(text) // 2
+        own, edited, after = made(text), made(text[:len(text) - half] + following[:half]), made(following)
+        want[i] = " ".join(own), " ".join(edited), alike(own, edited), alike(own, after)
+    return want
+
+
+@pytest.mark.parametrize("bound", [fingerprint.MOST_IN_PLAN, 0])
+def test_fingerprints_against_plain_python(spark, monkeypatch, bound):
+    """All that ``fingerprints`` tells of the texts, with the lexicon in the plan and in a join, in many ranges."""
+    monkeypatch.setattr(fingerprint, "MOST_IN_PLAN", bound)
+    monkeypatch.setattr(fingerprint, "STEP", 3)
+    rows = [(i, t or "") for i, t in dict((i, t) for i, t in texts() if i is not None).items()]
+    rows += [(200 + i, prose(i, 40) + " " + " ".join(f"r{i // 2}x{j}" for j in range(20))) for i in range(60)]
+    out = fingerprint.fingerprints(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in out} == plain_fingerprints(rows)
+    assert len({r.near_edited for r in out}) > 3
 
 
 def test_fingerprint_terms_are_counted_one_by_one(spark, monkeypatch):
