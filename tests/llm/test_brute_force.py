@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -272,13 +273,54 @@ def test_decontamination_tolerates_substitutions(spark):
                (8, " ".join(one[:25])), (9, " ".join(one[:10])), (None, items[0][1])]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     out = decontaminate.contaminated(docs(spark, planted), bench).collect()
-    assert {(r.doc_id, r.item_id) for r in out} == {(1, 1), (2, 1), (3, 2), (8, 1)}
+    assert {(r.doc_id, r.item_id) for r in out} == {(1, 1), (2, 1), (3, 2), (8, 1), (5, 3), (None, 1)}
     first = next(r for r in out if r.doc_id == 1)
     assert (first.first_word, first.end_word, first.n_equal) == (50, 90, 40)
-    assert {r.doc_id for r in decontaminate.keep_clean(docs(spark, planted), bench).collect()} == {4, 5, 6, 7, 9, None}
+    assert {r.doc_id for r in decontaminate.keep_clean(docs(spark, planted), bench).collect()} == {4, 6, 7, 9}
     assert decontaminate.contaminated(docs(spark, planted), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(decontaminate.LEAST_WORDS, decontaminate.STRETCH + 1))
+def test_masks_miss_no_allowed_substitution(n):
+    """Every choice of as many substituted words as verification allows leaves a seed whole."""
+    picked = [[i for i, c in enumerate(mask) if c == "1"] for mask in decontaminate.MASKS]
+    places = [{i + at for i in own} for own, mask in zip(picked, decontaminate.MASKS) for at in range(n - len(mask) + 1)]
+    allowed = n - math.ceil(decontaminate.EQUAL * n)
+    for spoiled in itertools.combinations(range(n), allowed):
+        assert any(place.isdisjoint(spoiled) for place in places)
+
+
+def test_decontamination_against_every_placing(spark):
+    """Seeds and joins find what comparing every item with every place of every document finds."""
+    rng = random.Random(5)
+    items = [(i, prose(700 + i, n)) for i, n in enumerate((1, 4, 7, 8, 9, 10, 15, 16, 20, 26))]
+    items += [(20, items[7][1]), (None, items[8][1]), (21, " .,")]
+    planted = []
+    for i, (_, text) in enumerate(items * 4):
+        own = text.split()
+        for at in rng.sample(range(len(own)), rng.randrange(len(own) // 4 + 1)):
+            own[at] = f"z{at}"
+        planted.append((i if i % 7 else None, f"a{i} " + " ".join(own) + f" e{i} f{i}"))
+
+    def plain(text):
+        return re.findall(r"[a-z0-9]+", text.lower())
+
+    def same(doc, item):
+        n = min(decontaminate.STRETCH, len(item))
+        least = n if n < decontaminate.LEAST_WORDS else math.ceil(decontaminate.EQUAL * n)
+        return n and any(sum(x == y for x, y in zip(doc[d:d + n], item[i:i + n])) >= least
+                         for d in range(len(doc) - n + 1) for i in range(len(item) - n + 1))
+
+    planted = [(i, re.sub("[^\x00-\x7f]", "q", t)) for i, t in planted]
+    items = [(i, re.sub("[^\x00-\x7f]", "q", t)) for i, t in items]
+    want = [(d, i) for d, t in planted for i, item in items if same(plain(t), plain(item))]
+    table, bench = docs(spark, planted), spark.createDataFrame(items, "item_id bigint, text string")
+    found = Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench).collect())
+    assert found == Counter(want) and 20 < len(want) < len(planted) * len(items)
+    clean = [(d, t) for d, t in planted if not any(same(plain(t), plain(item)) for _, item in items)]
+    assert Counter((r.doc_id, r.text) for r in decontaminate.keep_clean(table, bench).collect()) == Counter(clean)
+
+
 # --- similar documents -----------------------------------------------------------------------------------
 
 def shingle_set(text, n):
