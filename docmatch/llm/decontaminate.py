@@ -102,7 +102,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     classes = items.groupBy("class").agg(F.first("item_words").alias("item_words"), F.first("seeds").alias("seeds"))
     by_hash = classes.select("class", F.explode("seeds").alias("s")).select("class", "s.hash", F.col("s.at").alias("item_at"))
     n_words = F.octet_length("item_words") / 8
-    short = tuple(sorted(int(r[0]) for r in items.filter(n_words.between(1, LEAST_WORDS - 1)).select(n_words).distinct().collect()))
+    lengths = items.filter(n_words.between(1, LEAST_WORDS - 1)).select(n_words).distinct()
+    short = tuple(sorted(int(r[0]) for r in lengths.toLocalIterator()))  # below LEAST_WORDS
 
     # Two bits per hash in a filter of fixed size; at most FILTER_BITS / 64 numbers reach the driver.
     slots = by_hash.select(F.explode(F.array(F.col("hash").bitwiseAND(FILTER_BITS - 1),

@@ -233,17 +233,22 @@ def test_language_model_learns_what_follows(spark):
     assert sum(r.score for r in held) > 0.5 * sum(r.base_score for r in held)
 
 
-def test_mixed_probabilities_are_a_distribution():
-    """Over every next word of a small vocabulary and the unknown one, probabilities sum to at most one."""
-    import pyarrow as pa
-
-    table = pa.table({"text": [b"a b a c a b", b"a b", b"q"], "learn": [False] * 3, "doc_id": [1, 2, 3]})
-    tokens = lm.Tokens(table)
-    n = len(tokens.word)
-    p_follow = np.full(n, 0.6)
-    assert np.allclose(10 ** np.log10(p_follow) + 10 ** np.log10(1 - p_follow), 1)
-    logs = lm.log_probabilities(tokens, np.full(n, 3), np.ones(n, int), np.full(n, 4), 30)
-    assert np.all(logs <= 0) and len(logs) == n
+@pytest.mark.parametrize("follows_bit, known_bit", [(0.5, 0.5), (0.9, 0.2), (0.01, 0.99)])
+def test_mixed_probabilities_are_a_distribution(follows_bit, known_bit):
+    """After every word, the probabilities of all next words and of the unknown one sum to at most one."""
+    sent = ["a b a c a b".split(), "a b".split(), "c c d".split()]
+    word, pair = Counter(w for s in sent for w in s), Counter(p for s in sent for p in zip(s, s[1:]))
+    for before in (*word, "never"):
+        after = sum(n for (x, _), n in pair.items() if x == before)
+        vocabulary = [*word, "unknown"]
+        words = np.array([word[w] for w in vocabulary])
+        pairs = np.array([pair[before, w] for w in vocabulary])
+        codes = lm.outcomes(words, pairs, np.full(len(words), after))
+        follows, known = (codes & 1) > 0, (codes & 2) > 0
+        assert follows.tolist() == [pair[before, w] > 0 for w in vocabulary] and known.tolist() == [w in word for w in vocabulary]
+        told = np.where(follows, follows_bit, (1 - follows_bit if after else 1) * np.where(known, known_bit, 1 - known_bit))
+        total = (told * 10 ** lm.choices(words, pairs, np.full(len(words), after), sum(word.values()))).sum()
+        assert 0 < total <= 1 + 1e-9, before
 
 
 def test_language_model_is_one_for_all_batches(spark, monkeypatch):

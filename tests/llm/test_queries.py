@@ -4,8 +4,10 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from docmatch.llm import fingerprint
 from docmatch.llm.queries import ORACLES, QUERIES
 from tests.llm.cases import docs
 from workloads.check import rows
@@ -59,6 +61,26 @@ def test_pipeline_over_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, left, SF).count() == left.count()
 
 
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    for table in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_leave_columns_with_names_of_their_own(spark):
+    """Columns named like those that the operators use inside pass through unchanged."""
+    extra = ["row", "key", "class", "hash", "text_key", "_found_id", "_batch", "_range", "spans"]
+    table = docs(spark).select("*", *(F.concat(F.lit(f"{name} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(name)
+                                      for name in extra))
+    left = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, SF)
+        assert left.columns == table.columns, name
+    found = left.select("doc_id", *extra).collect()
+    assert found and all(r[name] == f"{name} of {'none' if r.doc_id is None else r.doc_id}" for r in found for name in extra)
+    assert fingerprint.fingerprints(table).count() == table.count()
+
+
 def test_driver_reads_are_bounded():
     """Rows reach the driver by toLocalIterator only, next to the bound that their docstrings state."""
     for file in (ROOT / "docmatch/llm").glob("*.py"):
