@@ -41,6 +41,7 @@ def header(leg: Column, query_text: Column) -> Column:
 
 def candidate_line(rank: Column, uid: Column, score: Column, text: Column) -> Column:
     """``[Cand#i] uid=… score=…`` with three decimals, then the text on its own line."""
+    # Fixed format: models are given candidates in this form.
     shown = F.format_string("%.3f", F.round(F.coalesce(score, F.lit(0.0)), 3))
     return F.concat(
         F.lit("[Cand#"), rank.cast("string"), F.lit("] uid="), uid, F.lit(" score="), shown,

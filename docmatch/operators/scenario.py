@@ -14,6 +14,7 @@ DIRECTIONS = ("forward", "reverse", "both")
 class Scenario:
     """Parameters of one matching job; the defaults are the service's domain defaults."""
 
+    # The names and defaults of the scenario fields are the interface.
     role_desc: str = ""
     reference_desc: str = ""
     input_desc: str = ""
