@@ -29,10 +29,12 @@ RETURNED = "batch int, kind int, bucket int, shared binary, totals binary"
 @dataclass(frozen=True)
 class Kind:
     """A kind of keys: how many bytes of the hash are sent, and about how many keys a byte of text has, which
-    only sets the number of buckets. With 4 bytes some rare keys share a slot, and so their counts."""
+    only sets the number of buckets. With 4 bytes some rare keys share a slot, and so their counts. A key may
+    have several ``columns`` of counts."""
 
     width: int = 8
     keys_per_byte: float = 1 / 7
+    columns: int = 1
 
     @property
     def slot(self):
@@ -45,7 +47,7 @@ class Kind:
 @dataclass
 class Keys:
     """Keys of a batch in the order of their occurrence: 64-bit hashes, other hashes that choose the bucket,
-    and what each occurrence counts (None: one)."""
+    and what each occurrence counts (None: one), a row for each column if there are several."""
 
     hashes: np.ndarray
     choose: np.ndarray
@@ -54,7 +56,8 @@ class Keys:
 
 @dataclass
 class Packed:
-    """Distinct keys by (bucket, slot); ``which`` leads from an occurrence to its distinct key."""
+    """Distinct keys by (bucket, slot); ``which`` leads from an occurrence to its distinct key, ``own`` has a
+    row for each column of counts."""
 
     slots: np.ndarray
     edges: np.ndarray
@@ -75,7 +78,8 @@ def pack(keys: Keys, buckets: int, kind: Kind) -> Packed:
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     slots, bucket = slots[new], bucket[new]
-    own = np.bincount(which, keys.counts, len(slots)).astype(np.int64)
+    columns = [None] if keys.counts is None else np.atleast_2d(keys.counts)
+    own = np.stack([np.bincount(which, c, len(slots)).astype(np.int64) for c in columns])
     return Packed(slots, np.searchsorted(bucket, np.arange(buckets + 1)), which, own)
 
 
@@ -88,22 +92,23 @@ def sent_rows(number: int, batch: int, found: Packed) -> pa.Table:
         [pa.array(np.full(len(filled), number), pa.int32()), pa.array(filled, pa.int32()),
          pa.array(np.full(len(filled), batch), pa.int32()),
          pa.array([found.slots[a:z].tobytes() for a, z in cut], pa.binary()),
-         pa.array([counts[a:z].tobytes() for a, z in cut], pa.binary())],
+         pa.array([counts[:, a:z].tobytes() for a, z in cut], pa.binary())],
         names=["kind", "bucket", "batch", "slots", "counts"])
 
 
 def added_up(table: pa.Table, kind: Kind) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's rows: their numbers of keys; each key's own count, group and the groups' totals."""
+    """Of a bucket's rows: their numbers of keys; each key's own counts, group and the groups' totals."""
     slots = [np.frombuffer(s, kind.slot) for s in table["slots"].to_pylist()]
     lengths = [len(s) for s in slots]
-    own = np.concatenate([widths(c, n).astype(np.int64) for c, n in zip(table["counts"].to_pylist(), lengths)])
+    own = np.concatenate([widths(c, n, kind.columns).astype(np.int64)
+                          for c, n in zip(table["counts"].to_pylist(), lengths)], axis=1)
     every = np.concatenate(slots)
     order = np.argsort(every)
     new = np.ones(len(order), bool)
     new[1:] = every[order[1:]] != every[order[:-1]]
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
-    return lengths, own, group, np.bincount(group, own).astype(np.int64)
+    return lengths, own, group, np.stack([np.bincount(group, o).astype(np.int64) for o in own])
 
 
 WIDTHS = [(8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)]
@@ -114,8 +119,11 @@ def narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(next(kind for bits, kind in WIDTHS if top < 1 << bits))
 
 
-def widths(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(packed, {bits // 8: kind for bits, kind in WIDTHS}[len(packed) // n]) if n else np.empty(0, np.uint8)
+def widths(packed: bytes, n: int, columns: int = 1) -> np.ndarray:
+    """Counts of ``n`` keys, a row for each column."""
+    if not n:
+        return np.empty((columns, 0), np.uint8)
+    return np.frombuffer(packed, {bits // 8: kind for bits, kind in WIDTHS}[len(packed) // (n * columns)]).reshape(columns, n)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -124,7 +132,8 @@ def text_bytes(docs: DataFrame) -> int:
 
 def with_totals(docs: DataFrame, kinds: list[Kind], keys_of: Callable[[pa.Table], list[Keys]],
                 use: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
-    """``use(batch of docs, corpus-wide total of each key occurrence, by kind)`` over all documents.
+    """``use(batch of docs, corpus-wide totals of each key occurrence, by kind)`` over all documents; totals of
+    a kind with several columns have a row for each.
 
     ``docs`` has a binary column ``text``; both functions see the same rows, in any order. A row's keys must
     not depend on other rows of its batch.
@@ -141,14 +150,14 @@ def with_totals(docs: DataFrame, kinds: list[Kind], keys_of: Callable[[pa.Table]
     def add_up(key, table):
         number = key[0].as_py()
         lengths, own, group, totals = added_up(table, kinds[number])
-        totals = totals[group]
-        more = totals > own
+        totals = totals[:, group]
+        more = (totals > own).any(axis=0)
         rows, at = ([], [], [], [], []), 0
         for batch, bucket, n in zip(table["batch"].to_pylist(), table["bucket"].to_pylist(), lengths):
             shared = more[at:at + n]
             if shared.any():
                 for column, value in zip(rows, (batch, number, bucket, np.packbits(shared).tobytes(),
-                                                narrow(totals[at:at + n][shared]).tobytes())):
+                                                narrow(totals[:, at:at + n][:, shared]).tobytes())):
                     column.append(value)
             at += n
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, returned_out)], schema=returned_out)
@@ -158,30 +167,11 @@ def with_totals(docs: DataFrame, kinds: list[Kind], keys_of: Callable[[pa.Table]
         totals = [f.own.copy() for f in found]
         for number, bucket, shared, values in zip(*(returned[c].to_pylist() for c in ("kind", "bucket", "shared", "totals"))):
             at = np.flatnonzero(np.unpackbits(np.frombuffer(shared, np.uint8)))
-            totals[number][found[number].edges[bucket] + at] = widths(values, len(at))
-        return use(table, [t[f.which] for t, f in zip(totals, found)])
+            totals[number][:, found[number].edges[bucket] + at] = widths(values, len(at), kinds[number].columns)
+        each = [t[:, f.which] for t, f in zip(totals, found)]
+        return use(table, [t if k.columns > 1 else t[0] for t, k in zip(each, kinds)])
 
     dealt = docs.withColumn("_batch", F.pmod(F.xxhash64(*docs.columns), F.lit(batches)).cast("int"))
     grouped = dealt.groupBy("_batch")
     returned = grouped.applyInArrow(send, SENT).groupBy("kind", "bucket").applyInArrow(add_up, RETURNED)
     return grouped.cogroup(returned.groupBy("batch")).applyInArrow(finish, schema)
-
-
-def distinct_keys(docs: DataFrame, kind: Kind, keys_of: Callable[[pa.Table], Keys]) -> tuple[int, int]:
-    """How many distinct keys count anything in the whole corpus, and the sum of all counts."""
-    buckets = kind.buckets(text_bytes(docs))
-
-    def send(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                table = pa.Table.from_batches([batch.slice(at, 2048)])
-                yield from sent_rows(0, 0, pack(keys_of(table), buckets, kind)).to_batches()
-
-    def add_up(table):
-        totals = added_up(table, kind)[3]
-        return pa.table({"n": pa.array([int((totals > 0).sum())], pa.int64()),
-                         "total": pa.array([int(totals.sum())], pa.int64())})
-
-    found = docs.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(add_up, "n bigint, total bigint")
-    n, total = found.agg(F.sum("n"), F.sum("total")).first()
-    return n or 0, total or 0

@@ -2,8 +2,8 @@
 
 A text is a sequence of words (A-Z in lower case) and an end. Each token is told by at most two bits and a
 choice: does it follow its predecessor as it did in training; if not, is it a training word at all. A word
-that follows is chosen by how often it did, another one by how often it occurs, and all unknown words are
-one outcome, so the probabilities of all tokens sum to at most one.
+that follows is chosen by how often it did, another one by how often it occurs, an unknown one is spelled
+(``byte_mixer``), so the probabilities of all tokens sum to at most one and every byte is paid.
 
 Each bit is predicted by several contexts with their outcomes in training: the predecessor (by its 64-bit
 hash), how often it occurred, and the latest outcomes. Their predictions are mixed in the logistic domain by
@@ -13,8 +13,9 @@ document goes on.
 All counts cover all training documents of the corpus: of words and pairs, then of the outcomes after each
 predecessor (both by ``corpus.with_totals``), then of the outcomes in each cell of what the contexts say. The
 cells are few whatever the corpus; one set of weights is fitted to them and scores every document. A training
-document is scored by counts of words, pairs and predecessors that leave itself out, so its score compares
-with that of one held out. A null or empty text is the end alone. Documents of equal text have equal scores
+document is scored by counts of words, pairs, predecessors and spellings that leave itself out (of spellings, one
+occurrence), so its score compares with that of one held out. A word that no other training document has is what
+spelling is learned from. A null or empty text is the end alone. Documents of equal text have equal scores
 where both are trained on or both held out.
 """
 
@@ -27,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmatch.llm import byte_mixer
 from docmatch.llm.common import WordHashes, arrow_schema, kept, mixed, remainder, texts
-from docmatch.llm.corpus import Keys, Kind, distinct_keys, with_totals
+from docmatch.llm.corpus import Keys, Kind, with_totals
 
 # Hashes of the start and the end, which no word's hash is made from.
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
@@ -72,17 +74,18 @@ class Tokens:
 
 def of_same_document(tokens: Tokens, hashes: np.ndarray, counts: np.ndarray | None = None,
                      own: np.ndarray | None = None) -> np.ndarray:
-    """How often each token's key occurs (or what it counts) in its document, for documents that are learned
-    from; else 0. ``own`` are the tokens that take part."""
-    out = np.zeros(len(hashes), np.int64)
+    """How often each token's key occurs (or what it counts, a row for each column) in its document, for
+    documents that are learned from; else 0. ``own`` are the tokens that take part."""
+    out = np.zeros((1 if counts is None else len(counts), len(hashes)), np.int64)
     own = np.flatnonzero(tokens.learn if own is None else tokens.learn & own)
     key = mixed(hashes[own] + tokens.doc[own].astype(np.uint64) * PAIR_FACTOR)
     order = np.argsort(key)
     new = np.ones(len(order), bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     group = np.cumsum(new) - 1
-    out[own[order]] = np.bincount(group, None if counts is None else counts[own[order]])[group]
-    return out
+    for row, c in zip(out, [None] if counts is None else counts):
+        row[own[order]] = np.bincount(group, None if c is None else c[own[order]])[group]
+    return out if counts is not None else out[0]
 
 
 def outcomes(word_count: np.ndarray, pair_count: np.ndarray, before_count: np.ndarray) -> np.ndarray:
@@ -230,7 +233,9 @@ def joined(table: pa.Table | pa.RecordBatch, column: str, kind: type) -> np.ndar
     return np.frombuffer(b"".join(table[column].to_pylist()), kind)
 
 
-TOLD = "doc_id bigint, learn boolean, size bigint, n_tokens bigint, n_known bigint, base double, chosen double, codes binary"
+# ``base`` and ``chosen`` are sums of logarithms of counts; ``share`` adds up to the number of distinct training words.
+TOLD = ("doc_id bigint, learn boolean, size bigint, n_tokens bigint, n_known bigint, n_chosen bigint, "
+        "base double, chosen double, share double, codes binary")
 
 
 def cut(values: np.ndarray, tokens: Tokens) -> pa.Array:
@@ -240,32 +245,45 @@ def cut(values: np.ndarray, tokens: Tokens) -> pa.Array:
 def with_predecessors(told: DataFrame) -> DataFrame:
     """Add what the predecessor of each token says about its two bits, counted over all training documents.
 
-    A token whose predecessor no other training document has is told nothing by it.
+    A token whose predecessor no other training document has is told nothing by it. ``spelled`` are the words
+    that no other training document has, each with a space after it; an unknown end is the space alone.
     """
-    schema = f"{TOLD}, said_follows binary, said_known binary"
+    schema = f"{TOLD}, said_follows binary, said_known binary, spelled binary"
     out = arrow_schema(schema)
 
     def read(table: pa.Table):
         tokens, codes = Tokens(table), joined(table, "codes", np.uint8)
         follows, known = (codes & 1).astype(bool), (codes & 2).astype(bool)
-        return tokens, codes > 3, [tokens.learn, tokens.learn & follows, tokens.learn & ~follows & known]
+        return tokens, codes, np.stack([tokens.learn, tokens.learn & follows, tokens.learn & ~follows & known])
 
     def keys_of(table: pa.Table) -> list[Keys]:
-        tokens, can, counts = read(table)
+        tokens, codes, counts = read(table)
+        can = codes > 3
         before = tokens.before[can]
-        return [Keys(before, mixed(before), c[can]) for c in counts]
+        return [Keys(before, mixed(before), counts[:, can])]
 
     def use(table: pa.Table, totals: list[np.ndarray]) -> pa.Table:
-        tokens, can, counts = read(table)
-        seen, follow, known = (np.zeros(len(can), np.int64) for _ in range(3))
-        for whole, total, c in zip((seen, follow, known), totals, counts):
-            whole[can] = total
-            whole -= of_same_document(tokens, tokens.before, c, can)
-        columns = [table[c] for c in out.names[:-2]]
-        columns += [cut(says(follow, seen), tokens), cut(says(known, seen - follow), tokens)]
+        tokens, codes, counts = read(table)
+        can = codes > 3
+        others = np.zeros((3, len(can)), np.int64)
+        others[:, can] = totals[0]
+        seen, follow, known = others - of_same_document(tokens, tokens.before, counts, can)
+        columns = [table[c] for c in out.names[:-3]]
+        columns += [cut(says(follow, seen), tokens), cut(says(known, seen - follow), tokens),
+                    pa.array(spelled(table["text"].to_pylist(), codes & 3 == 0, tokens), pa.binary())]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=out)
 
-    return with_totals(told, [Kind(8)] * 3, keys_of, use, schema)
+    return with_totals(told, [Kind(8, columns=3)], keys_of, use, schema)
+
+
+def spelled(texts: list[bytes], unknown: np.ndarray, tokens: Tokens) -> list[bytes]:
+    """The unknown tokens of each document, a space after each."""
+    out = []
+    for text, a, z in zip(texts, tokens.starts.tolist(), tokens.ends.tolist()):
+        at = np.flatnonzero(unknown[a:z]).tolist()
+        words = [*text.lower().split(), b""] if at else []
+        out.append(b"".join(words[i] + b" " for i in at))
+    return out
 
 
 def parts(batches):
@@ -300,8 +318,6 @@ def count_cells(told: DataFrame) -> np.ndarray:
 def score(docs: DataFrame, divisor: int = 7, held_out: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``."""
     source = texts(docs, "doc_id", "text", (remainder("doc_id", divisor) != held_out).alias("learn"))
-    words = Kind(8)
-    vocabulary, total = distinct_keys(source, words, lambda table: word_keys(Tokens(table)))
     documents = source.filter("learn").count()
     schema = f"{TOLD}, text binary"
     out = arrow_schema(schema)
@@ -312,7 +328,6 @@ def score(docs: DataFrame, divisor: int = 7, held_out: int = 2) -> DataFrame:
 
     def use(table: pa.Table, totals: list[np.ndarray]) -> pa.Table:
         tokens, (word_total, pair_total) = Tokens(table), totals
-        base = np.log10((word_total + 1) / (total + vocabulary + 1))
         word_count = word_total - of_same_document(tokens, tokens.word)
         pair_count = pair_total - of_same_document(tokens, tokens.pair)
         before_count = np.empty_like(word_count)
@@ -326,18 +341,21 @@ def score(docs: DataFrame, divisor: int = 7, held_out: int = 2) -> DataFrame:
 
         size = np.array([len(t.as_py()) for t in table["text"]]) + 1
         columns = [table["doc_id"], table["learn"], pa.array(size), pa.array(tokens.lengths),
-                   per_doc(word_total > 0).cast(pa.int64()), per_doc(base),
-                   per_doc(choices(word_count, pair_count, before_count, max(1, total))),
+                   per_doc(word_total > 0).cast(pa.int64()), per_doc((pair_count == 0) & (word_count > 0)).cast(pa.int64()),
+                   per_doc(np.log10(word_total + 1)), per_doc(choices(word_count, pair_count, before_count, 1)),
+                   per_doc(tokens.learn / np.maximum(1, word_total)),
                    cut(outcomes(word_count, pair_count, before_count), tokens), table["text"]]
         return pa.Table.from_arrays(columns, schema=out)
 
     # Half of a pair's hash will do: pairs are contexts, words count exactly.
-    told = kept(with_totals(source, [words, Kind(4)], keys_of, use, schema), "lm-outcomes")
+    told = kept(with_totals(source, [Kind(8), Kind(4)], keys_of, use, schema), "lm-outcomes")
     told = kept(with_predecessors(told), "lm-told")
-    return scored(told, Model.fit(count_cells(told)), total)
+    # Each of the c occurrences of a training word adds 1 / c.
+    total, vocabulary = told.filter("learn").agg(F.sum("n_tokens"), F.sum("share")).first()
+    return scored(told, Model.fit(count_cells(told)), byte_mixer.learn(told), total or 0, round(vocabulary or 0))
 
 
-def scored(told: DataFrame, model: Model, total: int) -> DataFrame:
+def scored(told: DataFrame, model: Model, speller: byte_mixer.Speller, total: int, vocabulary: int) -> DataFrame:
     """Every document by the one model."""
     schema = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
               "base_score double, score double, bits_per_byte double")
@@ -345,12 +363,17 @@ def scored(told: DataFrame, model: Model, total: int) -> DataFrame:
 
     def run(batches):
         for part, t, said in parts(batches):
-            scores = np.array(part["chosen"].to_pylist()) + np.bincount(t.doc, model.log_bits(t, said), part.num_rows)
-            size = np.array(part["size"].to_pylist())
-            held = pa.array([not learn for learn in part["learn"].to_pylist()], pa.bool_())
+            size, n_tokens, n_chosen, base, chosen = (
+                np.array(part[c].to_pylist()) for c in ("size", "n_tokens", "n_chosen", "base", "chosen"))
+            learned, words = np.array(part["learn"].to_pylist(), bool), part["spelled"].to_pylist()
+            doc = np.repeat(np.arange(part.num_rows), [len(w) for w in words])
+            scores = (chosen - n_chosen * np.log10(max(1, total)) + np.bincount(t.doc, model.log_bits(t, said), part.num_rows)
+                      + np.bincount(doc, speller.log10(b"".join(words), learned[doc]), part.num_rows))
+            base = base - n_tokens * np.log10(total + vocabulary + 1)
+            held = pa.array(~learned)
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], held, part["n_tokens"], part["n_known"], pa.array(np.full(len(size), total, np.int64)),
-                 part["base"], pa.array(scores), pa.array(-scores * np.log2(10) / size)], schema=out)
+                 pa.array(base), pa.array(scores), pa.array(-scores * np.log2(10) / size)], schema=out)
 
     return told.mapInArrow(run, schema)
 
