@@ -22,12 +22,16 @@ from docmatch.llm.corpus import narrow, widths
 
 CONTEXTS, SLOT_BITS = 4, 17
 SLOTS = 1 << SLOT_BITS
-PLACES, GATES = 4, 32
+# Gates: the first places of a word by themselves, all later ones together, times the eight bits of a byte.
+PLACES = 4
 SPACE = 32
 # Bytes told at a time, bytes between two steps of the weights, bytes that one group learns from.
-CHUNK, STEP, GROUP_BYTES = 1 << 14, 1 << 9, 1 << 20
-RATE, START_WEIGHT = 0.02, 0.3
-SPREAD = np.uint64(0x9E3779B97F4A7C15)
+CHUNK, STEP, GROUP_BYTES = 1 << 13, 1 << 11, 1 << 20
+RATE, START_WEIGHT = np.float32(0.02), 0.3
+SPREAD = np.uint32(0x9E3779B1)
+# Of each byte value its bits, highest first, and the bits before each of them behind a leading one.
+BITS = np.array([[v >> (7 - k) & 1 for k in range(8)] for v in range(256)], np.uint8)
+NODES = np.array([[1 << k | v >> (8 - k) for k in range(8)] for v in range(256)], np.uint32)
 # Counters leave a task in blocks, so that few rows are added up.
 BLOCK = 1 << 14
 
@@ -45,36 +49,24 @@ def contexts(spelled: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = at - np.maximum.accumulate(np.where(one == SPACE, at, 0))
     said = np.stack([np.minimum(place, 15).astype(np.uint64), one, one | two << np.uint64(8),
                      one | two << np.uint64(8) | three << np.uint64(16)])
-    return value, mixed(said * np.uint64(8) + np.arange(CONTEXTS, dtype=np.uint64)[:, None]), place
+    hashed = mixed(said * np.uint64(8) + np.arange(CONTEXTS, dtype=np.uint64)[:, None])
+    return value, (hashed >> np.uint64(32)).astype(np.uint32), np.minimum(place, PLACES - 1)
 
 
-def bits_of(value: np.ndarray, said: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each bit, highest first: its counters by context, itself, and its gate."""
-    k = np.arange(8)
-    wide = value.astype(np.int64)[:, None]
-    bit = ((wide >> (7 - k)) & 1).ravel()
-    node = ((1 << k) | (wide >> (8 - k))).astype(np.uint64)
-    slot = ((said[:, :, None] + node) * SPREAD) >> np.uint64(64 - SLOT_BITS)
-    gate = (k * PLACES + np.minimum(place, PLACES - 1)[:, None]).ravel()
-    return slot.reshape(CONTEXTS, -1).astype(np.int64), bit, gate
-
-
-def chunks(spelled: bytes, size: int = CHUNK):
-    """Slots, bits and gates of some bytes at a time, and where those bytes begin."""
+def chunks(spelled: bytes, size: int | None = None):
+    """Some bytes at a time: where they begin, the counter of each context and bit, the bits, the places."""
+    size = size or CHUNK
     value, said, place = contexts(spelled)
     for at in range(0, len(value), size):
-        some = slice(at, at + size)
-        yield at, *bits_of(value[some], said[:, some], place[some])
-
-
-def log10_told(logit: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Log10 probability of each bit."""
-    return -np.logaddexp(0, np.where(bit > 0, -logit, logit)) / np.log(10)
+        v = value[at:at + size]
+        slot = ((said[:, at:at + size, None] + NODES[v]) * SPREAD) >> np.uint32(32 - SLOT_BITS)
+        yield at, slot, BITS[v], place[at:at + size]
 
 
 @dataclass
 class Speller:
-    """What each counter says: as counted, without one zero, without one one; and the weights by gate."""
+    """What each counter says: as counted, without one zero, without one one; and the weights by context,
+    place and bit."""
 
     said: np.ndarray
     weights: np.ndarray
@@ -86,35 +78,44 @@ class Speller:
             ones = np.clip(ones, 0, seen)
             return np.log((ones + 0.4) / (seen - ones + 0.4)).astype(np.float32)
 
-        return cls(np.stack([stretched(seen, ones), stretched(seen - 1, ones), stretched(seen - 1, ones - 1)]),
-                   np.full((GATES, CONTEXTS), START_WEIGHT))
+        said = [stretched(seen, ones), stretched(seen - 1, ones), stretched(seen - 1, ones - 1)]
+        return cls(np.stack(said).ravel(), np.full((CONTEXTS, PLACES, 8), START_WEIGHT, np.float32))
 
-    def inputs(self, slot: np.ndarray, bit: np.ndarray, learned: np.ndarray) -> np.ndarray:
-        """(context, bit); bits that were learned from are left out of their counters."""
-        return self.said[np.where(learned, 1 + bit, 0), np.arange(CONTEXTS)[:, None], slot]
+    def inputs(self, slot: np.ndarray, bit: np.ndarray, learned: np.ndarray) -> list[np.ndarray]:
+        """What each context says of (byte, bit); bytes that were learned from are left out of their counters."""
+        table = (bit + np.uint32(1)) * learned[:, None] * np.uint32(CONTEXTS * SLOTS)
+        return [self.said.take(table + slot[c] + np.uint32(c * SLOTS)) for c in range(CONTEXTS)]
 
     def log10(self, spelled: bytes, learned: np.ndarray) -> np.ndarray:
         """Log10 probability of each byte; ``learned`` tells which bytes were learned from."""
         out = np.empty(len(spelled))
-        for at, slot, bit, gate in chunks(spelled):
-            n = len(bit) // 8
-            x = self.inputs(slot, bit, np.repeat(learned[at:at + n], 8))
-            logit = np.einsum("ij,ji->j", x, self.weights[gate])
-            out[at:at + n] = log10_told(logit, bit).reshape(n, 8).sum(axis=1)
+        for at, slot, bit, place in chunks(spelled):
+            logit = mix(self.inputs(slot, bit, learned[at:at + len(bit)]), self.weights, place)
+            told = 1 / (1 + np.exp(np.where(bit > 0, -logit, logit)))
+            out[at:at + len(bit)] = np.log10(told.prod(axis=1, dtype=float))
         return out
 
     def learned_online(self, spelled: bytes) -> np.ndarray:
         """Weights after one pass, a few bytes a step, each bit predicted before it is learned from."""
-        weights = self.weights.copy()
-        for _, slot, bit, gate in chunks(spelled, STEP):
-            x = self.inputs(slot, bit, np.ones(len(bit), bool))
-            p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ji->j", x, weights[gate]), -30, 30)))
-            size = np.maximum(1, np.bincount(gate, minlength=GATES))
-            for c in range(CONTEXTS):
-                weights[:, c] -= RATE * np.bincount(gate, (p - bit) * x[c], GATES) / size
+        weights = self.weights.astype(np.float32)
+        for _, slot, bit, place in chunks(spelled, STEP):
+            said = self.inputs(slot, bit, np.ones(len(bit), bool))
+            error = 1 / (1 + np.exp(-mix(said, weights, place))) - bit
+            here = (place == np.arange(PLACES)[:, None]).astype(np.float32)
+            here /= np.maximum(1, here.sum(axis=1, keepdims=True))
+            for c, x in enumerate(said):
+                weights[c] -= RATE * (here @ (error * x).astype(np.float32))
         return weights
 
 
+def mix(said: list[np.ndarray], weights: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The logit of each bit, kept where its probability is a number of its own."""
+    logit = said[0] * weights[0].take(place, axis=0)
+    for x, w in zip(said[1:], weights[1:]):
+        logit += x * w.take(place, axis=0)
+    return np.clip(logit, -25, 25)
+
+
 def learn(told: DataFrame) -> Speller:
     """Counters over all training rows of ``spelled``, then weights learned online.
 
@@ -137,10 +138,9 @@ def learn(told: DataFrame) -> Speller:
         counts = np.zeros((2, CONTEXTS, SLOTS), np.int64)
         for batch in batches:
             for _, slot, bit, _ in chunks(b"".join(batch["spelled"].to_pylist())):
-                one = bit > 0
                 for c in range(CONTEXTS):
-                    np.add.at(counts[0, c], slot[c], 1)
-                    np.add.at(counts[1, c], slot[c][one], 1)
+                    counts[0, c] += np.bincount(slot[c].ravel(), minlength=SLOTS)
+                    counts[1, c] += np.bincount(slot[c][bit > 0], minlength=SLOTS)
         yield blocks(counts)
 
     def add_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,5 +173,5 @@ def learn(told: DataFrame) -> Speller:
                .select("size", F.posexplode("weights").alias("at", "weight"))
                .groupBy("at").agg((F.sum(F.col("weight") * F.col("size")) / F.sum("size")).alias("weight")))
     for at, weight in learned.toLocalIterator():
-        speller.weights[at // CONTEXTS, at % CONTEXTS] = weight
+        speller.weights.ravel()[at] = weight
     return speller

@@ -24,12 +24,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmatch.llm import byte_mixer
-from docmatch.llm.common import WordHashes, arrow_schema, kept, mixed, remainder, texts
+from docmatch.llm.common import arrow_schema, kept, mixed, remainder, texts
 from docmatch.llm.corpus import Keys, Kind, with_totals
 
 # Hashes of the start and the end, which no word's hash is made from.
@@ -41,6 +42,9 @@ LEVELS, PER_UNIT = 256, 16
 # The two bits of a token: does it follow, is it known. A cell is all that the contexts of a bit say, and the bit.
 FOLLOWS, KNOWN = 0, 1
 CELLS = 2 * FREQUENCIES * 8 * LEVELS * 2
+IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+# Bytes of words hashed at a time, and the values of each byte in the first places.
+HASHED_BYTES, PLACED = 1 << 20, mixed(np.arange(32 * 256) + 1)
 # Words per step of a document's own correction, documents scored at a time, rounds of fitting the weights.
 OWN_STEP, OWN_RATE, AT_A_TIME, ROUNDS = 32, 0.02, 1024, 12
 
@@ -53,23 +57,60 @@ def squash(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+@dataclass
+class Words:
+    """All words of some texts: lower-cased letters, where each word starts and ends, how many each text has,
+    and their 64-bit hashes. A word's hash adds up a mixed value per byte and place; some are hashed at a time."""
+
+    letters: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    numbers: np.ndarray
+    hashes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        letters = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+        inside = np.zeros(len(letters) + 2, bool)
+        inside[1:-1] = IN_WORD[letters]
+        change = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = change[::2], change[1::2]
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        hashes, size = np.empty(len(starts), np.uint64), np.cumsum(ends - starts)
+        at = 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(size, size[at] + HASHED_BYTES)))
+            some = slice(starts[at], ends[to - 1])
+            lengths = ends[at:to] - starts[at:to]
+            first = np.cumsum(lengths) - lengths
+            code = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+            code = (code << 8) + letters[some][inside[1:-1][some]]
+            values = PLACED.take(np.minimum(code, len(PLACED) - 1))
+            late = np.flatnonzero(code >= len(PLACED))
+            values[late] = mixed(code[late] + 1)
+            hashes[at:to] = mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+            at = to
+        return cls(letters, starts, ends, np.diff(np.searchsorted(starts, bounds)), hashes)
+
+
 class Tokens:
     """All tokens of a batch, document after document."""
 
     def __init__(self, table: pa.Table):
-        words = WordHashes()
-        own = [words.of(t.as_py().lower().split()) for t in table["text"]]
-        self.lengths = np.array([len(w) + 1 for w in own], np.int64)
+        self.words = Words.of(table["text"].to_pylist())
+        self.lengths = self.words.numbers + 1
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         self.word = np.empty(int(self.lengths.sum()), np.uint64)
+        is_word = np.ones(len(self.word), bool)
+        is_word[self.ends - 1] = False
+        self.word[is_word], self.word[~is_word] = self.words.hashes, END
         self.before = np.empty_like(self.word)
-        for w, a, z in zip(own, self.starts.tolist(), self.ends.tolist()):
-            self.word[a:z - 1], self.word[z - 1] = w, END
-            self.before[a], self.before[a + 1:z] = START, w
-        self.doc = np.repeat(np.arange(len(own)), self.lengths)
+        self.before[1:] = self.word[:-1]
+        self.before[self.starts] = START
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.pair = mixed(self.before * PAIR_FACTOR + self.word)
-        self.learn = np.array(table["learn"].to_pylist(), bool)[self.doc] if len(own) else np.empty(0, bool)
+        self.learn = np.array(table["learn"].to_pylist(), bool)[self.doc]
 
 
 def of_same_document(tokens: Tokens, hashes: np.ndarray, counts: np.ndarray | None = None,
@@ -78,13 +119,9 @@ def of_same_document(tokens: Tokens, hashes: np.ndarray, counts: np.ndarray | No
     documents that are learned from; else 0. ``own`` are the tokens that take part."""
     out = np.zeros((1 if counts is None else len(counts), len(hashes)), np.int64)
     own = np.flatnonzero(tokens.learn if own is None else tokens.learn & own)
-    key = mixed(hashes[own] + tokens.doc[own].astype(np.uint64) * PAIR_FACTOR)
-    order = np.argsort(key)
-    new = np.ones(len(order), bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    group = np.cumsum(new) - 1
+    group = pd.factorize(mixed(hashes[own] + tokens.doc[own].astype(np.uint64) * PAIR_FACTOR))[0]
     for row, c in zip(out, [None] if counts is None else counts):
-        row[own[order]] = np.bincount(group, None if c is None else c[own[order]])[group]
+        row[own] = np.bincount(group, None if c is None else c[own])[group]
     return out if counts is not None else out[0]
 
 
@@ -270,20 +307,24 @@ def with_predecessors(told: DataFrame) -> DataFrame:
         seen, follow, known = others - of_same_document(tokens, tokens.before, counts, can)
         columns = [table[c] for c in out.names[:-3]]
         columns += [cut(says(follow, seen), tokens), cut(says(known, seen - follow), tokens),
-                    pa.array(spelled(table["text"].to_pylist(), codes & 3 == 0, tokens), pa.binary())]
+                    pa.array(spelled(codes & 3 == 0, tokens), pa.binary())]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=out)
 
     return with_totals(told, [Kind(8, columns=3)], keys_of, use, schema)
 
 
-def spelled(texts: list[bytes], unknown: np.ndarray, tokens: Tokens) -> list[bytes]:
+def spelled(unknown: np.ndarray, tokens: Tokens) -> list[bytes]:
     """The unknown tokens of each document, a space after each."""
-    out = []
-    for text, a, z in zip(texts, tokens.starts.tolist(), tokens.ends.tolist()):
-        at = np.flatnonzero(unknown[a:z]).tolist()
-        words = [*text.lower().split(), b""] if at else []
-        out.append(b"".join(words[i] + b" " for i in at))
-    return out
+    words, letters = tokens.words, tokens.words.letters.tobytes()
+    out: list[list[bytes]] = [[] for _ in tokens.lengths]
+    at = np.flatnonzero(unknown)
+    doc, end = tokens.doc[at], at == tokens.ends[tokens.doc[at]] - 1
+    # A document's end is no word, so a token's word stands as many places earlier as there are documents before.
+    which = np.where(end, 0, at - doc)
+    starts, ends = ((w[which] if len(w) else np.zeros(len(at), int)) for w in (words.starts, words.ends))
+    for d, e, a, z in zip(doc.tolist(), end.tolist(), starts.tolist(), ends.tolist()):
+        out[d].append(b" " if e else letters[a:z] + b" ")
+    return [b"".join(o) for o in out]
 
 
 def parts(batches):

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docmatch.llm import byte_mixer, lm
@@ -14,13 +15,13 @@ def counted(spelled: bytes) -> byte_mixer.Speller:
     seen, ones = np.zeros((2, byte_mixer.CONTEXTS, byte_mixer.SLOTS))
     for _, slot, bit, _ in byte_mixer.chunks(spelled):
         for c in range(byte_mixer.CONTEXTS):
-            np.add.at(seen[c], slot[c], 1)
-            np.add.at(ones[c], slot[c], bit)
+            np.add.at(seen[c], slot[c].ravel(), 1)
+            np.add.at(ones[c], slot[c].ravel(), bit.ravel())
     return byte_mixer.Speller.of(seen, ones)
 
 
 def plain(spelled: bytes) -> list[list[tuple]]:
-    """Per byte its bits, each as (context of each kind with the byte's bits so far, bit, gate)."""
+    """Per byte its bits, each as (context of each kind with the byte's bits so far, bit, (place, which bit))."""
     out, word = [], b""
     for value in spelled:
         last = (b"\0\0" + b" " + word)[-3:] if len(word) < 3 else word[-3:]
@@ -28,7 +29,7 @@ def plain(spelled: bytes) -> list[list[tuple]]:
         for k in range(8):
             so_far = f"{value:08b}"[:k]
             known = (min(len(word), 15), last[-1:], last[-2:], last[-3:])
-            bits.append(([(c, at, so_far) for c, at in enumerate(known)], value >> (7 - k) & 1, k * 4 + min(len(word), 3)))
+            bits.append(([(c, at, so_far) for c, at in enumerate(known)], value >> (7 - k) & 1, (min(len(word), 3), k)))
         out.append(bits)
         word = b"" if value == 32 else word + bytes([value])
     return out
@@ -52,7 +53,7 @@ def test_against_a_bit_by_bit_version(learned):
             for c, context in enumerate(contexts):
                 n = list(counts[context])
                 n[bit] -= learned
-                logit += made.weights[gate, c] * math.log((n[1] + 0.4) / (n[0] + 0.4))
+                logit += made.weights[(c, *gate)] * math.log((n[1] + 0.4) / (n[0] + 0.4))
             total -= math.log10(1 + math.exp(-logit if bit else logit))
         want.append(total)
     got = made.log10(spelled, np.full(len(spelled), learned))
@@ -85,6 +86,20 @@ def test_online_weights_tell_the_text_better():
     assert made.log10(spelled, np.ones(len(spelled), bool)).sum() > before
 
 
+def test_words_and_their_hashes(monkeypatch):
+    texts = [b"", b" \t", b"One two\x0bone", b"x" * 100 + b" " + b"x" * 99 + b"y " + b"X" * 100, b"two\n", "é É".encode()]
+    split = [t.lower().split() for t in texts]
+    for size in (1 << 20, 5):
+        monkeypatch.setattr(lm, "HASHED_BYTES", size)
+        words = lm.Words.of(texts)
+        assert words.numbers.tolist() == [len(w) for w in split]
+        every = [w for ws in split for w in ws]
+        assert [words.letters[a:z].tobytes() for a, z in zip(words.starts, words.ends)] == every
+        assert len(set(zip(every, words.hashes.tolist()))) == len(set(every)) == len(set(words.hashes.tolist()))
+    tokens = lm.Tokens(pa.table({"text": pa.array(texts, pa.binary()), "learn": [True] * len(texts)}))
+    assert lm.spelled(np.ones(len(tokens.word), bool), tokens) == [b"".join(w + b" " for w in [*ws, b""]) for ws in split]
+
+
 def test_noise_costs_more_bits_a_byte_than_prose(spark):
     rng, sentences = random.Random(8), [prose(i, 9) for i in range(12)]
     rows = [(i, " ".join(rng.choice(sentences) for _ in range(8))) for i in range(300)]
