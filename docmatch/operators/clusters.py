@@ -34,6 +34,8 @@ from docmatch.sources.staging import new_path, stage
 SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
 MAX_CLUSTERS = 4096
 ROUNDS = 10
+VISIT_CELLS = 1 << 14  # rows that queries of one step make at most
+ASSIGN_CELLS = 1 << 19  # distances that a task holds at once
 SLACK = 1e-6  # of distances, far above the rounding of single-precision unit vectors
 
 
@@ -102,8 +104,9 @@ def cluster_points(points: DataFrame, *, key: str = "uid", vector: str = "vector
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            step = max(1, ASSIGN_CELLS // max(1, len(centroids)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 unit, lengths = _units(part[vector])
                 nearest, far = np.full(len(unit), len(centroids)), np.zeros(len(unit))
                 if len(centroids) and len(unit):
@@ -170,8 +173,9 @@ def _visiting(queries: DataFrame, visits: _Visits, vector: str, bound: str | Non
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            step = max(1, VISIT_CELLS // max(1, len(visits.centroids)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 unit, lengths = _units(part[vector])
                 scores = None if bound is None else part[bound].to_numpy(zero_copy_only=False).astype(float)
                 met = visits.of(unit, lengths, scores)

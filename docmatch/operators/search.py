@@ -31,8 +31,10 @@ from pyspark.sql import types as T
 from docmatch.operators.payload import payload_filter
 from docmatch.sources.staging import stage
 
-BROADCAST_BYTES = 64 << 20
-BLOCK_BYTES = 32 << 20
+BROADCAST_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+# What a task reads of the side that streams past the one it holds.
+READ_BYTES = 4 << 20
 # What one stripe reads (in query blocks) and multiplies at most, before its points are dealt over lanes.
 LANE_BLOCKS = 32
 LANE_PRODUCTS = 1 << 40
@@ -48,27 +50,42 @@ STRATEGIES = ("auto", "points", "queries", "grid", "lsh")
 # --- kernel (runs in tasks) --------------------------------------------------------------------
 
 
-def _matrix(vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """List column to a double matrix and its row lengths."""
+def _raw(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """List column to a matrix, in single precision if that is what the column has."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     rows = len(vectors)
     sizes = pc.list_value_length(vectors)
     if rows and (sizes.null_count or pc.min(sizes).as_py() != pc.max(sizes).as_py()):
         raise ValueError("vectors of different sizes in one search")
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    m = flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    if flat.dtype != np.float32:
+        flat = flat.astype(np.float64, copy=False)
+    return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
+
+
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """List column to a double matrix and its row lengths."""
+    m = _raw(vectors).astype(np.float64, copy=False)
     return m, np.sqrt(np.einsum("ij,ij->i", m, m))
 
 
 class _Block:
-    """Rows of one side with their vectors as matrices: double precision, lengths, and unit rows."""
+    """Rows of one side with their vectors as they came, lengths, and unit rows in single precision.
+
+    Double precision is made for a bounded number of rows at a time, where it is needed.
+    """
 
     def __init__(self, table: pa.Table, vector: str):
-        self.table = table
-        self.m, self.lengths = _matrix(table[vector])
-        scale = np.divide(1.0, self.lengths, out=np.zeros_like(self.lengths), where=self.lengths > 0)
-        self.unit = (self.m * scale[:, None]).astype(np.float32)
+        self.table = table.drop_columns([vector])
+        self.m = _raw(table[vector])
+        self.lengths, self.unit = np.empty(len(self.m)), np.empty(self.m.shape, np.float32)
+        step = max(1, TILE_CELLS // max(1, self.m.shape[1]))
+        for i in range(0, len(self.m), step):
+            part = self.m[i:i + step].astype(np.float64, copy=False)
+            lengths = self.lengths[i:i + step] = np.sqrt(np.einsum("ij,ij->i", part, part))
+            scale = np.divide(1.0, lengths, out=np.zeros_like(lengths), where=lengths > 0)
+            self.unit[i:i + step] = part * scale[:, None]
 
     def __len__(self) -> int:
         return len(self.m)
@@ -80,7 +97,7 @@ def _exact(q: _Block, p: _Block, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     step = max(1, TILE_CELLS // max(1, q.m.shape[1]))
     for i in range(0, len(r), step):
         part = slice(i, i + step)
-        dots[part] = np.einsum("ij,ij->i", q.m[r[part]], p.m[c[part]])
+        dots[part] = np.einsum("ij,ij->i", q.m[r[part]].astype(np.float64, copy=False), p.m[c[part]].astype(np.float64, copy=False))
     lengths = q.lengths[r] * p.lengths[c]
     return np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
 
@@ -162,7 +179,8 @@ def _by_scope(table: pa.Table, scope: list[str]) -> dict[tuple, pa.Table]:
         code = np.unique(code * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
     order = np.argsort(code, kind="stable")
     cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
-    table = table.take(pa.array(order))
+    if len(cuts) > 1:
+        table = table.take(pa.array(order))
     ends = [*cuts[1:].tolist(), len(order)]
     return {tuple(table[name][a].as_py() for name in scope): table.slice(a, z - a) for a, z in zip(cuts.tolist(), ends)}
 
@@ -213,7 +231,7 @@ def _broadcast_points(j: _Join) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = {key: _Block(rows, pv) for key, rows in _by_scope(small.value, scope).items()}
-        for table in _tables(batches, BLOCK_BYTES):
+        for table in _tables(batches, READ_BYTES):
             for key, rows in _by_scope(table, scope).items():
                 if key in groups:
                     yield from _hits(_Block(rows, qv), groups[key], qcols, pkey, k).to_batches(max_chunksize=10_000)
@@ -230,7 +248,7 @@ def _broadcast_queries(j: _Join) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = {key: _Block(rows, qv) for key, rows in _by_scope(small.value, scope).items()}
         best: dict[tuple, pa.Table] = {}
-        for table in _tables(batches, BLOCK_BYTES):
+        for table in _tables(batches, READ_BYTES):
             for key, rows in _by_scope(table, scope).items():
                 if key in groups:
                     rows = _in_key_order(rows, pkey)
@@ -252,8 +270,8 @@ def _tables(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         held.append(batch)
         held_bytes += batch.nbytes
         if held_bytes >= size:
-            yield pa.Table.from_batches(held)
-            held, held_bytes = [], 0
+            table, held, held_bytes = pa.Table.from_batches(held), [], 0
+            yield table
     if held:
         yield pa.Table.from_batches(held)
 
@@ -300,7 +318,8 @@ def _one_stripe(batches: Iterator[pa.RecordBatch], qcols: list[str], qkey: str,
                 block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Top lists of a stripe's queries, which come first; its points follow in key order.
 
-    Held are the queries, one table of points of about ``block_bytes`` and one list of ``k`` per query.
+    Held are the queries, one table of points, of ``READ_BYTES`` or of ``block_bytes`` if that is less, and one
+    list of ``k`` per query.
     """
     held: list[pa.RecordBatch] = []
     first = None
@@ -313,10 +332,12 @@ def _one_stripe(batches: Iterator[pa.RecordBatch], qcols: list[str], qkey: str,
             break
     if not held or first is None:
         return
-    queries = _Block(pa.Table.from_batches(held).rename_columns(
-        [qkey if c == "_qk" else c for c in held[0].schema.names]), "_v")
+    table = pa.Table.from_batches(held).select([*(c if c != qkey else "_qk" for c in qcols), "_v"])
+    held.clear()
+    queries = _Block(table.rename_columns([qkey if c == "_qk" else c for c in table.schema.names]), "_v")
+    del table
     best: pa.Table | None = None
-    for points in _tables(itertools.chain([first], batches), block_bytes):
+    for points in _tables(itertools.chain([first], batches), min(block_bytes, READ_BYTES)):
         r, c, s = _best(queries, _Block(points, "_v"), k)
         best = _merge(best, pa.table({"r": r, "key": points["_pk"].take(pa.array(c)), "s": s}), k)
     hits = _as_hits(queries.table, qcols, pkey, best["r"].to_numpy(), best["key"], best["s"].to_numpy())
