@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 EmbedFn = Callable[[Sequence[str]], "np.ndarray | Sequence[Sequence[float]]"]
 GenerateFn = Callable[[str], str]
 
+# Tokens whose bucket a task remembers; beyond that the memory is emptied, the results stay the same.
+REMEMBERED = 1 << 16
 _TOKEN = re.compile(r"[^ \t\r\n]+")
 
 
@@ -32,7 +34,7 @@ def hash_embedder(dim: int = 64) -> EmbedFn:
     def bucket(token: str) -> int:
         found = buckets.get(token)
         if found is None:
-            if len(buckets) >= 1_000_000:
+            if len(buckets) >= REMEMBERED:
                 buckets.clear()
             found = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
             buckets[token] = found
@@ -58,10 +60,9 @@ def embed_column(text: str | Column, fn: EmbedFn, batch_rows: int = 256) -> Colu
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.to_pylist()
             parts = []
-            for start in range(0, len(texts), batch_rows):
-                part = texts[start:start + batch_rows]
+            for start in range(0, len(batch), batch_rows):
+                part = batch.slice(start, batch_rows).to_pylist()
                 if None in part:
                     known = iter(fn([t for t in part if t is not None]))
                     got = [None if t is None else next(known) for t in part]
