@@ -33,6 +33,8 @@ from docmatch.sources.staging import stage
 
 BROADCAST_BYTES = 32 << 20
 BLOCK_BYTES = 16 << 20
+# All points are copied once per stripe, so smaller query blocks share a stripe of this size.
+STRIPE_BYTES = 16 << 20
 # What a task reads of the side that streams past the one it holds.
 READ_BYTES = 4 << 20
 # What one stripe reads (in query blocks) and multiplies at most, before its points are dealt over lanes.
@@ -346,7 +348,7 @@ def _one_stripe(batches: Iterator[pa.RecordBatch], qcols: list[str], qkey: str,
 
 def _grid(j: _Join, block_bytes: int) -> tuple[DataFrame, bool]:
     """Top lists per stripe, and whether a query can have several."""
-    q, p, several = _with_cuts(j, block_bytes)
+    q, p, several = _with_cuts(j, max(block_bytes, STRIPE_BYTES))
 
     def slot(key: str, n: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
@@ -367,7 +369,7 @@ def _grid(j: _Join, block_bytes: int) -> tuple[DataFrame, bool]:
     qcols, qkey, pkey, k = j.qcols, j.qkey, j.pkey, j.k
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _one_stripe(batches, qcols, qkey, pkey, k, block_bytes)
+        return _one_stripe(batches, qcols, qkey, pkey, k, max(block_bytes, READ_BYTES))
 
     # One exchange and one sort bring a stripe's rows in the order in which it reads them.
     dealt = rows.repartition(*cell).sortWithinPartitions(*cell, "_point", "_pk")

@@ -79,6 +79,24 @@ def test_points_are_copied_once_per_query_block(spark, scope, monkeypatch):
     assert max(lanes) > 1 and max(lanes) <= 8
 
 
+def test_small_query_blocks_share_a_stripe(spark, monkeypatch):
+    """What is shuffled does not follow from the size of a block: all points are copied once per stripe."""
+    queries, points = tables(spark, 64, 300)
+    copies, cuts = [], search._with_cuts
+
+    def seen(j, size):
+        q, p, several = cuts(j, size)
+        copies.append(p.agg(F.max("_nq")).head()[0])
+        return q, p, several
+
+    monkeypatch.setattr(search, "_with_cuts", seen)
+    assert found(search.knn(queries, points, 3, strategy="grid", block_bytes=64)) == brute(queries, points, 3)
+    assert copies == [1]
+    monkeypatch.setattr(search, "STRIPE_BYTES", 1024)
+    assert found(search.knn(queries, points, 3, strategy="grid", block_bytes=64)) == brute(queries, points, 3)
+    assert copies == [1, 2]
+
+
 def test_whole_lists_are_not_ranked_again(spark):
     """With one lane per scope a stripe's list is final: rows move once, and are sorted once."""
     queries, points = tables(spark)
