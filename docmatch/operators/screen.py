@@ -98,6 +98,14 @@ def _short_grams(text: bytes, sizes: list[int]) -> np.ndarray:
     return np.unique(np.concatenate(found)).view(np.int64)
 
 
+def _those_in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The keys that the sorted ``wanted`` holds; its own size matters by its logarithm only."""
+    if not len(wanted):
+        return keys[:0]
+    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+    return keys[wanted[at] == keys]
+
+
 def _keys_column(text: str, of_text, wanted: np.ndarray | None = None, spark=None) -> Column:
     """``array<bigint>`` of a text's keys, only those in the sorted ``wanted`` if given."""
     shared = spark.sparkContext.broadcast(wanted) if wanted is not None else None
@@ -107,7 +115,7 @@ def _keys_column(text: str, of_text, wanted: np.ndarray | None = None, spark=Non
         for batch in batches:
             rows = [of_text(t.encode("utf-8")) if t else np.empty(0, np.int64) for t in batch.to_pylist()]
             if shared is not None:
-                rows = [r[np.isin(r, shared.value, assume_unique=True)] for r in rows]
+                rows = [_those_in(r, shared.value) for r in rows]
             yield pa.array(rows, pa.list_(pa.int64()))
 
     return keys.asNondeterministic()(text)
@@ -141,8 +149,9 @@ def _by_grams(texts: DataFrame, blacklist: DataFrame, text: str, key: str) -> Da
 
     # Short entries have no full window; their grams have one of a few sizes.
     short = entries.where((size > 0) & (size < KEYED_BYTES))
-    if not short.isEmpty():
-        sizes = [1 << i for i in range(GRAM.bit_length())]
+    # Texts give grams of the sizes that entries have; at most one per length below a window's.
+    sizes = sorted({_short_size(r["n"]) for r in short.select(size.alias("n")).distinct().collect()})
+    if sizes:
         found = found.unionByName(_meet(
             texts, short, text, key, lambda e: _short_grams(e, [_short_size(len(e))]),
             lambda t: _short_grams(t, sizes), "blacklist-short-keys"))
