@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmatch.llm.common import arrow_schema, labelled, per_document, remainder, same_columns, texts
+from docmatch.llm.common import arrow_schema, kept, labelled, per_document, remainder, same_columns, texts
 from docmatch.sources.staging import stage
 
 ACCEPT = 0.3
@@ -50,8 +50,9 @@ def _classes() -> np.ndarray:
 CLASS_OF = _classes()
 
 
-def features(text: bytes) -> np.ndarray:
-    """Square roots of the shares of neighbouring character classes, and shapes of words and lines."""
+def sketch(text: bytes) -> bytes:
+    """What the features of a text are made from: its length, shapes of words and lines, and how often which neighbouring
+    character classes occur, packed into a fraction of the text's size."""
     kinds = CLASS_OF[np.frombuffer(text, np.uint8)]
     pairs = np.bincount(kinds[:-1] * np.uint16(CLASSES) + kinds[1:], minlength=CLASSES * CLASSES)
     words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
@@ -62,7 +63,24 @@ def features(text: bytes) -> np.ndarray:
         math.log1p(n / max(1, distinct)), len(set(lines)) / max(1, len(lines)), math.log1p(len(text) / max(1, len(lines))),
         float(not words), float(len(words) < 5),
     ]
-    return np.concatenate([np.sqrt(pairs / max(1, len(text) - 1)), shapes]).astype(np.float32)
+    at = np.flatnonzero(pairs)
+    counts = pairs[at].astype(np.uint16 if len(text) < 1 << 16 else np.uint32)
+    return np.int64(len(text)).tobytes() + np.array(shapes, np.float32).tobytes() + at.astype(np.uint16).tobytes() + counts.tobytes()
+
+
+def sketched(packed: bytes) -> np.ndarray:
+    """Square roots of the shares of neighbouring character classes, and shapes of words and lines."""
+    size, start = int(np.frombuffer(packed, np.int64, 1)[0]), 8 + 4 * SHAPES
+    kind = np.dtype(np.uint16 if size < 1 << 16 else np.uint32)
+    n = (len(packed) - start) // (2 + kind.itemsize)
+    out = np.zeros(CLASSES * CLASSES + SHAPES, np.float32)
+    out[np.frombuffer(packed, np.uint16, n, start)] = np.sqrt(np.frombuffer(packed, kind, n, start + 2 * n) / max(1, size - 1))
+    out[-SHAPES:] = np.frombuffer(packed, np.float32, SHAPES, 8)
+    return out
+
+
+def features(text: bytes) -> np.ndarray:
+    return sketched(sketch(text))
 
 
 @dataclass
@@ -117,7 +135,7 @@ def fit(good: np.ndarray, bad: np.ndarray, share_bad: float, steps: int = 400, p
 
 
 def grouped_weights(taught: DataFrame, counts: dict[int, int], group_rows: int = GROUP_ROWS) -> Ranking | None:
-    """The mean of what groups of ``doc_id, text, label`` rows learn; None if no group has both classes.
+    """The mean of what groups of ``doc_id, label, sketch`` rows learn; None if no group has both classes.
 
     A class too rare for all groups has its rows copied to several, so no row is left out.
     """
@@ -126,13 +144,13 @@ def grouped_weights(taught: DataFrame, counts: dict[int, int], group_rows: int =
     for label, n in counts.items():
         copies = F.when(F.col("label") == label, min(groups, -(-LEAST_OF_CLASS * groups // n))).otherwise(copies)
     to = F.transform(F.sequence(F.lit(0), copies - 1), lambda i: F.pmod(F.xxhash64("doc_id") + i, F.lit(groups)).cast("int"))
-    dealt = taught.select("doc_id", "text", "label", F.explode(to).alias("_group"))
+    dealt = taught.select("doc_id", "sketch", "label", F.explode(to).alias("_group"))
     schema = "at int, mean double, weight double"
     out = arrow_schema(schema)
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(i, label, features(t).tobytes()) for batch in batches for i, t, label in zip(
-            batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["label"].to_pylist())]
+        held = [(i, label, sketched(x).tobytes()) for batch in batches for i, x, label in zip(
+            batch["doc_id"].to_pylist(), batch["sketch"].to_pylist(), batch["label"].to_pylist())]
         held.sort()  # the pairs drawn do not depend on the order of arrival
         bad, good = (np.frombuffer(b"".join(x for _, label, x in held if label == c), np.float32).reshape(
             -1, CLASSES * CLASSES + SHAPES) for c in (0, 1))
@@ -192,22 +210,36 @@ def threshold(strengths: DataFrame, share_bad: float) -> float:
     return row["s"] if above is None else (row["s"] + above) / 2
 
 
+def sketches(docs: DataFrame, divisor: int, held_out: int) -> DataFrame:
+    """``doc_id, sketch`` of the documents that may teach, which is all that meets the labels: texts stay where they are."""
+    def start():
+        def row(doc_id, text):
+            return doc_id, sketch(text)
+        return row
+
+    return per_document(texts(docs).where(remainder("doc_id", divisor) != held_out), "doc_id bigint, sketch binary", start)
+
+
 def learn(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, group_rows: int = GROUP_ROWS) -> Ranking:
-    """Learn the ranking from all labelled documents that are not held out."""
+    """Learn the ranking from all labelled documents that are not held out.
+
+    Sketches and labels are always merged, so what is shuffled grows with the input whatever the size of the labels.
+    """
     rows, counts = labelled(labels, "quality", divisor, held_out)
     if len(counts) < 2:
         return neutral()
-    may_teach = texts(docs).where(remainder("doc_id", divisor) != held_out)
-    ranking = grouped_weights(may_teach.join(rows, "doc_id"), counts, group_rows)
+    taught = kept(sketches(docs, divisor, held_out).join(rows.hint("merge"), "doc_id"), "quality-taught")
+    ranking = grouped_weights(taught, counts, group_rows)
     if ranking is None:
         return neutral()
+    out = arrow_schema("label int, s double")
 
-    def start():
-        def row(doc_id, text):
-            return doc_id, ranking.strength(features(text))
-        return row
+    def strengths_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [ranking.strength(sketched(x)) for x in batch["sketch"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(s, pa.float64())], schema=out)
 
-    strengths = per_document(may_teach, "doc_id bigint, s double", start).join(rows, "doc_id").select("label", "s")
+    strengths = taught.select("label", "sketch").mapInArrow(strengths_of, "label int, s double")
     ranking.threshold = threshold(strengths, counts[0] / sum(counts.values()))
     return ranking
 

@@ -36,3 +36,27 @@ def test_threshold_among_equal_strengths(spark):
         bad = int((label == 0).sum())
         order = np.sort(s)
         assert abs(quality.threshold(table, bad / 300) - (order[bad - 1] + order[bad]) / 2) < 1e-12
+
+
+def test_sketches_give_the_features_and_are_small():
+    text = b"The quick brown fox, seen twice: the quick brown fox.\n" * 40 + "Größe 12%\n".encode()
+    for t in (text, b"", b"x", b"\n\n", text * 40):
+        kinds = quality.CLASS_OF[np.frombuffer(t, np.uint8)]
+        pairs = np.bincount(kinds[:-1] * np.uint16(quality.CLASSES) + kinds[1:], minlength=quality.CLASSES ** 2)
+        x = quality.features(t)
+        assert (x[:-quality.SHAPES] == np.sqrt(pairs / max(1, len(t) - 1)).astype(np.float32)).all()
+        assert x[-quality.SHAPES] == np.float32(np.log1p(len(t)))
+    assert len(quality.sketch(text)) < len(text) / 4
+
+
+def test_texts_are_not_shuffled_to_meet_their_labels(spark, monkeypatch):
+    """Only sketches move, whatever the size of the labels."""
+    seen = []
+    kept = quality.kept
+    monkeypatch.setattr(quality, "kept", lambda df, name: seen.append(df) or kept(df, name))
+    table = docs(spark, [(i, "plain words " * (i + 1)) for i in range(40)])
+    told = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    quality.learn(table, told)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert seen[0].columns == ["doc_id", "sketch", "label"] and "strategy=merge" in plan
+    assert plan.index("Join") < plan.index("MapInArrow"), "texts become sketches below the join"
