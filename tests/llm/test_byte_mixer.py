@@ -108,3 +108,40 @@ def test_noise_costs_more_bits_a_byte_than_prose(spark):
     held = [r for r in out if r.held_out]
     worst = max(r.bits_per_byte for r in held if r.doc_id < 1000)
     assert min(r.bits_per_byte for r in held if r.doc_id >= 1000) > max(2 * worst, 3)
+
+
+def test_a_batch_is_read_once_for_keys_and_use(spark, tmp_path):
+    from docmatch.llm.corpus import Keys, Kind, with_totals
+
+    log = str(tmp_path / "reads")
+
+    def read(table):
+        with open(log, "a") as f:
+            f.write("x")
+        return table
+
+    def keys_of(table):
+        n = np.arange(table.num_rows, dtype=np.uint64)
+        return [Keys(n, n)]
+
+    table = spark.createDataFrame([(i, b"x") for i in range(4)], "doc_id bigint, text binary")
+    out = with_totals(table, [Kind(8)], keys_of, lambda t, totals: t.select(["doc_id"]), "doc_id bigint", read)
+    assert out.count() == 4 and len(open(log).read()) == 2, "once to send, once to finish"
+
+
+def test_a_kept_table_is_written_with_its_shuffles_cleaned_up(spark):
+    from docmatch.llm import common
+
+    seen, before = [], spark.conf.get(common.CLEAN_UP)
+
+    class Frame:
+        sparkSession = spark
+        schema = spark.range(1).schema
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get(common.CLEAN_UP))
+            return spark.range(100).repartition(3).write
+
+    assert common.kept(Frame(), "clean").count() == 100
+    assert seen == ["true"] and spark.conf.get(common.CLEAN_UP) == before
