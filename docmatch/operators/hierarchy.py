@@ -1,6 +1,7 @@
 """Flatten document trees into text rows and cut long texts into chunks.
 
-Everything here is narrow: one scan, no shuffle. Each level is one ``Generate`` over the children
+Everything here is narrow: one scan, no shuffle. A tree is cast once to nested rows, since taking a list out of
+a variant copies all that is below it. Each level is one ``Generate`` over the children
 of the node reached so far; a path that ended earlier passes through with its node set to NULL.
 """
 
@@ -15,8 +16,10 @@ from docmatch.functions import variants as vr
 MAX_DEPTH = 5
 
 
-def _text_of(node: Column, name: str) -> Column:
-    return F.coalesce(vr.string_field(node, name), F.lit(""))
+def _node_type(level: int, levels: int) -> str:
+    """A node with all levels below it that are taken. What has another type than it should is null, by itself."""
+    below = f", level{level + 1}: array<{_node_type(level + 1, levels)}>" if level < levels else ""
+    return f"struct<sid: string, text: string{below}>"
 
 
 def flatten(
@@ -49,16 +52,25 @@ def flatten(
     tree = F.col("tree") if "tree" in trees.columns else F.try_parse_json("raw")
     carried = [c for c in trees.columns if c not in ("raw", "tree")]
 
-    rows = trees.select(*carried, F.posexplode(vr.items(tree, "$.level1")).alias("_p", "_node"))
+    if keep_extra:
+        # Other keys are found in the node itself, so each level is taken out of the one above.
+        nodes = vr.items(tree, "$.level1")
+    else:
+        nodes = F.try_variant_get(tree, "$.level1", f"array<{_node_type(1, levels)}>")
+
+    def text_of(node: Column, name: str) -> Column:
+        return F.coalesce(vr.string_field(node, name) if keep_extra else node[name], F.lit(""))
+
+    rows = trees.select(*carried, F.posexplode(nodes).alias("_p", "_node"))
     if spread:
         rows = rows.repartition(spread)
     rows = rows.select(
         *carried,
         "_node",
         F.array("_p").alias("pos"),
-        _text_of(F.col("_node"), "sid").alias("orig_sid"),
-        _text_of(F.col("_node"), "sid").alias("_sids"),
-        _text_of(F.col("_node"), "text").alias("text"),
+        text_of(F.col("_node"), "sid").alias("orig_sid"),
+        text_of(F.col("_node"), "sid").alias("_sids"),
+        text_of(F.col("_node"), "text").alias("text"),
     )
     if reaches is not None and levels == 1:
         rows = rows.where(reaches >= 0)
@@ -68,7 +80,7 @@ def flatten(
         ended = F.col("_p").isNull()
         child = F.col("_child")
         kept = [*carried, "orig_sid"]
-        children = vr.items(F.col("_node"), f"$.level{level}")
+        children = vr.items(F.col("_node"), f"$.level{level}") if keep_extra else F.col("_node")[f"level{level}"]
         if reaches is not None:
             children = F.when(reaches >= level, children)
         rows = rows.select(
@@ -79,9 +91,9 @@ def flatten(
             child.alias("_node"),
             F.when(ended, F.col("pos")).otherwise(F.array_append("pos", F.col("_p"))).alias("pos"),
             F.when(ended, F.col("_sids"))
-            .otherwise(F.concat_ws("_", "_sids", _text_of(child, "sid"))).alias("_sids"),
+            .otherwise(F.concat_ws("_", "_sids", text_of(child, "sid"))).alias("_sids"),
             F.when(ended, F.col("text"))
-            .otherwise(F.concat_ws("\n", "text", _text_of(child, "text"))).alias("text"),
+            .otherwise(F.concat_ws("\n", "text", text_of(child, "text"))).alias("text"),
         ]
         if keep_extra:
             step.append(F.when(ended, F.col("extra")).otherwise(_extra(child)).alias("extra"))

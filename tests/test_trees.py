@@ -243,3 +243,18 @@ def test_levels_below_the_fifth_and_a_depth_column_with_a_maximum(spark):
     assert hierarchy.flatten(df, F.col("depth"), max_depth=6).first().uid == row.uid
     with pytest.raises(Exception, match="above max_depth"):
         hierarchy.flatten(df, F.col("depth")).collect()
+
+
+def test_flatten_takes_a_tree_apart_once(spark):
+    """A list taken out of a variant is a copy of all that is below it, so no level may take its own."""
+    rows = hierarchy.flatten(frame(spark, DEEP), 6)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(") == 1
+
+
+def test_flatten_of_bad_nodes_at_any_level(spark):
+    bad = [7, "x", None, [], {"sid": 3, "text": ["t"]}, {"text": None, "level3": "no list"}, {"sid": "k", "level3": [None, 1.5, {"sid": "m"}]}]
+    for depth in (2, 3, 4):
+        tree = root(*bad, {"sid": "a", "level2": bad})
+        # With keep_extra each level is taken out of the one above.
+        assert flat(spark, tree, depth) == flat(spark, tree, depth, keep_extra=True)
