@@ -8,8 +8,8 @@ shortest. So
 1. the lengths of all inverted lists are counted over the corpus (``corpus.with_totals``),
 2. each document enters its n - T + 1 shortest lists; a list of length one links nothing and is left out,
 3. the documents of a list gather under the list's smallest document, in shards of bounded size,
-4. in a shard DivideSkip searches one document after the other: its shorter lists are merged by a heap, its
-   longest ones probed by binary search for the candidates that can still reach T. Documents found are
+4. in a shard DivideSkip searches one document after the other: its shorter lists are merged by counting, its
+   longest ones probed, some at a time, for the candidates that can still reach T. Documents found are
    searched next and leave the lists, so a group of thousands of copies costs about one look at each,
 5. where one list's documents needed several shards, those that did not join its main class are searched
    against the other shards,
@@ -30,10 +30,8 @@ nothing, as does a row with a null id. Rows that share an id are one node.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -52,6 +50,10 @@ SHARD_SHINGLES = 1 << 19
 CELL_DOCUMENTS = 1000
 # DivideSkip's constant: how many of the longest lists are probed instead of merged.
 MU = 0.01
+# Long lists that are probed before candidates are looked at again, and what a place in a list costs less to
+# read than to find by binary search, about.
+PROBED = 64
+SCAN = 8
 
 
 def shingles(words: WordHashes, text: bytes, n: int) -> np.ndarray:
@@ -63,8 +65,8 @@ class Lists:
     """Inverted lists of some documents' sets; documents are numbered, lists are sorted by document."""
 
     def __init__(self, sets: list[np.ndarray], indexed: list[int]):
-        self.sets = sets
-        size = sum(len(sets[d]) for d in indexed)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        size = int(self.sizes[indexed].sum())
         grams, docs = np.empty(size, np.uint64), np.empty(size, np.int64)
         at = 0
         for d in sorted(indexed):
@@ -72,16 +74,35 @@ class Lists:
             at += len(sets[d])
         order = np.argsort(grams, kind="stable")
         self.docs = docs[order]
-        self.grams, starts = np.unique(grams[order], return_index=True)
+        self.grams, starts, which = np.unique(grams[order], return_index=True, return_inverse=True)
         self.bounds = np.append(starts, size)
-        self.live = set(indexed)
-
-    def partners(self, query: np.ndarray, num: int, den: int, apart: set[int]) -> list[int]:
+        # Every place of a list as one number, in order.
+        self.places = which * len(sets) + self.docs
+        self.live = np.zeros(len(sets), bool)
+        self.live[indexed] = True
+
+    def occurrences(self, lists: np.ndarray) -> np.ndarray:
+        """How many of the lists hold each document."""
+        starts, lengths = self.bounds[lists], self.bounds[lists + 1] - self.bounds[lists]
+        ends = np.cumsum(lengths)
+        at = np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.docs[at], minlength=len(self.live))
+
+    def probes(self, lists: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """How many of the lists hold each of the wanted documents."""
+        if (self.bounds[lists + 1] - self.bounds[lists]).sum() <= SCAN * len(lists) * len(wanted):
+            return self.occurrences(lists)[wanted]
+        asked = lists[:, None] * len(self.live) + wanted
+        found = np.minimum(np.searchsorted(self.places, asked), len(self.places) - 1)
+        return (self.places[found] == asked).sum(axis=0)
+
+    def partners(self, query: np.ndarray, num: int, den: int, apart: Iterable[int] = ()) -> list[int]:
         """Live documents that link with ``query``, but for those in ``apart``."""
-        live, q = self.live - apart, len(query)
+        q = len(query)
         least = -(-num * q // den)
-        live = {d for d in live if len(self.sets[d]) >= least and den * q >= num * len(self.sets[d])}
-        if not live:
+        live = self.live & (self.sizes >= least) & (den * q >= num * self.sizes)
+        live[list(apart)] = False
+        if not live.any():
             return []
         at = np.searchsorted(self.grams, query)
         query, at = query[at < len(self.grams)], at[at < len(self.grams)]
@@ -93,38 +114,34 @@ class Lists:
         # The longest lists are probed; what is merged must then hold a candidate `merged_least` times.
         probed = min(least - 1, int(least / (MU * math.log2(int(lengths.max()) + 1) + 1)))
         short, long = by_length[:len(by_length) - probed], by_length[len(by_length) - probed:]
-        merged_least = least - probed
-        merge = [[d for d in self.docs[self.bounds[g]:self.bounds[g + 1]].tolist() if d in live] for g in short]
-        runs = [self.docs[self.bounds[g]:self.bounds[g + 1]].tolist() for g in long]
+        counts = self.occurrences(short)
+        open_docs = np.flatnonzero(live & (counts >= least - probed))
+        counts = counts[open_docs]
+        need = -(-num * (q + self.sizes[open_docs]) // (den + num))
         found = []
-        for d, occurrences in groupby(heapq.merge(*filter(None, merge))):
-            count = sum(1 for _ in occurrences)
-            if count < merged_least:
-                continue
-            need = -(-num * (q + len(self.sets[d])) // (den + num))
-            left = len(runs)
-            for run in runs:
-                if count >= need or count + left < need:
-                    break
-                left -= 1
-                i = bisect_left(run, d)
-                count += i < len(run) and run[i] == d
-            if count >= need:
-                found.append(d)
-        return found
+        for begin in range(0, len(long) + 1, PROBED):
+            reached = counts >= need
+            found.append(open_docs[reached])
+            still = ~reached & (counts + len(long) - begin >= need)
+            open_docs, counts, need = open_docs[still], counts[still], need[still]
+            if not len(open_docs):
+                break
+            counts = counts + self.probes(long[begin:begin + PROBED], open_docs)
+        found.append(open_docs[counts >= need])
+        return np.sort(np.concatenate(found)).tolist()
 
 
 def classes(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """(first document, document) for every document that links, over others or not, with an earlier first."""
     lists, pairs = Lists(sets, list(range(len(sets)))), []
     for first in range(len(sets)):
-        if first not in lists.live:
+        if not lists.live[first]:
             continue
-        lists.live.discard(first)
+        lists.live[first] = False
         waiting = [first]
-        while waiting and lists.live:
-            for d in lists.partners(sets[waiting.pop()], num, den, set()):
-                lists.live.discard(d)
+        while waiting and lists.live.any():
+            for d in lists.partners(sets[waiting.pop()], num, den):
+                lists.live[d] = False
                 waiting.append(d)
                 pairs.append((first, d))
     return pairs
@@ -135,8 +152,8 @@ def pairs(sets: list[np.ndarray], asks: list[bool | None], num: int, den: int) -
     among = asks[0] is None
     lists = Lists(sets, [i for i, a in enumerate(asks) if not a])
     for i in range(len(sets)) if among else [i for i, a in enumerate(asks) if a]:
-        lists.live.discard(i)
-        for d in lists.partners(sets[i], num, den, set()):
+        lists.live[i] = False
+        for d in lists.partners(sets[i], num, den):
             yield i, d
 
 
@@ -148,25 +165,28 @@ def documents(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     schema = "doc_id bigint, n bigint, same binary, lists array<bigint>, text binary"
     out = arrow_schema(schema)
 
-    def sets_of(table: pa.Table) -> list[np.ndarray]:
+    def read(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
         words = WordHashes()
-        return [shingles(words, t.as_py(), n) for t in table["text"]]
+        return table, [shingles(words, t, n) for t in table["text"].to_pylist()]
 
-    def keys_of(table: pa.Table) -> list[Keys]:
-        every = np.concatenate(sets_of(table) or [np.empty(0, np.uint64)])
+    def keys_of(batch: tuple[pa.Table, list[np.ndarray]]) -> list[Keys]:
+        every = np.concatenate(batch[1] or [np.empty(0, np.uint64)])
         return [Keys(every, every)]
 
-    def use(table: pa.Table, totals: list[np.ndarray]) -> pa.Table:
+    def use(batch: tuple[pa.Table, list[np.ndarray]], totals: list[np.ndarray]) -> pa.Table:
         list_lengths, = totals
         columns, at, first = ([], [], [], []), 0, {}
-        sets, ids, raw = sets_of(table), table["doc_id"].to_pylist(), table["text"].to_pylist()
+        table, sets = batch
+        ids, raw = table["doc_id"].to_pylist(), table["text"].to_pylist()
+        digests = [hashlib.blake2b(own.tobytes(), digest_size=16).digest() if i is not None and len(own) else None
+                   for i, own in zip(ids, sets)]
         for i in sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i])):
-            if ids[i] is not None and len(sets[i]):
-                first.setdefault(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), i)
+            if digests[i] is not None:
+                first.setdefault(digests[i], i)
         for i, own in enumerate(sets):
             lengths = list_lengths[at:at + len(own)]
             at += len(own)
-            same = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) and ids[i] is not None else None
+            same = digests[i]
             entered = np.empty(0, np.uint64)
             if same is not None and first[same] == i:
                 short = np.lexsort((own, lengths))[:len(own) - -(-num * len(own) // den) + 1]
@@ -177,7 +197,7 @@ def documents(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         return pa.Table.from_arrays([table["doc_id"], *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:]))],
                                     schema=out)
 
-    return with_totals(texts(docs), [Kind(4)], keys_of, use, schema)
+    return with_totals(texts(docs), [Kind(4)], keys_of, use, schema, read)
 
 
 def groups_of(table: pa.Table) -> Iterator[pa.Table]:
@@ -208,13 +228,13 @@ def search(gathered: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 links += [(ids[a], ids[b]) for a, b in classes(sets, num, den)]
                 continue
             lists = Lists(sets, [i for i, a in enumerate(asks) if not a])
-            of_class: dict[int, set[int]] = {}
-            for i in lists.live:
-                of_class.setdefault(kinds[i], set()).add(i)
+            of_class: dict[int, list[int]] = {}
+            for i in np.flatnonzero(lists.live).tolist():
+                of_class.setdefault(kinds[i], []).append(i)
             for i in (i for i, a in enumerate(asks) if a):
                 # One link to a class is enough.
                 linked = {kinds[i]}
-                for d in lists.partners(sets[i], num, den, of_class.get(kinds[i], set())):
+                for d in lists.partners(sets[i], num, den, of_class.get(kinds[i], [])):
                     if kinds[d] not in linked:
                         linked.add(kinds[d])
                         links.append((ids[i], ids[d]))

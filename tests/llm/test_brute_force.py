@@ -7,10 +7,12 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -434,6 +436,44 @@ def test_divide_skip_finds_what_counting_finds():
             assert lists.partners(sets[0], num, 100, set()) == want
 
 
+def test_links_of_a_group_of_near_copies_are_counted_in_arrays():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 500).astype(np.uint64)
+
+    def near():
+        own = base.copy()
+        own[rng.integers(0, 500, 14)] = rng.integers(0, 1 << 60, 14)
+        return np.unique(own)
+
+    sets = [near() if i % 10 else np.unique(rng.integers(0, 1 << 60, 300).astype(np.uint64)) for i in range(300)]
+    start = time.process_time()
+    found = sorted((min(x), max(x)) for x in similar.pairs(sets, [None] * 300, 90, 100))
+    assert time.process_time() - start < 5, "some milliseconds a document, not a probe of every list by every pair"
+    every = np.unique(np.concatenate(sets))
+    held = np.stack([np.isin(every, s) for s in sets]).astype(np.int64)
+    both, sizes = held @ held.T, held.sum(axis=1)
+    links = 100 * both >= 90 * (sizes[:, None] + sizes - both)
+    want = list(zip(*(x.tolist() for x in np.nonzero(np.triu(links, 1)))))
+    assert found == want and 0 < len(want) < 269 * 270 // 2
+    asks = [i < 100 for i in range(300)]
+    assert sorted(similar.pairs(sets, asks, 90, 100)) == [(a, b) for a, b in want if a < 100 <= b]
+
+
+def test_a_batch_is_shingled_once(spark, monkeypatch):
+    calls, made = [], {}
+    whole = similar.shingles
+    monkeypatch.setattr(similar, "shingles", lambda words, text, n: calls.append(text) or whole(words, text, n))
+    monkeypatch.setattr(similar, "texts", lambda docs: docs)
+    monkeypatch.setattr(similar, "with_totals", lambda docs, kinds, keys_of, use, schema, read=lambda t: t: made.update(
+        keys_of=keys_of, use=use, read=read))
+    similar.documents(None, 1, 90, 100)
+    batch = made["read"](pa.table({"doc_id": [1, 2, None], "text": pa.array([b"a b", b"a b", b"c"], pa.binary())}))
+    keys, = made["keys_of"](batch)
+    out = made["use"](batch, [np.full(len(keys.hashes), 2)]).to_pylist()
+    assert len(calls) == 3, "each text once, for its keys and for their use"
+    assert [(r["n"], len(r["lists"]), r["text"]) for r in out] == [(2, 1, b"a b"), (2, 0, None), (1, 0, None)]
+
+
 def test_keep_one_keeps_one_of_each_class(spark):
     out = similar.keep_one(docs(spark), 5, 80, 100)
     assert out.columns == docs(spark).columns
