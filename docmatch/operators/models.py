@@ -20,7 +20,13 @@ GenerateFn = Callable[[str], str]
 
 # Tokens whose bucket a task remembers; beyond that the memory is emptied, the results stay the same.
 REMEMBERED = 1 << 16
-_TOKEN = re.compile(r"[^ \t\r\n]+")
+_TOKEN = re.compile(rb"[^ \t\r\n]+")
+
+
+def _tokens(text: str) -> list[bytes]:
+    """Runs without blanks, tabs and line ends. ``bytes.split`` also splits at two more characters."""
+    raw = text.encode("utf-8")
+    return _TOKEN.findall(raw) if b"\x0b" in raw or b"\x0c" in raw else raw.split()
 
 
 def hash_embedder(dim: int = 64) -> EmbedFn:
@@ -29,23 +35,21 @@ def hash_embedder(dim: int = 64) -> EmbedFn:
     The counts are whole numbers, so inner products are exact and do not depend on their order;
     cosine does not need unit length.
     """
-    buckets: dict[str, int] = {}
+    class Buckets(dict):
+        def __missing__(self, token: bytes) -> int:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            found = self[token] = int.from_bytes(hashlib.md5(token).digest()[:4], "big") % dim
+            return found
 
-    def bucket(token: str) -> int:
-        found = buckets.get(token)
-        if found is None:
-            if len(buckets) >= REMEMBERED:
-                buckets.clear()
-            found = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
-            buckets[token] = found
-        return found
+    bucket = Buckets().__getitem__
 
     def embed(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float32)
         for row, text in enumerate(texts):
-            hit = [bucket(t) for t in _TOKEN.findall(text)]
-            if hit:
-                out[row] = np.bincount(hit, minlength=dim)
+            tokens = _tokens(text)
+            if tokens:
+                out[row] = np.bincount(np.fromiter(map(bucket, tokens), np.int64, len(tokens)), minlength=dim)
         return out
 
     return embed
