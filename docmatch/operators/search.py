@@ -40,6 +40,8 @@ READ_BYTES = 4 << 20
 # What one stripe reads (in query blocks) and multiplies at most, before its points are dealt over lanes.
 LANE_BLOCKS = 32
 LANE_PRODUCTS = 1 << 40
+# Streams that stripes are dealt to: a small stripe costs its rows, not the start of a group.
+DEALS = 4096
 QUERY_ROWS = 16_384
 BROADCAST_SCOPES = 100_000
 TILE_CELLS = 2 << 20
@@ -346,6 +348,35 @@ def _one_stripe(batches: Iterator[pa.RecordBatch], qcols: list[str], qkey: str,
     yield from hits.to_batches(max_chunksize=10_000)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Each batch cut where the values of some columns change, with these values."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for name in names:
+            code = batch[name].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        cuts = np.flatnonzero(new)
+        values = zip(*(batch[name].take(pa.array(cuts)).to_pylist() for name in names))
+        for key, a, z in zip(values, cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
+            yield key, batch.slice(a, z - a)
+
+
+def _in_large_batches(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Small batches joined until they have some rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=rows)
+            held, size = [], 0
+    if size:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=rows)
+
+
 def _grid(j: _Join, block_bytes: int) -> tuple[DataFrame, bool]:
     """Top lists per stripe, and whether a query can have several."""
     q, p, several = _with_cuts(j, max(block_bytes, STRIPE_BYTES))
@@ -369,11 +400,15 @@ def _grid(j: _Join, block_bytes: int) -> tuple[DataFrame, bool]:
     qcols, qkey, pkey, k = j.qcols, j.qkey, j.pkey, j.k
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _one_stripe(batches, qcols, qkey, pkey, k, max(block_bytes, READ_BYTES))
-
-    # One exchange and one sort bring a stripe's rows in the order in which it reads them.
-    dealt = rows.repartition(*cell).sortWithinPartitions(*cell, "_point", "_pk")
-    return dealt.groupBy(*cell).applyInArrow(search, j.schema), several
+        stripes = itertools.groupby(_runs(batches, cell), key=lambda run: run[0])
+        return _in_large_batches(itertools.chain.from_iterable(
+            _one_stripe((part for _, part in stripe), qcols, qkey, pkey, k, max(block_bytes, READ_BYTES)) for _, stripe in stripes))
+
+    # One exchange and one sort bring a stripe's rows in the order in which it reads them. Stripes are dealt to a
+    # bounded number of streams, each read one stripe after the other, since most may be of a few rows.
+    rows = rows.withColumn("_deal", F.pmod(F.xxhash64(*cell), F.lit(DEALS)).cast("int"))
+    dealt = rows.repartition("_deal").sortWithinPartitions("_deal", *cell, "_point", "_pk")
+    return dealt.groupBy("_deal").applyInArrow(search, j.schema), several
 
 
 def _by_grid(j: _Join, block_bytes: int) -> DataFrame:

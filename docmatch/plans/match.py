@@ -224,7 +224,9 @@ def match_requests(
     broken = validate.scenario_violations(jobs).groupBy("project_id").agg(
         F.sort_array(F.collect_set("field")).alias("broken"))
     good = jobs.join(broken, "project_id", "left_anti")
-    scenarios = resolve(good.select("project_id", *SCENARIO_TYPES), defaults)
+    # Every step joins the scenarios; stored, they cost no further reading of the requests.
+    with staged_by(options.get("run_id")):
+        scenarios = stage(resolve(good.select("project_id", *SCENARIO_TYPES), defaults), "scenarios")
     trees = request_trees(good.select("job_id", "project_id", "input_data", "reference_data"))
     # Requests mix their jobs, so each task would otherwise write into every job's folder.
     options = {"few_files": True, **options}

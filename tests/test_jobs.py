@@ -210,3 +210,20 @@ def test_job_stream_reports_states_and_pending_timeouts(spark, tmp_path):
     last = {r.job_id: r.status for r in got.groupBy("job_id").agg(
         F.max_by("status", F.struct("updated_at", "timed_out")).alias("status")).collect()}
     assert last == {"a": "completed", "b": "failed", "c": "completed", "d": "pending", "e": "pending"}
+
+
+def test_requests_store_their_scenarios(spark, tmp_path, monkeypatch):
+    """Every later step joins them, so none reads the requests again for it."""
+    from docmatch.plans import match as plan
+    from docmatch.sources.trees import read_requests
+
+    tree = {"level1": [{"sid": "t", "text": "red apple"}]}
+    asked = [{"job_id": j, "project_id": "p", "scenario": {"rag_k": k}, "input_data": tree, "reference_data": tree}
+             for j, k in (("a", 1), ("b", 2))]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, asked)))
+    given = []
+    monkeypatch.setattr(plan, "match", lambda trees, scenario, *args, **options: given.append(scenario))
+    plan.match_requests(read_requests(spark, str(tmp_path)), EMBED, {"m": sure}, default_model="m", dim=32)
+    files = given[0].inputFiles()
+    assert files and all("/scenarios-" in f and f.endswith(".parquet") for f in files)
+    assert {(r.project_id, r.rag_k) for r in given[0].collect()} == {("a", 1), ("b", 2)}

@@ -182,3 +182,24 @@ def test_shuffled_block_counts_give_the_same_rows(spark, monkeypatch):
     want = found(search.knn(queries, points, 4, scope=["g"], strategy="grid"))
     monkeypatch.setattr(search, "BROADCAST_SCOPES", 0)
     assert found(search.knn(queries, points, 4, scope=["g"], strategy="grid", block_bytes=400)) == want
+
+
+@pytest.mark.parametrize("deals", [2, 4096])
+def test_small_scopes_share_a_stream(spark, monkeypatch, deals):
+    """A group is started once for many scopes, wherever batches are cut."""
+    monkeypatch.setattr(search, "DEALS", deals)
+    rng = np.random.default_rng(3)
+    rows = [(f"g{i % 40}" if i % 7 else None, f"p{i}", rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(400)]
+    points = spark.createDataFrame(rows, "g string, uid string, vector array<float>")
+    queries = points.where("substr(uid, -1) < '4'").withColumnRenamed("uid", "query_uid")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        hits = search.knn(queries, points, 3, scope=["g"], strategy="grid", broadcast_bytes=10)
+        assert "FlatMapGroupsInArrow [_deal#" in plan(hits, "simple")
+        got = found(hits)
+    finally:
+        spark.conf.set(size, before)
+    # A null scope meets nothing.
+    assert got == brute(queries.where("g is not null"), points, 3, lambda q, p: q.g == p.g)
