@@ -227,6 +227,9 @@ def match_requests(
     # Every step joins the scenarios; stored, they cost no further reading of the requests.
     with staged_by(options.get("run_id")):
         scenarios = stage(resolve(good.select("project_id", *SCENARIO_TYPES), defaults), "scenarios")
+    if scenarios.count() > search.BROADCAST_SCOPES:
+        # Their files are small, as their columns repeat; their rows are not, and must not be broadcast.
+        scenarios = scenarios.hint("merge")
     trees = request_trees(good.select("job_id", "project_id", "input_data", "reference_data"))
     # Requests mix their jobs, so each task would otherwise write into every job's folder.
     options = {"few_files": True, **options}

@@ -212,8 +212,10 @@ def test_job_stream_reports_states_and_pending_timeouts(spark, tmp_path):
     assert last == {"a": "completed", "b": "failed", "c": "completed", "d": "pending", "e": "pending"}
 
 
-def test_requests_store_their_scenarios(spark, tmp_path, monkeypatch):
-    """Every later step joins them, so none reads the requests again for it."""
+@pytest.mark.parametrize("bound", [1, 2])
+def test_requests_store_their_scenarios(spark, tmp_path, monkeypatch, bound):
+    """Every later step joins them, so none reads the requests again for it. Only a bounded number is broadcast."""
+    from docmatch.operators import search
     from docmatch.plans import match as plan
     from docmatch.sources.trees import read_requests
 
@@ -222,8 +224,11 @@ def test_requests_store_their_scenarios(spark, tmp_path, monkeypatch):
              for j, k in (("a", 1), ("b", 2))]
     (tmp_path / "r.json").write_text("\n".join(map(json.dumps, asked)))
     given = []
+    monkeypatch.setattr(search, "BROADCAST_SCOPES", bound)
     monkeypatch.setattr(plan, "match", lambda trees, scenario, *args, **options: given.append(scenario))
     plan.match_requests(read_requests(spark, str(tmp_path)), EMBED, {"m": sure}, default_model="m", dim=32)
     files = given[0].inputFiles()
     assert files and all("/scenarios-" in f and f.endswith(".parquet") for f in files)
     assert {(r.project_id, r.rag_k) for r in given[0].collect()} == {("a", 1), ("b", 2)}
+    joined = plan._with_scenario(spark.range(9).selectExpr("string(id) project_id"), given[0], ["rag_k", "role_desc"])
+    assert ("BroadcastHashJoin" in joined._jdf.queryExecution().toString()) == (bound == 2)
