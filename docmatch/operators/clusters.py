@@ -5,6 +5,10 @@ number of rows. Centroids come from k-means on a sample of bounded size, the row
 keys; assignment, radii and counts cover all rows, so the sample decides how much is left out and never what is
 found. Points are stored in ranges of clusters, so that a scan for few clusters reads few row groups.
 
+Queries move in blocks, not once per cluster: a stripe holds a block of queries that lie near each other, each with the
+clusters it meets as bits, and the points of all clusters that any of them meets stream past it, cluster by cluster. So
+a query is copied once per lane of points, a point at most once per block, however many clusters a query meets.
+
 ``knn_clustered`` first searches each query's nearest clusters that hold ``k`` points. The k-th score found is a bound:
 a cluster stays out if no point of it can reach the bound, by the triangle inequality between unit vectors or by the
 plane half-way between its centroid and the one nearest to the query, on whose other side all its points lie. What is
@@ -17,6 +21,7 @@ meet all clusters. Rows without a vector take no part.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +39,7 @@ from docmatch.sources.staging import new_path, stage
 SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
 MAX_CLUSTERS = 4096
 ROUNDS = 10
-VISIT_CELLS = 1 << 14  # rows that queries of one step make at most
+BLOCK_ROWS = 256  # queries of a block at least, or points of a lane, where only idle cores ask for more of them
 ASSIGN_CELLS = 1 << 19  # distances that a task holds at once
 SLACK = 1e-6  # of distances, far above the rounding of single-precision unit vectors
 
@@ -94,7 +99,8 @@ def cluster_points(points: DataFrame, *, key: str = "uid", vector: str = "vector
     dim = max(told["dim"] or 1, 1)
     sample_rows = max(1, min(sample_rows, SAMPLE_BYTES // (4 * dim)))
     wanted = min(MAX_CLUSTERS, clusters or max(1, math.isqrt(told["rows"])))
-    sample = points.orderBy(F.xxhash64(key), key).limit(sample_rows).select(vector).toArrow()
+    sample = points.orderBy(F.xxhash64(key), key).limit(sample_rows).select(vector)
+    sample = search._rows_at_most(sample, sample_rows)
     unit, lengths = _units(sample[vector])
     unit = np.unique(unit[lengths > 0], axis=0) if len(unit) else np.zeros((0, dim))
     found = k_means(unit, min(wanted, len(unit)), seed) if len(unit) else np.zeros((0, dim))
@@ -122,10 +128,10 @@ def cluster_points(points: DataFrame, *, key: str = "uid", vector: str = "vector
     dealt = points.mapInArrow(assign, schema).repartitionByRange("cluster", key)
     dealt.sortWithinPartitions("cluster", key).write.parquet(path)
     stored = spark.read.schema(schema).parquet(path)
-    sizes = {r["cluster"]: r for r in stored.groupBy("cluster").agg(
-        F.max("distance").alias("radius"), F.count(F.lit(1)).alias("rows")).toLocalIterator()}
-    rows = [(c, found[c].tolist() if c < len(found) else None, r["radius"] if c < len(found) else None, r["rows"])
-            for c, r in sorted(sizes.items())]
+    sizes = search._rows_at_most(stored.groupBy("cluster").agg(
+        F.max("distance").alias("radius"), F.count(F.lit(1)).alias("rows")), MAX_CLUSTERS + 1).sort_by("cluster")
+    rows = [(c, found[c].tolist() if c < len(found) else None, radius if c < len(found) else None, n)
+            for c, radius, n in zip(*(sizes[name].to_pylist() for name in ("cluster", "radius", "rows")))]
     table = spark.createDataFrame(rows, "cluster int, centroid array<double>, radius double, rows bigint")
     return Clustered(stored, stage(table, "clusters"))
 
@@ -138,6 +144,7 @@ class _Visits:
 
     numbers: np.ndarray
     centroids: np.ndarray
+    places: np.ndarray
     radius: np.ndarray
     rows: np.ndarray
     others: tuple[int, ...]  # clusters without a direction
@@ -153,39 +160,67 @@ class _Visits:
         np.put_along_axis(out, order, taken, axis=1)
         return out
 
-    def of(self, unit: np.ndarray, lengths: np.ndarray, scores: np.ndarray | None) -> list[list[int]]:
-        """Clusters of the first search, or, with the k-th scores (NaN: fewer than k found), those left to search."""
+    def of(self, unit: np.ndarray, lengths: np.ndarray, scores: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the nearest centroid among ``places``, and which clusters are met by number: those of the first
+        search, or, with the k-th scores (NaN: fewer than k found), those left to search."""
+        met = np.zeros((len(unit), max([-1, *self.numbers, *self.others]) + 1), bool)
+        if scores is None:
+            met[:, list(self.others)] = True
         if not len(self.centroids):
-            return [list(self.others) if scores is None else []] * len(unit)
+            return np.zeros(len(unit), np.int64), met
         d, least = lower_bounds(unit, self.centroids, self.radius)
         first = self.first(d)
-        if scores is None:
-            return [[*self.numbers[f].tolist(), *self.others] for f in first]
-        bound = np.sqrt(np.maximum(2.0 - 2.0 * scores, 0.0))[:, None]
-        left = ~first & (np.isnan(bound) | (lengths == 0)[:, None] | (least <= bound + SLACK))
-        return [self.numbers[row].tolist() for row in left]
+        if scores is not None:
+            bound = np.sqrt(np.maximum(2.0 - 2.0 * scores, 0.0))[:, None]
+            first = ~first & (np.isnan(bound) | (lengths == 0)[:, None] | (least <= bound + SLACK))
+        met[:, self.numbers] = first
+        return self.places[d.argmin(axis=1)], met
 
 
-def _visiting(queries: DataFrame, visits: _Visits, vector: str, bound: str | None) -> DataFrame:
-    """Queries with a row per cluster they meet."""
-    names = [c for c in queries.columns if c != bound]
-    schema = T.StructType([*[queries.schema[c] for c in names], T.StructField("cluster", T.IntegerType())])
+def _chain(centroids: np.ndarray) -> np.ndarray:
+    """The place of each centroid in a chain that goes to the nearest one not yet in it."""
+    places, at = np.full(len(centroids), -1), 0
+    squares = (centroids * centroids).sum(axis=1)
+    for place in range(len(centroids)):
+        places[at] = place
+        at = int(np.where(places < 0, squares - 2.0 * (centroids @ centroids[at]), np.inf).argmin())
+    return places
+
+
+def _asking(queries: DataFrame, visits: _Visits, vector: str, bound: str | None) -> DataFrame:
+    """Queries that meet any cluster, with ``_place`` and, as bits, ``_met``."""
+    schema = T.StructType([*queries.schema.fields, T.StructField("_place", T.IntegerType()), T.StructField("_met", T.BinaryType())])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, VISIT_CELLS // max(1, len(visits.centroids)))
+            step = max(1, ASSIGN_CELLS // max(1, len(visits.centroids)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 unit, lengths = _units(part[vector])
                 scores = None if bound is None else part[bound].to_numpy(zero_copy_only=False).astype(float)
-                met = visits.of(unit, lengths, scores)
-                rows = pa.array(np.repeat(np.arange(len(met)), [len(m) for m in met]))
+                place, met = visits.of(unit, lengths, scores)
+                some = met.any(axis=1)
+                bits = pa.array([row.tobytes() for row in np.packbits(met[some], axis=1)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part[c].take(rows) for c in names), pa.array([c for m in met for c in m], pa.int32())], names=[*names, "cluster"])
+                    [*part.filter(pa.array(some)).columns, pa.array(place[some], pa.int32()), bits], names=schema.names)
 
     return queries.mapInArrow(visit, schema)
 
 
+def _bits(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _visits(clustered: Clustered, k: int, probes: int | None) -> _Visits:
+    told = search._rows_at_most(clustered.clusters, MAX_CLUSTERS + 1).sort_by("cluster").to_pylist()
+    real = [r for r in told if r["centroid"] is not None]
+    centroids = np.array([r["centroid"] for r in real]) if real else np.zeros((0, 1))
+    return _Visits(
+        np.array([r["cluster"] for r in real], np.int64), centroids, _chain(centroids),
+        np.array([r["radius"] for r in real]), np.array([r["rows"] for r in real], np.int64),
+        tuple(r["cluster"] for r in told if r["centroid"] is None), k, probes or 0)
+
+
 def knn_clustered(queries: DataFrame, clustered: Clustered, k: int, *, probes: int | None = None,
                   scope: list[str] | tuple[str, ...] = (), query_key: str = "query_uid", point_key: str = "uid",
                   vector: str = "vector", block_bytes: int = search.BLOCK_BYTES) -> DataFrame:
@@ -197,47 +232,148 @@ def knn_clustered(queries: DataFrame, clustered: Clustered, k: int, *, probes: i
         raise ValueError("k and probes must be at least 1")
     keys = [*scope, query_key]
     asked = queries.select(*keys, vector).where(F.col(vector).isNotNull())
-    near = _meeting(asked, clustered, k, probes, None, vector)
-    found = _ranked(near, clustered, k, scope, query_key, point_key, vector, block_bytes)
+    visits = _visits(clustered, k, probes)
+    j = search._Join(asked, clustered.points, k, scope, query_key, point_key, vector, vector)
+    found = j.ranked(_striped(asked, clustered, visits, None, scope, query_key, point_key, vector, block_bytes))
     if probes is not None:
         return found
     found = stage(found, "near-hits")
     kth = found.where(F.col("rank") == k).select(*keys, F.col("score").alias("_kth"))
     bounded = asked.join(kth, keys, "left")
-    rest = _meeting(bounded, clustered, k, None, "_kth", vector)
-    more = _ranked(rest, clustered, k, scope, query_key, point_key, vector, block_bytes)
-    j = _join(asked, clustered, k, scope, query_key, point_key, vector)
+    more = _striped(bounded, clustered, visits, "_kth", scope, query_key, point_key, vector, block_bytes)
     return j.ranked(found.unionByName(more))
 
 
-def _meeting(asked: DataFrame, clustered: Clustered, k: int, probes: int | None, bound: str | None, vector: str) -> DataFrame:
-    told = sorted(clustered.clusters.toLocalIterator())  # at most MAX_CLUSTERS + 1 rows
-    real = [r for r in told if r["centroid"] is not None]
-    visits = _Visits(
-        np.array([r["cluster"] for r in real], np.int64), np.array([r["centroid"] for r in real]),
-        np.array([r["radius"] for r in real]), np.array([r["rows"] for r in real], np.int64),
-        tuple(r["cluster"] for r in told if r["centroid"] is None), k, probes or 0)
-    return _visiting(asked, visits, vector, bound)
-
-
-def _join(asked, clustered, k, scope, query_key, point_key, vector):
-    return search._Join(asked, clustered.points, k, scope, query_key, point_key, vector, vector)
-
-
-def _ranked(visiting: DataFrame, clustered: Clustered, k, scope, query_key, point_key, vector, block_bytes) -> DataFrame:
-    """Top lists over the clusters that a query meets; stripes of the exact search, a scope per cluster."""
-    inner = _join(visiting, clustered, k, [*scope, "cluster"], query_key, point_key, vector)
-    hits = search._grid(inner, block_bytes)[0].drop("cluster", "rank")
-    return _join(visiting, clustered, k, scope, query_key, point_key, vector).ranked(hits)
+def _striped(asked: DataFrame, clustered: Clustered, visits: _Visits, bound: str | None, scope, query_key: str,
+             point_key: str, vector: str, block_bytes: int) -> DataFrame:
+    """Top lists over the clusters that queries meet, one per lane of points. With ``bound`` the lists leave out what
+    that score rules out."""
+    asking = stage(_asking(asked, visits, vector, bound), "asking")
+    asking = asking.withColumn("_bound", F.col(bound) if bound else F.lit(None).cast("double"))
+    j = search._Join(asking, clustered.points, visits.k, scope, query_key, point_key, vector, vector)
+    fresh = [F.col(s).alias(s) for s in j.scope]
+    j.q = asking.select(*fresh, query_key, F.col(vector).alias(j.qv), "_place", "_met", "_bound")
+    j.p = clustered.points.select(*fresh, point_key, F.col(vector).alias(j.pv), "cluster")
+    q, p = _in_blocks(j, clustered, max(block_bytes, search.STRIPE_BYTES), visits.probes > 0 or bound is not None)
+    block = [*j.scope, "_qb"]
+    q = q.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)))
+    p = _meeting(q.where("_lane = 0").select(*block, "_met"), p, block).withColumn(
+        "_lane", F.pmod(F.xxhash64(point_key), F.col("_lanes")).cast("int"))
+    cell, qcols, k, types = [*block, "_lane"], j.qcols, j.k, {**dict(q.dtypes), **dict(p.dtypes)}
+
+    def side(df: DataFrame, point: bool, **own: str) -> DataFrame:
+        """One side's columns; those of the other are null."""
+        names = {"_qk": query_key, "_met": "_met", "_bound": "_bound"}, {"_pk": point_key, "_cluster": "cluster"}
+        return df.select(*cell, F.lit(point).alias("_point"), F.col(j.pv if point else j.qv).alias("_v"), *(
+            (F.col(c) if of == point else F.lit(None).cast(types[c])).alias(n) for of in (False, True) for n, c in names[of].items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stripes = itertools.groupby(search._runs(batches, cell), key=lambda part: part[0])
+        return search._in_large_batches(itertools.chain.from_iterable(
+            _one_stripe((part for _, part in stripe), qcols, query_key, point_key, k) for _, stripe in stripes))
+
+    rows = side(q, False).unionByName(side(p, True)).withColumn(
+        "_deal", F.pmod(F.xxhash64(*cell), F.lit(search.DEALS)).cast("int"))
+    dealt = rows.repartition("_deal").sortWithinPartitions("_deal", *cell, "_point", "_cluster", "_pk")
+    return dealt.groupBy("_deal").applyInArrow(run, j.schema)
+
+
+def _in_blocks(j: search._Join, clustered: Clustered, block_bytes: int, many: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries with their block ``_qb``, and both sides with the number of ``_lanes``.
+
+    Without a scope blocks follow the chain of clusters, and there are stripes for all cores: one lane where queries meet
+    few clusters, else as many lanes as blocks, about. With scopes a scope's queries are dealt by hash.
+    """
+    spread = F.pmod(F.xxhash64(j.qkey), F.lit(1 << 20)) / float(1 << 20)
+    if j.scope:
+        q, p, _ = search._with_cuts(j, block_bytes)
+        return q.withColumn("_qb", F.floor(spread * F.col("_nq")).cast("int")), p
+    told = search._rows_at_most(j.q.groupBy("_place").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size(j.qv)).alias("dim")), MAX_CLUSTERS + 1).sort_by("_place")
+    rows, dim = told["rows"].to_numpy(), max([1, *told["dim"].to_pylist()])
+    total, points = int(rows.sum()), search._rows_at_most(clustered.clusters.select("rows"), MAX_CLUSTERS + 1)["rows"].to_numpy().sum()
+    cores = 2 * j.q.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-total * dim * 4 // block_bytes))
+    blocks = max(blocks, min(math.ceil(math.sqrt(cores)) if many else cores, total // BLOCK_ROWS))
+    lane = min(search.LANE_BLOCKS * block_bytes / 4, search.LANE_PRODUCTS / max(1, total / blocks)) / dim
+    lanes = max(1, math.ceil(points / max(1.0, lane)))
+    lanes = max(lanes, min(math.ceil(cores / blocks) if many else 1, int(points) // BLOCK_ROWS))
+    share = rows / max(1, total)
+    places = j.q.sparkSession.createDataFrame(
+        list(zip(told["_place"].to_pylist(), (np.cumsum(share) - share).tolist(), share.tolist())), "_place int, _from double, _share double")
+    at = F.floor((F.col("_from") + spread * F.col("_share")) * blocks)
+    q = j.q.join(F.broadcast(places), "_place").withColumns({
+        "_qb": F.least(F.lit(blocks - 1), at).cast("int"), "_lanes": F.lit(lanes)})
+    return q, j.p.withColumn("_lanes", F.lit(lanes))
+
+
+def _meeting(q: DataFrame, p: DataFrame, block: list[str]) -> DataFrame:
+    """Points with a row per block that holds a query which meets their cluster."""
+    schema = T.StructType([*(q.schema[c] for c in block), T.StructField("cluster", T.IntegerType())])
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pa.RecordBatch:
+            which, cluster = np.nonzero(np.unpackbits(np.array(list(held.values())), axis=1))
+            columns = list(zip(*held))
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(c, f.type).take(pa.array(which)) for c, f in zip(columns, kinds)), pa.array(cluster, pa.int32())], names=names)
+
+        names, kinds = schema.names, None
+        for batch in batches:
+            kinds = [batch.schema.field(c) for c in block]
+            for key, part in search._by_scope(pa.Table.from_batches([batch]), block).items():
+                bits = np.bitwise_or.reduce(_bits(part["_met"]), axis=0)
+                held[key] = held[key] | bits if key in held else bits
+            if len(held) >= BLOCK_ROWS:
+                yield rows()
+                held = {}
+        if held:
+            yield rows()
+
+    met = stage(q.mapInArrow(seen, schema).distinct(), "stripe-clusters")
+    if met.count() <= search.BROADCAST_SCOPES:
+        met = F.broadcast(met)
+    return p.join(met, [*block[:-1], "cluster"])
+
+
+def _one_stripe(batches: Iterator[pa.RecordBatch], qcols: list[str], qkey: str, pkey: str, k: int) -> Iterator[pa.RecordBatch]:
+    """Top lists of a stripe's queries, which come first; its points follow by cluster, in key order."""
+    table, batches = search._queries_first(batches)
+    if table is None:
+        return
+    met = _bits(table["_met"])
+    least = table["_bound"].to_numpy().astype(float)
+    top = search._Top(search._named(table, qcols, qkey), k, np.where(np.isnan(least), -np.inf, least))
+    del table
+    for points in search._tables(batches, search.READ_BYTES):
+        block, clusters = search._Block(points, "_v"), points["_cluster"].to_numpy()
+        cuts = np.flatnonzero(np.diff(clusters, prepend=-1))
+        for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(clusters)]):
+            c = int(clusters[a])
+            rows = np.flatnonzero(met[:, c >> 3] & (128 >> (c & 7)))
+            if len(rows):
+                top.add(block, points["_pk"], a, z, rows)
+    yield from top.hits(qcols, pkey)
 
 
 def products(queries: DataFrame, clustered: Clustered, k: int, kth: DataFrame | None = None, *, probes: int | None = None,
              query_key: str = "query_uid", vector: str = "vector") -> tuple[int, int]:
     """Vector products of a search, and of one that leaves nothing out. ``kth`` has the k-th score per query."""
     asked = queries.select(query_key, vector).where(F.col(vector).isNotNull())
-    met = _meeting(asked, clustered, k, probes, None, vector).select("cluster")
+    visits = _visits(clustered, k, probes)
+    met = _asking(asked, visits, vector, None).select("_met")
     if kth is not None:
         rest = asked.join(kth.select(query_key, F.col("score").alias("_kth")), query_key, "left")
-        met = met.unionByName(_meeting(rest, clustered, k, None, "_kth", vector).select("cluster"))
-    done = met.groupBy("cluster").count().join(clustered.clusters, "cluster").agg(F.sum(F.col("count") * F.col("rows"))).head()[0]
+        met = met.unionByName(_asking(rest, visits, vector, "_kth").select("_met"))
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                counts = np.unpackbits(_bits(batch["_met"]), axis=1).sum(axis=0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts)), pa.int32()), pa.array(counts)], names=["cluster", "n"])
+
+    counts = met.mapInArrow(times, "cluster int, n bigint").groupBy("cluster").agg(F.sum("n").alias("n"))
+    done = counts.join(clustered.clusters, "cluster").agg(F.sum(F.col("n") * F.col("rows"))).head()[0]
     return done or 0, asked.count() * (clustered.clusters.agg(F.sum("rows")).head()[0] or 0)

@@ -47,6 +47,8 @@ BROADCAST_SCOPES = 100_000
 TILE_CELLS = 2 << 20
 BUCKET_ROWS = 4096
 GROUP = 32
+# Hits, and tables of them, that wait at most before they are merged into the top lists of a stripe.
+WAITING, WAITING_TABLES = 1 << 17, 64
 
 STRATEGIES = ("auto", "points", "queries", "grid", "lsh")
 
@@ -106,6 +108,24 @@ def _exact(q: _Block, p: _Block, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
 
 
+def _slack(q: _Block) -> float:
+    """Twice the largest rounding error of a product of unit vectors in single precision."""
+    return 2 * (q.m.shape[1] + 8) * np.finfo(np.float32).eps
+
+
+def _reached(near: np.ndarray, k: int) -> np.ndarray:
+    """Per row a value that ``k`` of its columns reach, near the k-th largest."""
+    n = near.shape[1]
+    groups = n // GROUP
+    if groups >= 4 * k:
+        # The k-th largest of disjoint groups' maxima is at most the k-th largest value.
+        tops = near[:, :GROUP * groups].reshape(len(near), GROUP, groups).max(axis=1)
+        return np.partition(tops, groups - k, axis=1)[:, groups - k]
+    if n > k:
+        return np.partition(near, n - k, axis=1)[:, n - k]
+    return np.full(len(near), -np.inf, dtype=np.float32)
+
+
 def _best(q: _Block, p: _Block, k: int):
     """Top ``k`` points per query as (query row, point row, score); equal scores keep point order.
 
@@ -117,21 +137,11 @@ def _best(q: _Block, p: _Block, k: int):
         raise ValueError("vectors of different sizes in one search")
     if not n or not len(q):
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
-    slack = 2 * (q.m.shape[1] + 8) * np.finfo(np.float32).eps
-    groups = n // GROUP
     tile = max(1, TILE_CELLS // n)
     out = []
     for start in range(0, len(q), tile):
         near = q.unit[start:start + tile] @ p.unit.T
-        if groups >= 4 * k:
-            # The k-th largest of disjoint groups' maxima is at most the k-th largest value.
-            tops = near[:, :GROUP * groups].reshape(len(near), GROUP, groups).max(axis=1)
-            cut = np.partition(tops, groups - k, axis=1)[:, groups - k]
-        elif n > k:
-            cut = np.partition(near, n - k, axis=1)[:, n - k]
-        else:
-            cut = np.full(len(near), -np.inf, dtype=np.float32)
-        r, c = np.nonzero(near >= (cut - slack)[:, None])
+        r, c = np.nonzero(near >= (_reached(near, k) - _slack(q))[:, None])
         r += start
         s = _exact(q, p, r, c)
         order = np.lexsort((c, -s, r))
@@ -163,12 +173,86 @@ def _hits(q: _Block, p: _Block, qcols: list[str], pcol: str, k: int) -> pa.Table
 
 def _merge(old: pa.Table | None, new: pa.Table, k: int) -> pa.Table:
     """Top ``k`` per query position ``r`` of two lists of ``(r, key, s)``."""
-    if old is None:
-        return new
-    both = pa.concat_tables([old, new])
-    both = both.take(pc.sort_indices(both, [("r", "ascending"), ("s", "descending"), ("key", "ascending")]))
-    r = both["r"].to_numpy()
-    return both.filter(pa.array(np.arange(len(r)) - np.searchsorted(r, r) < k))
+    return new if old is None else _first_of_each(pa.concat_tables([old, new]), k)
+
+
+def _first_of_each(lists: pa.Table, k: int) -> pa.Table:
+    """Top ``k`` per query position ``r`` of ``(r, key, s)``, best first."""
+    lists = lists.take(pc.sort_indices(lists, [("r", "ascending"), ("s", "descending"), ("key", "ascending")]))
+    r = lists["r"].to_numpy()
+    return lists.filter(pa.array(np.arange(len(r)) - np.searchsorted(r, r) < k))
+
+
+class _Top:
+    """The ``k`` best points of each query so far, and the score that a further one must reach.
+
+    ``least`` may start at scores that ``k`` points outside of this search reach (-inf: none known).
+    """
+
+    def __init__(self, queries: _Block, k: int, least: np.ndarray | None = None):
+        self.q, self.k, self.waiting, self.size, self.calls, self.in_order = queries, k, [], 0, 0, True
+        self.least = np.full(len(queries), -np.inf) if least is None else least
+        self.near, self.over = np.empty(0, np.float32), np.empty(0, bool)
+        self.held: pa.Table | None = None
+
+    def add(self, p: _Block, keys: pa.ChunkedArray, start: int, stop: int, rows: np.ndarray) -> None:
+        """Points from ``start`` to ``stop``, in key order, meet some of the queries."""
+        if self.q.m.shape[1] != p.m.shape[1]:
+            raise ValueError("vectors of different sizes in one search")
+        self.calls += 1
+        n, slack, points, every = stop - start, _slack(self.q), p.unit[start:stop], len(rows) == len(self.q)
+        tile = max(1, TILE_CELLS // n)
+        for at in range(0, len(rows), tile):
+            part = rows[at:at + tile]
+            # Written to the same memory each time; fresh pages would cost more than the comparison.
+            if self.near.size < len(part) * n:
+                self.near, self.over = np.empty(len(part) * n, np.float32), np.empty(len(part) * n, bool)
+            near, over = (x[:len(part) * n].reshape(len(part), n) for x in (self.near, self.over))
+            np.matmul(self.q.unit[at:at + tile] if every else self.q.unit[part], points.T, out=near)
+            cut = self.least[part]
+            unknown = np.isneginf(cut)
+            if unknown.any():
+                cut[unknown] = _reached(near[unknown], self.k)
+            np.greater_equal(near, (cut - slack).astype(np.float32)[:, None], out=over)
+            some = np.flatnonzero(over.any(axis=1))
+            if not len(some):
+                continue
+            r, c = np.divmod(np.flatnonzero(over if len(some) == len(part) else over[some]), n)
+            r, c = part[some[r]], c + start
+            s = _exact(self.q, p, r, c)
+            order = np.lexsort((c, -s, r))
+            order = order[s[order] >= self.least[r[order]]]
+            r, c, s = r[order], c[order], s[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < self.k
+            self.waiting.append(pa.table({"r": r[keep], "key": keys.take(pa.array(c[keep])), "s": s[keep]}))
+            self.size += int(keep.sum())
+            if self.size >= min(WAITING, 2 * self.k * len(self.q)) or len(self.waiting) >= WAITING_TABLES:
+                self.settle()
+
+    def settle(self) -> None:
+        """Merge what waits into the lists of the queries that it belongs to."""
+        if not self.waiting:
+            return
+        new, rest = pa.concat_tables(self.waiting), []
+        self.waiting, self.size = [], 0
+        if self.held is not None:
+            met = np.zeros(len(self.q), bool)
+            met[new["r"].to_numpy()] = True
+            met = met[self.held["r"].to_numpy()]
+            rest, new = [self.held.filter(pa.array(~met))], pa.concat_tables([self.held.filter(pa.array(met)), new])
+        if rest or self.calls > 1:  # what one call finds is in order
+            new = _first_of_each(new, self.k)
+        r, s = new["r"].to_numpy(), new["s"].to_numpy()
+        full = np.arange(len(r)) - np.searchsorted(r, r) == self.k - 1
+        self.least[r[full]] = np.maximum(self.least[r[full]], s[full])
+        self.held, self.in_order = pa.concat_tables([*rest, new]).combine_chunks(), not rest
+
+    def hits(self, qcols: list[str], pcol: str) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        if self.held is not None:
+            best = self.held if self.in_order else _first_of_each(self.held, self.k)
+            found = _as_hits(self.q.table, qcols, pcol, best["r"].to_numpy(), best["key"], best["s"].to_numpy())
+            yield from found.to_batches(max_chunksize=10_000)
 
 
 def _by_scope(table: pa.Table, scope: list[str]) -> dict[tuple, pa.Table]:
@@ -223,6 +307,14 @@ def _rows_within(side: DataFrame, key: str, vector: str, max_bytes: int, max_row
     return bytes_needed <= max_bytes and (max_rows is None or size["rows"] <= max_rows)
 
 
+def _rows_at_most(table: DataFrame, rows: int) -> pa.Table:
+    """A table whose number of rows has a bound, gathered; more rows are an error, not a cut."""
+    found = table.limit(rows + 1).toArrow()
+    if len(found) > rows:
+        raise ValueError(f"more than {rows} rows")
+    return found
+
+
 def _collect_bounded(side: DataFrame, key: str) -> pa.Table:
     """A side that ``_rows_within`` has proven to fit."""
     return _in_key_order(side.toArrow(), key)
@@ -318,34 +410,39 @@ def _with_cuts(j: _Join, block_bytes: int) -> tuple[DataFrame, DataFrame, bool]:
     return j.q.join(sizes, j.scope), j.p.join(sizes, j.scope), (seen["lanes"] or 1) > 1
 
 
-def _one_stripe(batches: Iterator[pa.RecordBatch], qcols: list[str], qkey: str, pkey: str, k: int,
-                block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Top lists of a stripe's queries, which come first; its points follow in key order.
-
-    Held are the queries, one table of points, of ``READ_BYTES`` or of ``block_bytes`` if that is less, and one
-    list of ``k`` per query.
-    """
+def _queries_first(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table | None, Iterator[pa.RecordBatch]]:
+    """A stripe's queries, which come first, and the batches of its points; none if there are none of either."""
     held: list[pa.RecordBatch] = []
-    first = None
     for batch in batches:
         n = int(pc.sum(pc.invert(batch["_point"])).as_py() or 0)
         if n:
             held.append(batch.slice(0, n))
         if n < batch.num_rows:
-            first = batch.slice(n)
-            break
-    if not held or first is None:
+            return (pa.Table.from_batches(held) if held else None), itertools.chain([batch.slice(n)], batches)
+    return None, iter(())
+
+
+def _named(table: pa.Table, qcols: list[str], qkey: str) -> _Block:
+    """A stripe's queries as a block, their key by its name."""
+    return _Block(table.select([*(c if c != qkey else "_qk" for c in qcols), "_v"]).rename_columns([*qcols, "_v"]), "_v")
+
+
+def _one_stripe(batches: Iterator[pa.RecordBatch], qcols: list[str], qkey: str, pkey: str, k: int,
+                block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Top lists of a stripe's queries, which come first; its points follow in key order.
+
+    Held are the queries, one table of points, of ``READ_BYTES`` or of ``block_bytes`` if that is less, one
+    list of ``k`` per query, and hits that wait to enter them.
+    """
+    table, batches = _queries_first(batches)
+    if table is None:
         return
-    table = pa.Table.from_batches(held).select([*(c if c != qkey else "_qk" for c in qcols), "_v"])
-    held.clear()
-    queries = _Block(table.rename_columns([qkey if c == "_qk" else c for c in table.schema.names]), "_v")
+    top = _Top(_named(table, qcols, qkey), k)
     del table
-    best: pa.Table | None = None
-    for points in _tables(itertools.chain([first], batches), min(block_bytes, READ_BYTES)):
-        r, c, s = _best(queries, _Block(points, "_v"), k)
-        best = _merge(best, pa.table({"r": r, "key": points["_pk"].take(pa.array(c)), "s": s}), k)
-    hits = _as_hits(queries.table, qcols, pkey, best["r"].to_numpy(), best["key"], best["s"].to_numpy())
-    yield from hits.to_batches(max_chunksize=10_000)
+    rows = np.arange(len(top.q))
+    for points in _tables(batches, min(block_bytes, READ_BYTES)):
+        top.add(_Block(points, "_v"), points["_pk"], 0, len(points), rows)
+    yield from top.hits(qcols, pkey)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
